@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import simhash
+from murmuration.llm import packing, simhash, tokens
 from murmuration.llm._common import table
 
 
@@ -16,8 +16,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def tokenizer() -> str:
+    """The public vocabulary that the token queries use; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), room=2048).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {"op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records}
 
 
 def oracle_sql() -> dict[str, str]:
