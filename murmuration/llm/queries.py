@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import langid, packing, simhash, tokens, topk, warc
+from murmuration.llm import langid, licenses, packing, simhash, tokens, topk, warc
 from murmuration.llm._common import table
 
 
@@ -52,6 +52,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -65,8 +69,8 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records}
+    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL}
+    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op4_licenses": licenses.scan_sql()}

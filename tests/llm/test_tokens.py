@@ -134,3 +134,9 @@ def test_reduction_keeps_the_optimum(items):
     fixed = packing.reduce_dominated(counts, 20)
     left = sorted((s for s in range(1, 21) for _ in range(int(counts[s]))), reverse=True)
     assert sum(n for _, n in fixed) + exact(left, 20) == exact(sorted(items, reverse=True), 20)
+
+
+def test_letters_as_one_piece():
+    words = ["hello", " thoringerst", "éàü", " Ñandú", "ſ", " ªº", "ǅ", "日本", " ß", "ₐ", "ʰ"]
+    got = [x.tolist() for x in tokens.encoder(PATH).encode([w + " " + w for w in words])]
+    assert got == [TOK.encode(w + " " + w, add_special_tokens=False).ids for w in words]
