@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import langid, licenses, packing, simhash, tokens, topk, warc
+from murmuration.llm import langid, licenses, packing, simhash, tokens, topk, toxicity, warc
 from murmuration.llm._common import table
 
 
@@ -68,8 +68,12 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records}
+    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
