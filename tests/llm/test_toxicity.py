@@ -35,7 +35,7 @@ def test_gaps_and_insertions():
 
 
 def test_rows(spark):
-    docs = [(i, ("you stupid fool " if i % 2 else "a lovely day ") * 3, "x") for i in range(60)] + [(100, None, "x"), (101, "", "x"), (None, "you stupid fool", "x"), (3, "again stupid", "x"), (102, "word " * 20000 + "stupid", "x"), (103, "you st.upid fool, thing", "x")]
+    docs = [(i, ("you stupid fool " if i % 2 else "a lovely day ") * 3, "x") for i in range(60)] + [(100, None, "x"), (101, "", "x"), (None, "you stupid fool", "x"), (3, "you stupid fool again", "x"), (102, "word " * 20000 + "you stupid fool", "x"), (103, "you st.upid fool, thing", "x")]
     labels = [(i, i % 2, "y") for i in range(60)] + [(None, 1, "y"), (100, None, "y"), (5, 1, "y"), (900, 1, "y")]
     d, k = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int, text string")
     got = toxicity.score(d, k).collect()
