@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import langid, licenses, packing, simhash, tokens, topk, toxicity, warc
+from murmuration.llm import langid, licenses, packing, pii, simhash, tokens, topk, toxicity, warc
 from murmuration.llm._common import table
 
 
@@ -52,6 +52,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return pii.digest(pii.detect(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -73,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
