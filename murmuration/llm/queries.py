@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import langid, licenses, packing, pii, simhash, tokens, topk, toxicity, warc
+from murmuration.llm import decontaminate, langid, licenses, packing, pii, simhash, tokens, topk, toxicity, warc
 from murmuration.llm._common import table
 
 
@@ -65,6 +65,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), room=2048).withColumnRenamed("id", "doc_id")
 
@@ -78,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontamination": op6_decontamination, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
