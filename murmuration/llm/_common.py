@@ -35,10 +35,23 @@ def work_dir(spark: SparkSession) -> str:
     return fs.makeQualified(where).toString() if "://" not in path else path
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+#: Rows that pass to Python at a time where texts do.
+TEXT_ROWS = 1000
+
+
+def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    rows: so many at most pass to Python at a time while this is written.
+    """
+    path, key, conf = f"{folder}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key)
+    try:
+        if rows:
+            conf.set(key, rows)
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

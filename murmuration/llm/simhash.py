@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import join_groups, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, join_groups, work_dir, written
 from murmuration.llm.components import connected_components
 
 SEED = 42
@@ -27,21 +27,29 @@ MAX_BITS = 3
 BLOCK = 8192
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of one text: A-Z lowered, words split at ASCII white space, shingles hashed by XXH64 with seed 42.
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles in order, repeats included: A-Z lowered, words split at ASCII white space.
 
-    Fewer words than a shingle: the whole sequence is the shingle. Null or no words: 0.
+    Fewer words than a shingle: the whole sequence is the shingle. Null or no words: none.
     """
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
     flat = b" ".join(w)
     ends = [x - 1 for x in accumulate(len(x) + 1 for x in w)]
     digest, seed = xxhash.xxh64_intdigest, SEED
     if len(w) <= words:
-        return digest(flat, seed)
+        return np.array([digest(flat, seed)] if w else [], "<u8")
     starts = [0, *[x + 1 for x in ends]]
-    h = np.fromiter((digest(flat[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)), "<u8", len(w) - words + 1)
+    return np.fromiter((digest(flat[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)), "<u8", len(w) - words + 1)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of one text: a bit is set if more than half of the shingle hashes have it. Null or no words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
@@ -170,6 +178,112 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare, "a long, b long")
 
 
+#: Bins of a similarity sketch, mean shingles of a piece, pieces that a document is compared by, rows of one piece compared all with all.
+BINS, PIECE, RAREST, DENSE = 128, 12, 6, 2048
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash: of each bin (low bits) the least high bits; all ones if empty."""
+    out = np.full(BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(out, (h % BINS).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
+    return out
+
+
+def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of one sketch with each of many."""
+    some = (many != 0xFFFFFFFF) | (one != 0xFFFFFFFF)
+    return ((many == one) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
+
+
+def piece_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the pieces between shingles whose hash is divisible by PIECE: edits change the pieces they lie in, no others."""
+    cuts = np.flatnonzero(h % PIECE == 0).tolist()
+    data, digest = h.tobytes(), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(data[8 * a : 8 * b]) for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True) if a < b], np.uint64))
+
+
+def _profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                c = b.slice(i, 512)
+                hs = [shingle_hashes(t.as_py(), words) for t in c.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [c.column(0), pa.array(np.array([majority(h) for h in hs], np.uint64).view(np.int64)), pa.array([sketch(h).tobytes() for h in hs], pa.binary()), pa.array([piece_keys(h).view(np.int64) for h in hs], pa.list_(pa.int64()))],
+                    names=["id", "fp", "sketch", "pieces"],
+                )
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fp long, sketch binary, pieces array<long>")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): documents linked by fingerprints within 3 bits, or by shingle similarity of at least `similarity`.
+
+    SimHash alone finds few pairs near 0.8, as a few percent of other words move more than three bits. So documents with
+    different fingerprints also meet by their RAREST rarest pieces (runs of a dozen shingles, counted over all
+    documents), and those whose sketches agree are linked; sketches of BINS bins err by about 0.035, for which 0.02 are
+    allowed. A pair of that similarity shares most pieces, and pieces that many unlike documents share are not the rarest.
+    Null ids are left out; null and empty texts are alike. Ids that repeat are one document. Empty table: empty result.
+    """
+    folder = work_dir(docs.sparkSession)
+    rows = written(_profiles(docs, id_col, text_col, words), folder, "profiles", TEXT_ROWS)
+    groups = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), folder, "groups")
+    near = fingerprint_links(groups, folder)
+    # one document of each fingerprint speaks for it
+    reps = rows.join(groups.select(F.col("rep").alias("id"), F.col("fp").alias("own")), "id").where("fp = own").dropDuplicates(["id"]).select("id", "sketch", "pieces")
+    reps = written(reps, folder, "reps")
+    held = reps.select("id", F.explode("pieces").alias("piece"))
+    often = written(held.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), folder, "pieces")
+    counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count(), F.col("id")).where("times is not null")
+    rarest = counted.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("times", "piece"))), 1, RAREST).alias("p")).select("id", F.explode("p.piece").alias("piece"))
+    meet = rarest.join(reps.select("id", "sketch"), "id").repartition("piece").sortWithinPartitions("piece", "id")
+    least = similarity - 0.02
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come piece by piece. Each meets the leaders of earlier blocks and, within a block of DENSE, every other."""
+        key, leaders, ids, block = None, [], [], []
+
+        def close() -> tuple[list[int], list[int]]:
+            a, b = [], []
+            if len(ids) > 1 or leaders:
+                own, who = np.stack(block), np.array(ids)
+                lead = np.stack([s for _, s in leaders]) if leaders else np.empty((0, BINS), np.uint32)
+                free = np.ones(len(who), bool)
+                for i in range(len(who)):
+                    old = np.flatnonzero(agreement(own[i], lead) >= least)
+                    a.extend([who[i]] * len(old)), b.extend(leaders[x][0] for x in old)
+                    later = np.flatnonzero(agreement(own[i], own[i + 1 :]) >= least) + i + 1
+                    a.extend([who[i]] * int(free[later].sum())), b.extend(who[later[free[later]]].tolist())
+                    if free[i] and not len(old):
+                        leaders.append((int(who[i]), own[i]))
+                    free[later] = False
+            elif ids:
+                leaders.append((ids[0], block[0]))
+            ids.clear(), block.clear()
+            return a, b
+
+        for batch in batches:
+            a, b = [], []
+            for doc, piece, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if piece != key or len(ids) == DENSE:
+                    x, y = close()
+                    a += x
+                    b += y
+                    if piece != key:
+                        key = piece
+                        leaders.clear()
+                ids.append(doc), block.append(np.frombuffer(s, np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    alike = meet.select("id", "piece", "sketch").mapInArrow(link, "a long, b long")
+    roots = connected_components(near.union(alike), folder)
+    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
+    return join_groups(rows.select("id", "fp"), named, "fp", "n", rows.count(), F.col("id")).select("id", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp, component): every row with its fingerprint and the smallest id reachable over links of at most 3 bits.
 
@@ -178,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     folder = work_dir(docs.sparkSession)
-    fps = written(fingerprints(docs, id_col, text_col, words), folder, "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, words), folder, "fingerprints", TEXT_ROWS)
     groups = written(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), folder, "groups")
     roots = connected_components(fingerprint_links(groups, folder), folder)
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
