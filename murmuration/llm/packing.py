@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import work_dir, written
+from murmuration.llm._common import TEXT_ROWS, work_dir, written
 from murmuration.llm.tokens import _rows, encoder, id_crc32
 
 #: A pattern: ((length, how many), ...), and the number of sequences filled so.
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_i
     Gathered on the driver: one count for each length, room rows at most.
     """
     folder = work_dir(docs.sparkSession)
-    all_ = written(pieces(docs, tokenizer, room, id_col, text_col, end_id, keep_ids), folder, "pieces")
+    all_ = written(pieces(docs, tokenizer, room, id_col, text_col, end_id, keep_ids), folder, "pieces", TEXT_ROWS)
     held = written(all_.groupBy("part", "length").agg(F.count("*").alias("n")), folder, "held")
     patterns = plan({r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}, room)
     where = places(patterns, room)

@@ -13,7 +13,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.llm import files
-from murmuration.llm._common import work_dir, written
+from murmuration.llm._common import TEXT_ROWS, work_dir, written
 
-#: Chunks whose ids a Python worker remembers.
-CACHE = 500_000
+#: Chunks, and characters of chunks, whose ids a Python worker remembers at most. When full it forgets the later half: what came first is mostly what is common.
+CACHE, CACHE_CHARS = 320_000, 6_000_000
 #: Bytes after which a shard is closed and a new one begun.
 SHARD_BYTES = 64 << 20
 
@@ -36,6 +38,11 @@ _MARK = r",.;:!?$%&#*|"
 _CHUNKS = re.compile(rf" ?[{_LATIN}]+(?=[{_MARK}{_SPACE}]|\Z)|[{_MARK}]+(?=[{_SPACE}]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+#: The sign that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """encode(text) gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives; strings of special tokens count as ordinary text.
 
@@ -52,21 +59,33 @@ class Encoder:
         self.chunked = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember new chunks. A run of letters is one piece to the pre-tokenizer, so that the library's model can take it as it is, spelt in byte signs."""
+        letters = [c for c in chunks if c.isalpha() or c[1:].isalpha() and c[0] == " "] if self.chunked else []
+        model, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for c in letters:
+            self.known[c] = array(kind, [t.id for t in model(c.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+        rest = [c for c in chunks if c not in self.known]
+        self.known.update(zip(rest, self._bytes(rest), strict=True))
+        self.chars += sum(map(len, chunks))
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 256):
             part = texts[i : i + 256]
             if not self.chunked:
                 yield from (np.frombuffer(x, self.dtype) for x in self._bytes(part))
                 continue
-            if len(self.known) > CACHE:
-                self.known.clear()
+            if len(self.known) > CACHE or self.chars > CACHE_CHARS:
+                for c in list(islice(self.known, len(self.known) // 2, None)):
+                    del self.known[c]
+                self.chars = sum(map(len, self.known))
             chunks = [_CHUNKS.findall(t) for t in part]
-            new = list(set().union(*chunks) - self.known.keys())
-            self.known.update(zip(new, self._bytes(new), strict=True))
+            self._learn(list(set().union(*chunks).difference(self.known)))
             get = self.known.__getitem__
             for c in chunks:
                 yield np.frombuffer(b"".join(map(get, c)), self.dtype)
@@ -172,7 +191,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    return written(sorted_rows.mapInArrow(run, SHARDS), folder, "shards")
+    return written(sorted_rows.mapInArrow(run, SHARDS), folder, "shards", TEXT_ROWS)
 
 
 def read_shards(spark: SparkSession, shards: DataFrame, with_ids: bool = False) -> DataFrame:
