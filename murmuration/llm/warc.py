@@ -151,7 +151,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
             yield out(read(now, spans))
 
     stretch = F.floor(F.col("offset") / READ_BYTES)
-    dealt = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    tasks = int(index.agg(F.sum("length")).first()[0] or 0) // (2 * READ_BYTES) + 1  # by bytes to read, not by the index's size
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
