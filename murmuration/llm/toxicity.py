@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.llm._common import work_dir, written
 from murmuration.llm.langid import held_out
 
 #: Letters of a subsequence, decay of each place it spans, least kernel that counts, longest word compared as a whole (longer ones in overlapping windows).
@@ -205,19 +206,19 @@ def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def learn(train: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on rows (id, text, toxic) with toxic 0 or 1; on about `sample` rows of each class, chosen by hash (documented bound).
+def learn(docs: DataFrame, labels: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
+    """Fit on docs (id, text) and labels (id, toxic: 0 or 1, an id once); on about `sample` labels of each class, chosen by hash (documented bound).
 
-    Gathered on the driver: landmarks, and one row of values for each sampled text.
+    The sampled labels are broadcast, their texts written once. Gathered on the driver: landmarks, and one row of values
+    for each sampled text.
     """
-    rows = train.where("text is not null and toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
-        base = 1.0 if counts.get(1) else 0.0
-        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0, base)
+        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0, 1.0 if counts.get(1) else 0.0)
     rate = {k: min(1.0, sample / n) for k, n in counts.items()}
     limit = F.when(F.col("toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1_000_000)) < limit * 1_000_000).select("text", "toxic")
+    some = labels.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1_000_000)) < limit * 1_000_000)
+    chosen = written(docs.where("text is not null").join(F.broadcast(some), "id").select("text", "toxic"), folder, "training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -308,8 +309,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels are 1, else 0. A null id is not held out. Empty table: empty result.
     """
     out = held_out(id_col, 5, 0)
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col, 5, 0) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    # labels are two narrow columns; they are broadcast only if Spark finds them small, else both sides are dealt by id
-    train = rows.where(~F.col("held_out")).join(known, "id").select("id", "text", "toxic")
-    return predict(rows, learn(train), "text")
+    model = learn(rows.select("id", "text"), known, work_dir(docs.sparkSession))
+    return predict(rows, model, "text")
