@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.operators import bootstrap, geometry, grids, labels, moments, sampling, scoring, streams
+from murmuration.operators import bootstrap, clusters, geometry, grids, labels, matching, moments, sampling, scoring, streams
 from murmuration.plans import adapters as A
+from murmuration.streaming import tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,3 +440,99 @@ def point_classes(spark, d):
 def soft_iou(spark, d):
     s = A.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_discount") * 10).alias("q"), (F.col("l_linestatus") == "F").cast("double").alias("r"))
     return rounded(bootstrap.soft_iou(s, "k", "q", "r"))
+
+
+# labels on points ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.FEATURE_POINTS} SELECT point_id, CASE WHEN blob_id < 8 THEN blob_id + 1 ELSE 0 END AS blob_label, CASE WHEN blob_id < 8 THEN blob_id % 4 + 1 ELSE 0 END AS hyper_label FROM points")
+def rasterized_labels(spark, d):
+    p = A.feature_points(spark, d)
+    of = spark.range(8).select(F.col("id").cast("int").alias("blob_id"), (F.col("id") % 4).cast("int").alias("h"))  # the model's blobs
+    return p.select("point_id", "blob_id").join(F.broadcast(of), "blob_id", "left").select("point_id", F.when(F.col("h").isNotNull(), F.col("blob_id") + 1).otherwise(0).alias("blob_label"), F.coalesce(F.col("h") + 1, F.lit(0)).alias("hyper_label"))
+
+
+@query(f"WITH {A.LABEL_PIXELS} SELECT px // 32 AS px, arg_max(blob_id, score) AS label FROM pixels GROUP BY 1")
+def label_map_from_masks(spark, d):
+    return A.label_pixels(spark, d).groupBy(F.floor(F.col("px") / 32).alias("px")).agg(F.max_by("blob_id", "score").alias("label"))
+
+
+@query(f"""WITH {A.STREAM_EVENTS}, g AS (SELECT entity % 20 AS k, seq, value FROM ev), n AS (SELECT k, seq, value, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM g)
+SELECT a.seq, round(sum(b.value * exp(-0.5 * ((b.i - a.i) / 2.0::DOUBLE) * ((b.i - a.i) / 2.0::DOUBLE))) / sum(exp(-0.5 * ((b.i - a.i) / 2.0::DOUBLE) * ((b.i - a.i) / 2.0::DOUBLE))), 5) AS smooth FROM n a JOIN n b ON a.k = b.k AND abs(a.i - b.i) <= 6 GROUP BY a.seq""")
+def track_smoothing(spark, d):
+    ev = A.stream_events(spark, d).select((F.col("entity") % 20).alias("k"), "seq", "value")
+    return rounded(streams.smooth(ev, "k", "seq", "value", 2.0).select("seq", "smooth"), 5)
+
+
+@query(f"WITH {A.FEATURE_POINTS} SELECT blob_id, round(sum(vx), 6) AS dx, round(sum(vy), 6) AS dy, round(sum(vz), 6) AS dz FROM points WHERE frame_idx < 3 GROUP BY blob_id")
+def warmup_displacement(spark, d):
+    return rounded(A.feature_points(spark, d).where("frame_idx < 3").groupBy("blob_id").agg(*[F.sum(f"v{c}").alias(f"d{c}") for c in "xyz"]))
+
+
+@query(f"""WITH {A.FEATURE_POINTS} SELECT round(quantile_cont(abs(x), 0.9), 6) AS ex, round(quantile_cont(abs(y), 0.9), 6) AS ey, round(median(z), 6) AS mz FROM points""")
+def percentile_extent(spark, d):
+    return rounded(A.feature_points(spark, d).agg(F.percentile(F.abs("x"), 0.9).alias("ex"), F.percentile(F.abs("y"), 0.9).alias("ey"), F.median("z").alias("mz")))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, q AS (SELECT point_id, vx AS q, row_number() OVER (ORDER BY round(vx, 9) DESC, point_id) AS k FROM points WHERE blob_id <> 3) SELECT point_id, round(q, 6) AS q FROM q WHERE k <= 20 AND q > 0.1""")
+def topk_uncovered(spark, d):
+    top = A.feature_points(spark, d).where("blob_id != 3").orderBy(F.desc(F.round("vx", 9)), "point_id").limit(20)
+    return rounded(top.where("vx > 0.1").select("point_id", F.col("vx").alias("q")))
+
+
+# rows only: solvers and iterations -----------------------------------------------------------------------------------
+
+
+@query()
+def hungarian_match(spark, d):
+    return rounded(matching.match(labels.overlap(A.label_pixels(spark, d), ["video_id", "frame_idx"]), ["video_id", "frame_idx"], 0.1))
+
+
+@query()
+def instance_metrics(spark, d):
+    t = labels.overlap(A.label_pixels(spark, d), ["frame_idx"])
+    return rounded(matching.instance_metrics(t, matching.match(t, ["frame_idx"], 0.1), ["frame_idx"]))
+
+
+@query()
+def track_propagation(spark, d):
+    m = A.label_pixels(spark, d).where("gt > 0").select("video_id", "frame_idx", F.col("gt").alias("mask_pos"), (F.col("px") % 50).cast("int").alias("px")).distinct()
+    return matching.propagate(m, 0.3)
+
+
+@query()
+def kmeans_init(spark, d):
+    return clusters.segment_blobs(A.feature_points(spark, d), "hyperblob_id", 16)
+
+
+@query()
+def pca_project(spark, d):
+    p = A.feature_points(spark, d)
+    mean, axes = clusters.principal_axes(p, "feat", 3)
+    return rounded(clusters.project(p.select("point_id", "feat"), "feat", mean, axes, "pc").drop("feat"))
+
+
+@query()
+def gibbs_track(spark, d):
+    return tracker.track(A.feature_points(spark, d), 16, 4)
+
+
+@query()
+def gibbs_track_sampled(spark, d):
+    return tracker.track(A.feature_points(spark, d), 16, 4, tracker.kernel.Hypers(mode="sample", seed=3, stickiness=0.5))
+
+
+@query()
+def normalized_cut(spark, d):
+    p = A.feature_points(spark, d).where("frame_idx = 0").select(F.concat("video_id", F.lit("_"), (F.col("point_id") % 4).cast("string")).alias("video_id"), F.col("point_id").alias("token_id"), "feat", F.col("x").alias("row"), F.col("y").alias("col"))
+    return rounded(clusters.cut_tokens(p))
+
+
+@query()
+def rigid_fit(spark, d):
+    rows = rigid_moments(spark, d).orderBy("blob_id").collect()  # a row a blob
+    out = []
+    for r in rows:
+        rot, t = clusters.rigid(r.asDict(), ("px", "py", "pz"), ("qx", "qy", "qz"))
+        out.append((r["blob_id"], [round(float(x), 6) for x in rot.ravel()], [round(float(x), 6) for x in t]))
+    return spark.createDataFrame(out, "blob_id int, rotation array<double>, translation array<double>")
