@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.plans.session import ensure_checkpoint
+
 
 def unproject(u: Column, v: Column, z: Column, fx: float, fy: float, cx: float, cy: float) -> tuple[Column, Column, Column]:
     return (u - cx) * z / fx, (v - cy) * z / fy, z
@@ -59,11 +61,13 @@ def smoothstep(x: Column, low: float, high: float) -> Column:
 def robust_alignment(pairs: DataFrame, key: str, x: str, y: str, rounds: int = 2) -> DataFrame:
     """(key, scale, shift): y about scale x + shift, from median and MAD, then reweighted least squares with Huber weights.
 
-    Each round is two aggregations by key; pairs never leave their key's partition.
+    Each round is two aggregations by key. What a round gives, a row a key, is cut off by checkpoint(), so that no round
+    computes the ones before it again.
     """
-    med = pairs.groupBy(key).agg(F.median(x).alias("mx"), F.median(y).alias("my"))
+    ensure_checkpoint(pairs.sparkSession)
+    med = pairs.groupBy(key).agg(F.median(x).alias("mx"), F.median(y).alias("my")).checkpoint()
     mad = pairs.join(med, key).groupBy(key).agg(F.median(F.abs(F.col(x) - F.col("mx"))).alias("dx"), F.median(F.abs(F.col(y) - F.col("my"))).alias("dy"))
-    fit = med.join(mad, key).select(key, (F.col("dy") / F.greatest("dx", F.lit(1e-6))).alias("scale"), "mx", "my").select(key, "scale", (F.col("my") - F.col("scale") * F.col("mx")).alias("shift"))
+    fit = med.join(mad, key).select(key, (F.col("dy") / F.greatest("dx", F.lit(1e-6))).alias("scale"), "mx", "my").select(key, "scale", (F.col("my") - F.col("scale") * F.col("mx")).alias("shift")).checkpoint()
     for _ in range(rounds):
         r = pairs.join(fit, key).withColumn("r", F.col(y) - F.col("scale") * F.col(x) - F.col("shift"))
         sigma = r.groupBy(key).agg((1.4826 * F.median(F.abs("r"))).alias("sigma"))
@@ -71,5 +75,5 @@ def robust_alignment(pairs: DataFrame, key: str, x: str, y: str, rounds: int = 2
         s = r.join(sigma, key).withColumn("w", w).groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * e).alias(n) for e, n in ((F.col(x), "sx"), (F.col(y), "sy"), (F.col(x) * F.col(x), "sxx"), (F.col(x) * F.col(y), "sxy"))])
         det = F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx")
         scale = F.when(F.abs(det) > 1e-9, (F.col("w") * F.col("sxy") - F.col("sx") * F.col("sy")) / det).otherwise(1.0)
-        fit = s.select(key, scale.alias("scale"), "w", "sx", "sy").select(key, "scale", ((F.col("sy") - F.col("scale") * F.col("sx")) / F.col("w")).alias("shift"))
+        fit = s.select(key, scale.alias("scale"), "w", "sx", "sy").select(key, "scale", ((F.col("sy") - F.col("scale") * F.col("sx")) / F.col("w")).alias("shift")).checkpoint()
     return fit

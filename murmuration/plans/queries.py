@@ -406,15 +406,17 @@ def coherent_merge(spark, d):
 # reports -------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH x AS (SELECT event_type AS k, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT * FROM events WHERE isfinite(value) AND event_id < 1000)),
-d AS (SELECT DISTINCT k, n FROM x), p AS (SELECT k, b.range AS b, CAST('0x' || substr(md5('5|' || k || '|' || b.range || '|' || j.range), 1, 13) AS BIGINT) % n AS i FROM d, range(200) b, range(1000) j WHERE j.range < n),
+@query("""WITH v AS (SELECT event_type AS k, CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS day, avg(value) AS value FROM events WHERE isfinite(value) GROUP BY ALL),
+x AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM v), d AS (SELECT DISTINCT k, n FROM x),
+p AS (SELECT k, b.range AS b, CAST('0x' || substr(md5('5|' || k || '|' || b.range || '|' || j.range), 1, 13) AS BIGINT) % n AS i FROM d, range(1000) b, range((SELECT max(n) FROM d)) j WHERE j.range < n),
 m AS (SELECT p.k, p.b, avg(x.value) AS m FROM p JOIN x ON x.k = p.k AND x.i = p.i GROUP BY ALL)
-SELECT m.k, any_value(a.mean) AS mean, round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM m JOIN (SELECT k, round(avg(value), 5) AS mean FROM x GROUP BY k) a ON a.k = m.k GROUP BY m.k""".replace("AND event_id < 1000", "").replace("range(1000) j WHERE j.range < n", "range((SELECT max(n) FROM d)) j WHERE j.range < n"))
+SELECT m.k, any_value(a.mean) AS mean, round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM m JOIN (SELECT k, round(avg(value), 5) AS mean FROM x GROUP BY k) a ON a.k = m.k GROUP BY m.k""")
 def bootstrap_ci(spark, d):
-    return rounded(bootstrap.interval(A.read(spark, d, "events"), "event_type", "event_id", "value", 200, 5).withColumnRenamed("event_type", "k"), 5)
+    daily = A.read(spark, d, "events").where(~F.isnan("value")).groupBy(F.col("event_type").alias("k"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("day")).agg(F.avg("value").alias("value"))
+    return rounded(bootstrap.interval(daily, "k", "day", "value", 1000, 5), 5)
 
 
-@query("""WITH a AS (SELECT l_returnflag AS k, l_shipmode AS m FROM (SELECT l_returnflag, l_linestatus AS l_shipmode FROM lineitem)), o AS (SELECT o_orderpriority AS video, avg(o_totalprice) AS a FROM orders WHERE o_custkey % 3 <> 0 AND o_orderpriority < '4' GROUP BY 1), e AS (SELECT o_orderpriority AS video, count(*) AS b FROM orders WHERE o_custkey % 3 = 0 AND o_orderpriority > '2' GROUP BY 1)
+@query("""WITH o AS (SELECT o_orderpriority AS video, avg(o_totalprice) AS a FROM orders WHERE o_custkey % 3 <> 0 AND o_orderpriority < '4' GROUP BY 1), e AS (SELECT o_orderpriority AS video, count(*) AS b FROM orders WHERE o_custkey % 3 = 0 AND o_orderpriority > '2' GROUP BY 1)
 SELECT coalesce(o.video, e.video) AS video, round(a, 4) AS a, b FROM o FULL OUTER JOIN e ON e.video = o.video""")
 def results_outer_join(spark, d):
     o = A.read(spark, d, "orders")
