@@ -376,10 +376,10 @@ def splat(spark, d):
     return grids.splat(p, 2)
 
 
-@query(f"""WITH {A.FEATURE_POINTS}, l AS (SELECT CAST(floor(10 * x) AS BIGINT) AS px, CAST(floor(10 * y) AS BIGINT) AS py, z, point_id, 0.1 + 0.05 * blob_id AS a, vx AS k FROM points),
+@query(f"""WITH {A.FEATURE_POINTS}, l AS (SELECT CAST(floor(10 * x) AS BIGINT) AS px, CAST(floor(10 * y) AS BIGINT) AS py, z, point_id, 0.1 + 0.0537 * blob_id AS a, vx AS k FROM points),
 t AS (SELECT *, a * exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY px, py ORDER BY z, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS w FROM l) SELECT px, py, round(sum(w), 6) AS coverage, round(sum(w * k) / sum(w), 6) + 0.0 AS colour FROM t GROUP BY px, py""")
 def volumetric_splat(spark, d):
-    p = A.feature_points(spark, d).select(F.floor(10 * F.col("x")).alias("px"), F.floor(10 * F.col("y")).alias("py"), "z", "point_id", (0.1 + 0.05 * F.col("blob_id")).alias("a"), F.col("vx").alias("k"))
+    p = A.feature_points(spark, d).select(F.floor(10 * F.col("x")).alias("px"), F.floor(10 * F.col("y")).alias("py"), "z", "point_id", (0.1 + 0.0537 * F.col("blob_id")).alias("a"), F.col("vx").alias("k"))
     return rounded(grids.front_to_back(p, ["px", "py"], ["z", "point_id"], "a", "k"))
 
 
