@@ -77,3 +77,35 @@ def robust_alignment(pairs: DataFrame, key: str, x: str, y: str, rounds: int = 2
         scale = F.when(F.abs(det) > 1e-9, (F.col("w") * F.col("sxy") - F.col("sx") * F.col("sy")) / det).otherwise(1.0)
         fit = s.select(key, scale.alias("scale"), "w", "sx", "sy").select(key, "scale", ((F.col("sy") - F.col("scale") * F.col("sx")) / F.col("w")).alias("shift")).checkpoint()
     return fit
+
+
+def next_frame_motion(pixels: DataFrame, width: int, height: int, f: float) -> DataFrame:
+    """Points and motions of pixels (frame, px, z, du, dv) by the depth at the flow's target in the next frame; X and Y use the target as it is, the depth the target clamped to the image. Pixels without a next frame give nothing."""
+    u, v = F.col("px") % width, F.floor(F.col("px") / width)
+    clamp = lambda x, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), x))
+    a = pixels.select("frame", "px", "z", u.alias("u"), v.alias("v"), (u + F.col("du")).alias("tu"), (v + F.col("dv")).alias("tv")).withColumn("tpx", clamp(F.col("tv"), height) * width + clamp(F.col("tu"), width))
+    b = pixels.select((F.col("frame") - 1).alias("frame"), F.col("px").alias("tpx"), F.col("z").alias("tz"))
+    j = a.join(b, ["frame", "tpx"])
+    p, q = (unproject(F.col(c), F.col(d), F.col(e), f, f, width / 2, height / 2) for c, d, e in (("u", "v", "z"), ("tu", "tv", "tz")))
+    return j.select("frame", "px", *[x.alias(n) for x, n in zip(p, ("x", "y", "z"), strict=True)], *[(y - x).alias(n) for x, y, n in zip(p, q, ("vx", "vy", "vz"), strict=True)])
+
+
+def look_at(ax: Column, ay: Column, az: Column, tx: Column, ty: Column, tz: Column) -> list[Column]:
+    """Rows (right, down, forward) of the rotation that looks from a to t, the world's y axis down."""
+    fx, fy, fz = tx - ax, ty - ay, tz - az
+    n = F.sqrt(fx * fx + fy * fy + fz * fz)
+    fx, fy, fz = fx / n, fy / n, fz / n
+    m = F.sqrt(fz * fz + fx * fx)  # length of y x forward
+    rx, rz = fz / m, -fx / m
+    return [rx, F.lit(0.0), rz, fy * rz, fz * rx - fx * rz, -fy * rx, fx, fy, fz]
+
+
+def turned(x: Column, y: Column, z: Column, yaw: float, pitch: float, pivot: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """A point turned about a pivot: yaw about y, then pitch about x, angles in degrees."""
+    import math
+
+    a, b = math.radians(yaw), math.radians(pitch)
+    x, y, z = x - pivot[0], y - pivot[1], z - pivot[2]
+    x, z = math.cos(a) * x + math.sin(a) * z, -math.sin(a) * x + math.cos(a) * z
+    y, z = math.cos(b) * y - math.sin(b) * z, math.sin(b) * y + math.cos(b) * z
+    return x + pivot[0], y + pivot[1], z + pivot[2]

@@ -89,3 +89,21 @@ def running(points: DataFrame, key: str, order: str, value: str, fps: float) ->
     gap = F.greatest(F.lit(0.0), F.col("dt") * fps - 1)
     up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return points.withColumn("dt", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0))).withColumn("lag_frames", F.sum(gap).over(up_to)).withColumn("worst", F.max("dt").over(up_to))
+
+
+def gated_prior_means(m: DataFrame, prior: DataFrame, key: str, var: float, strength: float, reach: float, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Means of points pulled to a prediction (key, pred_x, ..., speed): the pull is strength / (1 + (speed / reach)^2) times the data's precision. Keys without points keep the prediction."""
+    gate = strength / (1 + (F.col("speed") / reach) ** 2)
+    j = prior.join(m, key, "left")
+    n = F.coalesce("n", F.lit(0))
+    return j.select(key, *[F.when(n > 0, (F.col(f"s_{a}") / var + gate * n / var * F.col(f"pred_{a}")) / (n / var + gate * n / var)).otherwise(F.col(f"pred_{a}")).alias(f"mean_{a}") for a in axes])
+
+
+def motion_colours(blobs: DataFrame, key: str, least: int = 8, percent: float = 0.95) -> DataFrame:
+    """(key, hue, value): velocities less the blobs' median (if there are at least `least`), hue by direction, value by speed over its percentile."""
+    mid = blobs.agg(F.count("*").alias("k"), F.median("vx").alias("mx"), F.median("vy").alias("my"))
+    j = blobs.crossJoin(F.broadcast(mid))
+    dx, dy = (F.col(v) - F.when(F.col("k") >= least, F.col(c)).otherwise(0.0) for v, c in (("vx", "mx"), ("vy", "my")))
+    s = j.select(key, dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("speed"))
+    top = s.agg(F.percentile("speed", percent).alias("top"))
+    return s.crossJoin(F.broadcast(top)).select(key, F.degrees(F.atan2("dy", "dx")).alias("hue"), F.least(F.lit(1.0), F.col("speed") / F.greatest("top", F.lit(1e-9))).alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.operators import bootstrap, clusters, geometry, grids, labels, matching, moments, sampling, scoring, streams
+from murmuration.operators import bootstrap, clusters, generate, geometry, grids, labels, matching, moments, sampling, scoring, streams
 from murmuration.plans import adapters as A
 from murmuration.streaming import tracker
 
@@ -538,3 +538,87 @@ def rigid_fit(spark, d):
         rot, t = clusters.rigid(r.asDict(), ("px", "py", "pz"), ("qx", "qy", "qz"))
         out.append((r["blob_id"], [round(float(x), 6) for x in rot.ravel()], [round(float(x), 6) for x in t]))
     return spark.createDataFrame(out, "blob_id int, rotation array<double>, translation array<double>")
+
+
+# more geometry, paint and reports ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_FLOW}, a AS (SELECT *, px % 50 + du AS tu, px // 50 + dv AS tv FROM f), j AS (SELECT a.*, t.z AS tz FROM a JOIN f t ON t.frame = a.frame + 1 AND t.px = least(39, greatest(0, tv)) * 50 + least(49, greatest(0, tu)))
+SELECT frame, px, round((px % 50 - 25) * z / 520, 6) + 0.0 AS x, round((px // 50 - 20) * z / 520, 6) + 0.0 AS y, round(z, 6) AS z, round((tu - 25) * tz / 520 - (px % 50 - 25) * z / 520, 6) + 0.0 AS vx, round((tv - 20) * tz / 520 - (px // 50 - 20) * z / 520, 6) + 0.0 AS vy, round(tz - z, 6) + 0.0 AS vz FROM j""")
+def offline_motion(spark, d):
+    f = A.read(spark, d, "lineitem").groupBy(F.month("l_shipdate").alias("frame"), (F.col("l_partkey") % 2000).alias("px")).agg(F.avg("l_quantity").alias("z"), (F.max("l_linenumber") - 3).alias("du"), (F.min("l_linenumber") - 2).alias("dv"))
+    return rounded(geometry.next_frame_motion(f, 50, 40, 520.0))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, p AS (SELECT point_id, x AS ax, y AS ay, z AS az, vx + 0.01 AS tx, vy + 0.02 AS ty, vz + 2 AS tz FROM points), n AS (SELECT *, sqrt((tx-ax)*(tx-ax) + (ty-ay)*(ty-ay) + (tz-az)*(tz-az)) AS n FROM p), f AS (SELECT *, (tx-ax)/n AS fx, (ty-ay)/n AS fy, (tz-az)/n AS fz FROM n), m AS (SELECT *, sqrt(fz*fz + fx*fx) AS m FROM f)
+SELECT point_id, round(fz/m, 6) + 0.0 AS rx, round(-fx/m, 6) + 0.0 AS rz, round(fy*-fx/m, 6) + 0.0 AS dx, round(fz*fz/m + fx*fx/m, 6) + 0.0 AS dy, round(-fy*fz/m, 6) + 0.0 AS dz, round(fz, 6) + 0.0 AS fwd FROM m""")
+def lookat_rotation(spark, d):
+    p = A.feature_points(spark, d)
+    r = geometry.look_at(F.col("x"), F.col("y"), F.col("z"), F.col("vx") + 0.01, F.col("vy") + 0.02, F.col("vz") + 2)
+    return rounded(p.select("point_id", *[r[i].alias(n) for i, n in ((0, "rx"), (2, "rz"), (3, "dx"), (4, "dy"), (5, "dz"), (8, "fwd"))]))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, q AS (SELECT point_id, cos(radians(20)) * x + sin(radians(20)) * (z - 1) AS a, y AS b, -sin(radians(20)) * x + cos(radians(20)) * (z - 1) AS c FROM points)
+SELECT point_id, round(a, 6) + 0.0 AS x, round(cos(radians(-10)) * b - sin(radians(-10)) * c, 6) + 0.0 AS y, round(sin(radians(-10)) * b + cos(radians(-10)) * c + 1, 6) + 0.0 AS z FROM q""")
+def camera_turn(spark, d):
+    x, y, z = geometry.turned(F.col("x"), F.col("y"), F.col("z"), 20, -10, (0.0, 0.0, 1.0))
+    return rounded(A.feature_points(spark, d).select("point_id", x.alias("x"), y.alias("y"), z.alias("z")))
+
+
+@query(f"WITH {A.LABEL_PIXELS} SELECT px, round(avg(score) OVER (PARTITION BY frame_idx, gt), 2) AS paint FROM pixels")
+def region_mean_paint(spark, d):
+    p = A.label_pixels(spark, d)
+    mean = p.groupBy("frame_idx", "gt").agg(F.avg("score").alias("paint"))  # partial sums, then a small join: no region in one task
+    return rounded(p.join(mean, ["frame_idx", "gt"]).select("px", "paint"), 2)
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT hyperblob_id, blob_id, covar_samp(x, y) AS xy, var_samp(x) AS xx FROM points GROUP BY ALL) SELECT CAST(h.range AS INTEGER) AS hyperblob_id, round(coalesce(avg(xx), 1e-4), 8) AS xx, round(coalesce(avg(xy), 0), 8) + 0.0 AS xy FROM range(6) h LEFT JOIN b ON b.hyperblob_id = h.range GROUP BY h.range""")
+def hyperblob_mean_cov(spark, d):
+    b = A.feature_points(spark, d).groupBy("hyperblob_id", "blob_id").agg(F.covar_samp("x", "y").alias("xy"), F.var_samp("x").alias("xx"))
+    h = spark.range(6).select(F.col("id").cast("int").alias("hyperblob_id"))
+    return rounded(h.join(b.groupBy("hyperblob_id").agg(F.avg("xx").alias("xx"), F.avg("xy").alias("xy")), "hyperblob_id", "left").select("hyperblob_id", F.coalesce("xx", F.lit(1e-4)).alias("xx"), F.coalesce("xy", F.lit(0.0)).alias("xy")), 8)
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT blob_id, avg(vx) AS vx, avg(vy) AS vy FROM points GROUP BY blob_id), m AS (SELECT count(*) AS k, median(vx) AS mx, median(vy) AS my FROM b), s AS (SELECT blob_id, vx - CASE WHEN k >= 8 THEN mx ELSE 0 END AS dx, vy - CASE WHEN k >= 8 THEN my ELSE 0 END AS dy FROM b, m), t AS (SELECT quantile_cont(sqrt(dx*dx + dy*dy), 0.95) AS top FROM s)
+SELECT blob_id, round(degrees(atan2(dy, dx)), 4) AS hue, round(least(1, sqrt(dx*dx + dy*dy) / greatest(top, 1e-9)), 6) AS value FROM s, t""")
+def motion_lut(spark, d):
+    b = A.feature_points(spark, d).groupBy("blob_id").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
+    m = moments.motion_colours(b, "blob_id")
+    return m.select("blob_id", F.round("hue", 4).alias("hue"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, p AS (SELECT blob_id, avg(x) + avg(vx) AS px, avg(y) + avg(vy) AS py, avg(z) + avg(vz) AS pz, sqrt(avg(vx)*avg(vx) + avg(vy)*avg(vy) + avg(vz)*avg(vz)) AS s FROM points WHERE frame_idx = 0 GROUP BY blob_id), m AS (SELECT blob_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM points WHERE frame_idx = 1 AND blob_id < 9 GROUP BY blob_id), g AS (SELECT p.*, n, sx, sy, sz, 2.0 / (1 + (s / 0.03) * (s / 0.03)) AS g FROM p LEFT JOIN m USING (blob_id))
+SELECT blob_id, """ + ", ".join(f"round(CASE WHEN n > 0 THEN (s{a} / 0.5 + g * n / 0.5 * p{a}) / (n / 0.5 + g * n / 0.5) ELSE p{a} END, 6) + 0.0 AS mean_{a}" for a in "xyz") + " FROM g")
+def motion_gated_prior(spark, d):
+    p = A.feature_points(spark, d)
+    mean = lambda c: F.avg(c)
+    speed = F.sqrt(mean("vx") * mean("vx") + mean("vy") * mean("vy") + mean("vz") * mean("vz"))
+    prior = p.where("frame_idx = 0").groupBy("blob_id").agg(*[(mean(a) + mean(f"v{a}")).alias(f"pred_{a}") for a in "xyz"], speed.alias("speed"))
+    m = moments.moments(p.where("frame_idx = 1 AND blob_id < 9"), ["blob_id"])
+    return rounded(moments.gated_prior_means(m, prior, "blob_id", 0.5, 2.0, 0.03))
+
+
+@query(f"""WITH {A.LABEL_PIXELS} SELECT px, CASE WHEN gt = 0 AND score > 150000 THEN 9 ELSE gt END AS label, gt = 0 AND score > 150000 AS added FROM pixels""")
+def paint_holes(spark, d):
+    p = A.label_pixels(spark, d)
+    new = (F.col("gt") == 0) & (F.col("score") > 150000)
+    return p.select("px", F.when(new, 9).otherwise(F.col("gt")).alias("label"), new.alias("added"))
+
+
+@query(f"""WITH {A.LABEL_PIXELS}, t AS (SELECT frame_idx, gt AS track_id FROM pixels WHERE gt > 0 GROUP BY ALL), o AS (SELECT frame_idx, pred + (SELECT max(track_id) + 1 FROM t) AS track_id FROM pixels WHERE pred > 0 GROUP BY ALL) SELECT frame_idx, CAST(track_id AS INTEGER) AS track_id FROM t UNION ALL SELECT frame_idx, CAST(track_id AS INTEGER) FROM o""")
+def merged_tracks(spark, d):
+    p = A.label_pixels(spark, d)
+    old = p.where("gt > 0").select("frame_idx", F.col("gt").alias("track_id")).distinct()
+    top = old.agg((F.max("track_id") + 1).alias("first"))
+    new = p.where("pred > 0").select("frame_idx", "pred").distinct().crossJoin(F.broadcast(top)).select("frame_idx", (F.col("pred") + F.col("first")).cast("int").alias("track_id"))
+    return old.unionByName(new)
+
+
+@query("""SELECT o_orderpriority AS k, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY 1""")
+def video_summary(spark, d):
+    return rounded(bootstrap.summary(A.read(spark, d, "orders").withColumnRenamed("o_orderpriority", "k"), "k", "o_totalprice"), 4)
+
+
+@query()
+def simulated_points(spark, d):
+    return rounded(generate.simulate(spark, 2000, 12, 3, 4, frames=2).select("point_id", "frame_idx", "x", "vx", "blob_id", "hyperblob_id"))

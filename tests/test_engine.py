@@ -224,3 +224,30 @@ def test_palettes(spark):
     got = palettes.paint(spark.createDataFrame([(0,), (150,), (-1,)], "id int"), "id", palettes.distinct(160)).collect()
     assert {r.id: (r.r, r.g, r.b) for r in got}[-1] == (40, 40, 40) and {r.id: (r.r, r.g, r.b) for r in got}[150] == palettes.distinct(160)[150]
     assert tuple(spark.range(1).select(*palettes.packed(F.lit(0x010203))).first()) == (3, 2, 1)
+
+
+def test_densities():
+    from murmuration.operators import densities as m
+
+    rng = np.random.default_rng(0)
+    scale = np.array([[1.0, 0.3, 0], [0.3, 2.0, 0.1], [0, 0.1, 0.5]])
+    draws = np.mean([m.wishart(rng, 7, scale) for _ in range(4000)], axis=0)
+    assert np.allclose(draws, 7 * scale, atol=0.5)
+    # in one dimension: chi square and inverse gamma
+    assert np.isclose(m.wishart_log_density(np.array([[2.0]]), 3, np.eye(1)), np.log(2**0.5 * np.exp(-1) / (2**1.5 * 0.886226925452758)))
+    assert np.isclose(m.inverse_wishart_log_density(np.array([[2.0]]), 3, np.eye(1)), 1.5 * np.log(0.5) - np.log(0.886226925452758) - 2.5 * np.log(2) - 0.25)
+    t = np.linspace(-1, 1, 20001)
+    dirs = np.stack([np.sqrt(1 - t * t), 0 * t, t], 1)
+    assert np.isclose(np.trapezoid(2 * np.pi * np.exp(m.von_mises_fisher_log_density(dirs, np.array([0, 0, 1.0]), 4.0)), t), 1, atol=1e-4)
+    u = rng.random((20000, 3))
+    assert np.allclose(np.bincount(m.categorical(np.log([0.2, 0.3, 0.5])[None], u)) / 20000, [0.2, 0.3, 0.5], atol=0.02)
+    assert np.allclose(m.categorical_log_density(np.array([1, 2]), np.array([1, 1, 3]), np.log([0.25, 0.25, 0.5])), [np.log(0.5), -np.inf])
+    assert (m.sample_covariance(np.ones((1, 3))) == np.eye(3)).all() and np.linalg.eigvalsh(m.sample_covariance(np.ones((5, 3)))).min() > 0
+
+
+def test_simulated(spark):
+    from murmuration.operators import generate
+
+    a = generate.simulate(spark, 500, 8, 2, 3, seed=1).toPandas()
+    b = generate.simulate(spark, 500, 8, 2, 3, seed=1).repartition(7).toPandas().sort_values("point_id").reset_index(drop=True)
+    assert a.sort_values("point_id").reset_index(drop=True).equals(b) and a.groupby("blob_id").hyperblob_id.nunique().max() == 1 and np.isfinite(a.x).all()
