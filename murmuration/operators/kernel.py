@@ -23,6 +23,7 @@ class Hypers:
     nu0: float = 5.0
     psi0: float = 0.01
     motion: tuple[int, float] = (2, 0.05)
+    cap: tuple[float, float] = (10.0, 5.0)  # rotation candidates: widest angle and step, degrees
     feature_weight: float = 1.0
     stickiness: float = 0.0
     means: int = 1
@@ -43,6 +44,7 @@ class State:
     h_mean: np.ndarray  # K x 3
     h_cov: np.ndarray
     h_trans: np.ndarray
+    h_rot: np.ndarray  # K x 3 x 3
     h_feat: np.ndarray
     assigned: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     frame: int = 0
@@ -107,18 +109,29 @@ def posterior_cov(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: np.ndarray
     return np.where((n >= 3)[:, None, None], new, old)
 
 
+def predicted(s: State, k: np.ndarray | None = None) -> np.ndarray:
+    """Velocities that hyperblob motions give blobs: t + (R - I)(x - m); of each blob's own hyperblob, or L x K of all."""
+    if k is not None:
+        a = s.h_rot[k] - np.eye(3)
+        return s.h_trans[k] + np.einsum("lij,lj->li", a, s.mean - s.h_mean[k])
+    a = s.h_rot - np.eye(3)
+    return s.h_trans[None] + np.einsum("kij,lkj->lki", a, s.mean[:, None] - s.h_mean[None])
+
+
 def blob_means(s: State, n: np.ndarray, sx: np.ndarray, h: Hypers) -> np.ndarray:
-    """Hyperblob prior, points, and the velocity's tie to the motion (pure translations: no further term)."""
+    """Hyperblob prior, points, and the blob's velocity, which its place explains in part: A x + b with A = R - I."""
     p0, p = np.linalg.inv(s.h_cov)[s.hyper], np.linalg.inv(s.cov)
-    prec = p0 + n[:, None, None] * p
-    rhs = np.einsum("lij,lj->li", p0, s.h_mean[s.hyper]) + np.einsum("lij,lj->li", p, sx)
+    a = (s.h_rot - np.eye(3))[s.hyper]
+    b = s.h_trans[s.hyper] - np.einsum("lij,lj->li", a, s.h_mean[s.hyper])
+    prec = p0 + n[:, None, None] * p + np.einsum("lji,ljk->lik", a, a) / h.sigma_v
+    rhs = np.einsum("lij,lj->li", p0, s.h_mean[s.hyper]) + np.einsum("lij,lj->li", p, sx) + np.einsum("lji,lj->li", a, s.vel - b) / h.sigma_v
     return np.linalg.solve(prec, rhs[..., None])[..., 0]
 
 
 def blob_velocities(s: State, n: np.ndarray, sv: np.ndarray, h: Hypers) -> np.ndarray:
     p = np.linalg.inv(s.vel_cov)
     prec = np.eye(3) / h.sigma_v + n[:, None, None] * p
-    rhs = s.h_trans[s.hyper] / h.sigma_v + np.einsum("lij,lj->li", p, sv)
+    rhs = predicted(s, s.hyper) / h.sigma_v + np.einsum("lij,lj->li", p, sv)
     return np.where((n > 0)[:, None], np.linalg.solve(prec, rhs[..., None])[..., 0], 0.0)
 
 
@@ -134,24 +147,42 @@ def motions(h: Hypers) -> tuple[np.ndarray, np.ndarray]:
     return grid, -0.5 * (grid**2).sum(1)
 
 
+def rotations(h: Hypers) -> np.ndarray:
+    """Rotations that take +z to directions on a cap: rings of theta, ceil(2 pi sin theta / step) of phi, at least one."""
+    step, out = np.radians(h.cap[1]), []
+    for theta in np.arange(0, np.radians(h.cap[0]) + 1e-9, step):
+        n = max(1, int(np.ceil(round(2 * np.pi * np.sin(theta) / step, 9))))
+        for phi in 2 * np.pi * np.arange(n) / n:
+            v = np.array([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)])
+            if v[2] < -1 + 1e-9:
+                out.append(np.diag([1.0, -1.0, -1.0]))
+                continue
+            w = np.array([[0, 0, v[0]], [0, 0, v[1]], [-v[0], -v[1], 0]])  # of the axis z x v
+            out.append(np.eye(3) + w + w @ w / (1 + v[2]))
+    return np.array(out)
+
+
 def hyperblobs(s: State, h: Hypers) -> State:
-    """Assignments of blobs, then means, covariances and translations of hyperblobs."""
+    """Assignments of blobs, then means, covariances, rotations and translations of hyperblobs."""
     k = len(s.h_mean)
-    score = log_normal(s.mean, s.h_mean, s.h_cov)
-    d = ((s.vel[:, None] - s.h_trans[None]) ** 2).sum(-1)
-    score = score - 0.5 * d / h.sigma_v
+    score = log_normal(s.mean, s.h_mean, s.h_cov) - 0.5 * ((s.vel[:, None] - predicted(s)) ** 2).sum(-1) / h.sigma_v
     hyper = choose(score, h, s.frame, 900)
     n, sx, sxx = moments(hyper, k, s.mean)
-    p = np.linalg.inv(s.h_cov)
-    mean = np.linalg.solve(np.eye(3) / h.sigma_h + n[:, None, None] * p, np.einsum("kij,kj->ki", p, sx)[..., None])[..., 0]
-    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h)
-    grid, prior = motions(h)
     one = np.zeros((k, len(hyper)))
     one[hyper, np.arange(len(hyper))] = 1
-    fit = -((s.vel[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v)
-    trans = grid[(one @ fit + prior).argmax(1)]
-    nf = np.maximum(n, 1)[:, None]
-    return replace(s, hyper=hyper, h_mean=mean, h_cov=cov, h_trans=trans, h_feat=one @ s.feat / nf)
+    p, a = np.linalg.inv(s.h_cov), np.eye(3) - s.h_rot
+    left = one @ s.vel - n[:, None] * s.h_trans + np.einsum("kij,kj->ki", a, sx)  # sum of v - (t - A x)
+    prec = np.eye(3) / h.sigma_h + n[:, None, None] * (p + np.einsum("kji,kjl->kil", a, a) / h.sigma_v)
+    mean = np.linalg.solve(prec, (np.einsum("kij,kj->ki", p, sx) + np.einsum("kji,kj->ki", a, left) / h.sigma_v)[..., None])[..., 0]
+    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h)
+    s = replace(s, hyper=hyper, h_mean=mean, h_cov=cov)
+    own, turns = s.mean - mean[hyper], rotations(h)
+    spun = np.einsum("cij,lj->lci", turns - np.eye(3), own)
+    rot = turns[(one @ -((s.vel[:, None] - s.h_trans[hyper][:, None] - spun) ** 2).sum(-1) / (2 * h.sigma_v)).argmax(1)]
+    grid, prior = motions(h)
+    rest = s.vel - np.einsum("lij,lj->li", (rot - np.eye(3))[hyper], own)
+    trans = grid[(one @ -((rest[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v) + prior).argmax(1)]
+    return replace(s, h_rot=rot, h_trans=trans, h_feat=one @ s.feat / np.maximum(n, 1)[:, None])
 
 
 def start(x: np.ndarray, v: np.ndarray, f: np.ndarray, blobs: int, hypers: int, h: Hypers) -> State:
@@ -172,7 +203,7 @@ def start(x: np.ndarray, v: np.ndarray, f: np.ndarray, blobs: int, hypers: int,
     two = np.zeros((k, blobs))
     two[y, np.arange(blobs)] = 1
     weight = (h.beta + n) / (blobs * h.beta + n.sum())
-    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, posterior_cov(m, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h), two @ vel / m[:, None], two @ feat / m[:, None], z, 0)
+    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, posterior_cov(m, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h), two @ vel / m[:, None], np.repeat(np.eye(3)[None], k, 0), two @ feat / m[:, None], z, 0)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:

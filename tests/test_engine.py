@@ -251,3 +251,28 @@ def test_simulated(spark):
     a = generate.simulate(spark, 500, 8, 2, 3, seed=1).toPandas()
     b = generate.simulate(spark, 500, 8, 2, 3, seed=1).repartition(7).toPandas().sort_values("point_id").reset_index(drop=True)
     assert a.sort_values("point_id").reset_index(drop=True).equals(b) and a.groupby("blob_id").hyperblob_id.nunique().max() == 1 and np.isfinite(a.x).all()
+
+
+def test_rotation_is_found():
+    """Blobs turning about their hyperblob's centre: the candidate that explains their velocities is chosen."""
+    rng = np.random.default_rng(0)
+    h = kernel.Hypers(sigma_v=1e-3, cap=(10, 5), motion=(1, 0.1), hyper_rounds=3)
+    turns = kernel.rotations(h)
+    assert np.allclose(turns @ np.swapaxes(turns, 1, 2), np.eye(3)) and np.allclose(np.linalg.det(turns), 1) and np.allclose(turns[0], np.eye(3))
+    r = turns[4]
+    x = rng.normal(size=(40, 3))
+    v = (x - x.mean(0)) @ (r - np.eye(3)).T
+    eye = np.repeat(0.01 * np.eye(3)[None], 40, 0)
+    s = kernel.State(np.full(40, 1 / 40), x, eye, v, eye, np.zeros((40, 0)), np.zeros(40, np.int64), x.mean(0)[None], np.eye(3)[None], np.zeros((1, 3)), np.eye(3)[None], np.zeros((1, 0)))
+    for _ in range(3):
+        s = kernel.hyperblobs(s, h)
+    assert np.allclose(s.h_rot[0], r) and np.allclose(s.h_trans[0], 0)
+    assert np.allclose(kernel.predicted(s, s.hyper), kernel.predicted(s)[:, 0])
+
+
+def test_blob_mean_by_hand():
+    """One blob without motion: precision-weighted mean of hyperblob prior and points."""
+    one = np.eye(3)[None]
+    s = kernel.State(np.ones(1), np.zeros((1, 3)), 0.5 * one, np.zeros((1, 3)), one, np.zeros((1, 0)), np.zeros(1, np.int64), np.full((1, 3), 2.0), 4 * one, np.zeros((1, 3)), one, np.zeros((1, 0)))
+    got = kernel.blob_means(s, np.array([3.0]), np.full((1, 3), 3.0), kernel.Hypers())
+    assert np.allclose(got, (2 / 4 + 3 / 0.5) / (1 / 4 + 3 / 0.5))
