@@ -135,6 +135,23 @@ def blob_velocities(s: State, n: np.ndarray, sv: np.ndarray, h: Hypers) -> np.nd
     return np.where((n > 0)[:, None], np.linalg.solve(prec, rhs[..., None])[..., 0], 0.0)
 
 
+def normal_means(n: np.ndarray, s: np.ndarray, cov: np.ndarray, prior_mean: np.ndarray, prior_cov: np.ndarray) -> np.ndarray:
+    """Means with a prior of each blob's own (a transition's prediction, say); blobs without points keep it."""
+    p0, p = np.linalg.inv(prior_cov), np.linalg.inv(cov)
+    rhs = np.einsum("lij,lj->li", p0, prior_mean) + np.einsum("lij,lj->li", p, s)
+    return np.linalg.solve(p0 + n[:, None, None] * p, rhs[..., None])[..., 0]
+
+
+def flat_means(n: np.ndarray, sx: np.ndarray, cov: np.ndarray, h: Hypers) -> np.ndarray:
+    """Blob means without the hierarchy: the prior is zero with variance sigma_h."""
+    return normal_means(n, sx, cov, np.zeros_like(sx), np.repeat(h.sigma_h * np.eye(3)[None], len(n), 0))
+
+
+def flat_velocities(n: np.ndarray, sv: np.ndarray, cov: np.ndarray, h: Hypers) -> np.ndarray:
+    """Blob velocities without the hierarchy; zero for blobs without points."""
+    return np.where((n > 0)[:, None], normal_means(n, sv, cov, np.zeros_like(sv), np.repeat(h.sigma_v * np.eye(3)[None], len(n), 0)), 0.0)
+
+
 def feature_means(n: np.ndarray, sf: np.ndarray, h: Hypers) -> np.ndarray:
     m, var = h.prior_f
     return (m / var + sf / h.sigma_f) / (1 / var + n / h.sigma_f)[:, None]

@@ -622,3 +622,11 @@ def video_summary(spark, d):
 @query()
 def simulated_points(spark, d):
     return rounded(generate.simulate(spark, 2000, 12, 3, 4, frames=2).select("point_id", "frame_idx", "x", "vx", "blob_id", "hyperblob_id"))
+
+
+@query()
+def dense_evaluation(spark, d):
+    """All points against the state that the first frame starts."""
+    p = A.feature_points(spark, d)
+    first = tracker.frames(p.where("frame_idx = 0")).first()
+    return tracker.dense_assign(p, tracker.advance(None, first["points"], 16, 4, tracker.kernel.Hypers())[0])

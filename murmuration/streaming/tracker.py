@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -62,6 +63,30 @@ def track(points: DataFrame, blobs: int = 16, hypers: int = 4, h: kernel.Hypers
     return frames(points).groupBy("video_id").applyInPandas(fold, OUT)
 
 
+def dense_assign(points: DataFrame, state: kernel.State, h: kernel.Hypers = kernel.Hypers(), terms: str = "pvf") -> DataFrame:
+    """(video_id, frame_idx, point_id, blob_id, hyperblob_id) of any number of points against one frozen state, without a shuffle.
+
+    The state has a row a blob and goes to the tasks with the code; points are scored in Arrow batches, blocks at a time.
+    """
+    if len(state.weight) > 100_000:
+        raise ValueError("the state has more blobs than fit beside a batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = max(1, 4_000_000 // (len(state.weight) + 1))
+        for b in batches:
+            for i in range(0, b.num_rows, block):
+                c = b.slice(i, block)
+                col = lambda n, c=c: c.column(c.schema.get_field_index(n))
+                x, v = (np.column_stack([col(n).to_numpy(zero_copy_only=False) for n in names]).astype(float) for names in (("x", "y", "z"), ("vx", "vy", "vz")))
+                f = col("feat").flatten().to_numpy(zero_copy_only=False).reshape(c.num_rows, -1)
+                z = kernel.scores(x, v, f, state, h, terms).argmax(axis=1)
+                inside = z < len(state.weight)
+                out = [np.where(inside, z, -1), np.where(inside, state.hyper[np.minimum(z, len(state.hyper) - 1)], -1)]
+                yield pa.RecordBatch.from_arrays([col("video_id"), col("frame_idx"), col("point_id"), *[pa.array(o.astype(np.int32)) for o in out]], names=["video_id", "frame_idx", "point_id", "blob_id", "hyperblob_id"])
+
+    return points.select("video_id", "frame_idx", "point_id", "x", "y", "z", "vx", "vy", "vz", "feat").mapInArrow(run, OUT)
+
+
 class Tracker(StatefulProcessor):
     """Keeps a video's model as state; frames of a batch in order, frames not after the last one seen are late and dropped."""
 

@@ -276,3 +276,23 @@ def test_blob_mean_by_hand():
     s = kernel.State(np.ones(1), np.zeros((1, 3)), 0.5 * one, np.zeros((1, 3)), one, np.zeros((1, 0)), np.zeros(1, np.int64), np.full((1, 3), 2.0), 4 * one, np.zeros((1, 3)), one, np.zeros((1, 0)))
     got = kernel.blob_means(s, np.array([3.0]), np.full((1, 3), 3.0), kernel.Hypers())
     assert np.allclose(got, (2 / 4 + 3 / 0.5) / (1 / 4 + 3 / 0.5))
+
+
+def test_dense_agrees_with_kernel(spark):
+    h = kernel.Hypers()
+    points = spark.createDataFrame(scene(2), SCHEMA)
+    first = tracker.frames(points.where("frame_idx = 0")).first()
+    state, ids = tracker.advance(None, first["points"], 6, 3, h)
+    got = {r.point_id: r.blob_id for r in tracker.dense_assign(points.where("frame_idx = 0").repartition(3), state, h).collect()}
+    _, x, v, f = tracker.arrays(first["points"])
+    z = kernel.scores(x, v, f, state, h).argmax(1)
+    assert [got[i] for i in ids] == [int(k) if k < len(state.weight) else -1 for k in z]
+
+
+def test_flat_means():
+    h = kernel.Hypers(sigma_h=4.0, sigma_v=0.5)
+    cov = np.repeat(0.5 * np.eye(3)[None], 2, 0)
+    n, s = np.array([3.0, 0.0]), np.array([[3.0] * 3, [0.0] * 3])
+    assert np.allclose(kernel.flat_means(n, s, cov, h), [[6 / (0.25 + 6)] * 3, [0] * 3])
+    assert np.allclose(kernel.flat_velocities(n, s, cov, h), [[6 / (2 + 6)] * 3, [0] * 3])
+    assert np.allclose(kernel.normal_means(n, s, cov, np.ones((2, 3)), cov)[1], 1)
