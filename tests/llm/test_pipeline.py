@@ -60,6 +60,9 @@ def test_table(spark):
         text = " " + " ".join(decontaminate.words(r.text)) + " "
         if any(" " + " ".join(b) + " " in text for b in bench):
             assert r.doc_id in gone
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    nameless = spark.createDataFrame([(None, item, "en", "s", 1), (None, "a clean text without an id", "en", "s", 1)], docs.schema)
+    assert [r.text for r in cp.decontamination(spark, nameless, SF).collect()] == ["a clean text without an id"]
     bare = cp.personal_data(spark, docs, SF)
     assert bare.columns == docs.columns and bare.count() == docs.count()
     for r in bare.collect():
