@@ -161,7 +161,8 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_i
     where = places(patterns, room)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = all_.join(base, ["part", "length"]).select(*[c for c in all_.columns if c not in ("part", "nth")], (F.col("base") + F.col("nth")).alias("rank"))
+    # base has a row for each part and length, which grows with the parts: never broadcast
+    ranked = all_.join(base.hint("merge"), ["part", "length"]).select(*[c for c in all_.columns if c not in ("part", "nth")], (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
