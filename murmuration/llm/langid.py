@@ -37,7 +37,7 @@ class Letters:
         self.number = np.full(0x110000, -1, np.int32)  # of a code point; -1 not met yet
         self.codes, self.classes, self.size = [32], {}, 32
         self.rows = np.full(self.size**3, -1, np.int32)  # of a 3-gram in bound
-        self.bound, self.used = np.zeros((4096, DIMS), np.float32), 0
+        self.bound, self.used = np.zeros((4096, DIMS), np.int8), 0
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         n = self.number[codes]
@@ -96,12 +96,13 @@ def bundle(texts: list[str | None]) -> np.ndarray:
     found = np.flatnonzero(np.bincount(rows, minlength=state.used))
     small = np.zeros(state.used, np.int64)
     small[found] = np.arange(len(found))
+    table = state.bound[found].astype(np.float32)
     for i in range(0, len(texts), 64):
         a, b = np.searchsorted(own, [i, i + 64])
         m = min(64, len(texts) - i)
         counts = np.bincount((own[a:b] - i) * len(found) + small[rows[a:b]], minlength=m * len(found)).reshape(m, len(found))
         kind = np.float32 if b - a < 1 << 24 else np.float64  # exact sums
-        out[i : i + m] = counts.astype(kind) @ state.bound[found].astype(kind)
+        out[i : i + m] = counts.astype(kind) @ table.astype(kind, copy=False)
     return out
 
 
