@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
-One pass over the corpus keeps, of every text that shares any word 3-gram with an item, the stretches around the shared
-3-grams, as numbers of benchmark words. Document frequencies of the 3-grams are then counted over the whole corpus; the
-rarer half of each item's 3-grams are its seeds. Stretches with a seed are aligned with that seed's items. Seeds are rare
-relative to the item, so that an item which many documents copied still has some.
+Every word 3-gram of an item is a seed. One pass over the corpus keeps the stretches around shared 3-grams, as numbers of
+benchmark words, with the items that share one and can reach the threshold: two upper bounds of the alignment's points,
+which hold for every text, rule out the rest. These pairs are aligned. So a text is missed only if the passage that
+reaches the threshold has no three consecutive words of the item.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -45,6 +46,9 @@ class Block:
         own = [np.unique(self.codes(x)[1]) for x in self.items]
         self.grams = np.unique(np.concatenate([*own, np.empty(0, np.int64)]))
         self.of_item = [np.searchsorted(self.grams, g) for g in own]
+        self.flat = np.concatenate([*self.items, np.empty(0, np.int32)])
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and codes of the 3-grams that hold benchmark words only."""
@@ -63,6 +67,26 @@ class Block:
         fine = self.grams[g] == codes
         return at[fine], g[fine]
 
+    def able(self, text: np.ndarray, grams: np.ndarray, threshold: float) -> list[int]:
+        """Items with one of the 3-grams, without those that cannot reach the threshold anywhere in this text.
+
+        Matches are at most the item's words that the text has. Every text word of an alignment is a match, which only
+        the item's words can be, or costs a point at least; so the best sum of a run bounds the points.
+        """
+        seen = np.zeros(self.base, bool)
+        seen[text] = True
+        seen[0] = False
+        least = threshold * MATCH * self.size
+        out = []
+        for n in np.flatnonzero(MATCH * np.add.reduceat(seen[self.flat], self.start, dtype=np.int64) >= least).tolist():
+            own = np.zeros(self.base, bool)
+            own[self.items[n]] = True
+            total = np.cumsum(np.where(own[text], MATCH, max(MISMATCH, GAP)))
+            before = np.minimum.accumulate(np.concatenate([[0], total[:-1]]))
+            if (total - before).max() >= least[n] and np.isin(self.of_item[n], grams).any():
+                out.append(n)
+        return out
+
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman of each pair of rows (0 pads, matches nothing): best points and the place after the last word aligned."""
@@ -106,14 +130,10 @@ def stretches(at: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch], block: Block, seeds: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
-    owner: dict[int, list[int]] = {}
-    for n, g in enumerate(seeds):
-        for x in g.tolist():
-            owner.setdefault(x, []).append(n)
+def _compare(batches: Iterator[pa.RecordBatch], block: Block, threshold: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, first, texts, grams = (b.column(i).to_pylist() for i in range(4))
-        pairs = sorted(((r, n) for r, g in enumerate(grams) for n in {n for x in g for n in owner.get(x, ())}), key=lambda p: (len(texts[p[0]]), len(block.items[p[1]])))
+        docs, first, texts, items = (b.column(i).to_pylist() for i in range(4))
+        pairs = sorted(((r, n) for r, some in enumerate(items) for n in some), key=lambda p: (len(texts[p[0]]), len(block.items[p[1]])))
         rows = []
         for at in range(0, len(pairs), 256):
             part = pairs[at : at + 256]
@@ -141,7 +161,8 @@ FOUND = "id long, item_id long, score double, start_word long, end_word long"
 
 
 def _find_block(docs: DataFrame, block: Block, folder: str, threshold: float) -> DataFrame:
-    reach = max(map(len, block.items), default=1)
+    # an alignment's text words that are no match cost a point each, so one that reaches the threshold spans so many at most
+    reach = math.ceil(max(map(len, block.items), default=1) * (1 + MATCH * max(0, 1 - threshold)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,21 +173,15 @@ def _find_block(docs: DataFrame, block: Block, folder: str, threshold: float) ->
                 at, g = block.hits(ids)
                 for a, e in stretches(at, reach, len(ids)) if len(at) else []:
                     inside = (at >= a) & (at + SEED_WORDS <= e)
-                    rows.append((doc, a, ids[a:e], np.unique(g[inside]).astype(np.int32)))
+                    if items := block.able(ids[a:e], g[inside], threshold):
+                        rows.append((doc, a, ids[a:e], items))
             if rows:
-                d, a, t, g = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(t, pa.list_(pa.int32())), pa.array(g, pa.list_(pa.int32()))], names=["id", "first", "words", "grams"])
-
-    near = written(docs.mapInArrow(gather, "id long, first long, words array<int>, grams array<int>"), folder, "stretches", TEXT_ROWS)
-    # over all documents; rows of the result: the block's 3-grams
-    counts = np.zeros(len(block.grams), np.int64)
-    for r in near.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect():
-        counts[r["g"]] = r["n"]
-    seeds = [g[np.argsort(counts[g], kind="stable")][: -(-len(g) // 2)] for g in block.of_item]
-    rare = sorted({int(x) for g in seeds for x in g})
-    some = near.where(F.arrays_overlap("grams", F.from_json(F.lit(str(rare)), "array<int>")))
+                d, a, t, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(t, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["id", "first", "words", "items"])
+
+    near = written(docs.mapInArrow(gather, "id long, first long, words array<int>, items array<int>"), folder, "stretches", TEXT_ROWS)
     # few rows, much work each: dealt anew, so that long documents' stretches do not stay in one task
-    return some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "first").mapInArrow(lambda it: _compare(it, block, seeds, threshold), FOUND)
+    return near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "first").mapInArrow(lambda it: _compare(it, block, threshold), FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

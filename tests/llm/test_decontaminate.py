@@ -70,3 +70,24 @@ def test_blocks_and_empty(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted((r.id, r.item_id) for r in d.find(docs, bench).collect()) == [(i, i) for i in range(5)]
     assert d.find(docs.limit(0), bench).collect() == [] and d.find(docs, bench.limit(0)).collect() == []
+
+
+def test_edited_copies_only(spark):
+    """A fifth to a third of the words edited, no clean copy, so that most 3-grams of the items occur nowhere."""
+    rng = random.Random(9)
+    items = [(i, [f"w{i}x{k}" if k % 4 else rng.choice(("the", "of", "and")) for k in range(30)]) for i in range(8)]
+    docs, texts = [], []
+    for i, item in items:
+        for n, edit in enumerate([range(4, 30, 5), range(3, 30, 4), rng.sample(range(30), 7), rng.sample(range(30), 10)]):
+            copy = [f"e{i}n{n}k{k}" if k in edit else w for k, w in enumerate(item)]
+            texts.append((10 * i + n, [*["other", "the", "of"] * 40, *copy, *["and", "more"] * 50]))
+            docs.append((10 * i + n, " ".join(texts[-1][1])))
+    # one word of three is between the item's words, so the passage is nearly twice as long as the item
+    spread = [x for k, w in enumerate(items[0][1]) for x in ([w, "between"] if k > 3 else [w])]
+    texts.append((900, spread)), docs.append((900, " ".join(spread)))
+    got = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    grams = lambda w: set(zip(w, w[1:], w[2:]))
+    want = {(n, i): plain(t, w)[0] / (d.MATCH * len(w)) for n, t in texts for i, w in items if grams(t) & grams(w)}
+    want = {k: round(v, 6) for k, v in want.items() if v >= d.THRESHOLD}
+    assert len(want) > 24 and (0, 0) in want and (900, 0) in want
+    assert {(r.id, r.item_id): r.score for r in got} == want
