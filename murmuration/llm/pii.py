@@ -77,6 +77,9 @@ _CHAIN = re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9])+")
 _GROUP = re.compile(r"[0-9]+")
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}){1,4}")
 
+#: What a match of _SPELT by the bare word holds.
+_AT = re.compile(r" at  ?[A-Za-z0-9-]{1,63} ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2}")
+
 
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of every kind; a digit group belongs to at most a few dozen of them."""
@@ -102,7 +105,7 @@ def candidates(text: str) -> list[Span]:
                     out.append(("phone", lead, end))
                 if j == i + 3 and dots == 3:
                     out.append(("ip", start, end))
-    if "dot" in text or "at)" in text or "at]" in text or "@ " in text or " @" in text:
+    if "@" in text or "at)" in text or "at]" in text or _AT.search(text):
         out += [("email", *m.span()) for m in _SPELT.finditer(text)]
     return out
 
@@ -226,7 +229,8 @@ def added_spans(texts: list[str], bases: list[list[Span]], trees: Trees, limit:
     return out
 
 
-_ANY = re.compile(r"[0-9]{2}|@|\bdot\b|at[)\]]")
+#: Every base span and candidate holds one of these: two digits with nothing but a number's separators between, or a way to write an @.
+_ANY = re.compile(r"[0-9][ ().-]*[0-9]|@|at[)\]]| at ")
 
 
 def find(texts: list[str | None], trees: Trees, limit: dict[str, float]) -> list[tuple[list[Span], list[Span]]]:

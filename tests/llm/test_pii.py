@@ -74,3 +74,25 @@ def test_table(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base) for k in pii.KINDS]
         assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(filter(None, r.spans.split(",")))
+
+
+SINGLE = ["dns is 8.8.8.8 now", "1.1.1.1", "+1 2 3 4 5 6 7 8 9", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+1(2)3.4-5 6 7 (8) 9", "a@b.c", "no 1 here"]
+
+
+def test_find_base():
+    """What leaves find(), with its filter, against the plain patterns."""
+    trees, limit = pii.model()
+    for t, (base, _) in zip(FIXED + SINGLE, pii.find(FIXED + SINGLE, trees, limit), strict=True):
+        assert base == brute(t), t
+
+
+@given(st.lists(st.text("0123456789 ().-+@ax", max_size=30), min_size=20, max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_find_base_any(texts):
+    trees, limit = pii.model()
+    assert [base for base, _ in pii.find(texts, trees, limit)] == [brute(t) for t in texts]
+
+
+def test_spelt_proposed():
+    for t in ("write to name at host.com now", "name at  host .org", "a@host .com", "n (at) h.org", "n at h [dot] net"):
+        assert [("email", *m.span()) for m in pii._SPELT.finditer(t)] == [s for s in pii.candidates(t) if s[0] == "email"] != [], t
