@@ -178,8 +178,8 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare, "a long, b long")
 
 
-#: Bins of a similarity sketch, mean shingles of a piece, pieces that a document is compared by, rows of one piece compared all with all.
-BINS, PIECE, RAREST, DENSE = 128, 12, 6, 2048
+#: Bins of a similarity sketch, mean shingles of a piece, rows of one piece compared all with all.
+BINS, PIECE, DENSE = 128, 12, 2048
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
 SHARED = 0.4
 
@@ -223,8 +223,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, component): documents linked by fingerprints within 3 bits, or by shingle similarity of at least `similarity`.
 
     SimHash alone finds few pairs near 0.8, as a few percent of other words move more than three bits. So documents with
-    different fingerprints also meet by their RAREST rarest pieces (runs of a dozen shingles, counted over all
-    documents), and those whose sketches agree are linked; sketches of BINS bins err by about 0.035, for which 0.02 are
+    different fingerprints also meet by their rarest pieces (runs of a dozen shingles, counted over all documents), as many
+    as two that share SHARED of their pieces must have one in common, and those whose sketches agree are linked; sketches of BINS bins err by about 0.035, for which 0.02 are
     allowed. A pair of that similarity
     shares most pieces, so that passages which many unlike documents share bring none of them together.
     Null ids are left out; null and empty texts are alike. Ids that repeat are one document. Empty table: empty result.
@@ -242,7 +242,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a like document shares SHARED of the pieces, so one of them is among the rarest 1 - SHARED, those of no other document first
     shared = counted.groupBy("id").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
     first = F.ceil(F.col("total") * (1 - SHARED)) + 1 - (F.col("total") - F.size("p"))
-    rarest = shared.select("id", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(RAREST), first)).cast("int"))).alias("q")).select("id", F.col("q.piece").alias("piece"))
+    rarest = shared.select("id", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("q")).select("id", F.col("q.piece").alias("piece"))
     meet = rarest.join(reps.select("id", "sketch"), "id").repartition("piece").sortWithinPartitions("piece", "id")
     least = similarity - 0.02
 

@@ -1,5 +1,6 @@
 """SimHash against brute force."""
 
+import random
 import numpy as np
 import pytest
 import xxhash
@@ -61,3 +62,16 @@ def test_components(spark, monkeypatch):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_passages_of_two_copies(spark):
+    """Four copies of a text, two with one added passage and two with another: their rarest pieces lie in the passages."""
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for g in range(6):
+        body, added = prose(2000), [prose(150), prose(150)]
+        for k in range(4):
+            docs.append((10 * g + k, " ".join([*body[: 500 + 300 * g // 2], *added[k // 2], *body[500 + 300 * g // 2 :], f"end{g}n{k}"])))
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in docs}
