@@ -197,6 +197,24 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((many == one) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
 
 
+def alike_links(ids: list[int], sketches: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components that links of an agreement of at least `least` make among these documents."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(ids) > 1:
+        who, all_ = np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, BINS)
+        left = np.arange(len(who))
+        while len(left) > 1:
+            root, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                near = agreement(all_[front.pop()], all_[left]) >= least
+                if near.any():
+                    got = left[near]
+                    a.append(np.full(len(got), who[root])), b.append(who[got])
+                    front += got.tolist()
+                    left = left[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def piece_keys(h: np.ndarray) -> np.ndarray:
     """Keys of the pieces between shingles whose hash is divisible by PIECE: edits change the pieces they lie in, no others."""
     cuts = np.flatnonzero(h % PIECE == 0).tolist()
@@ -243,48 +261,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = counted.groupBy("id").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
     first = F.ceil(F.col("total") * (1 - SHARED)) + 1 - (F.col("total") - F.size("p"))
     rarest = shared.select("id", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("q")).select("id", F.col("q.piece").alias("piece"))
-    meet = rarest.join(reps.select("id", "sketch"), "id").repartition("piece").sortWithinPartitions("piece", "id")
+    # a piece counts where two documents have it among their rarest; one of more than DENSE rows is split into pairs of blocks, as anchors are
+    rarest = written(rarest, folder, "rarest")
+    often = written(rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int")), folder, "rarest_pieces")
+    held = join_groups(rarest, often, "piece", "n", rarest.count(), F.col("id")).where("blocks is not null")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own) * F.col("blocks") + F.greatest(i, own))
+    held = held.select("id", "piece", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pair)).alias("block"))
+    meet = held.join(reps.select("id", "sketch"), "id").repartition("piece", "block").sortWithinPartitions("piece", "block")
     least = similarity - 0.02
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come piece by piece. Each meets the leaders of earlier blocks and, within a block of DENSE, every other."""
-        key, leaders, ids, block = None, [], [], []
-
-        def close() -> tuple[list[int], list[int]]:
-            a, b = [], []
-            if len(ids) > 1 or leaders:
-                own, who = np.stack(block), np.array(ids)
-                lead = np.stack([s for _, s in leaders]) if leaders else np.empty((0, BINS), np.uint32)
-                free = np.ones(len(who), bool)
-                for i in range(len(who)):
-                    old = np.flatnonzero(agreement(own[i], lead) >= least)
-                    a.extend([who[i]] * len(old)), b.extend(leaders[x][0] for x in old)
-                    later = np.flatnonzero(agreement(own[i], own[i + 1 :]) >= least) + i + 1
-                    a.extend([who[i]] * int(free[later].sum())), b.extend(who[later[free[later]]].tolist())
-                    if free[i] and not len(old):
-                        leaders.append((int(who[i]), own[i]))
-                    free[later] = False
-            elif ids:
-                leaders.append((ids[0], block[0]))
-            ids.clear(), block.clear()
-            return a, b
-
+        """Rows come by piece and block; those of one are compared."""
+        key, ids, sketches = None, [], []
         for batch in batches:
-            a, b = [], []
-            for doc, piece, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if piece != key or len(ids) == DENSE:
-                    x, y = close()
-                    a += x
-                    b += y
-                    if piece != key:
-                        key = piece
-                        leaders.clear()
-                ids.append(doc), block.append(np.frombuffer(s, np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    alike = meet.select("id", "piece", "sketch").mapInArrow(link, "a long, b long")
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for doc, piece, block, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (piece, block) != key:
+                    x, y = alike_links(ids, sketches, least)
+                    a.append(x), b.append(y)
+                    key, ids, sketches = (piece, block), [], []
+                ids.append(doc), sketches.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        a, b = alike_links(ids, sketches, least)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    alike = meet.select("id", "piece", "block", "sketch").mapInArrow(link, "a long, b long")
     roots = connected_components(near.union(alike), folder)
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
     return join_groups(rows.select("id", "fp"), named, "fp", "n", rows.count(), F.col("id")).select("id", "component")

@@ -1,6 +1,7 @@
 """SimHash against brute force."""
 
 import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -75,3 +76,23 @@ def test_passages_of_two_copies(spark):
             docs.append((10 * g + k, " ".join([*body[: 500 + 300 * g // 2], *added[k // 2], *body[500 + 300 * g // 2 :], f"end{g}n{k}"])))
     got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d // 10 * 10 for d, _ in docs}
+
+
+def test_edited_copies_before_the_original(spark, monkeypatch):
+    """Two edited copies, not alike themselves, each alike with an original of greater id; also where a piece is split into blocks."""
+    rng = random.Random(5)
+    docs, want = [], 0
+    for g in range(150):
+        text = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for k, i in enumerate((*rng.sample(range(10, 50), 2), None)):
+            docs.append((10 * g + k, " ".join(w if j != i else "edited" for j, w in enumerate(text))))
+    for d in range(0, len(docs), 3):
+        h = [simhash.shingle_hashes(t, 5) for _, t in docs[d : d + 3]]
+        p = [set(simhash.piece_keys(x).tolist()) for x in h]
+        enough = all(len(p[k] & p[2]) >= 1 + simhash.SHARED * max(len(p[k]), len(p[2])) for k in (0, 1))
+        want += enough and all(simhash.agreement(simhash.sketch(h[k]), simhash.sketch(h[2])[None])[0] >= 0.78 for k in (0, 1))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for dense in (2048, 1):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        got = {r.id: r.component for r in simhash.similar_documents(table).collect()}
+        assert sum(got[d] == got[d + 1] == got[d + 2] for d in range(0, 1500, 10)) >= want > 60
