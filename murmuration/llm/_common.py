@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows is hot; at most 1 / HOT_SHARE keys can be.
@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where neither the setting nor the context names a folder (local tests) is a temporary one set.
-    Folders are removed when the application ends.
+    Only where neither the setting nor the context names a folder and the master is local (tests) is a temporary one
+    set; on a cluster that is an error. Folders are removed when the application ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="murmuration-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/murmuration-{uuid.uuid4().hex}"
@@ -55,18 +57,26 @@ def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of rows with groups (one row per key; `count` says how many rows have it), even if one key has most rows.
 
-    Keys with at least HOT_SHARE of the rows are at most 1000, whatever the data, and only those are broadcast. Rows
-    with such a key are dealt by `spread`, the rest by the key, so that no task gets more than about that share.
+    Two branches that the optimizer cannot merge: keys with at least HOT_SHARE of the rows are at most 1000, whatever the
+    data, so those are broadcast and their rows stay where they are; the rest are dealt by the key, none of which has more
+    than that share. Null keys meet nothing and stay where they are. `rows` is read twice.
     """
     values = [c for c in groups.columns if c not in (key, count)]
-    least = max(1.0, total * HOT_SHARE)
-    hot = groups.where(F.col(count) >= least).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
-    cold = groups.where(F.col(count) < least).select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_salt"), *[F.col(c).alias(f"_cold_{c}") for c in values])
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k")
-    out = out.withColumn("_salt", F.when(F.col("_hot"), F.abs(F.xxhash64(spread) % (1 << 40)) + 1).otherwise(F.lit(0).cast("long")))
-    out = out.join(cold, (F.col(key) == F.col("_k")) & (out["_salt"] == cold["_salt"]), "left").drop(cold["_salt"]).drop("_k", "_salt")
-    out = out.withColumns({c: F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")) for c in values})
-    return out.drop("_hot", *[f"_hot_{c}" for c in values], *[f"_cold_{c}" for c in values])
+    least = max(2.0, total * HOT_SHARE)
+    named = groups.select(F.col(key).alias("_k"), F.col(count).alias("_n"), *values)
+    hot = F.broadcast(named.where(F.col("_n") >= least).drop("_n").withColumn("_hot", F.lit(True)))
+    here = rows.join(hot, F.col(key) == F.col("_k"), "left").where(F.col("_hot") | F.col(key).isNull()).drop("_k", "_hot")
+    rest = rows.where(F.col(key).isNotNull()).join(hot, F.col(key) == F.col("_k"), "left_anti")
+    rest = rest.join(named.where(F.col("_n") < least).drop("_n"), F.col(key) == F.col("_k"), "left").drop("_k")
+    return here.unionByName(rest)
+
+
+def private(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import written
+from murmuration.llm._common import join_groups, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    return both.select("a", "b", least.alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _star(edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """(a, b, m): m the smallest b of each a.
 
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    m = down.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
-    return m.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b")
+    The least is a partial aggregate, and the nodes with many links meet it by broadcast, so that no task holds one
+    node's links.
+    """
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), folder, f"{name}_least")
+    return join_groups(edges, least, "a", "n", least.agg(F.sum("n")).first()[0] or 0)
 
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """Links (a, b), longs, in any order and repeated -> (node, root), root the smallest node reachable; for linked nodes only.
 
     Rounds grow with the logarithm of the longest chain. Every round is a table in the shared folder; nothing is
-    gathered on the driver but a count and a checksum. Null ends and self links are left out.
+    gathered on the driver but a count and a checksum. Null ends and self links are left out. No links: empty result.
     """
     state = written(edges.where("a is not null and b is not null and a != b").select("a", "b").distinct(), folder, "edges_0")
     mark, n = None, 0
@@ -33,5 +31,9 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark, n = new, n + 1
-        state = written(_small(_large(state).distinct()).distinct(), folder, f"edges_{n}")
+        both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _star(both, folder, f"large_{n}").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = written(large.distinct(), folder, f"large_{n}")
+        small = _star(large, folder, f"small_{n}").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b")
+        state = written(small.distinct(), folder, f"edges_{n}")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))

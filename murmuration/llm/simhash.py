@@ -178,43 +178,91 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare, "a long, b long")
 
 
-#: Bins of a similarity sketch, mean shingles of a piece, rows of one piece compared all with all.
-BINS, PIECE, DENSE = 128, 12, 2048
+#: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece compared all with all.
+BINS, PIECE, DENSE = 1024, 12, 1024
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
 SHARED = 0.4
+#: What an agreement may fall short of the similarity asked for; its standard error at 0.8 is 0.014 for long texts, less for texts of few shingles.
+SLACK = 0.01
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash: of each bin (low bits) the least high bits; all ones if empty."""
-    out = np.full(BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, (h % BINS).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
-    return out
+    """One-permutation MinHash, two bins a byte: of each bin (low bits of a hash) 1 + the least high part modulo 15; 0 if empty."""
+    least = np.full(BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, (h % BINS).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
+    value = np.where(least == 0xFFFFFFFF, 0, 1 + least % 15).astype(np.uint8)
+    return value[::2] | value[1::2] << 4
 
 
-def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of one sketch with each of many."""
-    some = (many != 0xFFFFFFFF) | (one != 0xFFFFFFFF)
-    return ((many == one) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
+class Sketches:
+    """Some packed sketches, unpacked for comparison."""
 
+    def __init__(self, packed: np.ndarray) -> None:
+        self.value = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), BINS)
+        self.some = np.packbits(self.value > 0, axis=1).view(np.uint64)
+        self.size = np.bitwise_count(self.some).sum(axis=1, dtype=np.int64)
 
-def alike_links(ids: list[int], sketches: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components that links of an agreement of at least `least` make among these documents."""
+    def agreement(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Estimated Jaccard similarity of each row of a with the row of b beside it; one of them may be a single row."""
+        both = np.bitwise_count(self.some[a] & self.some[b]).sum(axis=1, dtype=np.int64)
+        same = np.count_nonzero((self.value[a] == self.value[b]) & (self.value[a] > 0), axis=1)
+        # of the bins that truly differ one in fifteen looks alike
+        return np.maximum(0, same - (both - same) / 14) / np.maximum(1, self.size[a] + self.size[b] - both)
+
+
+def alike_links(ids: np.ndarray, sketches: Sketches, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components that links of an agreement of at least `least` make among these rows."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if len(ids) > 1:
-        who, all_ = np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, BINS)
-        left = np.arange(len(who))
-        while len(left) > 1:
-            root, front, left = left[0], [left[0]], left[1:]
-            while front and len(left):
-                near = agreement(all_[front.pop()], all_[left]) >= least
-                if near.any():
-                    got = left[near]
-                    a.append(np.full(len(got), who[root])), b.append(who[got])
-                    front += got.tolist()
-                    left = left[~near]
+    left = rows
+    while len(left) > 1:
+        root, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            near = sketches.agreement(np.array([front.pop()]), left) >= least
+            if near.any():
+                got = left[near]
+                a.append(np.full(len(got), ids[root])), b.append(ids[got])
+                front += got.tolist()
+                left = left[~near]
     return np.concatenate(a), np.concatenate(b)
 
 
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, block, id, sketch) sorted by the first two: runs of the same are compared; a run may go on in the next batch and has at most 2 DENSE rows or so."""
+    rest: tuple[np.ndarray, ...] | None = None
+
+    def links(piece: np.ndarray, block: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        start = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (block[1:] != block[:-1])])) if len(ids) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(ids)))
+        run, few = np.repeat(np.arange(len(start)), size), np.repeat(size <= 8, size)
+        for at in range(0, len(ids), 8192):  # short runs, many at once
+            s = Sketches(packed[at : at + 8200])
+            for step in range(1, 8):
+                i = at + np.arange(min(8192, len(ids) - step - at))
+                i = i[(run[i] == run[i + step]) & few[i]]
+                i = i[s.agreement(i - at, i - at + step) >= least]
+                a.append(ids[i]), b.append(ids[i + step])
+        for at, n in zip(start[size > 8], size[size > 8], strict=True):
+            x, y = alike_links(ids[at : at + n], Sketches(packed[at : at + n]), np.arange(n), least)
+            a.append(x), b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    for batch in batches:
+        packed = batch.column(3)
+        flat = np.frombuffer(packed.buffers()[2], np.uint8)[packed.offset * BINS // 2 :][: batch.num_rows * BINS // 2] if batch.num_rows else np.empty(0, np.uint8)
+        cols = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), flat.reshape(-1, BINS // 2)]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        rest = tuple(c[cut:] for c in cols)
+        yield links(*(c[:cut] for c in cols))
+    if rest is not None:
+        yield links(*rest)
+
+
 def piece_keys(h: np.ndarray) -> np.ndarray:
     """Keys of the pieces between shingles whose hash is divisible by PIECE: edits change the pieces they lie in, no others."""
     cuts = np.flatnonzero(h % PIECE == 0).tolist()
@@ -242,9 +290,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     SimHash alone finds few pairs near 0.8, as a few percent of other words move more than three bits. So documents with
     different fingerprints also meet by their rarest pieces (runs of a dozen shingles, counted over all documents), as many
-    as two that share SHARED of their pieces must have one in common, and those whose sketches agree are linked; sketches of BINS bins err by about 0.035, for which 0.02 are
-    allowed. A pair of that similarity
-    shares most pieces, so that passages which many unlike documents share bring none of them together.
+    as two that share SHARED of their pieces must have one in common, and those whose sketches agree are linked; links fall SLACK short of the similarity at
+    most. A pair of that similarity shares most pieces, so that passages which many unlike documents share bring none of
+    them together.
     Null ids are left out; null and empty texts are alike. Ids that repeat are one document. Empty table: empty result.
     """
     folder = work_dir(docs.sparkSession)
@@ -256,7 +304,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = written(reps, folder, "reps")
     held = reps.select("id", F.size("pieces").alias("total"), F.explode("pieces").alias("piece"))
     often = written(held.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), folder, "pieces")
-    counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count(), F.col("id")).where("times is not null")
+    counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count()).where("times is not null")
     # a like document shares SHARED of the pieces, so one of them is among the rarest 1 - SHARED, those of no other document first
     shared = counted.groupBy("id").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
     first = F.ceil(F.col("total") * (1 - SHARED)) + 1 - (F.col("total") - F.size("p"))
@@ -264,32 +312,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a piece counts where two documents have it among their rarest; one of more than DENSE rows is split into pairs of blocks, as anchors are
     rarest = written(rarest, folder, "rarest")
     often = written(rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int")), folder, "rarest_pieces")
-    held = join_groups(rarest, often, "piece", "n", rarest.count(), F.col("id")).where("blocks is not null")
+    held = join_groups(rarest, often, "piece", "n", rarest.count()).where("blocks is not null")
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own) * F.col("blocks") + F.greatest(i, own))
     held = held.select("id", "piece", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pair)).alias("block"))
     meet = held.join(reps.select("id", "sketch"), "id").repartition("piece", "block").sortWithinPartitions("piece", "block")
-    least = similarity - 0.02
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by piece and block; those of one are compared."""
-        key, ids, sketches = None, [], []
-        for batch in batches:
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc, piece, block, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (piece, block) != key:
-                    x, y = alike_links(ids, sketches, least)
-                    a.append(x), b.append(y)
-                    key, ids, sketches = (piece, block), [], []
-                ids.append(doc), sketches.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        a, b = alike_links(ids, sketches, least)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    alike = meet.select("id", "piece", "block", "sketch").mapInArrow(link, "a long, b long")
+    alike = meet.select("piece", "block", "id", "sketch").mapInArrow(lambda it: _alike(it, similarity - SLACK), "a long, b long")
     roots = connected_components(near.union(alike), folder)
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
-    return join_groups(rows.select("id", "fp"), named, "fp", "n", rows.count(), F.col("id")).select("id", "component")
+    return join_groups(rows.select("id", "fp"), named, "fp", "n", rows.count()).select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -301,8 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     folder = work_dir(docs.sparkSession)
     fps = written(fingerprints(docs, id_col, text_col, words), folder, "fingerprints", TEXT_ROWS)
-    groups = written(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), folder, "groups")
+    groups = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null"), folder, "groups")
     roots = connected_components(fingerprint_links(groups, folder), folder)
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
-    out = join_groups(fps, named, "fp", "n", fps.count(), F.col("id"))
+    out = join_groups(fps, named, "fp", "n", fps.count())
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

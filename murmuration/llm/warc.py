@@ -68,16 +68,19 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def plan_revisits(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Pages (id, url, payload) with refers_to: the largest id with an equal payload, for those to be written as revisits of it.
 
-    Only (id, digest) are grouped, counted before the shuffle. Digests of many pages are joined by a broadcast of at
-    most 1000 rows, the others by digest. A page without a digest gets a key of its own, which no group has.
+    Only (id, digest) are grouped and joined by digest, hot digests apart. What comes of it, one row for each page that
+    is a revisit, joins the pages by id and digest, which few rows share; pages too small to be revisits meet nothing.
     """
     payload = F.encode("payload", "UTF-8")
     pages = pages.withColumn("digest", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
-    groups = pages.where("digest is not null").groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1 and largest is not null")
+    known = written(pages.where("id is not null and digest is not null").select("id", "digest"), folder, "digests")
+    groups = known.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1")
     groups = written(groups, folder, "copies")
-    alone = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("-"), F.xxhash64("url", "payload").cast("string"))
-    out = join_groups(pages.withColumn("digest", F.coalesce("digest", alone)), groups, "digest", "n", pages.count(), F.struct("id", "url"))
-    return out.select("id", "url", "payload", F.when(F.col("id") < F.col("largest"), F.col("largest")).alias("refers_to"))
+    key = F.concat_ws("-", F.col("id").cast("string"), "digest")
+    revisits = join_groups(known, groups, "digest", "n", known.count()).where("id < largest").groupBy(key.alias("page")).agg(F.max("largest").alias("refers_to"), F.count("*").alias("n"))
+    revisits = written(revisits, folder, "revisits")
+    out = join_groups(pages.withColumn("page", F.when(F.col("id").isNotNull() & F.col("digest").isNotNull(), key)), revisits, "page", "n", known.count())
+    return out.select("id", "url", "payload", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -129,7 +132,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
                 fields, payload = parse(data[at - begin : at - begin + n])
                 number = lambda k, h=fields: int(h[k]) if k in h else None
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                rows.append((number("x-page-id"), fields["warc-target-uri"], number("x-payload-length"), digest, fields["warc-type"], number("x-refers-to-page-id"), payload if fields["warc-type"] == "response" else None))
+                whole = fields["warc-type"] == "response"
+                rows.append((number("x-page-id"), fields["warc-target-uri"], len(payload) if whole else number("x-payload-length"), digest, fields["warc-type"], number("x-refers-to-page-id"), payload if whole else None))
             return rows
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -90,9 +90,22 @@ def test_edited_copies_before_the_original(spark, monkeypatch):
         h = [simhash.shingle_hashes(t, 5) for _, t in docs[d : d + 3]]
         p = [set(simhash.piece_keys(x).tolist()) for x in h]
         enough = all(len(p[k] & p[2]) >= 1 + simhash.SHARED * max(len(p[k]), len(p[2])) for k in (0, 1))
-        want += enough and all(simhash.agreement(simhash.sketch(h[k]), simhash.sketch(h[2])[None])[0] >= 0.78 for k in (0, 1))
+        want += enough and all(simhash.Sketches(np.stack([simhash.sketch(h[k]), simhash.sketch(h[2])])).agreement(np.array([0]), np.array([1]))[0] >= 0.79 for k in (0, 1))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     for dense in (2048, 1):
         monkeypatch.setattr(simhash, "DENSE", dense)
         got = {r.id: r.component for r in simhash.similar_documents(table).collect()}
         assert sum(got[d] == got[d + 1] == got[d + 2] for d in range(0, 1500, 10)) >= want > 60
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for n, most in ((60, 0.04), (300, 0.04), (20_000, 0.06)):
+        off = []
+        for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+            for _ in range(20):
+                same, a, b = (rng.integers(0, 1 << 63, int(k), dtype=np.uint64) for k in (n * share, n * (1 - share) / 2, n * (1 - share) / 2))
+                x, y = np.concatenate([same, a]), np.concatenate([same, b])
+                s = simhash.Sketches(np.stack([simhash.sketch(x), simhash.sketch(y)]))
+                off.append(s.agreement(np.array([0]), np.array([1]))[0] - len(same) / (len(same) + len(a) + len(b)))
+        assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < most + 0.03
