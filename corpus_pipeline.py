@@ -6,55 +6,98 @@ read again as the next one's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType, VariantType
 
 from murmuration.llm import decontaminate, langid, packing, pii, simhash
-from murmuration.llm._common import table, work_dir, written
+from murmuration.llm._common import join_groups, private, table, work_dir, written
 from murmuration.llm.queries import tokenizer
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns c0, c1, ..., which no operator's own columns can clash with, and what each is called there."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {name: f"c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
+
+
+def _hashable(kind: DataType) -> bool:
+    inner = [f.dataType for f in getattr(kind, "fields", [])] + [getattr(kind, "elementType", None)]
+    return not isinstance(kind, (MapType, VariantType)) and all(_hashable(k) for k in inner if k is not None)
+
+
+def _rest(docs: DataFrame) -> Column:
+    """Hash of all columns but maps and variants: with the id it tells rows apart that are not equal."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents without any letter. Stays: the rest; lang becomes the predicted language where it was null."""
-    own = docs.columns
-    profiles = langid.learn(docs.where(~langid.held_out("doc_id", 4, 2)))
-    kept = langid.predict(docs, profiles) if profiles else docs.withColumn("lang_pred", F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(langid.UNKNOWN)))
-    return kept.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", F.expr("nullif(lang_pred, '')"))).select(*own)
+    """Goes: documents whose text is null, empty or without any letter. Stays: the rest; lang becomes the predicted language where it was null.
+
+    Ties between languages go to the first by name. Very long texts are read whole. Equal rows are judged each. Columns
+    named like the model's own come through unchanged. Where no row has a language, lang stays null. Empty table: empty.
+    """
+    rows, at = _numbered(docs)
+    profiles = langid.learn(rows.where(~langid.held_out(at["doc_id"], 4, 2)), at["doc_id"], at["text"], at["lang"])
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = langid.predict(rows, profiles, at["text"]).where(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id; of rows that repeat an id and are all equal, one. Null ids stay."""
-    found = simhash.similar_documents(docs)
-    gone = found.where("id != component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
-    again = written(again, work_dir(spark), "again")
-    if not again.head(1):
-        return kept.select(*docs.columns)
-    # rows of one id: the first by text stays
-    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
+
+    Documents are rows: different texts with one doc_id are judged each, ties of doc_id broken by a hash of the row; of
+    rows that are all equal one stays. Null ids stay. Null, empty and wordless texts are copies of each other. Very long
+    texts are compared whole. Other columns, whatever their names, come through. Empty table: empty.
+    """
+    key, folder = private("document", docs), work_dir(spark)
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), _rest(docs).alias("rest"))))
+    found = simhash.similar_documents(keyed.select(F.col(key).alias("id"), "text"), "id")
+    marks = found.groupBy(F.col("id").alias(key)).agg(F.max(F.col("id") != F.col("component")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1")
+    marks = written(marks, folder, "marks")
+    gone, n = private("gone", keyed), private("n", keyed)
+    marked = join_groups(keyed, marks.select(key, F.col("gone").alias(gone), F.col("n").alias(n)), key, n, docs.count())
+    kept = marked.where(F.col(gone).isNull())
+    if marks.where("not gone").head(1):  # equal rows
+        kept = kept.union(marked.where(~F.col(gone)).dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents that hold a copy of a benchmark item, edited ones included. Documents with a null id are told apart by a hash of their text."""
-    key = "_decontamination_key"
-    keyed = docs.withColumn(key, F.coalesce("doc_id", F.xxhash64("text")))
+    """Goes: documents that hold a copy of a benchmark item, edited ones included (op6's threshold). Stays: the rest.
+
+    Documents are rows, told apart by id, text hash and the other columns, so that rows which share an id, or have none,
+    are judged each; equal rows go or stay together. Null and empty texts stay. Very long texts are searched whole. Other
+    columns come through, whatever their names. Empty table or benchmark: nothing goes.
+    """
+    key = private("document", docs)
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), _rest(docs).alias("rest")))
     found = decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("id").alias(key)).distinct()
     return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; personal data in their texts becomes [KIND], and n_chars the new length."""
-    out = pii.detect(docs).withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")))
-    return out.select(*docs.columns)
+    """All documents stay; personal data in their texts becomes [KIND], and n_chars, where there is one, the new length.
+
+    Of overlapping spans the union is replaced, named by the first and longest. Null texts stay null (n_chars 0), equal
+    rows change alike, very long texts are searched whole. Other columns come through, whatever their names. Empty table:
+    empty.
+    """
+    rows, at = _numbered(docs)
+    out = pii.detect(rows, at["text"]).withColumn(at["text"], F.col("redacted"))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.coalesce(F.char_length(at["text"]).cast("long"), F.lit(0).cast("long")))
+    return out.select(*rows.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and place, sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer(), room=2048).withColumnRenamed("id", "doc_id")
+    """Every piece of every document with its token ids, its sequence and its place there, sequences of 2048 tokens.
+
+    Null and empty texts are a piece of one id; null and repeated ids stay, each row is a document; long texts are cut
+    into several pieces. Other columns are not read. Empty table: empty.
+    """
+    return packing.pack(docs, tokenizer(), room=2048, keep_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("best_fit_packing", best_fit_packing)]

@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.llm._common import TEXT_ROWS, join_groups, work_dir, written
@@ -178,12 +178,14 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare, "a long, b long")
 
 
-#: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece compared all with all.
-BINS, PIECE, DENSE = 1024, 12, 1024
+#: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece or component compared all with all, bytes of shingles of such rows.
+BINS, PIECE, DENSE, DENSE_BYTES = 1024, 12, 1024, 16 << 20
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
 SHARED = 0.4
-#: What an agreement may fall short of the similarity asked for; its standard error at 0.8 is 0.014 for long texts, less for texts of few shingles.
-SLACK = 0.01
+#: Texts of so many shingles at most meet by single shingles, of which no like pair can escape.
+SHORT = 128
+#: What an agreement may fall short of the similarity asked for and still be checked; its standard error at 0.8 is 0.014 for long texts, less for texts of few shingles.
+SLACK = 0.05
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -270,57 +272,133 @@ def piece_keys(h: np.ndarray) -> np.ndarray:
     return np.unique(np.array([digest(data[8 * a : 8 * b]) for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True) if a < b], np.uint64))
 
 
-def _profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def short_set(h: np.ndarray) -> np.ndarray:
+    """A text's different shingles by the upper 32 bits of their hashes."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def _profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    none = np.empty(0, np.int64)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 c = b.slice(i, 512)
                 hs = [shingle_hashes(t.as_py(), words) for t in c.column(1)]
+                sets = [np.unique(h) for h in hs]
+                keys = [f"{majority(h):016x}{xxhash.xxh3_128_hexdigest(s.tobytes())}" for h, s in zip(hs, sets, strict=True)]
+                pieces = [piece_keys(h).view(np.int64) if len(s) > SHORT else none for h, s in zip(hs, sets, strict=True)]
+                singles = [s.view(np.int64) if len(s) <= SHORT / similarity else none for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array(np.array([majority(h) for h in hs], np.uint64).view(np.int64)), pa.array([sketch(h).tobytes() for h in hs], pa.binary()), pa.array([piece_keys(h).view(np.int64) for h in hs], pa.list_(pa.int64()))],
-                    names=["id", "fp", "sketch", "pieces"],
+                    [c.column(0), pa.array(keys), pa.array(np.array([int(k[:16], 16) for k in keys], np.uint64).view(np.int64)), pa.array([sketch(h).tobytes() for h in hs], pa.binary()), pa.array(pieces, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array([short_set(h).tobytes() for h in hs], pa.binary())],
+                    names=["id", "key", "fp", "sketch", "pieces", "singles", "shingles"],
                 )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, sketch binary, pieces array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key string, fp long, sketch binary, pieces array<long>, singles array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): documents linked by fingerprints within 3 bits, or by shingle similarity of at least `similarity`.
-
-    SimHash alone finds few pairs near 0.8, as a few percent of other words move more than three bits. So documents with
-    different fingerprints also meet by their rarest pieces (runs of a dozen shingles, counted over all documents), as many
-    as two that share SHARED of their pieces must have one in common, and those whose sketches agree are linked; links fall SLACK short of the similarity at
-    most. A pair of that similarity shares most pieces, so that passages which many unlike documents share bring none of
-    them together.
-    Null ids are left out; null and empty texts are alike. Ids that repeat are one document. Empty table: empty result.
-    """
-    folder = work_dir(docs.sparkSession)
-    rows = written(_profiles(docs, id_col, text_col, words), folder, "profiles", TEXT_ROWS)
-    groups = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), folder, "groups")
-    near = fingerprint_links(groups, folder)
-    # one document of each fingerprint speaks for it
-    reps = rows.join(groups.select(F.col("rep").alias("id"), F.col("fp").alias("own")), "id").where("fp = own").dropDuplicates(["id"]).select("id", "sketch", "pieces")
-    reps = written(reps, folder, "reps")
-    held = reps.select("id", F.size("pieces").alias("total"), F.explode("pieces").alias("piece"))
+def true_links(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components that links of Jaccard similarity of at least `least` make among these sets; empty sets are alike."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(ids) < 2:
+        return a[0], b[0]
+    size = np.array([len(x) for x in sets], np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start, mark, left = np.cumsum(size) - size, np.zeros(len(values), np.int64), np.arange(len(ids))
+    while len(left) > 1:
+        root, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            n = front.pop()
+            own = flat[start[n] : start[n] + size[n]]
+            mark[own] = 1
+            fit = np.flatnonzero((size[left] >= least * size[n] - 1e-9) & (size[n] >= least * size[left] - 1e-9))
+            common = np.fromiter((mark[flat[start[k] : start[k] + size[k]]].sum() for k in left[fit]), np.int64, len(fit))
+            mark[own] = 0
+            near = fit[common >= least * (size[left[fit]] + size[n] - common) - 1e-9]
+            if len(near):
+                got = left[near]
+                a.append(np.full(len(got), ids[root])), b.append(ids[got])
+                front += got.tolist()
+                left = np.delete(left, near)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (group, block, id, shingles) sorted by the first two: those of one block are compared."""
+    key, ids, sets = None, [], []
+    for batch in batches:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        group, block, own = (batch.column(i).to_pylist() for i in range(3))
+        for n in range(batch.num_rows):
+            if (group[n], block[n]) != key:
+                x, y = true_links(np.array(ids, np.int64), sets, least)
+                a.append(x), b.append(y)
+                key, ids, sets = (group[n], block[n]), [], []
+            ids.append(own[n]), sets.append(np.frombuffer(batch.column(3)[n].as_py(), np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    a, b = true_links(np.array(ids, np.int64), sets, least)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row (group, id, ...) once for every pair of blocks that its block is in; block numbers a pair."""
+    own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.least(i, own) * blocks + F.greatest(i, own))
+    return rows.withColumn("block", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(pair)))
+
+
+def _meetings(reps: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """Links (a, b) of rows (id, sketch, pieces, singles) that meet in a piece or a shingle and whose sketches agree up to SLACK; a forest of each piece's links."""
+    family = lambda c, share: F.struct(F.lit(share).alias("share"), F.col(c).alias("keys"))
+    held = reps.select("id", F.explode(F.array(family("pieces", SHARED), family("singles", similarity))).alias("f")).select("id", "f.share", F.size("f.keys").alias("total"), F.explode("f.keys").alias("piece"))
     often = written(held.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), folder, "pieces")
     counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count()).where("times is not null")
-    # a like document shares SHARED of the pieces, so one of them is among the rarest 1 - SHARED, those of no other document first
-    shared = counted.groupBy("id").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
-    first = F.ceil(F.col("total") * (1 - SHARED)) + 1 - (F.col("total") - F.size("p"))
+    # a like document shares that part of the pieces, so one of them is among the rarest others and one more, those of no other document first
+    shared = counted.groupBy("id", "share").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
+    first = F.col("total") - F.ceil(F.col("total") * F.col("share") - 1e-9) + 1 - (F.col("total") - F.size("p"))
     rarest = shared.select("id", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("q")).select("id", F.col("q.piece").alias("piece"))
     # a piece counts where two documents have it among their rarest; one of more than DENSE rows is split into pairs of blocks, as anchors are
     rarest = written(rarest, folder, "rarest")
     often = written(rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int")), folder, "rarest_pieces")
-    held = join_groups(rarest, often, "piece", "n", rarest.count()).where("blocks is not null")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own) * F.col("blocks") + F.greatest(i, own))
-    held = held.select("id", "piece", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pair)).alias("block"))
+    held = _dealt(join_groups(rarest, often, "piece", "n", rarest.count()).where("blocks is not null"), F.col("blocks")).select("id", "piece", "block")
     meet = held.join(reps.select("id", "sketch"), "id").repartition("piece", "block").sortWithinPartitions("piece", "block")
-    alike = meet.select("piece", "block", "id", "sketch").mapInArrow(lambda it: _alike(it, similarity - SLACK), "a long, b long")
-    roots = connected_components(near.union(alike), folder)
-    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"), "n")
-    return join_groups(rows.select("id", "fp"), named, "fp", "n", rows.count()).select("id", "component")
+    return meet.select("piece", "block", "id", "sketch").mapInArrow(lambda it: _alike(it, similarity - SLACK), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): documents linked by a Jaccard similarity of their word shingles of at least `similarity`; component is the smallest id.
+
+    Candidates are documents whose fingerprints differ in at most 3 bits, by anchors, and, as a few percent of other words
+    move more bits, those that meet by their rarest pieces (runs of a dozen shingles, in texts of SHORT shingles at most
+    single ones), counted over all documents, as many as two that share SHARED of their pieces, or that similarity of
+    their shingles, must have one in common, and whose sketches agree up to SLACK. Within the
+    candidates' components whole sets of shingles are compared, so that every link that counts is true (but for equal 32-bit
+    hashes, a shingle in some texts of tens of thousands of words); a component of more than DENSE documents or
+    DENSE_BYTES of shingles is split into pairs of blocks.
+
+    Ids are of any type that has an order. Null ids are left out; null, empty and blank texts are alike. Every row is a
+    document: rows that repeat an id have a component each. Whole texts. Other columns are not read. Empty table: empty
+    result.
+    """
+    folder = work_dir(docs.sparkSession)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(_profiles(texts, words, similarity), folder, "profiles", TEXT_ROWS)
+    # of the rows with the same shingles one speaks for all
+    groups = rows.groupBy("key", "fp").agg(F.min(F.struct("id", "row")).alias("first"), F.max(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("n"))
+    groups = written(groups.select("key", "fp", F.col("first.row").alias("rep"), F.col("first.id").alias("id"), "bytes", "n"), folder, "groups")
+    near = fingerprint_links(groups, folder)
+    reps = written(rows.select(F.col("row").alias("id"), "sketch", "pieces", "singles").join(groups.select(F.col("rep").alias("id")), "id"), folder, "reps")
+    maybe = connected_components(near.union(_meetings(reps, folder, similarity)), f"{folder}/maybe")
+    members = maybe.union(maybe.select("root", "root").distinct()).toDF("rep", "group")
+    members = written(members.join(groups.select("rep", "bytes"), "rep"), folder, "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))
+    dealt = join_groups(members, written(sizes, folder, "sizes"), "group", "n", members.count()).select(F.col("rep").alias("id"), "group", "blocks")
+    dealt = _dealt(dealt.join(rows.select(F.col("row").alias("id"), "shingles"), "id"), F.col("blocks"))
+    true = dealt.select("group", "block", "id", "shingles").repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(lambda it: _verify(it, similarity), "a long, b long")
+    roots = connected_components(true, f"{folder}/true")
+    named = written(groups.join(roots, F.col("rep") == F.col("node"), "left").select("key", "id", F.coalesce("root", "rep").alias("root"), "n"), folder, "named")
+    least = written(named.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("roots")), folder, "least")
+    named = join_groups(named.select("key", "root", "n"), least, "root", "roots", named.count()).select("key", "component", "n")
+    return join_groups(rows.select("id", "key"), written(named, folder, "components"), "key", "n", rows.count()).select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

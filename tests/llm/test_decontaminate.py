@@ -64,7 +64,7 @@ def test_planted(spark):
 
 
 def test_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(d, "ITEMS", 2)
+    monkeypatch.setattr(d, "ITEM_WORDS", 10)
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(5)]
     docs = spark.createDataFrame([(i, f"some words {t} more words") for i, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -86,8 +86,42 @@ def test_edited_copies_only(spark):
     spread = [x for k, w in enumerate(items[0][1]) for x in ([w, "between"] if k > 3 else [w])]
     texts.append((900, spread)), docs.append((900, " ".join(spread)))
     got = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
-    grams = lambda w: set(zip(w, w[1:], w[2:]))
-    want = {(n, i): plain(t, w)[0] / (d.MATCH * len(w)) for n, t in texts for i, w in items if grams(t) & grams(w)}
+    want = {(n, i): plain(t, w)[0] / (d.MATCH * len(w)) for n, t in texts for i, w in items}
     want = {k: round(v, 6) for k, v in want.items() if v >= d.THRESHOLD}
     assert len(want) > 24 and (0, 0) in want and (900, 0) in want
     assert {(r.id, r.item_id): r.score for r in got} == want
+
+
+def test_no_edited_copy_is_lost(spark):
+    """Every pair that exhaustive alignment finds is found, at every rate of substitutions, insertions and deletions, though items share common words."""
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to", "a", "in"]
+    items = [[rng.choice(common) if rng.random() < 0.4 else f"v{rng.randrange(300)}" for _ in range(n)] for n in (5, 6, 8, 12, 20, 30, 30, 60)]
+    docs = []
+    for rate in (0.1, 0.2, 0.3, 0.35, 0.4, 0.5):
+        for item in items:
+            for kind in ("put", "add", "cut", "all", "even"):
+                copy = []
+                for k, w in enumerate(item):
+                    how = rng.choice(("put", "add", "cut")) if kind == "all" else kind
+                    hit = k % round(1 / rate) == 0 if kind == "even" else rng.random() < rate
+                    copy += [w] if not hit else [] if how == "cut" else [w, f"x{rng.randrange(999)}"] if how == "add" else [rng.choice((f"x{rng.randrange(999)}", rng.choice(common)))]
+                side = [rng.choice(common) if rng.random() < 0.5 else f"y{rng.randrange(99)}" for _ in range(rng.randrange(40))]
+                docs.append((len(docs), side + copy + side[::-1]))
+    number = {w: n + 1 for n, w in enumerate(sorted({w for _, t in docs for w in t} | {w for i in items for w in i}))}
+    want = {}
+    for n, item in enumerate(items):
+        t = np.zeros((len(docs), max(len(t) for _, t in docs)), np.int32)
+        for k, text in docs:
+            t[k, : len(text)] = [number[w] for w in text]
+        best = d.align(t, np.tile(np.array([number[w] for w in item], np.int32), (len(docs), 1)))[0]
+        want |= {(k, n): round(float(b) / (d.MATCH * len(item)), 6) for k, b in enumerate(best) if b >= d.THRESHOLD * d.MATCH * len(item)}
+    got = d.find(spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.id, r.item_id): r.score for r in got} == want and sum(v < 0.6 for v in want.values()) > 30
+
+
+def test_each_third_word_replaced(spark):
+    item = [f"w{k}" for k in range(30)]
+    copy = " ".join(f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item))
+    got = d.find(spark.createDataFrame([(1, copy), (2, " ".join(item))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.id, r.item_id, r.score) for r in got) == [(1, 7, 0.516667), (2, 7, 1.0)]

@@ -80,3 +80,62 @@ def test_run(spark):
             assert o == at
             at += n
         assert at <= 2048
+    assert all(len(r.ids) == r.length for r in out.collect())
+
+
+#: Columns named like those that operators add or use inside.
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, redacted string, rest long, id string, component long, lang_pred string, document string, sketch map<string,int>, ids array<int>"
+
+
+def rows(*cases):
+    """(doc_id, text, lang) with values in the clashing columns that must come through."""
+    return [(i, t, lang, "s", 7, 0.75, "mine", 5, f"id{i}", 9, "mine", "mine", {"a": 1}, [i or 0]) for i, t, lang in cases]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_empty_table(spark, name):
+    docs = spark.createDataFrame([], EXTRA)
+    out = dict(cp.STAGES)[name](spark, docs, SF)
+    assert out.collect() == [] and (name == "best_fit_packing" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_edge_rows(spark, name):
+    long = " ".join(f"word{n % 997}" for n in range(60_000))
+    cases = [(1, "the first text of this id stands here alone", "en"), (1, "quite another text, with the id of the first one", "en"), (2, None, None), (3, "", "en"), (4, long, "en"), (None, "a text without an id", None), (None, None, None), (5, "twice the same row in this table", "en"), (5, "twice the same row in this table", "en"), (6, "123 456", None)]
+    docs = spark.createDataFrame(rows(*cases), EXTRA)
+    out = dict(cp.STAGES)[name](spark, docs, SF)
+    if name == "best_fit_packing":
+        assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, 6, None}
+        assert sum(r.piece == 0 for r in out.collect()) == len(cases)
+        return
+    assert out.columns == docs.columns
+    got = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text or ""))
+    assert all((r.score, r.redacted, r.rest, r.component, r.lang_pred, r.document, r.sketch) == (0.75, "mine", 5, 9, "mine", "mine", {"a": 1}) and r.id == f"id{r.doc_id}" for r in got)
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)
+    everything = sorted((i is None, i or 0, t or "") for i, t, _ in cases)
+    if name == "language_id":  # rows without a letter go
+        assert texts == [x for x in everything if any(c.isalpha() for c in x[2])]
+        assert all(r.lang == "en" for r in got)
+    elif name == "near_dedup":  # one of the equal rows, and of the two texts without a word the smaller id
+        want = [x for x in everything if x != (False, 3, "")]
+        want.remove((False, 5, cases[7][1]))
+        assert texts == want
+    else:
+        assert texts == everything
+
+
+def test_ids_with_several_texts(spark):
+    """A contaminated text takes no other text of its id with it, nor does a near copy."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame(rows((1, "clean prose that no benchmark has ever asked about", "en"), (1, item, "en"), (None, item, "en"), (None, "clean too, and without an id", "en")), EXTRA)
+    assert sorted(r.text for r in cp.decontamination(spark, docs, SF).collect()) == ["clean prose that no benchmark has ever asked about", "clean too, and without an id"]
+    text = " ".join(f"w{n}" for n in range(300))
+    docs = spark.createDataFrame(rows((1, text, "en"), (2, text + " more", "en"), (2, "another text of two", "en"), (3, text, "en")), EXTRA)
+    assert sorted((r.doc_id, r.text[:7]) for r in cp.near_dedup(spark, docs, SF).collect()) == [(1, text[:7]), (2, "another")]
+
+
+def test_user_columns_are_not_the_models(spark):
+    docs = spark.createDataFrame([(1, "call +1 555 123 4567 now", "en", 0.75, "mine"), (2, "plain words", None, 0.5, "yours")], "doc_id long, text string, lang string, score double, redacted string")
+    assert sorted(r.score for r in cp.language_id(spark, docs, SF).collect()) == [0.5, 0.75]
+    assert sorted((r.text, r.redacted) for r in cp.personal_data(spark, docs, SF).collect()) == [("call [PHONE] now", "mine"), ("plain words", "yours")]
