@@ -1,18 +1,21 @@
 """Licence scan: texts against licence templates by the Dice coefficient of their sets of word bigrams. DataFrame functions only, no shuffle.
 
-Units compared are every line, every block between blank lines that has several lines, and the whole text if it has
-several blocks. With threshold t, Dice of sets of sizes a and b can reach t only if a / b lies between t / (2 - t) and
+Units compared are every line, every block between blank lines that has several lines, the whole text if it has several
+blocks, and, for templates of LONG words or more, every window of as many words as the template has that begins with the
+template's first OPENING words, wherever it stands and however it is wrapped. With threshold t, Dice of sets of sizes a and b can reach t only if a / b lies between t / (2 - t) and
 (2 - t) / t, so that a unit meets the templates of fitting size alone.
 """
 
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+#: Least Dice coefficient; words from which a template is sought in windows too, and words that a window must begin with.
+THRESHOLD, LONG, OPENING = 0.8, 40, 3
 
 _NO_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 _BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
@@ -54,11 +57,40 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
+def read_templates(spark: SparkSession, folder: str) -> tuple[tuple[str, str], ...]:
+    """Templates from whole licence texts, a file each, named by the file without its suffix: for long licences, whose texts are not part of this module.
+
+    The texts come to the driver: a folder of licences, not of documents.
+    """
+    texts = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("name"), _normal(F.col("value")).alias("text"))
+    return tuple((unquote(r["name"]), r["text"]) for r in texts.where("contains(text, ' ')").orderBy("name", "text").collect())
+
+
+def _windows(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(id, unit, unit_no, best) of every place where a long template may begin; unit_no is the place's word number."""
+    long = [(name, t.split()) for name, t in templates if len(t.split()) >= LONG]
+    openings = sorted({tuple(w[:OPENING]) for _, w in long})
+    one = F.struct(F.lit("window").alias("unit"), F.lit(0).alias("unit_no"), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name")).alias("best"))
+    if not openings:
+        return rows.where("false").select("id", one.alias("w")).select("id", "w.*")
+    begins = "(?i)" + "|".join("[^a-z0-9]+".join(o) for o in openings)
+    found = rows.where(F.col("text").rlike(begins)).select("id", F.explode(F.array(F.split(_normal(F.col("text")), " "))).alias("words")).where(F.size("words") >= OPENING)
+    known = F.from_json(F.lit(json.dumps([{"name": n, "opening": " ".join(w[:OPENING]), "size": len(w), "grams": bigrams(" ".join(w))} for n, w in long])), "array<struct<name string, opening string, size int, grams array<string>>>")
+    opening = lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(OPENING)])
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - OPENING), lambda i: opening(i).isin([" ".join(o) for o in openings]))
+    found = found.select("id", "words", F.explode(places).alias("at"))
+    pairs = lambda t: F.array_distinct(F.transform(F.slice("words", F.col("at") + 2, t["size"] - 1), lambda w, i: F.concat(F.get("words", F.col("at") + i), F.lit(" "), w)))
+    dice = lambda t: F.transform(F.array(pairs(t)), lambda p: F.struct((F.lit(-2.0) * F.size(F.array_intersect(p, t["grams"])) / (F.size(p) + F.size(t["grams"]))).alias("dice"), t["name"].alias("name")))[0]
+    scored = F.transform(F.filter(known, lambda t: t["opening"] == opening(F.col("at"))), dice)
+    return found.select("id", F.lit("window").alias("unit"), F.col("at").cast("int").alias("unit_no"), F.explode(F.array(F.array_min(scored))).alias("best"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(id, unit, unit_no, license, dice) of every unit whose best template reaches the threshold; dice rounded to 6 places.
 
-    unit is line, block or text, unit_no counts from 0. Of equally good templates the first by name is named. Null, empty
-    and one-word texts match nothing; null and repeated ids are kept, each row by itself. Other columns are not read.
+    unit is line, block, text or window, unit_no counts from 0 (a window's is the number of its first word). Of equally good
+    templates the first by name is named. Null, empty and one-word texts match nothing; null and repeated ids are kept,
+    each row by itself. Whole texts, however long. Other columns are not read. Empty table: empty result.
     """
     known = F.from_json(F.lit(json.dumps([{"name": name, "grams": bigrams(t)} for name, t in templates])), "array<struct<name string, grams array<string>>>")
     sizes = [len(bigrams(t)) for _, t in templates]
@@ -75,6 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     near = F.filter(known, lambda t: size.between(F.size(t["grams"]) * low - 1e-9, F.size(t["grams"]) * high + 1e-9))
     scored = F.transform(near, lambda t: F.struct((F.lit(-2.0) * F.size(F.array_intersect("pairs", t["grams"])) / (size + F.size(t["grams"]))).alias("dice"), t["name"].alias("name")))
     best = rows.where(size <= max(sizes) * high).select("id", "unit", "unit_no", F.explode(F.array(F.array_min(scored))).alias("best"))
+    best = best.unionByName(_windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), templates))
     return best.where(F.col("best.dice") <= -threshold).select("id", "unit", "unit_no", F.col("best.name").alias("license"), F.round(-F.col("best.dice"), 6).alias("dice"))
 
 
@@ -92,6 +125,12 @@ n AS (SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(translate(t
 p AS (SELECT doc_id, unit, unit_no, {grams} AS p FROM n WHERE len(w) > 1),
 s AS (SELECT doc_id, unit, unit_no, name, 2.0::DOUBLE * len(list_intersect(p, g)) / (len(p) + len(g)) AS dice
       FROM p JOIN k ON len(p) BETWEEN len(g) * {threshold / (2 - threshold)} - 1e-9 AND len(g) * {(2 - threshold) / threshold} + 1e-9),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, name) AS best FROM s WHERE dice >= {threshold})
+a AS (SELECT doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM d),
+o AS (SELECT name, string_split(t, ' ') AS t FROM (VALUES {values}) v(name, t) WHERE len(string_split(t, ' ')) >= {LONG}),
+q AS (SELECT doc_id, w, unnest(range(len(w) - {OPENING - 1})) AS pos FROM a),
+x AS (SELECT doc_id, pos, name, {grams.replace("w", "t")} AS g, q.w[pos + 1:pos + len(t)] AS w FROM q JOIN o ON q.w[pos + 1] = t[1] AND q.w[pos + 2] = t[2] AND q.w[pos + 3] = t[3]),
+y AS (SELECT doc_id, pos, name, g, {grams} AS p FROM x),
+z AS (SELECT * FROM s UNION ALL SELECT doc_id, 'window', pos, name, 2.0::DOUBLE * len(list_intersect(p, g)) / (len(p) + len(g)) FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, name) AS best FROM z WHERE dice >= {threshold})
 SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, name AS license, round(dice, 6) AS dice FROM r WHERE best = 1
 """

@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,7 @@ def candidates(text: str) -> list[Span]:
             lead = start - 1 if start and text[start - 1] in "+(" else start
             if lead and text[lead] == "(" and text[lead - 1] == "+":
                 lead -= 1
-            for j in range(i, min(len(groups), i + 12)):
+            for j in range(i, len(groups)):
                 begin, end = groups[j]
                 n += end - begin
                 dots = dots + 1 if j > i and text[groups[j - 1][1] : begin] == "." else dots
@@ -207,24 +209,27 @@ def model() -> tuple[Trees, dict[str, float]]:
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], trees: Trees, limit: dict[str, float]) -> list[list[Span]]:
-    """Selected candidates of each text, best first where they overlap."""
+    """Selected candidates of each text, best first where they overlap; none overlaps a base span."""
     where, found = [], []
     for n, (text, base) in enumerate(zip(texts, bases, strict=True)):
         taken = sorted((a, b) for _, a, b in base)
-        starts = np.array([a for a, _ in taken])
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for s in candidates(text):
-            i = int(np.searchsorted(starts, s[2]))
-            if not any(b > s[1] for _, b in taken[max(0, i - 4) : i]):
+            i = bisect_left(starts, s[2])
+            if not i or ends[i - 1] <= s[1]:
                 where.append(n), found.append(s)
     out: list[list[Span]] = [[] for _ in texts]
     if not found:
         return out
     p = trees.predict(np.array([features(texts[n], s) for n, s in zip(where, found, strict=True)]))
-    busy: list[list[tuple[int, int]]] = [[] for _ in texts]
+    busy: list[list[tuple[int, int]]] = [[] for _ in texts]  # sorted, without overlaps
     for i in sorted(range(len(found)), key=lambda i: (-p[i], where[i], found[i][1] - found[i][2], found[i][1])):
         n, (kind, a, b) = where[i], found[i]
-        if p[i] >= limit[kind] and not any(a < y and x < b for x, y in busy[n]):
-            busy[n].append((a, b))
+        if p[i] < limit[kind]:
+            continue
+        at = bisect_left(busy[n], (b,))
+        if not at or busy[n][at - 1][1] <= a:
+            busy[n].insert(at, (a, b))
             out[n].append((kind, a, b))
     return out
 
@@ -261,8 +266,9 @@ def redact(text: str, spans: list[Span]) -> str:
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row with base and added spans and the redacted text: columns spans_base, spans_added (array<struct>), redacted.
 
-    Null text: no spans, redacted null; empty text: no spans. Whole texts, rows by themselves, ids and other columns pass
-    through; columns of these three names are replaced.
+    Null text: no spans, redacted null; empty text: no spans. Whole texts, however long; every row by itself, so that equal
+    rows have equal spans. Ids and other columns pass through; columns of these three names are replaced. Of overlapping
+    candidates the likelier is selected, of equally likely ones the longer, then the first. Empty table: empty result.
     """
     trees, limit = model()
     new = ["spans_base", "spans_added", "redacted"]

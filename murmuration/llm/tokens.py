@@ -20,7 +20,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.llm import files
@@ -138,6 +138,11 @@ def record(key: int | None, start: int, ids: np.ndarray) -> bytes:
     return frame(_HEAD.pack(key or 0, key is None, start, ids.dtype.itemsize) + ids.tobytes())
 
 
+def entry(offset: int, ids: int) -> bytes:
+    """A record's place in the index file: byte offset, number of ids."""
+    return struct.pack("<QQ", offset, ids)
+
+
 def unpack(payload: bytes) -> tuple[int | None, int, np.ndarray]:
     """(document id, start within the shard, ids)."""
     doc, null, start, width = _HEAD.unpack_from(payload)
@@ -178,7 +183,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                     shard = [files.create(folder, f"shard-{part:06d}-{seq:04d}", ".rec"), files.create(folder, f"shard-{part:06d}-{seq:04d}", ".idx"), 0, 0, 0]
                 (_, f), (_, idx), records, n, at = shard
                 data = record(key, n, np.append(ids, tail))
-                f.write(data), idx.write(struct.pack("<QQ", at, len(ids) + 1))
+                f.write(data), idx.write(entry(at, len(ids) + 1))
                 shard[2:] = records + 1, n + len(ids) + 1, at + len(data)
                 if shard[4] >= SHARD_BYTES:
                     close()
@@ -194,24 +199,28 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     return written(sorted_rows.mapInArrow(run, SHARDS), folder, "shards", TEXT_ROWS)
 
 
-def read_shards(spark: SparkSession, shards: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32[, ids]) of every record; start counts over all shards.
+def with_bases(shards: DataFrame) -> DataFrame:
+    """Shards with base: the ids of all shards before. Parts are summed first, so that only one small row a part is ordered in one task."""
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    before = F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return shards.join(parts.select("part", before.alias("before")), "part").withColumn("base", F.col("before") + within).drop("before")
 
-    The list of shards is gathered: one row for each SHARD_BYTES of output.
-    """
-    base, todo = 0, []
-    for s in shards.orderBy("part", "seq").collect():
-        todo.append((s["path"], base))
-        base += s["ids"]
-    schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            arrays = [pa.array(c, pa.int64()) for c in zip(*[r[:4] for r in rows], strict=True)]
-            if with_ids:
-                arrays.append(pa.array([r[4].astype(np.int32) for r in rows], pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
+READ = "id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _out(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    arrays = [pa.array(c, pa.int64()) for c in zip(*[r[:4] for r in rows], strict=True)]
+    if with_ids:
+        arrays.append(pa.array([r[4].astype(np.int32) for r in rows], pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
+
 
+def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32[, ids]) of every record, shard by shard in order of writing; start counts over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, size = [], 0
@@ -221,16 +230,78 @@ def read_shards(spark: SparkSession, shards: DataFrame, with_ids: bool = False)
                         rows.append((doc, first + start, len(ids), id_crc32(ids), ids))
                         size += len(ids)
                         if len(rows) >= 2000 or size > 4_000_000:
-                            yield out(rows)
+                            yield _out(rows, with_ids)
                             rows, size = [], 0
                 if rows:
-                    yield out(rows)
+                    yield _out(rows, with_ids)
+
+    paths = with_bases(shards).select("path", "base")
+    return paths.repartition(max(1, min(shards.count(), 4096)), "path").mapInArrow(run, READ + ", ids array<int>" * with_ids)
+
+
+def read_index(shards: DataFrame) -> DataFrame:
+    """(path, offset, start, n_tokens) of every record, from the index files alone; start counts over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, index, first in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                with files.open_at(index) as f:
+                    entries = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
+                offset, n = entries.astype(np.int64).T
+                start = first + np.cumsum(n) - n
+                for i in range(0, len(entries), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(n[part])), *(pa.array(x[part]) for x in (offset, start, n))], names=["path", "offset", "start", "n_tokens"])
+
+    paths = with_bases(shards).select("path", "index", "base")
+    return paths.repartition(max(1, min(shards.count(), 4096)), "path").mapInArrow(run, "path string, offset long, start long, n_tokens long")
+
+
+def read_shuffled(shards: DataFrame, seed: int, parts: int | None = None, with_ids: bool = False) -> DataFrame:
+    """The rows of read_shards in an order that hangs on the seed alone: place (from 0 within each partition) beside them.
+
+    Index entries, not records, are shuffled: each is dealt and ordered by a hash of seed and start, and its record read at
+    its offset, with no other byte of the shard. The same documents, seed and parts give the same order, however they were
+    dealt into shards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, pa.NativeFile] = {}
+        place = 0
+        try:
+            for b in batches:
+                rows, size = [], 0
+                for path, offset, start, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    if path not in open_:
+                        if len(open_) >= 64:
+                            open_.pop(next(iter(open_))).close()
+                        open_[path] = files.open_at(path)
+                    doc, _, ids = unpack(next(read_records(open_[path], offset)))
+                    if len(ids) != n:
+                        raise ValueError(f"index and record differ at {offset} of {path}")
+                    rows.append((doc, start, n, id_crc32(ids), ids))
+                    size += len(ids)
+                    if size > 1_000_000:
+                        yield placed(rows, place)
+                        place, rows, size = place + len(rows), [], 0
+                if rows:
+                    yield placed(rows, place)
+                    place += len(rows)
+        finally:
+            for f in open_.values():
+                f.close()
+
+    def placed(rows: list[tuple], place: int) -> pa.RecordBatch:
+        out = _out(rows, with_ids)
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.arange(place, place + len(rows)))], names=[*out.schema.names, "place"])
 
-    paths = spark.createDataFrame(todo, "path string, base long")
-    return paths.repartition(max(1, min(len(todo), 4096))).mapInArrow(run, schema)
+    entries = read_index(shards).withColumn("lot", F.xxhash64(F.lit(seed), "start"))
+    n = parts or int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(n, "lot").sortWithinPartitions("lot", "start").select("path", "offset", "start", "n_tokens")
+    return dealt.mapInArrow(run, READ + ", ids array<int>" * with_ids + ", place long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Write all documents and read them back: (id, start, n_tokens, ids_crc32[, ids]). Empty table: empty result."""
     folder = work_dir(docs.sparkSession)
-    return read_shards(docs.sparkSession, write_shards(docs, tokenizer, folder, id_col, text_col, end_id), with_ids)
+    return read_shards(write_shards(docs, tokenizer, folder, id_col, text_col, end_id), with_ids)

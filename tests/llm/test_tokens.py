@@ -8,9 +8,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from murmuration.llm import packing, tokens
+from murmuration.llm._common import work_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -74,7 +76,8 @@ def check_packing(got, rows, room):
             at += n
         assert at <= room
     assert sum(r.length for r in got) == sum(len(x) for _, x in texts)
-    assert sorted((r.id, tuple(r.ids)) for r in got if r.id is not None and r.piece == 0 and len(r.ids) < room) is not None
+    long = {tuple(x) for _, x in texts if len(x) <= room}
+    assert all(tuple(r.ids) in long for r in got if r.start == 0 and r.length < room and sum(x.id == r.id for x in got) == 1)
     return bins
 
 
@@ -140,3 +143,23 @@ def test_letters_as_one_piece():
     words = ["hello", " thoringerst", "éàü", " Ñandú", "ſ", " ªº", "ǅ", "日本", " ß", "ₐ", "ʰ"]
     got = [x.tolist() for x in tokens.encoder(PATH).encode([w + " " + w for w in words])]
     assert got == [TOK.encode(w + " " + w, add_special_tokens=False).ids for w in words]
+
+
+def test_shuffled_reads(spark, monkeypatch):
+    """Every record once, through the index, in an order that hangs on the seed and not on the shards."""
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 200)
+    rows = [(i, f"text {i} " + "more " * (i % 7)) for i in range(60)] + [(None, None), (3, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = [tokens.write_shards(docs.repartition(n), PATH, work_dir(spark)) for n in (1, 7)]
+    plain = [sorted((r.start, r.id or -1, r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in tokens.read_shards(s, with_ids=True).collect()) for s in shards]
+    assert plain[0] == plain[1] and len(plain[0]) == len(rows)
+    index = sorted((r.start, r.n_tokens) for r in tokens.read_index(shards[0]).collect())
+    assert index == [(r[0], r[2]) for r in plain[0]]
+    order = {}
+    for seed in (1, 2):
+        for k, s in enumerate(shards):
+            got = tokens.read_shuffled(s, seed, parts=3, with_ids=True).withColumn("part", F.spark_partition_id()).collect()
+            assert sorted((r.start, r.id or -1, r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in got) == plain[0]
+            order[seed, k] = [r.start for r in sorted(got, key=lambda r: (r.part, r.place))]
+    assert order[1, 0] == order[1, 1] != order[2, 0] == order[2, 1] and order[1, 0] != sorted(order[1, 0])
+    assert tokens.read_shuffled(tokens.write_shards(docs.limit(0), PATH, work_dir(spark)), 1).collect() == []

@@ -21,7 +21,7 @@ def brute(rows, k, scale, every):
 @pytest.mark.parametrize("kind", ["unit", "long tail", "clusters", "few"])
 def test_top_k(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BUCKET", 64)
-    monkeypatch.setattr(topk, "SEEDS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 30)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(7 if kind == "few" else 400, 12))
     if kind == "clusters":
