@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 DIMS, SEED, SAMPLE = 1024, 7, 2000
 UNKNOWN = "und"
 
-#: Letters from this code point on share so many vectors, by remainder; with those below that is at most about 200 letters, and their 3-grams fit in a table.
-FOLD_FROM, FOLD = 0x180, 61
+#: Letters below this code point have their 3-grams in a table, as many of them as BOUND rows take; others are bound anew for each block of texts, CHUNK at a time.
+DENSE_BELOW, BOUND, CHUNK = 0x180, 1 << 16, 8192
+#: Labels of fewer than one in so many of the rows with a label are not learned, so that at most so many are.
+LABELS = 10_000
 
 _LETTERS: dict[int, np.ndarray] = {}
 
@@ -31,78 +33,96 @@ def letter(code: int) -> np.ndarray:
 
 
 class Letters:
-    """Letters met so far, numbered from 1; 0 is everything else. Kept by each Python worker, with the bound vectors of its 3-grams."""
+    """Letters met so far, numbered from 1 (0 is everything else), those below DENSE_BELOW first. Kept by each Python worker, with the vectors of the first 3-grams of these."""
 
     def __init__(self) -> None:
         self.number = np.full(0x110000, -1, np.int32)  # of a code point; -1 not met yet
-        self.codes, self.classes, self.size = [32], {}, 32
-        self.rows = np.full(self.size**3, -1, np.int32)  # of a 3-gram in bound
+        self.number[:DENSE_BELOW] = 0
+        low = [c for c in range(DENSE_BELOW) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+        self.count = len(low) + 1
+        self.number[low] = np.arange(1, self.count)
+        self.turned = np.stack([np.stack([np.roll(letter(c), 2 - place) for c in [32, *low]]) for place in range(3)])
+        self.dense = 1 << (self.count - 1).bit_length()
+        self.rows = np.full(self.dense**3, -1, np.int32)  # of a 3-gram in bound
         self.bound, self.used = np.zeros((4096, DIMS), np.int8), 0
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         n = self.number[codes]
         if n.min(initial=0) < 0:
-            for c in np.unique(codes[n < 0]).tolist():
-                self.number[c] = 0
-                if chr(c).isalpha():
-                    c, met = c if c < FOLD_FROM else FOLD_FROM + c % FOLD, c
-                    if c not in self.classes:
-                        self.classes[c] = len(self.codes)
-                        self.codes.append(c)
-                    self.number[met] = self.classes[c]
+            new = np.unique(codes[n < 0]).tolist()
+            known = [c for c in new if chr(c).isalpha()]
+            self.number[new] = 0
+            self.number[known] = np.arange(self.count, self.count + len(known))
+            while self.count + len(known) > self.turned.shape[1]:
+                self.turned = np.concatenate([self.turned, np.zeros_like(self.turned)], axis=1)
+            for c in known:
+                for place in range(3):
+                    self.turned[place, self.count] = np.roll(letter(c), 2 - place)
+                self.count += 1
             n = self.number[codes]
-        if len(self.codes) > self.size:  # more letters: 3-grams are numbered anew
-            self.size = 1 << (len(self.codes) - 1).bit_length()
-            self.rows, self.used = np.full(self.size**3, -1, np.int32), 0
         return n
 
-    def vectors(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each 3-gram in bound."""
-        rows = self.rows[keys]
-        if rows.min(initial=0) < 0:
-            new = np.unique(keys[rows < 0])
+    def bind(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.turned[0, a] * self.turned[1, b] * self.turned[2, c]
+
+    def kept(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Row of each 3-gram in bound; -1 of those that have none."""
+        k = self.dense
+        fit = (a < k) & (b < k) & (c < k)
+        keys = np.where(fit, (a.astype(np.int64) * k + b) * k + c, 0)
+        rows = np.where(fit, self.rows[keys], -1)
+        missing = fit & (rows < 0)
+        if missing.any() and self.used < BOUND:
+            new = np.unique(keys[missing])[: BOUND - self.used]
             while self.used + len(new) > len(self.bound):
                 self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
-            k, table = self.size, [np.stack([np.roll(letter(c), 2 - place) for c in self.codes]) for place in range(3)]
-            self.bound[self.used : self.used + len(new)] = table[0][new // (k * k)] * table[1][new // k % k] * table[2][new % k]
+            self.bound[self.used : self.used + len(new)] = self.bind(new // (k * k), new // k % k, new % k)
             self.rows[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
-            rows = self.rows[keys]
+            rows = np.where(fit, self.rows[keys], -1)
         return rows
 
 
 _STATE: list[Letters] = []
 
 
+def _add(out: np.ndarray, own: np.ndarray, kind: np.ndarray, kinds: int, vectors) -> None:
+    """Add to each text's row the vectors of its 3-grams; kind numbers them, CHUNK are widened at a time."""
+    order = np.argsort(kind, kind="stable")
+    own, kind = own[order], kind[order]
+    exact = np.float32 if len(own) < 1 << 24 else np.float64
+    for at in range(0, kinds, CHUNK):
+        n = min(CHUNK, kinds - at)
+        i, j = np.searchsorted(kind, [at, at + n])
+        counts = np.bincount(own[i:j].astype(np.int64) * n + (kind[i:j] - at), minlength=len(out) * n).reshape(len(out), n)
+        out += counts.astype(exact) @ vectors(at, at + n).astype(exact)
+
+
 def bundle(texts: list[str | None]) -> np.ndarray:
     """One vector for each text, the sum over its 3-grams of lower-case letters, other characters a single space; zero without a letter."""
     if not _STATE:
         _STATE.append(Letters())
     low = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(" ".join(["", *low, ""]).encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer(" ".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
     own = np.concatenate([[0], own])[: len(codes)]
-    if _STATE[0].used > 1 << 16:
-        _STATE[0] = Letters()
     state = _STATE[0]
     n = state.numbers(codes)
     keep = np.flatnonzero(np.concatenate([[True], (n[1:] > 0) | (n[:-1] > 0)]))
     n, own = n[keep], own[keep]
     some = n[1:-1] > 0  # a 3-gram round a letter: words have a space on both sides
-    k = state.size
-    rows = state.vectors(((n[:-2] * k + n[1:-1]) * k + n[2:])[some])
-    own = own[1:-1][some]
+    a, b, c, own = n[:-2][some], n[1:-1][some], n[2:][some], own[1:-1][some]
+    rows = state.kept(a, b, c)
     out = np.zeros((len(texts), DIMS))
-    found = np.flatnonzero(np.bincount(rows, minlength=state.used))
-    small = np.zeros(state.used, np.int64)
+    here = rows >= 0
+    found = np.flatnonzero(np.bincount(rows[here], minlength=state.used))
+    small = np.zeros(state.used + 1, np.int64)
     small[found] = np.arange(len(found))
-    table = state.bound[found].astype(np.float32)
-    for i in range(0, len(texts), 64):
-        a, b = np.searchsorted(own, [i, i + 64])
-        m = min(64, len(texts) - i)
-        counts = np.bincount((own[a:b] - i) * len(found) + small[rows[a:b]], minlength=m * len(found)).reshape(m, len(found))
-        kind = np.float32 if b - a < 1 << 24 else np.float64  # exact sums
-        out[i : i + m] = counts.astype(kind) @ table.astype(kind, copy=False)
+    _add(out, own[here], small[rows[here]], len(found), lambda i, j: state.bound[found[i:j]])
+    if not here.all():
+        keys, kind = np.unique((a[~here].astype(np.int64) << 40) | (b[~here].astype(np.int64) << 20) | c[~here], return_inverse=True)
+        mask = (1 << 20) - 1
+        _add(out, own[~here], kind, len(keys), lambda i, j: state.bind(keys[i:j] >> 40, keys[i:j] >> 20 & mask, keys[i:j] & mask))
     return out
 
 
@@ -120,10 +140,13 @@ def _parts(texts: list[str | None], rows: int = 128, chars: int = 1 << 20) -> It
 def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Unit profiles by language, from a hash sample of about `sample` texts of each (all, of those that have fewer).
 
-    Rows with a null text or language are not learned from. On the driver: one count and one vector a language.
+    Rows with a null text or language, or a label rarer than LABELS allows, are not learned from. On the driver: one count
+    and one vector a language, LABELS at most.
     """
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    every = rows.groupBy("lang").count()
+    least = (every.agg(F.sum("count")).first()[0] or 0) / LABELS
+    counts = {r["lang"]: r["count"] for r in every.where(F.col("count") >= least).collect()}
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
@@ -182,7 +205,12 @@ def held_out(id_col: str, parts: int, part: int):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row; learned from the rows whose crc32 of the id mod 4 is not 2. A null id is not held out."""
+    """(id, held_out, lang_pred, score) of every row; learned from the rows whose crc32 of the id mod 4 is not 2.
+
+    A null id is not held out; rows that repeat an id are predicted each, equal texts alike. Whole texts, however long.
+    Null, empty and letterless texts, and all where nothing could be learned: `und`, 0. Other columns are not read. Empty
+    table: empty result.
+    """
     out = held_out(id_col, 4, 2)
     profiles = learn(docs.where(~out), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).cast("string").alias("text"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,17 @@ SAMPLE, TELLING, COMMON, CACHE = 3000, 120, 8, 400_000
 
 _EDGES = " \t\n.,;:!?$%&#*|()[]{}\"'«»„“”’-_+=/\\<>~^`@"
 _SPELT = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+#: Three or more letters in turn, each parted from the next by signs other than white space.
+_PARTED = re.compile(r"[^\W_](?:[^\w\s]{1,2}[^\W_]|_[^\W_]){2,}(?![^\W_])")
+_LETTERS_OF = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> set[str]:
-    """Lower-case words of a text, and runs of three or more single letters as a word."""
+    """Lower-case words of a text, runs of three or more single letters as a word, and words with signs between their letters (i-d-i-o-t) without them."""
     low = (text or "").lower()
     found = set(low.split())
     found.update("".join(m.split()) for m in _SPELT.findall(low))
+    found.update("".join(_LETTERS_OF.findall(m)) for m in _PARTED.findall(low))
     return found
 
 
@@ -69,14 +73,36 @@ def _masks(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(np.where(codes == 0, np.uint64(0), np.uint64(1) << (codes % 64).astype(np.uint64)), axis=1)
 
 
-def _pairs(codes: np.ndarray, gaps: tuple[int, ...]) -> np.ndarray:
-    """Which ordered pairs of letters at these distances a word has, hashed to 256 bits, as four words."""
-    bits = np.zeros((len(codes), 256), bool)
-    wide = codes.astype(np.uint64)
-    for g in gaps:
-        i, j = np.nonzero(codes[:, g:])
-        bits[i, ((wide[i, j] * np.uint64(131) + wide[i, j + g]) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(256)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+def _ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each letter, by code modulo 64, in each word; of missing ones 99 and -1."""
+    first, last = np.full((len(codes), 64), 99, np.int8), np.full((len(codes), 64), -1, np.int8)
+    for j in range(WIDTH):
+        rows = np.flatnonzero(codes[:, j])
+        last[rows, codes[rows, j] % 64] = j
+        rows = np.flatnonzero(codes[:, WIDTH - 1 - j])
+        first[rows, codes[rows, WIDTH - 1 - j] % 64] = WIDTH - 1 - j
+    return first, last
+
+
+def parts(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """A word's subsequences of three letters, by codes modulo 64, and the share of each in the square of its norm."""
+    weight: dict[tuple[int, ...], float] = {}
+    for at in combinations(range(len(word)), ORDER):
+        key = tuple(ord(word[i]) for i in at)
+        weight[key] = weight.get(key, 0.0) + DECAY ** (at[-1] - at[0] + 1)
+    grams, mass = np.array(list(weight), np.int64).reshape(-1, ORDER) % 64, np.array(list(weight.values())) ** 2
+    return grams, mass / max(mass.sum(), 1e-300)
+
+
+def least_letters(grams: np.ndarray, mass: np.ndarray) -> int:
+    """How many of its letters a word must share for a kernel of FLOOR: what the shared letters leave of the norm bounds the kernel (Cauchy-Schwarz)."""
+    letters = np.unique(grams)
+    if len(letters) > 12:
+        return 2
+    own = np.bitwise_or.reduce(1 << np.searchsorted(letters, grams), axis=1) if len(grams) else np.empty(0, np.int64)
+    sets = np.arange(1 << len(letters))
+    left = np.array([mass[(own & ~s) == 0].sum() for s in sets])
+    return int(np.bitwise_count(sets[left >= FLOOR * FLOOR - 1e-6]).min(initial=64))
 
 
 class Featurizer:
@@ -87,11 +113,8 @@ class Featurizer:
         self.codes = _codes([w[:WIDTH] for w in landmarks])
         self.own = np.sqrt(kernel(self.codes, self.codes)) if landmarks else np.empty(0)
         self.masks = _masks(self.codes)
-        # a kernel of FLOOR needs most of the landmark's letters
-        self.least = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.masks))).astype(np.uint8)
-        # and enough of its neighbouring pairs in order, with up to two letters between them
-        self.pairs = _pairs(self.codes, (1,))
-        self.least_pairs = np.maximum(1, np.ceil(0.4 * np.bitwise_count(self.pairs).sum(axis=1))).astype(np.uint8)
+        self.parts = [parts(w[:WIDTH]) for w in landmarks]
+        self.least = np.array([least_letters(*p) for p in self.parts], np.uint8)
         self.near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.far: dict[str, None] = {}
 
@@ -110,11 +133,12 @@ class Featurizer:
             codes = _codes([parts[i] for i in rows])
             shared = np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :])
             fit = shared >= self.least[None, :]
-            some = np.flatnonzero(fit.any(axis=1))
-            pairs, both = _pairs(codes[some], (1, 2, 3)), np.zeros((len(some), len(self.landmarks)), np.uint8)
-            for k in range(4):
-                both += np.bitwise_count(pairs[:, k][:, None] & self.pairs[:, k][None, :])
-            fit[some] &= both >= self.least_pairs[None, :]
+            first, last = _ends(codes)
+            for n, (grams, mass) in enumerate(self.parts):  # what the letters in order leave of the norm bounds the kernel, too
+                some = np.flatnonzero(fit[:, n])
+                x, y, z = grams.T
+                one, two = first[some], last[some]
+                fit[some, n] = ((one[:, x] < two[:, y]) & (one[:, y] < two[:, z])) @ mass >= FLOOR * FLOOR - 1e-6
             a, b = np.nonzero(fit)
             if not len(a):
                 continue

@@ -4,6 +4,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from murmuration.llm import toxicity
 
@@ -32,6 +34,30 @@ def test_gaps_and_insertions():
     f = toxicity.Featurizer(["idiot", "thereon"])
     v = f(["you i d i o t there", "such an idiiot", "id-iot!", "good morning", "", None, "x" * 100 + "idiot" + "y" * 3])
     assert (v[:3, 0] >= toxicity.FLOOR).all() and (v[3:6, 0] == 0).all()
+    v = f(["i-d-i-o-t", "i.d.i.o.t!", "an *i*d*i*o*t*, he", "i_d_i_o_t", "idi-ot", "i - d - i - o - t"])
+    assert (v[:5, 0] >= toxicity.FLOOR).all()
+
+
+@given(st.lists(st.sampled_from("abcdeio"), min_size=3, max_size=9).map("".join), st.data())
+@settings(max_examples=1500, deadline=None)
+def test_prefilters_lose_no_kernel(word, data):
+    """A word's value at a landmark is its kernel by definition wherever that reaches FLOOR, though letters and pairs are compared first."""
+    other = list(word)
+    for _ in range(data.draw(st.integers(0, 3))):
+        at = data.draw(st.integers(0, len(other)))
+        how = data.draw(st.sampled_from("adr"))
+        if how == "a":
+            other.insert(at, data.draw(st.sampled_from("abcdeioz")))
+        elif other and at < len(other):
+            other[at : at + 1] = [] if how == "d" else [data.draw(st.sampled_from("abcdeioz"))]
+    text = "".join(other)
+    own = (brute(word, word) * brute(text, text)) ** 0.5
+    want = brute(word, text) / own if own else 0.0
+    got = toxicity.Featurizer([word])([text])[0, 0]
+    if want >= toxicity.FLOOR + 1e-4:
+        assert abs(got - min(1.0, want)) < 1e-4
+    elif want < toxicity.FLOOR - 1e-4:
+        assert got == 0
 
 
 def test_rows(spark):
