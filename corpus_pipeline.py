@@ -92,7 +92,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its token ids, its sequence and its place there, sequences of 2048 tokens.
+    """Every piece of every document with its token ids (little-endian unsigned 16-bit), its sequence and its place there, sequences of 2048 tokens.
 
     Null and empty texts are a piece of one id; null and repeated ids stay, each row is a document; long texts are cut
     into several pieces. Other columns are not read. Empty table: empty.

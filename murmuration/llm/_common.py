@@ -57,6 +57,13 @@ def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for name in names:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of rows with groups (one row per key; `count` says how many rows have it), even if one key has most rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import join_groups, written
+from murmuration.llm._common import drop, join_groups, written
 
 
 def _star(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -36,4 +36,5 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         large = written(large.distinct(), folder, f"large_{n}")
         small = _star(large, folder, f"small_{n}").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b")
         state = written(small.distinct(), folder, f"edges_{n}")
+        drop(state.sparkSession, folder, f"edges_{n - 1}", f"large_{n}", f"large_{n}_least", f"small_{n}_least")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -68,40 +68,48 @@ class Letters:
     def kept(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Row of each 3-gram in bound; -1 of those that have none."""
         k = self.dense
-        fit = (a < k) & (b < k) & (c < k)
-        keys = np.where(fit, (a.astype(np.int64) * k + b) * k + c, 0)
-        rows = np.where(fit, self.rows[keys], -1)
-        missing = fit & (rows < 0)
-        if missing.any() and self.used < BOUND:
-            new = np.unique(keys[missing])[: BOUND - self.used]
+        if max(x.max(initial=0) for x in (a, b, c)) < k:
+            fit, keys = True, (a * k + b) * k + c
+        else:
+            fit = (a < k) & (b < k) & (c < k)
+            keys = np.where(fit, (a * k + b) * k + c, 0)
+        rows = self.rows[keys]
+        if self.used < BOUND and rows.min(initial=0) < 0:
+            new = np.unique(keys[fit & (rows < 0)])[: BOUND - self.used]
             while self.used + len(new) > len(self.bound):
                 self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
             self.bound[self.used : self.used + len(new)] = self.bind(new // (k * k), new // k % k, new % k)
             self.rows[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
-            rows = np.where(fit, self.rows[keys], -1)
-        return rows
+            rows = self.rows[keys]
+        return rows if fit is True else np.where(fit, rows, -1)
 
 
 _STATE: list[Letters] = []
 
 
 def _add(out: np.ndarray, own: np.ndarray, kind: np.ndarray, kinds: int, vectors) -> None:
-    """Add to each text's row the vectors of its 3-grams; kind numbers them, CHUNK are widened at a time."""
-    order = np.argsort(kind, kind="stable")
-    own, kind = own[order], kind[order]
+    """Add to each text's row the vectors of its 3-grams; own ascends, kind numbers the 3-grams; CHUNK of them are widened at a time."""
     exact = np.float32 if len(own) < 1 << 24 else np.float64
-    for at in range(0, kinds, CHUNK):
-        n = min(CHUNK, kinds - at)
-        i, j = np.searchsorted(kind, [at, at + n])
-        counts = np.bincount(own[i:j].astype(np.int64) * n + (kind[i:j] - at), minlength=len(out) * n).reshape(len(out), n)
-        out += counts.astype(exact) @ vectors(at, at + n).astype(exact)
+    step = max(1, (1 << 21) // max(1, kinds))  # texts whose counts are held at a time
+    for i in range(0, len(out), step):
+        a, b = np.searchsorted(own, [i, i + step])
+        m = min(step, len(out) - i)
+        if m * kinds <= 1 << 23:
+            counts = np.bincount((own[a:b] - i).astype(np.int64) * kinds + kind[a:b], minlength=m * kinds).reshape(m, kinds)
+            for at in range(0, kinds, CHUNK):
+                out[i : i + m] += counts[:, at : at + CHUNK].astype(exact) @ vectors(at, min(kinds, at + CHUNK)).astype(exact)
+        else:  # one text, a great many 3-grams
+            here, times = np.unique(kind[a:b], return_counts=True)
+            for at in range(0, len(here), CHUNK):
+                out[i] += times[at : at + CHUNK].astype(exact) @ vectors(here[at : at + CHUNK], None).astype(exact)
 
 
 def bundle(texts: list[str | None]) -> np.ndarray:
     """One vector for each text, the sum over its 3-grams of lower-case letters, other characters a single space; zero without a letter."""
     if not _STATE:
         _STATE.append(Letters())
+    pick = lambda i, j: slice(i, j) if j is not None else i
     low = [(t or "").lower() for t in texts]
     codes = np.frombuffer(" ".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
@@ -115,14 +123,16 @@ def bundle(texts: list[str | None]) -> np.ndarray:
     rows = state.kept(a, b, c)
     out = np.zeros((len(texts), DIMS))
     here = rows >= 0
-    found = np.flatnonzero(np.bincount(rows[here], minlength=state.used))
-    small = np.zeros(state.used + 1, np.int64)
+    whole = bool(here.all())
+    known, of = (rows, own) if whole else (rows[here], own[here])
+    found = np.flatnonzero(np.bincount(known, minlength=state.used))
+    small = np.zeros(state.used + 1, np.int32)
     small[found] = np.arange(len(found))
-    _add(out, own[here], small[rows[here]], len(found), lambda i, j: state.bound[found[i:j]])
-    if not here.all():
+    _add(out, of, small[known], len(found), lambda i, j: state.bound[found[pick(i, j)]])
+    if not whole:
         keys, kind = np.unique((a[~here].astype(np.int64) << 40) | (b[~here].astype(np.int64) << 20) | c[~here], return_inverse=True)
         mask = (1 << 20) - 1
-        _add(out, own[~here], kind, len(keys), lambda i, j: state.bind(keys[i:j] >> 40, keys[i:j] >> 20 & mask, keys[i:j] & mask))
+        _add(out, own[~here], kind, len(keys), lambda i, j: state.bind(keys[pick(i, j)] >> 40, keys[pick(i, j)] >> 20 & mask, keys[pick(i, j)] & mask))
     return out
 
 

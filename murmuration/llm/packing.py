@@ -135,21 +135,23 @@ def pieces(docs: DataFrame, tokenizer: str, room: int, id_col: str, text_col: st
                     rows.append((key, i, start, n, id_crc32(ids[start : start + n]), part, int(seen[n])))
                     seen[n] += 1
                     if keep_ids:
-                        kept.append(ids[start : start + n].astype(np.int32))
+                        kept.append(ids[start : start + n].tobytes())
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
             names = ["id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             if keep_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int32())))
+                cols.append(pa.array(kept, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids
+    schema = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there: (id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
+    ids are the piece's ids as little-endian unsigned integers, of 16 bits where the vocabulary allows, else of 32.
+
     A document is its ids and end_id; only those longer than room are cut. Null and empty texts are a piece of one id.
     Null and repeated ids stay, each row is a document. Other columns are not read. Empty table: empty result.
     Gathered on the driver: one count for each length, room rows at most.

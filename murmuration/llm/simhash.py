@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import TEXT_ROWS, join_groups, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, drop, join_groups, work_dir, written
 from murmuration.llm.components import connected_components
 
 SEED = 42
@@ -179,13 +179,15 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
 
 
 #: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece or component compared all with all, bytes of shingles of such rows.
-BINS, PIECE, DENSE, DENSE_BYTES = 1024, 12, 1024, 16 << 20
+BINS, PIECE, DENSE, DENSE_BYTES = 256, 12, 1024, 16 << 20
+#: Rows of two numbers that are broadcast at most; beyond, their join is dealt.
+FEW = 1_000_000
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
 SHARED = 0.4
 #: Texts of so many shingles at most meet by single shingles, of which no like pair can escape.
 SHORT = 128
-#: What an agreement may fall short of the similarity asked for and still be checked; its standard error at 0.8 is 0.014 for long texts, less for texts of few shingles.
-SLACK = 0.05
+#: What an agreement may fall short of the similarity asked for and still be checked; its standard error at 0.8 is 0.028 for long texts, less for texts of few shingles.
+SLACK = 0.1
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -385,9 +387,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # of the rows with the same shingles one speaks for all
     groups = rows.groupBy("key", "fp").agg(F.min(F.struct("id", "row")).alias("first"), F.max(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("n"))
     groups = written(groups.select("key", "fp", F.col("first.row").alias("rep"), F.col("first.id").alias("id"), "bytes", "n"), folder, "groups")
-    near = fingerprint_links(groups, folder)
-    reps = written(rows.select(F.col("row").alias("id"), "sketch", "pieces", "singles").join(groups.select(F.col("rep").alias("id")), "id"), folder, "reps")
+    near = written(fingerprint_links(groups, folder), folder, "near")
+    drop(docs.sparkSession, folder, "anchors", "big_anchors")
+    # mostly few: then texts that are not spoken for by another need not be moved
+    n = rows.count()
+    others = join_groups(rows.select("row", "key"), groups.where("n > 1").select("key", "rep", "n"), "key", "n", n).where("row != rep").select("row")
+    others = written(others, folder, "others")
+    reps = rows.join(F.broadcast(others) if others.count() <= FEW else others, "row", "left_anti").select(F.col("row").alias("id"), "sketch", "pieces", "singles")
     maybe = connected_components(near.union(_meetings(reps, folder, similarity)), f"{folder}/maybe")
+    drop(docs.sparkSession, folder, "pieces", "rarest", "rarest_pieces", "near")
     members = maybe.union(maybe.select("root", "root").distinct()).toDF("rep", "group")
     members = written(members.join(groups.select("rep", "bytes"), "rep"), folder, "members")
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))
@@ -395,10 +403,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = _dealt(dealt.join(rows.select(F.col("row").alias("id"), "shingles"), "id"), F.col("blocks"))
     true = dealt.select("group", "block", "id", "shingles").repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(lambda it: _verify(it, similarity), "a long, b long")
     roots = connected_components(true, f"{folder}/true")
+    keys = written(rows.select("id", "key"), folder, "keys")
+    drop(docs.sparkSession, folder, "profiles", "members", "sizes", "maybe")
     named = written(groups.join(roots, F.col("rep") == F.col("node"), "left").select("key", "id", F.coalesce("root", "rep").alias("root"), "n"), folder, "named")
     least = written(named.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("roots")), folder, "least")
     named = join_groups(named.select("key", "root", "n"), least, "root", "roots", named.count()).select("key", "component", "n")
-    return join_groups(rows.select("id", "key"), written(named, folder, "components"), "key", "n", rows.count()).select("id", "component")
+    return join_groups(keys, written(named, folder, "components"), "key", "n", n).select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

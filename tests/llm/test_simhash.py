@@ -98,7 +98,7 @@ def test_edited_copies_before_the_original(spark, monkeypatch):
 
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
-    for n, most in ((60, 0.04), (300, 0.04), (20_000, 0.06)):
+    for n, most in ((60, 0.1), (300, 0.1), (20_000, 0.13)):
         off = []
         for share in (0.0, 0.5, 0.8, 0.9, 1.0):
             for _ in range(20):
@@ -106,7 +106,7 @@ def test_sketches_estimate_similarity():
                 x, y = np.concatenate([same, a]), np.concatenate([same, b])
                 s = simhash.Sketches(np.stack([simhash.sketch(x), simhash.sketch(y)]))
                 off.append(s.agreement(np.array([0]), np.array([1]))[0] - len(same) / (len(same) + len(a) + len(b)))
-        assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < most + 0.03
+        assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < most
 
 
 def jaccard_components(texts, least=0.8):
