@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A key with at least this share of all rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1e-3
 
@@ -57,6 +63,44 @@ def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps for the tasks of one module, and which.
+_KEPT: dict[object, object] = {}
+_OWNER: list[str | None] = [None]
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """make(), once for each Python worker and key, until a task of another module begins there."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _begin(module: str) -> None:
+    if _OWNER[0] != module:
+        _KEPT.clear()
+        _OWNER[0] = module
+
+
+def _trim() -> None:
+    """Give freed memory back: the workers of an executor share a limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, leaving little memory behind: what other modules kept goes before, what was freed after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(function.__module__)
+        yield from function(batches)
+        _trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def drop(spark: SparkSession, folder: str, *names: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
     for name in names:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import TEXT_ROWS, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, mapped, work_dir, written
 
 #: Least score that counts as a copy; words of the items of one block, which is broadcast (about 160 bytes a word): more are done block by block; words of one alignment.
 THRESHOLD, ITEM_WORDS, STRETCH = 0.5, 500_000, 512
@@ -246,9 +246,9 @@ def _find_block(docs: DataFrame, block: Block, folder: str, threshold: float) ->
                 d, a, t, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d, pa.int64())), pa.array(a, pa.int64()), pa.array(t, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["id", "first", "words", "items"])
 
-    near = written(docs.mapInArrow(gather, f"id {id_type}, first long, words array<int>, items array<int>"), folder, "stretches", TEXT_ROWS)
+    near = written(mapped(docs, gather, f"id {id_type}, first long, words array<int>, items array<int>"), folder, "stretches", TEXT_ROWS)
     # few rows, much work each: dealt anew, so that long documents' stretches do not stay in one task
-    return near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "first").mapInArrow(lambda it: _compare(it, block), f"id {id_type}, {FOUND}")
+    return mapped(near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "first"), lambda it: _compare(it, block), f"id {id_type}, {FOUND}")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.llm._common import kept, mapped
+
 #: Dimensions of the vectors, seed of the letters, expected texts of each language that the profiles are learned from.
 DIMS, SEED, SAMPLE = 1024, 7, 2000
 UNKNOWN = "und"
@@ -85,9 +87,6 @@ class Letters:
         return rows if fit is True else np.where(fit, rows, -1)
 
 
-_STATE: list[Letters] = []
-
-
 def _add(out: np.ndarray, own: np.ndarray, kind: np.ndarray, kinds: int, vectors) -> None:
     """Add to each text's row the vectors of its 3-grams; own ascends, kind numbers the 3-grams; CHUNK of them are widened at a time."""
     exact = np.float32 if len(own) < 1 << 24 else np.float64
@@ -107,14 +106,12 @@ def _add(out: np.ndarray, own: np.ndarray, kind: np.ndarray, kinds: int, vectors
 
 def bundle(texts: list[str | None]) -> np.ndarray:
     """One vector for each text, the sum over its 3-grams of lower-case letters, other characters a single space; zero without a letter."""
-    if not _STATE:
-        _STATE.append(Letters())
     pick = lambda i, j: slice(i, j) if j is not None else i
     low = [(t or "").lower() for t in texts]
     codes = np.frombuffer(" ".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
     own = np.concatenate([[0], own])[: len(codes)]
-    state = _STATE[0]
+    state = kept("letters", Letters)
     n = state.numbers(codes)
     keep = np.flatnonzero(np.concatenate([[True], (n[1:] > 0) | (n[:-1] > 0)]))
     n, own = n[keep], own[keep]
@@ -173,7 +170,7 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMS), pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(v.astype(np.int64))], names=["lang", "i", "v"])
 
     profiles: dict[str, np.ndarray] = {k: np.zeros(DIMS) for k in sorted(counts)}
-    for r in chosen.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
+    for r in mapped(chosen, run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
         profiles[r["lang"]][r["i"]] = r["v"]
     return {k: v / max(1.0, float(np.linalg.norm(v))) for k, v in profiles.items()}
 
@@ -207,7 +204,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return mapped(docs, run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str, parts: int, part: int):

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import TEXT_ROWS, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, mapped, work_dir, written
 from murmuration.llm.tokens import _rows, encoder, id_crc32
 
 #: A pattern: ((length, how many), ...), and the number of sequences filled so.
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -181,4 +181,4 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     fields = [f"{c} {t}" for c, t in ranked.dtypes if c != "rank"]
-    return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
+    return mapped(ranked, place, ", ".join([*fields, "sequence_id long", "offset long"]))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.llm._common import mapped
+
 from murmuration.llm.boosting import Trees
 
 KINDS = ("email", "ip", "card", "phone")
@@ -288,7 +290,7 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     span = "array<struct<kind: string, start: int, end: int>>"
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, spans_base {span}, spans_added {span}, redacted string")
+    return mapped(docs, run, f"{fields}, spans_base {span}, spans_added {span}, redacted string")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import TEXT_ROWS, drop, join_groups, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, drop, join_groups, mapped, work_dir, written
 from murmuration.llm.components import connected_components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
 _POS = np.arange(1, 32, dtype=np.uint32)
@@ -166,7 +166,7 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
     An anchor with more than BLOCK rows is split: its rows are dealt into blocks by hash, and every pair of blocks meets
     in a task of its own, so that a task never holds more than two blocks.
     """
-    rows = distinct.select("fp", "rep").mapInArrow(_replicate, "anchor long, fp long, rep long")
+    rows = mapped(distinct.select("fp", "rep"), _replicate, "anchor long, fp long, rep long")
     rows = written(rows, folder, "anchors")
     big = written(rows.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), folder, "big_anchors")
     if big.head(1):
@@ -175,7 +175,7 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
         rows = rows.join(big, "anchor", "left").select("anchor", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("block"), "fp", "rep")
     else:
         rows = rows.select("anchor", F.lit(0).alias("block"), "fp", "rep")
-    return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare, "a long, b long")
+    return mapped(rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block"), _compare, "a long, b long")
 
 
 #: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece or component compared all with all, bytes of shingles of such rows.
@@ -295,7 +295,7 @@ def _profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                     names=["id", "key", "fp", "sketch", "pieces", "singles", "shingles"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key string, fp long, sketch binary, pieces array<long>, singles array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id())
+    return mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, key string, fp long, sketch binary, pieces array<long>, singles array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def true_links(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +363,7 @@ def _meetings(reps: DataFrame, folder: str, similarity: float) -> DataFrame:
     often = written(rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int")), folder, "rarest_pieces")
     held = _dealt(join_groups(rarest, often, "piece", "n", rarest.count()).where("blocks is not null"), F.col("blocks")).select("id", "piece", "block")
     meet = held.join(reps.select("id", "sketch"), "id").repartition("piece", "block").sortWithinPartitions("piece", "block")
-    return meet.select("piece", "block", "id", "sketch").mapInArrow(lambda it: _alike(it, similarity - SLACK), "a long, b long")
+    return mapped(meet.select("piece", "block", "id", "sketch"), lambda it: _alike(it, similarity - SLACK), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -401,7 +401,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))
     dealt = join_groups(members, written(sizes, folder, "sizes"), "group", "n", members.count()).select(F.col("rep").alias("id"), "group", "blocks")
     dealt = _dealt(dealt.join(rows.select(F.col("row").alias("id"), "shingles"), "id"), F.col("blocks"))
-    true = dealt.select("group", "block", "id", "shingles").repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(lambda it: _verify(it, similarity), "a long, b long")
+    true = mapped(dealt.select("group", "block", "id", "shingles").repartition("group", "block").sortWithinPartitions("group", "block"), lambda it: _verify(it, similarity), "a long, b long")
     roots = connected_components(true, f"{folder}/true")
     keys = written(rows.select("id", "key"), folder, "keys")
     drop(docs.sparkSession, folder, "profiles", "members", "sizes", "maybe")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.llm import files
-from murmuration.llm._common import TEXT_ROWS, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, kept, mapped, work_dir, written
 
 #: Chunks, and characters of chunks, whose ids a Python worker remembers at most. When full it forgets the later half: what came first is mostly what is common.
 CACHE, CACHE_CHARS = 320_000, 6_000_000
@@ -91,14 +91,9 @@ class Encoder:
                 yield np.frombuffer(b"".join(map(get, c)), self.dtype)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def id_crc32(ids: np.ndarray) -> int:
@@ -196,7 +191,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    return written(sorted_rows.mapInArrow(run, SHARDS), folder, "shards", TEXT_ROWS)
+    return written(mapped(sorted_rows, run, SHARDS), folder, "shards", TEXT_ROWS)
 
 
 def with_bases(shards: DataFrame) -> DataFrame:
@@ -236,7 +231,7 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield _out(rows, with_ids)
 
     paths = with_bases(shards).select("path", "base")
-    return paths.repartition(max(1, min(shards.count(), 4096)), "path").mapInArrow(run, READ + ", ids array<int>" * with_ids)
+    return mapped(paths.repartition(max(1, min(shards.count(), 4096)), "path"), run, READ + ", ids array<int>" * with_ids)
 
 
 def read_index(shards: DataFrame) -> DataFrame:
@@ -254,7 +249,7 @@ def read_index(shards: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(n[part])), *(pa.array(x[part]) for x in (offset, start, n))], names=["path", "offset", "start", "n_tokens"])
 
     paths = with_bases(shards).select("path", "index", "base")
-    return paths.repartition(max(1, min(shards.count(), 4096)), "path").mapInArrow(run, "path string, offset long, start long, n_tokens long")
+    return mapped(paths.repartition(max(1, min(shards.count(), 4096)), "path"), run, "path string, offset long, start long, n_tokens long")
 
 
 def read_shuffled(shards: DataFrame, seed: int, parts: int | None = None, with_ids: bool = False) -> DataFrame:
@@ -298,7 +293,7 @@ def read_shuffled(shards: DataFrame, seed: int, parts: int | None = None, with_i
     entries = read_index(shards).withColumn("lot", F.xxhash64(F.lit(seed), "start"))
     n = parts or int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(n, "lot").sortWithinPartitions("lot", "start").select("path", "offset", "start", "n_tokens")
-    return dealt.mapInArrow(run, READ + ", ids array<int>" * with_ids + ", place long")
+    return mapped(dealt, run, READ + ", ids array<int>" * with_ids + ", place long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import work_dir, written
+from murmuration.llm._common import mapped, work_dir, written
 
 #: Vectors a bucket, queries that one task compares with a bucket, queries scored at a time, buckets of the first wave, coordinates whose intervals are tried.
 BUCKET, QUERIES, BLOCK, FIRST, FOCUS = 8192, 8192, 512, 1, 6
@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_
         wanted = asks.groupBy("bucket", "dim").agg(F.collect_set("block").alias("blocks"))
         here = held.join(wanted, ["bucket", "dim"]).select("bucket", "dim", F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("least"))
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(part) * blocks))
-        found = here.union(asks).repartition(tasks, "bucket", "dim", "block").sortWithinPartitions("bucket", "dim", "block", "kind").mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
+        found = mapped(here.union(asks).repartition(tasks, "bucket", "dim", "block").sortWithinPartitions("bucket", "dim", "block", "kind"), lambda it: _search(it, k), "query_id long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         best_ = written(best_.union(found).withColumn("rank", rank).where(F.col("rank") <= k), folder, f"best_{wave}")
         ranked, best_ = best_, best_.drop("rank")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import work_dir, written
+from murmuration.llm._common import kept, mapped, work_dir, written
 from murmuration.llm.langid import held_out
 
 #: Letters of a subsequence, decay of each place it spans, least kernel that counts, longest word compared as a whole (longer ones in overlapping windows).
@@ -261,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, sample: int = SAMPLE)
 
     share = size.get(1, 0) / max(1, size.get(0, 0))
     expected = F.col("other") * share
-    words_ = chosen.mapInArrow(count, "w string, other long, toxic long").groupBy("w").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    words_ = mapped(chosen, count, "w string, other long, toxic long").groupBy("w").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     words_ = words_.select("w", "other", "toxic", ((F.col("toxic") - expected) / F.sqrt(1 + expected)).alias("z"))
     telling = [r["w"] for r in words_.where("toxic > 1 and z >= 1").orderBy(F.desc("z"), "w").limit(TELLING).collect()]
     common = [r["w"] for r in words_.orderBy(F.desc("other"), "w").limit(COMMON).collect()]
@@ -285,16 +285,9 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, sample: int = SAMPLE)
     return Model(landmarks, root, w, bias, slope, offset, 0.0)
 
 
-_FEATURIZERS: dict[tuple[str, ...], Featurizer] = {}
-
-
 def featurizer(landmarks: list[str]) -> Featurizer:
     """Kept by each Python worker, with the words it has met."""
-    key = tuple(landmarks)
-    if key not in _FEATURIZERS:
-        _FEATURIZERS.clear()
-        _FEATURIZERS[key] = Featurizer(landmarks)
-    return _FEATURIZERS[key]
+    return kept(tuple(landmarks), lambda: Featurizer(landmarks))
 
 
 def values(rows: DataFrame, landmarks: list[str], text_col: str) -> DataFrame:
@@ -309,7 +302,7 @@ def values(rows: DataFrame, landmarks: list[str], text_col: str) -> DataFrame:
                 c = b.slice(i, 1024)
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], pa.array(list(f(c.column(len(names)).to_pylist())), pa.list_(pa.float64()))], names=[*names, "values"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", values array<double>")
+    return mapped(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", values array<double>")
 
 
 def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -325,7 +318,7 @@ def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 s = model.scores(f(c.column(len(names)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", score double, predicted int")
+    return mapped(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", score double, predicted int")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.llm import files
-from murmuration.llm._common import join_groups, work_dir, written
+from murmuration.llm._common import join_groups, mapped, work_dir, written
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT = 1000
@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             f.close()
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    return written(plan_revisits(rows, folder, min_bytes).mapInArrow(run, INDEX), folder, "index")
+    return written(mapped(plan_revisits(rows, folder, min_bytes), run, INDEX), folder, "index")
 
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
@@ -157,7 +157,7 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     stretch = F.floor(F.col("offset") / READ_BYTES)
     tasks = int(index.agg(F.sum("length")).first()[0] or 0) // (2 * READ_BYTES) + 1  # by bytes to read, not by the index's size
     dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return mapped(dealt, run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from murmuration.llm import langid
+from murmuration.llm import _common, langid
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,7 +25,7 @@ def plain(text):
 def test_bundle(monkeypatch, bound):
     monkeypatch.setattr(langid, "BOUND", bound)
     monkeypatch.setattr(langid, "CHUNK", 100)
-    monkeypatch.setattr(langid, "_STATE", [])
+    monkeypatch.setattr(_common, "_KEPT", {})
     texts = ["", None, "a", "The end, é!", "12 34", "x" * 500, "Ñandú\nßtraße — ’quoted’ 日本 привет", " ".join(chr(c) for c in range(0x41, 0x3000, 7))]
     got = langid.bundle(texts)
     for t, v in zip(texts, got):
