@@ -179,7 +179,7 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
 
 
 #: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece or component compared all with all, bytes of shingles of such rows.
-BINS, PIECE, DENSE, DENSE_BYTES = 256, 12, 1024, 16 << 20
+BINS, PIECE, DENSE, DENSE_BYTES = 256, 12, 2048, 16 << 20
 #: Rows of two numbers that are broadcast at most; beyond, their join is dealt.
 FEW = 1_000_000
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
@@ -341,15 +341,42 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Each row (group, id, ...) once for every pair of blocks that its block is in; block numbers a pair."""
-    own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.least(i, own) * blocks + F.greatest(i, own))
-    return rows.withColumn("block", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(pair)))
+def _compared(rows: DataFrame, cargo: DataFrame, compare, known: DataFrame, folder: str, name: str) -> DataFrame:
+    """Links (a, b) that compare() finds between rows (id, group, blocks, n) of one group; cargo (id, c) is what it compares.
 
+    A group of several blocks is dealt by hash. First every block is compared in itself. Where these links, with the known
+    ones, make one component of a group's rows, nothing is left to find there; else the rows outside its largest component,
+    in blocks too, meet all others, each pair of blocks in a task of its own. So a large group of near copies moves its
+    rows once, and no pair of rows that are not yet linked goes unseen.
+    """
 
-def _meetings(reps: DataFrame, folder: str, similarity: float) -> DataFrame:
-    """Links (a, b) of rows (id, sketch, pieces, singles) that meet in a piece or a shingle and whose sketches agree up to SLACK; a forest of each piece's links."""
+    def links(dealt: DataFrame) -> DataFrame:
+        meet = dealt.join(cargo, "id").select("group", "block", "id", "c").repartition("group", "block").sortWithinPartitions("group", "block")
+        return mapped(meet, compare, "a long, b long")
+
+    own = lambda blocks: F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    first = written(links(rows.select("id", "group", own(F.col("blocks")).alias("block"))), folder, f"{name}_links")
+    big = written(rows.where("blocks > 1"), folder, f"{name}_big")
+    if not big.head(1):
+        return first
+    roots = connected_components(known.union(first), f"{folder}/{name}_known")
+    at = big.join(roots, F.col("id") == F.col("node"), "left").select("id", "group", "blocks", "n", F.coalesce("root", "id").alias("root"))
+    at = written(at, folder, f"{name}_at")
+    sizes = at.groupBy("group", "root").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
+    tops = sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("top"), F.first("n").alias("n"), F.first("blocks").alias("tops"))
+    strays = F.col("n") - F.col("top.size")
+    tops = written(tops.select("group", "n", "tops", F.col("top.root").alias("main"), F.ceil(strays * F.col("tops") / F.col("n")).cast("int").alias("strays")), folder, f"{name}_tops")
+    at = join_groups(at.select("id", "group", "root"), tops.withColumn("rows", F.col("n")), "group", "rows", at.count()).where("strays > 0")
+    t, s = F.col("tops"), F.col("strays")
+    among = F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.least(i, own(s)) * s + F.greatest(i, own(s)))
+    to_main = F.transform(F.sequence(F.lit(0), t - 1), lambda i: s * s + own(s) * t + i)
+    to_strays = F.transform(F.sequence(F.lit(0), s - 1), lambda i: s * s + i * t + own(t))
+    second = at.select("id", "group", F.explode(F.when(F.col("root") == F.col("main"), to_strays).otherwise(F.concat(among, to_main))).alias("block"))
+    return first.union(written(links(second), folder, f"{name}_more"))
+
+
+def _meetings(reps: DataFrame, near: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """Links (a, b) of rows (id, sketch, pieces, singles) that meet in a piece or a shingle and whose sketches agree up to SLACK, as far as they are needed beside the links `near`."""
     family = lambda c, share: F.struct(F.lit(share).alias("share"), F.col(c).alias("keys"))
     held = reps.select("id", F.explode(F.array(family("pieces", SHARED), family("singles", similarity))).alias("f")).select("id", "f.share", F.size("f.keys").alias("total"), F.explode("f.keys").alias("piece"))
     often = written(held.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), folder, "pieces")
@@ -358,12 +385,11 @@ def _meetings(reps: DataFrame, folder: str, similarity: float) -> DataFrame:
     shared = counted.groupBy("id", "share").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
     first = F.col("total") - F.ceil(F.col("total") * F.col("share") - 1e-9) + 1 - (F.col("total") - F.size("p"))
     rarest = shared.select("id", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("q")).select("id", F.col("q.piece").alias("piece"))
-    # a piece counts where two documents have it among their rarest; one of more than DENSE rows is split into pairs of blocks, as anchors are
+    # a piece counts where two documents have it among their rarest
     rarest = written(rarest, folder, "rarest")
-    often = written(rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int")), folder, "rarest_pieces")
-    held = _dealt(join_groups(rarest, often, "piece", "n", rarest.count()).where("blocks is not null"), F.col("blocks")).select("id", "piece", "block")
-    meet = held.join(reps.select("id", "sketch"), "id").repartition("piece", "block").sortWithinPartitions("piece", "block")
-    return mapped(meet.select("piece", "block", "id", "sketch"), lambda it: _alike(it, similarity - SLACK), "a long, b long")
+    often = rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece", "n", F.col("n").alias("times"), F.ceil(F.col("n") / DENSE).cast("int").alias("blocks"))
+    held = join_groups(rarest, written(often, folder, "rarest_pieces"), "piece", "times", rarest.count()).where("blocks is not null").withColumnRenamed("piece", "group")
+    return _compared(held, reps.select("id", F.col("sketch").alias("c")), lambda it: _alike(it, similarity - SLACK), near, folder, "pieces")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -394,14 +420,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     others = join_groups(rows.select("row", "key"), groups.where("n > 1").select("key", "rep", "n"), "key", "n", n).where("row != rep").select("row")
     others = written(others, folder, "others")
     reps = rows.join(F.broadcast(others) if others.count() <= FEW else others, "row", "left_anti").select(F.col("row").alias("id"), "sketch", "pieces", "singles")
-    maybe = connected_components(near.union(_meetings(reps, folder, similarity)), f"{folder}/maybe")
-    drop(docs.sparkSession, folder, "pieces", "rarest", "rarest_pieces", "near")
+    maybe = connected_components(near.union(_meetings(reps, near, folder, similarity)), f"{folder}/maybe")
+    drop(docs.sparkSession, folder, "pieces", "rarest", "rarest_pieces", "pieces_big", "pieces_at")
     members = maybe.union(maybe.select("root", "root").distinct()).toDF("rep", "group")
     members = written(members.join(groups.select("rep", "bytes"), "rep"), folder, "members")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))
-    dealt = join_groups(members, written(sizes, folder, "sizes"), "group", "n", members.count()).select(F.col("rep").alias("id"), "group", "blocks")
-    dealt = _dealt(dealt.join(rows.select(F.col("row").alias("id"), "shingles"), "id"), F.col("blocks"))
-    true = mapped(dealt.select("group", "block", "id", "shingles").repartition("group", "block").sortWithinPartitions("group", "block"), lambda it: _verify(it, similarity), "a long, b long")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.count("*").alias("times"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))
+    dealt = join_groups(members, written(sizes, folder, "sizes"), "group", "times", members.count()).select(F.col("rep").alias("id"), "group", "blocks", "n")
+    none = near.where("false")
+    true = _compared(dealt, rows.select(F.col("row").alias("id"), F.col("shingles").alias("c")), lambda it: _verify(it, similarity), none, folder, "true")
     roots = connected_components(true, f"{folder}/true")
     keys = written(rows.select("id", "key"), folder, "keys")
     drop(docs.sparkSession, folder, "profiles", "members", "sizes", "maybe")

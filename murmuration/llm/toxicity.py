@@ -242,10 +242,10 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, sample: int = SAMPLE)
     rate = {k: min(1.0, sample / n) for k, n in counts.items()}
     limit = F.when(F.col("toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
     some = labels.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1_000_000)) < limit * 1_000_000)
-    # copies count once: a group of them would make its own words telling
-    chosen = docs.where("text is not null").join(F.broadcast(some), "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    chosen = written(chosen, folder, "training")
-    size = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    chosen = written(docs.where("text is not null").join(F.broadcast(some), "id").select("text", "toxic"), folder, "training")
+    # copies count once among the words: a group of them would make its own words telling
+    once = written(chosen.groupBy("text").agg(F.max("toxic").alias("toxic")), folder, "once")
+    size = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -261,9 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, sample: int = SAMPLE)
 
     share = size.get(1, 0) / max(1, size.get(0, 0))
     expected = F.col("other") * share
-    words_ = mapped(chosen, count, "w string, other long, toxic long").groupBy("w").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    words_ = mapped(once, count, "w string, other long, toxic long").groupBy("w").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     words_ = words_.select("w", "other", "toxic", ((F.col("toxic") - expected) / F.sqrt(1 + expected)).alias("z"))
-    telling = [r["w"] for r in words_.where("toxic > 1 and z >= 1").orderBy(F.desc("z"), "w").limit(TELLING).collect()]
+    telling = [r["w"] for r in words_.where((F.col("toxic") >= min(2, size.get(1, 0))) & (F.col("z") >= 1)).orderBy(F.desc("z"), "w").limit(TELLING).collect()]
     common = [r["w"] for r in words_.orderBy(F.desc("other"), "w").limit(COMMON).collect()]
     landmarks = list(dict.fromkeys(telling + common))
     if not landmarks:
