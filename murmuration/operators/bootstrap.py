@@ -47,3 +47,10 @@ def confusion(rows: DataFrame, key: str, is_object: Column, inside: Column) -> D
 def soft_iou(rows: DataFrame, key: str, q: str, r: str) -> DataFrame:
     both = F.sum(F.col(q) * F.col(r))
     return rows.groupBy(key).agg((both / (F.sum(q) + F.sum(r) - both + 1e-9)).alias("soft_iou"))
+
+
+def trade_off(rows: DataFrame, level: str, order: str, metrics: list[str], draws: int, seed: int) -> DataFrame:
+    """(level, metric, mean, lo, hi): each metric's mean and interval at each subsampling level; draws hang on level and metric."""
+    stacked = rows.select(F.explode(F.array(*[F.struct(F.concat_ws("|", F.col(level).cast("string"), F.lit(m)).alias("k"), F.col(order).alias("o"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("s")).select("s.*")
+    out = interval(stacked, "k", "o", "value", draws, seed)
+    return out.select(F.split("k", r"\|")[0].alias(level), F.split("k", r"\|")[1].alias("metric"), "mean", "lo", "hi")

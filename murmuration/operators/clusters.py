@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +89,64 @@ def cut_tokens(tokens: DataFrame) -> DataFrame:
         return pd.DataFrame({"video_id": pdf.video_id, "token_id": pdf.token_id, "q": normalised_cut(np.stack(pdf.feat), pdf[["row", "col"]].to_numpy(float))})
 
     return tokens.groupBy("video_id").applyInPandas(one, "video_id string, token_id long, q double")
+
+
+def quaternion(r: np.ndarray) -> np.ndarray:
+    """(x, y, z, w) of a rotation, w not negative."""
+    k = np.array([[r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0], [r[0, 1] + r[1, 0], r[1, 1] - r[0, 0] - r[2, 2], 0, 0], [r[0, 2] + r[2, 0], r[1, 2] + r[2, 1], r[2, 2] - r[0, 0] - r[1, 1], 0], [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)]]) / 3
+    q = np.linalg.eigh(k)[1][:, -1]
+    return q if q[3] >= 0 else -q
+
+
+def ellipsoids(rows: DataFrame, keys: list[str], cov: str, scale: float = 1.0, least: float = 1e-6) -> DataFrame:
+    """(keys, half, rotation): half axes (ascending, eigenvalues at least `least`, times scale) and the quaternion (x, y, z, w) of each 3 x 3 covariance, given as nine numbers. Another length is an error."""
+    fields = dict(rows.dtypes)
+
+    def run(batches):
+        for b in batches:
+            half, turn = [], []
+            for m in b.column(len(keys)).to_pylist():
+                if m is None or len(m) != 9:
+                    raise ValueError("a covariance has nine numbers")
+                a = np.array(m, float).reshape(3, 3)
+                e, v = np.linalg.eigh((a + a.T) / 2)
+                v = v * np.sign(np.linalg.det(v))
+                half.append(scale * np.sqrt(np.maximum(e, least)))
+                turn.append(quaternion(v))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(half, kind), pa.array(turn, kind)], names=[*keys, "half", "rotation"])
+
+    return rows.select(*keys, cov).mapInArrow(run, ", ".join(f"{k} {fields[k]}" for k in keys) + ", half array<double>, rotation array<double>")
+
+
+def silhouette(points: DataFrame, key: str, label: str, column: str, most: int = 20_000) -> DataFrame:
+    """One row: mean silhouette of the points, by Euclidean distance; null for fewer than two labels or as many as points.
+
+    Every point needs its distance to every other: a clip's sampled points, at most `most`, which is checked; one side goes
+    to the tasks with the code, and blocks of the other are scored in Arrow batches.
+    """
+    rows = points.select(label, column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a silhouette of more than {most} points")
+    names, own = np.unique([r[0] for r in rows], return_inverse=True) if rows else (np.empty(0), np.empty(0, int))
+    spark = points.sparkSession
+    if len(names) < 2 or len(names) == len(rows):
+        return spark.createDataFrame([(None,)], "silhouette double")
+    x, n = np.array([r[1] for r in rows], float), np.bincount(own)
+    one = np.eye(len(names))[own]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                c = b.slice(i, 512)
+                y, of = np.array(c.column(1).to_pylist(), float), np.searchsorted(names, np.array(c.column(0).to_pylist()))
+                d = np.sqrt(np.maximum(0, (y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None])) @ one
+                mine = np.arange(len(y)), of
+                a = d[mine] / np.maximum(1, n[of] - 1)
+                d = d / n
+                d[mine] = np.inf
+                near = d.min(axis=1)
+                s = np.where(n[of] > 1, (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(s)], names=["s"])
+
+    return points.select(label, column).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))

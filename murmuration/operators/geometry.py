@@ -19,10 +19,10 @@ def project(x: Column, y: Column, z: Column, f: float, cx: float, cy: float) ->
 
 
 def pseudo_depth(rows: DataFrame, frame: str, d: str) -> DataFrame:
-    """Depth of disparities scaled by the least and greatest of the frame: 1 / (0.8 s + 0.2)."""
-    w = Window.partitionBy(frame)
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(d) - F.min(d).over(w)) / (F.max(d).over(w) - F.min(d).over(w) + 1e-6)))
-    return rows.withColumn("z", 1 / (0.8 * s + 0.2))
+    """Depth of disparities scaled by the least and greatest of the frame: 1 / (0.8 s + 0.2). A partial aggregate gives a row a frame; no frame is gathered in a task."""
+    ends = rows.groupBy(frame).agg(F.min(d).alias("_lo"), F.max(d).alias("_hi"))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(d) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-6)))
+    return rows.join(ends, frame).withColumn("z", 1 / (0.8 * s + 0.2)).drop("_lo", "_hi")
 
 
 def flow_velocity(pixels: DataFrame, width: int, height: int, f: float) -> DataFrame:
@@ -109,3 +109,42 @@ def turned(x: Column, y: Column, z: Column, yaw: float, pitch: float, pivot: tup
     x, z = math.cos(a) * x + math.sin(a) * z, -math.sin(a) * x + math.cos(a) * z
     y, z = math.cos(b) * y - math.sin(b) * z, math.sin(b) * y + math.cos(b) * z
     return x + pivot[0], y + pivot[1], z + pivot[2]
+
+
+def compressed(z: Column, centroid: Column, scale: float) -> Column:
+    """Depth whose offset from the centroid is scaled."""
+    return centroid + (z - centroid) * scale
+
+
+def calmed(motion: DataFrame, frame: str, order: str, axes: tuple[str, str, str], most: float = 0.35) -> DataFrame:
+    """Motion vectors longer than `most` become zero, but for the first such one of each frame, which the scan keeps."""
+    x, y, z = (F.col(a) for a in axes)
+    long = F.sqrt(x * x + y * y + z * z) > most
+    first = motion.where(long).groupBy(frame).agg(F.min(order).alias("_first"))
+    j = motion.join(first, frame, "left").withColumn("_zero", long & (F.col(order) != F.col("_first")))
+    return j.withColumns({a: F.when(F.col("_zero"), 0.0).otherwise(F.col(a)) for a in axes}).drop("_zero", "_first")
+
+
+def extent(points: DataFrame, share: float) -> DataFrame:
+    """One row: the percentile of |x| and |y|, and the median depth, from which a focal length is fitted."""
+    return points.agg(F.percentile(F.abs("x"), share).alias("ex"), F.percentile(F.abs("y"), share).alias("ey"), F.median("z").alias("mz"))
+
+
+def painter_order(points: DataFrame, frame: list[str], depth: str, key: str) -> DataFrame:
+    """Points with paint_rank: far to near within a frame, ties by key."""
+    return points.withColumn("paint_rank", F.row_number().over(Window.partitionBy(*frame).orderBy(F.desc(depth), key)) - 1)
+
+
+def rig(rows: DataFrame, apex: tuple[str, str, str], pivot: tuple[str, str, str], yaw: float, half: tuple[float, float], focal: float) -> DataFrame:
+    """Each row's three cameras: the apex turned about the pivot by -yaw, 0 and yaw degrees, looking at the pivot, with the four corners of its image plane at distance 1.
+
+    Adds camera (-1, 0, 1), ax, ay, az and corners (array of x, y, z; left top, right top, right bottom, left bottom).
+    """
+    turn = F.radians(F.col("camera") * F.lit(yaw))
+    dx, dz = F.col(apex[0]) - F.col(pivot[0]), F.col(apex[2]) - F.col(pivot[2])
+    out = rows.withColumn("camera", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
+    out = out.withColumns({"ax": F.col(pivot[0]) + F.cos(turn) * dx + F.sin(turn) * dz, "ay": F.col(apex[1]), "az": F.col(pivot[2]) - F.sin(turn) * dx + F.cos(turn) * dz})
+    r = look_at(F.col("ax"), F.col("ay"), F.col("az"), *[F.col(p) for p in pivot])
+    w, h = half[0] / focal, half[1] / focal
+    corner = lambda u, v: F.struct(*[(F.col(a) + r[6 + i] + u * w * r[i] + v * h * r[3 + i]).alias(n) for i, (a, n) in enumerate(zip(("ax", "ay", "az"), "xyz", strict=True))])
+    return out.withColumn("corners", F.array(*[corner(u, v) for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1))]))

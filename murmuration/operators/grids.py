@@ -92,3 +92,45 @@ def merged_labels(links: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         if now == before:
             return state.select(F.col("v").alias(label), F.col("root").alias("merged"))
         before = now
+
+
+def nearest(cells: DataFrame, size: tuple[int, int], to: tuple[int, int], values: list[str]) -> DataFrame:
+    """(r, c, values) on a grid of another size, each cell that of floor(r * rows / new rows), floor(c * cols / new cols); labels, masks and colours stay what they are."""
+    spark = cells.sparkSession
+    fine = spark.range(to[0] * to[1]).select(F.floor(F.col("id") / to[1]).alias("r"), (F.col("id") % to[1]).alias("c"))
+    fine = fine.select("r", "c", F.floor(F.col("r") * size[0] / to[0]).alias("sr"), F.floor(F.col("c") * size[1] / to[1]).alias("sc"))
+    return fine.join(cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), *values), ["sr", "sc"]).select("r", "c", *values)
+
+
+def peak(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, r, c, peak): the cell of each grid whose 3 x 3 mean (edges repeated by leaving out what is missing) is largest, the first on ties."""
+    shifts = F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    sums = cells.select(*keys, F.explode(shifts).alias("p"), value).groupBy(*keys, F.col("p.r").alias("r"), F.col("p.c").alias("c")).agg(F.avg(value).alias("blurred"))
+    inside = cells.select(*keys, "r", "c").join(sums, [*keys, "r", "c"])
+    best = F.max_by(F.struct("r", "c", "blurred"), F.struct(F.round("blurred", 9), -F.col("r"), -F.col("c")))
+    return inside.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.r", "b.c", F.col("b.blurred").alias("peak"))
+
+
+def top_uncovered(points: DataFrame, covered: Column, value: str, key: str, most: int, least: float) -> DataFrame:
+    """(key, value): the `most` uncovered rows of highest value, ties to the smaller key, of those the ones above `least`."""
+    return points.where(~covered).orderBy(F.desc(F.round(value, 9)), key).limit(most).where(F.col(value) > least).select(key, value)
+
+
+def candidate(masks: DataFrame, labels: DataFrame, rows: int, cols: int, size: tuple[int, int], border: float, least_new: float) -> DataFrame:
+    """(mask_id, cells, new_share): of candidate masks (mask_id, r, c) the one with the largest share of cells without a label.
+
+    Masks of fewer or more cells than `size` allows, with more than `border` of their cells at the grid's edge, or with
+    less than `least_new` uncovered are rejected; ties go to the larger, then the first. labels: (r, c, label), 0 none.
+    """
+    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == rows - 1) | (F.col("c") == cols - 1)
+    known = masks.join(labels.select("r", "c", "label"), ["r", "c"], "left")
+    per = known.groupBy("mask_id").agg(F.count("*").alias("cells"), F.avg(edge.cast("double")).alias("edge"), F.avg((F.coalesce("label", F.lit(0)) == 0).cast("double")).alias("new_share"))
+    fit = per.where(F.col("cells").between(*size) & (F.col("edge") <= border) & (F.col("new_share") >= least_new))
+    return fit.orderBy(F.desc(F.round("new_share", 9)), F.desc("cells"), "mask_id").limit(1).select("mask_id", "cells", "new_share")
+
+
+def augmented(labels: DataFrame, mask: DataFrame, least: int = 5) -> DataFrame:
+    """(r, c, label): labels with the mask's uncovered cells painted as a new label, one above the largest; unchanged where the mask adds fewer than `least`."""
+    j = labels.join(mask.select("r", "c", F.lit(True).alias("_in")).distinct(), ["r", "c"], "left").withColumn("_new", F.coalesce(F.col("_in"), F.lit(False)) & (F.col("label") == 0))
+    total = j.agg((F.max("label") + 1).alias("_next"), F.count_if("_new").alias("_added"))  # one row
+    return j.crossJoin(F.broadcast(total)).select("r", "c", F.when(F.col("_new") & (F.col("_added") >= least), F.col("_next")).otherwise(F.col("label")).alias("label"))

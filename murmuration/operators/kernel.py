@@ -1,7 +1,8 @@
 """The particle model's updates in NumPy, for one frame of one video: scores, moments, posteriors, schedule.
 
 Points are read by the scoring passes and by two moment passes; every other update runs on the moments, a row a blob.
-Modes: `map` takes the best, `mean` posterior means, `sample` draws; draws hang on (seed, frame, step, row) alone.
+Modes: `map` takes the most likely value of every conditional, `mean` posterior means of continuous ones, `sample` draws
+every assignment, mean, covariance, rotation and translation; draws hang on (seed, frame, step, row) alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ class Hypers:
     sigma_v: float = 0.05
     sigma_h: float = 4.0
     sigma_f: float = 0.05
+    sigma_f_h: float = 0.05  # of blob features about their hyperblob's
+    alpha: float = 1.0  # of hyperblob weights
     prior_f: tuple[float, float] = (0.0, 1.0)
     nu0: float = 5.0
     psi0: float = 0.01
@@ -27,6 +30,7 @@ class Hypers:
     feature_weight: float = 1.0
     stickiness: float = 0.0
     means: int = 1
+    covs: bool = False  # whether a frame updates the blobs' covariances, as a full sweep does
     hyper_rounds: int = 3
     mode: str = "map"
     seed: int = 0
@@ -46,6 +50,7 @@ class State:
     h_trans: np.ndarray
     h_rot: np.ndarray  # K x 3 x 3
     h_feat: np.ndarray
+    h_weight: np.ndarray | None = None  # K; None counts as equal weights
     assigned: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     frame: int = 0
 
@@ -62,12 +67,43 @@ def floor_eigen(m: np.ndarray, ratio: float = 1e6) -> np.ndarray:
     return np.einsum("...ij,...j,...kj->...ik", v, e, v)
 
 
-def log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """N x L log densities; precisions and determinants once a blob."""
+def normals(seed: int, frame: int, step: int, shape: tuple[int, ...]) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=[seed, frame * 1000 + step])).standard_normal(shape)
+
+
+def drawn_means(mean: np.ndarray, prec: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
+    """In sample mode draws about the posterior means with these precisions, else the means."""
+    if h.mode != "sample" or not len(mean):
+        return mean
+    low = np.linalg.cholesky(prec)
+    return mean + np.linalg.solve(np.swapaxes(low, 1, 2), normals(h.seed, frame, step, mean.shape)[..., None])[..., 0]
+
+
+def drawn_cov(psi: np.ndarray, nu: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
+    """Inverse-Wishart of each psi and nu: its mode (map), mean (mean) or a draw by Bartlett's decomposition (sample)."""
+    d = psi.shape[-1]
+    if h.mode == "map":
+        return psi / (nu + d + 1)[:, None, None]
+    if h.mode == "mean":
+        return psi / np.maximum(nu - d - 1, 1)[:, None, None]
+    rng = np.random.Generator(np.random.Philox(key=[h.seed, frame * 1000 + step]))
+    a = np.tril(rng.standard_normal((len(psi), d, d)), -1)
+    a[:, np.arange(d), np.arange(d)] = np.sqrt(rng.chisquare(np.maximum(nu[:, None] - np.arange(d), 1e-3)))
+    # W = L A A' L' with L L' = inv(psi); its inverse is C C' with C = inv(L A)'
+    low = np.linalg.cholesky(np.linalg.inv(psi)) @ a
+    c = np.swapaxes(np.linalg.inv(low), 1, 2)
+    return c @ np.swapaxes(c, 1, 2)
+
+
+def log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """N x L log densities; precisions and determinants once a blob, at most `most` pairs of point and blob at a time."""
     p = np.linalg.inv(cov)
     _, det = np.linalg.slogdet(cov)
-    d = x[:, None, :] - mean[None]
-    return -0.5 * (np.einsum("nli,lij,nlj->nl", d, p, d) + det + x.shape[1] * np.log(2 * np.pi))
+    out, block = np.empty((len(x), len(mean))), max(1, most // max(1, len(mean)))
+    for i in range(0, len(x), block):
+        d = x[i : i + block, None, :] - mean[None]
+        out[i : i + block] = -0.5 * (np.einsum("nli,lij,nlj->nl", d, p, d) + det + x.shape[1] * np.log(2 * np.pi))
+    return out
 
 
 def scores(x: np.ndarray, v: np.ndarray, f: np.ndarray | None, s: State, h: Hypers, terms: str = "pvf") -> np.ndarray:
@@ -93,19 +129,23 @@ def choose(score: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
     return score.argmax(axis=1)
 
 
+def summed(z: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    """n x ... sums of the rows of x by blob; outliers (z >= n) left out."""
+    flat = x.reshape(len(x), -1)
+    return np.stack([np.bincount(z, c, n + 1)[:n] for c in flat.T], axis=1).reshape(n, *x.shape[1:]) if flat.shape[1] else np.zeros((n, *x.shape[1:]))
+
+
 def moments(z: np.ndarray, n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, sums and second moments by blob; outliers (z >= n) left out."""
-    k = z < n
-    one = np.zeros((n, k.sum()))
-    one[z[k], np.arange(k.sum())] = 1
-    return one.sum(1), one @ x[k], np.einsum("ln,ni,nj->lij", one, x[k], x[k])
+    z = np.minimum(z, n)
+    return np.bincount(z, minlength=n + 1)[:n].astype(float), summed(z, n, x), summed(z, n, x[:, :, None] * x[:, None, :])
 
 
-def posterior_cov(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: np.ndarray, old: np.ndarray, h: Hypers) -> np.ndarray:
-    """Mean of the inverse-Wishart posterior about the current means; the old one for fewer than three points."""
+def posterior_cov(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: np.ndarray, old: np.ndarray, h: Hypers, frame: int = 0, step: int = 0) -> np.ndarray:
+    """The inverse-Wishart posterior about the current means, by the mode; the old one for fewer than three points."""
     sm = np.einsum("li,lj->lij", s, mean)
     psi = ss - sm - np.swapaxes(sm, 1, 2) + n[:, None, None] * np.einsum("li,lj->lij", mean, mean) + h.psi0 * np.eye(3)
-    new = floor_eigen(psi / np.maximum(h.nu0 + n - 4, 1)[:, None, None], 1e3)
+    new = floor_eigen(drawn_cov(floor_eigen(psi, 1e9), h.nu0 + n, h, frame, step), 1e3)
     return np.where((n >= 3)[:, None, None], new, old)
 
 
@@ -125,14 +165,14 @@ def blob_means(s: State, n: np.ndarray, sx: np.ndarray, h: Hypers) -> np.ndarray
     b = s.h_trans[s.hyper] - np.einsum("lij,lj->li", a, s.h_mean[s.hyper])
     prec = p0 + n[:, None, None] * p + np.einsum("lji,ljk->lik", a, a) / h.sigma_v
     rhs = np.einsum("lij,lj->li", p0, s.h_mean[s.hyper]) + np.einsum("lij,lj->li", p, sx) + np.einsum("lji,lj->li", a, s.vel - b) / h.sigma_v
-    return np.linalg.solve(prec, rhs[..., None])[..., 0]
+    return drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, 20)
 
 
 def blob_velocities(s: State, n: np.ndarray, sv: np.ndarray, h: Hypers) -> np.ndarray:
     p = np.linalg.inv(s.vel_cov)
     prec = np.eye(3) / h.sigma_v + n[:, None, None] * p
     rhs = predicted(s, s.hyper) / h.sigma_v + np.einsum("lij,lj->li", p, sv)
-    return np.where((n > 0)[:, None], np.linalg.solve(prec, rhs[..., None])[..., 0], 0.0)
+    return np.where((n > 0)[:, None], drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, 30), 0.0)
 
 
 def normal_means(n: np.ndarray, s: np.ndarray, cov: np.ndarray, prior_mean: np.ndarray, prior_cov: np.ndarray) -> np.ndarray:
@@ -157,6 +197,28 @@ def feature_means(n: np.ndarray, sf: np.ndarray, h: Hypers) -> np.ndarray:
     return (m / var + sf / h.sigma_f) / (1 / var + n / h.sigma_f)[:, None]
 
 
+def hyper_feature_means(n: np.ndarray, sf: np.ndarray, h: Hypers) -> np.ndarray:
+    """Posterior of hyperblob features from their blobs' features; the prior for one without blobs."""
+    m, var = h.prior_f
+    return (m / var + sf / h.sigma_f_h) / (1 / var + n / h.sigma_f_h)[:, None]
+
+
+def hyper_weights(n: np.ndarray, h: Hypers, weighted: np.ndarray | None = None) -> np.ndarray:
+    """Posterior mean weights of hyperblobs from counts of blobs, or from the blobs' summed weights."""
+    c = n if weighted is None else weighted
+    return (h.alpha + c) / (len(n) * h.alpha + c.sum())
+
+
+def hyper_scores(s: State, h: Hypers) -> np.ndarray:
+    """L x K log weights and likelihoods of blobs: place, velocity, and feature where there are features."""
+    weight = np.log(np.maximum(s.h_weight, 1e-300)) if s.h_weight is not None else 0.0
+    out = weight + log_normal(s.mean, s.h_mean, s.h_cov) - 0.5 * (((s.vel[:, None] - predicted(s)) ** 2).sum(-1) / h.sigma_v + 3 * np.log(2 * np.pi * h.sigma_v))
+    if s.feat.shape[1]:
+        d = ((s.feat[:, None] - s.h_feat[None]) ** 2).sum(-1) / h.sigma_f_h
+        out = out - 0.5 * h.feature_weight * (d + s.feat.shape[1] * np.log(2 * np.pi * h.sigma_f_h))
+    return out
+
+
 def motions(h: Hypers) -> tuple[np.ndarray, np.ndarray]:
     k, size = h.motion
     axis = np.arange(-k, k + 1) * size
@@ -179,11 +241,10 @@ def rotations(h: Hypers) -> np.ndarray:
     return np.array(out)
 
 
-def hyperblobs(s: State, h: Hypers) -> State:
+def hyperblobs(s: State, h: Hypers, turn: int = 0) -> State:
     """Assignments of blobs, then means, covariances, rotations and translations of hyperblobs."""
     k = len(s.h_mean)
-    score = log_normal(s.mean, s.h_mean, s.h_cov) - 0.5 * ((s.vel[:, None] - predicted(s)) ** 2).sum(-1) / h.sigma_v
-    hyper = choose(score, h, s.frame, 900)
+    hyper = choose(hyper_scores(s, h), h, s.frame, 900 + turn)
     n, sx, sxx = moments(hyper, k, s.mean)
     one = np.zeros((k, len(hyper)))
     one[hyper, np.arange(len(hyper))] = 1
@@ -191,15 +252,16 @@ def hyperblobs(s: State, h: Hypers) -> State:
     left = one @ s.vel - n[:, None] * s.h_trans + np.einsum("kij,kj->ki", a, sx)  # sum of v - (t - A x)
     prec = np.eye(3) / h.sigma_h + n[:, None, None] * (p + np.einsum("kji,kjl->kil", a, a) / h.sigma_v)
     mean = np.linalg.solve(prec, (np.einsum("kij,kj->ki", p, sx) + np.einsum("kji,kj->ki", a, left) / h.sigma_v)[..., None])[..., 0]
-    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h)
+    mean = drawn_means(mean, prec, h, s.frame, 910 + turn)
+    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h, s.frame, 920 + turn)
     s = replace(s, hyper=hyper, h_mean=mean, h_cov=cov)
     own, turns = s.mean - mean[hyper], rotations(h)
     spun = np.einsum("cij,lj->lci", turns - np.eye(3), own)
-    rot = turns[(one @ -((s.vel[:, None] - s.h_trans[hyper][:, None] - spun) ** 2).sum(-1) / (2 * h.sigma_v)).argmax(1)]
+    rot = turns[choose(one @ -((s.vel[:, None] - s.h_trans[hyper][:, None] - spun) ** 2).sum(-1) / (2 * h.sigma_v), h, s.frame, 930 + turn)]
     grid, prior = motions(h)
     rest = s.vel - np.einsum("lij,lj->li", (rot - np.eye(3))[hyper], own)
-    trans = grid[(one @ -((rest[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v) + prior).argmax(1)]
-    return replace(s, h_rot=rot, h_trans=trans, h_feat=one @ s.feat / np.maximum(n, 1)[:, None])
+    trans = grid[choose(one @ -((rest[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v) + prior, h, s.frame, 940 + turn)]
+    return replace(s, h_rot=rot, h_trans=trans, h_feat=hyper_feature_means(n, one @ s.feat, h))
 
 
 def start(x: np.ndarray, v: np.ndarray, f: np.ndarray, blobs: int, hypers: int, h: Hypers) -> State:
@@ -208,19 +270,15 @@ def start(x: np.ndarray, v: np.ndarray, f: np.ndarray, blobs: int, hypers: int,
     blobs = int(z.max()) + 1 if len(z) else 0
     n, sx, sxx = moments(z, blobs, x)
     _, sv, svv = moments(z, blobs, v)
-    one = np.zeros((blobs, len(x)))
-    one[z, np.arange(len(x))] = 1
-    mean, vel, feat = sx / n[:, None], sv / n[:, None], one @ f / n[:, None]
+    mean, vel, feat = sx / n[:, None], sv / n[:, None], summed(z, blobs, f) / n[:, None]
     small = np.repeat(0.01 * np.eye(3)[None], blobs, 0)
     cov, vel_cov = posterior_cov(n, sx, sxx, mean, small, h), posterior_cov(n, sv, svv, vel, small, h)
     y = kmeans(np.hstack([mean, vel]), hypers, h.seed + 1)
     k = int(y.max()) + 1 if len(y) else 0
     m, sm, smm = moments(y, k, mean)
     h_mean = sm / m[:, None]
-    two = np.zeros((k, blobs))
-    two[y, np.arange(blobs)] = 1
     weight = (h.beta + n) / (blobs * h.beta + n.sum())
-    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, posterior_cov(m, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h), two @ vel / m[:, None], np.repeat(np.eye(3)[None], k, 0), two @ feat / m[:, None], z, 0)
+    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, posterior_cov(m, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h), summed(y, k, vel) / m[:, None], np.repeat(np.eye(3)[None], k, 0), hyper_feature_means(m, summed(y, k, feat), h), hyper_weights(m, h), z, 0)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
@@ -248,8 +306,8 @@ def step(s: State, x: np.ndarray, v: np.ndarray, f: np.ndarray, h: Hypers) -> St
     """One frame: predict, hyperblobs, assignments with and without features, means, final assignment, velocities, features, hyperblobs."""
     n_blobs, frame = len(s.weight), s.frame + 1
     s = replace(s, mean=s.mean + s.vel, frame=frame)
-    for _ in range(h.hyper_rounds):
-        s = hyperblobs(s, h)
+    for i in range(h.hyper_rounds):
+        s = hyperblobs(s, h, i)
     for i, terms in enumerate(("pvf", "pvf", "p")):
         z = choose(scores(x, v, f, s, h, terms), h, frame, i)
         n = np.bincount(z, minlength=n_blobs + 1)[:n_blobs]
@@ -257,18 +315,17 @@ def step(s: State, x: np.ndarray, v: np.ndarray, f: np.ndarray, h: Hypers) -> St
     n, sx, sxx = moments(z, n_blobs, x)
     for _ in range(h.means):
         s = replace(s, mean=blob_means(s, n, sx, h))
+    if h.covs:
+        s = replace(s, cov=posterior_cov(n, sx, sxx, s.mean, s.cov, h, frame, 40))
     final = scores(x, v, f, s, h)
     if h.stickiness and len(s.assigned) == len(x):
         final[np.arange(len(x)), np.minimum(s.assigned, n_blobs)] += h.stickiness
     z = choose(final, h, frame, 10)
     n, sv, svv = moments(z, n_blobs, v)
     s = replace(s, vel=blob_velocities(s, n, sv, h), assigned=z, weight=(h.beta + n) / (n_blobs * h.beta + n.sum()))
-    s = replace(s, vel_cov=posterior_cov(n, sv, svv, s.vel, s.vel_cov, h))
+    s = replace(s, vel_cov=posterior_cov(n, sv, svv, s.vel, s.vel_cov, h, frame, 50))
     if f.shape[1]:
-        one = np.zeros((n_blobs, len(x)))
-        k = z < n_blobs
-        one[z[k], np.flatnonzero(k)] = 1
-        s = replace(s, feat=feature_means(n, one @ f, h))
-    for _ in range(h.hyper_rounds):
-        s = hyperblobs(s, h)
+        s = replace(s, feat=feature_means(n, summed(np.minimum(z, n_blobs), n_blobs, f), h))
+    for i in range(h.hyper_rounds):
+        s = hyperblobs(s, h, h.hyper_rounds + i)
     return s

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.operators.scoring import small
+
 
 def overlap(pixels: DataFrame, keys: list[str], a: str = "gt", b: str = "pred") -> DataFrame:
     """(keys, a, b, inter, area_a, area_b, iou) of every pair of non-zero labels, also those that never meet.
@@ -98,14 +100,14 @@ def births_deaths(seen: DataFrame, track: str, frame: str) -> DataFrame:
 
 
 def colour_ids(rows: DataFrame, colours: list[str], white: tuple[int, ...]) -> DataFrame:
-    """Instance ids of colours: white is 0, the others 1, 2, ... in their order. Distinct colours are ranked, not pixels."""
+    """Instance ids of colours: white is 0, the others 1, 2, ... in their order. Distinct colours are ranked, not pixels; there are as many as instances, which is checked before they are broadcast."""
     distinct = rows.select(*colours).distinct()
     plain = [F.col(c) != w for c, w in zip(colours, white, strict=True)]
     other = plain[0]
     for p in plain[1:]:
         other = other | p
     ranked = distinct.where(other).select(*colours, F.row_number().over(Window.orderBy(*colours)).alias("instance"))
-    return rows.join(F.broadcast(ranked), colours, "left").withColumn("instance", F.coalesce("instance", F.lit(0)))
+    return rows.join(small(ranked), colours, "left").withColumn("instance", F.coalesce("instance", F.lit(0)))
 
 
 def persistent_iou(table: DataFrame, first: int) -> DataFrame:
@@ -113,3 +115,47 @@ def persistent_iou(table: DataFrame, first: int) -> DataFrame:
     best = table.where(F.col("frame_idx") == first).groupBy("gt").agg(F.max_by("pred", F.struct("iou", -F.col("pred"))).alias("pred"))
     frames = table.where(F.col("frame_idx") > first).select("frame_idx").distinct()
     return best.crossJoin(F.broadcast(frames)).join(table, ["frame_idx", "gt", "pred"], "left").groupBy("gt", "pred").agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("mean_iou"))
+
+
+def rasterized(points: DataFrame, model: DataFrame, blob: str, hyper: str) -> DataFrame:
+    """Points with blob_label and hyper_label, 1 + id; 0 for points whose blob the model (blob, hyper; a row a blob) has not, outliers among them."""
+    j = points.join(small(model.select(blob, hyper)), blob, "left")
+    return j.withColumns({"blob_label": F.when(F.col(hyper).isNotNull(), F.col(blob) + 1).otherwise(0), "hyper_label": F.coalesce(F.col(hyper) + 1, F.lit(0))}).drop(hyper)
+
+
+def best_mask(masks: DataFrame, pixel: str, mask: str, score: str) -> DataFrame:
+    """(pixel, label): the mask of highest score at each pixel, ties to the smaller id."""
+    return masks.groupBy(pixel).agg(F.max_by(mask, F.struct(F.col(score), -F.col(mask))).alias("label"))
+
+
+def region_mean(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Pixels with paint, the mean of their region: partial sums, then a join of one row a region."""
+    return pixels.join(pixels.groupBy(*keys).agg(F.avg(value).alias("paint")), keys)
+
+
+def paint_holes(labels: DataFrame, mask: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(key, label, added): a mask (key) paints the pixels without a label as one above the largest, where it adds at least `least`."""
+    j = labels.join(mask.select(*key, F.lit(True).alias("_in")).distinct(), key, "left").withColumn("added", F.coalesce(F.col("_in"), F.lit(False)) & (F.col("label") == 0))
+    total = j.agg((F.max("label") + 1).alias("_next"), F.count_if("added").alias("_n"))
+    j = j.crossJoin(F.broadcast(total)).withColumn("added", F.col("added") & (F.col("_n") >= least))
+    return j.select(*key, F.when(F.col("added"), F.col("_next")).otherwise(F.col("label")).alias("label"), "added")
+
+
+def merged_tracks(old: DataFrame, new: DataFrame, frame: str, track: str) -> DataFrame:
+    """(frame, track) of known tracks and of new objects, whose ids follow the largest known one."""
+    top = old.agg(F.coalesce(F.max(track) + 1, F.lit(0)).alias("_first"))
+    shifted = new.select(frame, track).distinct().crossJoin(F.broadcast(top)).select(frame, (F.col(track) + F.col("_first")).alias(track))
+    return old.select(frame, track).distinct().unionByName(shifted)
+
+
+def instance_counts(pixels: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, instances, max_track): different labels above 0, and the largest track id, label - 1 and at least 0."""
+    return pixels.groupBy(*keys).agg(F.count_distinct(F.when(F.col(label) > 0, F.col(label))).alias("instances"), F.greatest(F.lit(0), F.max(label) - 1).alias("max_track"))
+
+
+def seed_instances(cells: DataFrame, colours: list[str], white: tuple[int, ...]) -> DataFrame:
+    """One row: how many colours other than white the cells have."""
+    plain = F.lit(True)
+    for c, w in zip(colours, white, strict=True):
+        plain = plain & (F.col(c) == w)
+    return cells.agg(F.count_distinct(F.when(~plain, F.struct(*colours))).alias("instances"))

@@ -75,6 +75,11 @@ def instance_metrics(table: DataFrame, matches: DataFrame, keys: list[str]) -> D
     return j.select(*keys, "n_gt", "n_pred", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("matched_iou"), (F.col("s") / F.col("n_gt")).alias("mean_gt_iou"), (F.col("n") / F.col("n_gt")).alias("recall"), (F.col("n") / F.col("n_pred")).alias("precision"))
 
 
+def video_metrics(frames: DataFrame, video: list[str], metrics: list[str]) -> DataFrame:
+    """Frame metrics averaged over each video, nulls as 0, with the number of frames."""
+    return frames.groupBy(*video).agg(F.count("*").alias("frames"), *[F.avg(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in metrics])
+
+
 def mask_overlap(a: list[set[int]], b: list[set[int]]) -> np.ndarray:
     return np.array([[len(x & y) / max(1, len(x | y)) if x & y else 0.0 for y in b] for x in a]).reshape(len(a), len(b))
 

@@ -107,3 +107,28 @@ def motion_colours(blobs: DataFrame, key: str, least: int = 8, percent: float =
     s = j.select(key, dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("speed"))
     top = s.agg(F.percentile("speed", percent).alias("top"))
     return s.crossJoin(F.broadcast(top)).select(key, F.degrees(F.atan2("dy", "dx")).alias("hue"), F.least(F.lit(1.0), F.col("speed") / F.greatest("top", F.lit(1e-9))).alias("value"))
+
+
+def displacement(points: DataFrame, blob: str, frame: str, frames: int) -> DataFrame:
+    """(blob, dx, dy, dz): motion summed over the first frames."""
+    return points.where(F.col(frame) < frames).groupBy(blob).agg(*[F.sum(f"v{c}").alias(f"d{c}") for c in "xyz"])
+
+
+def mean_covariance(points: DataFrame, hypers: DataFrame, hyper: str, blob: str, default: float) -> DataFrame:
+    """(hyper, xx, xy): mean over a hyperblob's blobs of their covariances; `default` and 0 for one without."""
+    b = points.groupBy(hyper, blob).agg(F.covar_samp("x", "y").alias("xy"), F.var_samp("x").alias("xx")).groupBy(hyper).agg(F.avg("xx").alias("xx"), F.avg("xy").alias("xy"))
+    return hypers.join(b, hyper, "left").select(hyper, F.coalesce("xx", F.lit(default)).alias("xx"), F.coalesce("xy", F.lit(0.0)).alias("xy"))
+
+
+def salient(points: DataFrame, cluster: str, centre: tuple[float, float], radius: float, least: int = 5) -> DataFrame:
+    """(cluster, x, y, score) of the most salient cluster: centrality, plus motion beside the frame's mean motion, minus twice its share above a quarter.
+
+    Clusters under a hundredth of the points, or under `least`, take no part; ties go to the smaller id.
+    """
+    ego = points.agg(F.avg("vx").alias("_ex"), F.avg("vy").alias("_ey"), F.count("*").alias("_all"))  # one row
+    per = points.groupBy(cluster).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.count("*").alias("n")).crossJoin(F.broadcast(ego))
+    central = 1 - F.sqrt((F.col("x") - centre[0]) ** 2 + (F.col("y") - centre[1]) ** 2) / radius
+    moving = F.sqrt((F.col("vx") - F.col("_ex")) ** 2 + (F.col("vy") - F.col("_ey")) ** 2)
+    score = central + moving - 2 * F.greatest(F.lit(0.0), F.col("n") / F.col("_all") - 0.25)
+    fit = per.where(F.col("n") >= F.greatest(F.lit(float(least)), 0.01 * F.col("_all"))).withColumn("score", score)
+    return fit.orderBy(F.desc(F.round("score", 9)), cluster).limit(1).select(cluster, "x", "y", "score")

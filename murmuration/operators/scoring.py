@@ -43,11 +43,24 @@ def feature_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def assign(points: DataFrame, blobs: DataFrame, score: Column, row: str, candidate: str) -> DataFrame:
-    """(row, candidate, score): the best candidate of each row, ties to the smaller one. Candidates are a broadcast model, so that no point is shuffled for the scores themselves."""
-    scored = points.crossJoin(small(blobs)).select(row, F.col(candidate), F.round(score, 9).alias("score"))
-    best = F.max_by(F.struct(candidate, "score"), F.struct(F.col("score"), -F.col(candidate)))
-    return scored.groupBy(row).agg(best.alias("b")).select(row, F.col(f"b.{candidate}").alias(candidate), F.col("b.score").alias("score"))
+def assign(points: DataFrame, blobs: DataFrame, score, row: str, candidate: str) -> DataFrame:
+    """(row, candidate, score): the best candidate of each row, ties to the smaller one.
+
+    score(m) is the score against a candidate, m(name) its column. The model goes to every task as one array, and each row
+    takes the best of it where it is: nothing is exploded and no point is shuffled.
+    """
+    names = blobs.columns
+    model = small(blobs).agg(F.collect_list(F.struct(*names)).alias("_model"))
+    each = lambda m: F.struct(F.round(score(lambda n: m[n]), 9).alias("score"), (-m[candidate]).alias("c"))
+    best = points.crossJoin(F.broadcast(model)).select(row, F.array_max(F.transform("_model", each)).alias("b"))
+    return best.select(row, (-F.col("b.c")).alias(candidate), F.col("b.score").alias("score"))
+
+
+def best_motion(blobs: DataFrame, grid: DataFrame, group: str, variance: float) -> DataFrame:
+    """(group, cand, score): the translation of the grid that explains the velocities of a group's blobs best, with its log prior."""
+    e = sum(((F.col(f"v{c}") - F.col(f"t{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    s = blobs.crossJoin(small(grid)).groupBy(group, "cand").agg(F.round(F.sum(-e / (2 * variance)) + F.first("log_prior"), 9).alias("score"))
+    return s.groupBy(group).agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand"))).alias("b")).select(group, "b.cand", "b.score")
 
 
 def motion_grid(spark, steps: int, size: float) -> DataFrame:

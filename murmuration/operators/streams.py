@@ -60,3 +60,21 @@ def replayed(spark, frames: DataFrame, order: str, loops: int, stride: int) -> D
     out = frames.crossJoin(F.broadcast(spark.range(loops).select(F.col("id").alias("loop"))))
     emit = F.col("loop") * n + F.col(order)
     return out.withColumn("emit_idx", emit).withColumn("is_seam", (F.col(order) == 0) & (F.col("loop") > 0)).where(emit % stride == 0)
+
+
+def padded(frames: DataFrame, key: str, frame: str, to: int) -> DataFrame:
+    """Frames of each key up to number to - 1, the last one repeated; is_pad marks the copies."""
+    last = frames.groupBy(key).agg(F.max(frame).alias("_last"))
+    tail = frames.join(last, key).where(F.col(frame) == F.col("_last")).withColumn("_to", F.explode(F.when(F.col("_last") + 1 < to, F.sequence(F.col("_last") + 1, F.lit(to - 1).cast("long"))).otherwise(F.array())))
+    tail = tail.withColumn(frame, F.col("_to").cast(dict(frames.dtypes)[frame])).withColumn("is_pad", F.lit(True))
+    return frames.withColumn("is_pad", F.lit(False)).unionByName(tail.select(*frames.columns, "is_pad"))
+
+
+def sidebar(events: DataFrame, stream: str, seconds: str) -> DataFrame:
+    """(stream, n, fps, lag, drift, staleness) of each stream: events a second, seconds behind the newest stream, per cent that its rate falls short of the fastest, and the colour of its lag in frames of its own."""
+    per = events.groupBy(stream).agg(F.count("*").alias("n"), F.min(seconds).alias("_t0"), F.max(seconds).alias("_t1"))
+    per = per.withColumn("fps", F.when(F.col("_t1") > F.col("_t0"), (F.col("n") - 1) / (F.col("_t1") - F.col("_t0"))).otherwise(0.0))
+    top = per.agg(F.max("_t1").alias("_now"), F.max("fps").alias("_best"))  # one row
+    per = per.crossJoin(F.broadcast(top)).withColumn("lag", F.col("_now") - F.col("_t1"))
+    drift = F.when(F.col("_best") > 0, 100 * (1 - F.col("fps") / F.col("_best"))).otherwise(0.0)
+    return per.select(stream, "n", "fps", "lag", drift.alias("drift"), staleness(F.col("lag") * F.col("fps")).alias("staleness"))

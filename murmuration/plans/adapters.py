@@ -26,15 +26,18 @@ FEATURE_POINTS = """points AS (SELECT 'v' AS video_id, CAST(vec_id % 5 AS INTEGE
  list_transform(embedding[7:38], lambda c: CAST(c AS DOUBLE)) AS feat, label AS blob_id, label % 4 AS hyperblob_id FROM embeddings)"""
 
 
-def tracked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many points without features, from lineitem: video = return flag, frame = month, blob = supplier, hyperblob = its nation."""
-    line, supplier = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
+def tracked_points(spark: SparkSession, sf_dir: str, hypers: bool = True) -> DataFrame:
+    """Many points without features, from lineitem: video = return flag, frame = month, blob = supplier, hyperblob (if wanted) = its nation."""
+    line = read(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     points = line.select(
         F.col("l_returnflag").alias("video_id"), (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 23904).alias("frame_idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"),
         q.alias("x"), (F.sqrt("l_extendedprice") / 10).alias("y"), (F.col("l_discount") * 100).alias("z"),
         (F.col("l_tax") * 10).alias("vx"), (F.col("l_discount") - F.col("l_tax")).alias("vy"), (F.col("l_tax") * q / 50).alias("vz"), F.col("l_suppkey").alias("blob_id"),
     )
+    if not hypers:
+        return points
+    supplier = read(spark, sf_dir, "supplier")
     return points.join(supplier.select(F.col("s_suppkey").alias("blob_id"), F.col("s_nationkey").alias("hyperblob_id")), "blob_id", "left")
 
 

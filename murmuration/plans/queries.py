@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +53,7 @@ _MOMENTS = "m AS (SELECT video_id, frame_idx, blob_id, count(*) AS n, sum(x) AS
 
 
 def _moments(spark, d):
-    return moments.moments(A.tracked_points(spark, d), ["video_id", "frame_idx", "blob_id"])
+    return moments.moments(A.tracked_points(spark, d, hypers=False), ["video_id", "frame_idx", "blob_id"])
 
 
 @query(f"WITH {A.TRACKED_POINTS}, {_MOMENTS} SELECT video_id, frame_idx, blob_id, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in "s_x s_y s_z s_vx s_vy s_vz s_xx s_xy s_xz s_yy s_yz s_zz".split()) + " FROM m")
@@ -119,10 +120,10 @@ def _blobs(spark, d):
     return p.groupBy(F.col("blob_id").alias("cand")).agg(F.count("*").alias("bn"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", "vx", "vy", "vz")], F.array(*[F.avg(F.col("feat")[i]) for i in range(32)]).alias("mf"))
 
 
-def _score():
+def _score(m):
     v = F.lit(0.02)
-    near = scoring.log_normal([(F.col(c), F.col(f"m{c}"), v) for c in ("x", "y", "z", "vx", "vy", "vz")])
-    return F.log("bn") + near - 0.25 * scoring.feature_distance("feat", "mf") / v
+    near = scoring.log_normal([(F.col(c), m(f"m{c}"), v) for c in ("x", "y", "z", "vx", "vy", "vz")])
+    return F.log(m("bn")) + near - 0.25 * scoring.feature_distance("feat", m("mf")) / v
 
 
 def _assigned(extra: str = "", join: str = "") -> str:
@@ -132,7 +133,7 @@ SELECT point_id, cand, round(score, 4) AS score FROM s QUALIFY row_number() OVER
 
 @query(_assigned())
 def assign_map(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), _score(), "point_id", "cand"), 4)
+    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), _score, "point_id", "cand"), 4)
 
 
 _U = "(CAST(('0x' || substr(md5('3|' || p.point_id || '|' || cand), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
@@ -140,12 +141,12 @@ _U = "(CAST(('0x' || substr(md5('3|' || p.point_id || '|' || cand), 1, 13)) AS B
 
 @query(_assigned(f"- ln(-ln({_U}))"))
 def assign_sampled(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), _score() + scoring.gumbel(F.lit(3), "point_id", "cand"), "point_id", "cand"), 4)
+    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), lambda m: _score(m) + scoring.gumbel(F.lit(3), "point_id", m("cand")), "point_id", "cand"), 4)
 
 
 @query(_assigned("+ CASE WHEN cand = p.blob_id THEN 0.7 ELSE 0 END"))
 def assign_sticky(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), _score() + F.when(F.col("cand") == F.col("blob_id"), 0.7).otherwise(0.0), "point_id", "cand"), 4)
+    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), lambda m: _score(m) + F.when(m("cand") == F.col("blob_id"), 0.7).otherwise(0.0), "point_id", "cand"), 4)
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT blob_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points GROUP BY blob_id), h AS (SELECT hyperblob_id AS cand, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM points GROUP BY hyperblob_id),
@@ -155,7 +156,7 @@ def hyperblob_assign(spark, d):
     p = A.feature_points(spark, d)
     b = p.groupBy("blob_id").agg(*[F.avg(c).alias(c) for c in "xyz"])
     h = p.groupBy(F.col("hyperblob_id").alias("cand")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    return rounded(scoring.assign(b, h, scoring.log_normal([(F.col(c), F.col(f"m{c}"), F.lit(0.05)) for c in "xyz"]), "blob_id", "cand"), 5)
+    return rounded(scoring.assign(b, h, lambda m: scoring.log_normal([(F.col(c), m(f"m{c}"), F.lit(0.05)) for c in "xyz"]), "blob_id", "cand"), 5)
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT hyperblob_id, blob_id, avg(vx) AS vx, avg(vy) AS vy, avg(vz) AS vz FROM points GROUP BY ALL), a AS (SELECT range AS i, range * 0.05::DOUBLE AS t FROM range(-2, 3)),
@@ -164,9 +165,7 @@ s AS (SELECT hyperblob_id, cand, round(sum(-((vx-tx)*(vx-tx) + (vy-ty)*(vy-ty) +
 SELECT hyperblob_id, cand, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY hyperblob_id ORDER BY score DESC, cand) = 1""")
 def motion_candidate(spark, d):
     b = A.feature_points(spark, d).groupBy("hyperblob_id", "blob_id").agg(*[F.avg(c).alias(c) for c in ("vx", "vy", "vz")])
-    e = sum(((F.col(f"v{c}") - F.col(f"t{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    s = b.crossJoin(scoring.small(scoring.motion_grid(spark, 2, 0.05))).groupBy("hyperblob_id", "cand").agg(F.round(F.sum(-e / (2 * 0.01)) + F.first("log_prior"), 9).alias("score"))
-    return rounded(s.groupBy("hyperblob_id").agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand"))).alias("b")).select("hyperblob_id", "b.cand", "b.score"), 4)
+    return rounded(scoring.best_motion(b, scoring.motion_grid(spark, 2, 0.05), "hyperblob_id", 0.01), 4)
 
 
 @query("""WITH r AS (SELECT range AS ring, range * radians(15) AS theta FROM range(5)), p AS (SELECT *, CAST(greatest(1, ceil(round(2 * pi() * sin(theta) / radians(15), 9))) AS INTEGER) AS n FROM r), k AS (SELECT *, unnest(range(n)) AS k FROM p)
@@ -449,14 +448,13 @@ def soft_iou(spark, d):
 
 @query(f"WITH {A.FEATURE_POINTS} SELECT point_id, CASE WHEN blob_id < 8 THEN blob_id + 1 ELSE 0 END AS blob_label, CASE WHEN blob_id < 8 THEN blob_id % 4 + 1 ELSE 0 END AS hyper_label FROM points")
 def rasterized_labels(spark, d):
-    p = A.feature_points(spark, d)
-    of = spark.range(8).select(F.col("id").cast("int").alias("blob_id"), (F.col("id") % 4).cast("int").alias("h"))  # the model's blobs
-    return p.select("point_id", "blob_id").join(F.broadcast(of), "blob_id", "left").select("point_id", F.when(F.col("h").isNotNull(), F.col("blob_id") + 1).otherwise(0).alias("blob_label"), F.coalesce(F.col("h") + 1, F.lit(0)).alias("hyper_label"))
+    model = spark.range(8).select(F.col("id").cast("int").alias("blob_id"), (F.col("id") % 4).cast("int").alias("h"))
+    return labels.rasterized(A.feature_points(spark, d).select("point_id", "blob_id"), model, "blob_id", "h").select("point_id", "blob_label", "hyper_label")
 
 
-@query(f"WITH {A.LABEL_PIXELS} SELECT px // 32 AS px, arg_max(blob_id, score) AS label FROM pixels GROUP BY 1")
+@query(f"WITH {A.LABEL_PIXELS} SELECT px // 32 AS px, arg_max(blob_id, (score, -blob_id)) AS label FROM pixels GROUP BY 1")
 def label_map_from_masks(spark, d):
-    return A.label_pixels(spark, d).groupBy(F.floor(F.col("px") / 32).alias("px")).agg(F.max_by("blob_id", "score").alias("label"))
+    return labels.best_mask(A.label_pixels(spark, d).withColumn("px", F.floor(F.col("px") / 32)), "px", "blob_id", "score")
 
 
 @query(f"""WITH {A.STREAM_EVENTS}, g AS (SELECT entity % 20 AS k, seq, value FROM ev), n AS (SELECT k, seq, value, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM g)
@@ -468,32 +466,56 @@ def track_smoothing(spark, d):
 
 @query(f"WITH {A.FEATURE_POINTS} SELECT blob_id, round(sum(vx), 6) AS dx, round(sum(vy), 6) AS dy, round(sum(vz), 6) AS dz FROM points WHERE frame_idx < 3 GROUP BY blob_id")
 def warmup_displacement(spark, d):
-    return rounded(A.feature_points(spark, d).where("frame_idx < 3").groupBy("blob_id").agg(*[F.sum(f"v{c}").alias(f"d{c}") for c in "xyz"]))
+    return rounded(moments.displacement(A.feature_points(spark, d), "blob_id", "frame_idx", 3))
 
 
 @query(f"""WITH {A.FEATURE_POINTS} SELECT round(quantile_cont(abs(x), 0.9), 6) AS ex, round(quantile_cont(abs(y), 0.9), 6) AS ey, round(median(z), 6) AS mz FROM points""")
 def percentile_extent(spark, d):
-    return rounded(A.feature_points(spark, d).agg(F.percentile(F.abs("x"), 0.9).alias("ex"), F.percentile(F.abs("y"), 0.9).alias("ey"), F.median("z").alias("mz")))
+    return rounded(geometry.extent(A.feature_points(spark, d), 0.9))
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, q AS (SELECT point_id, vx AS q, row_number() OVER (ORDER BY round(vx, 9) DESC, point_id) AS k FROM points WHERE blob_id <> 3) SELECT point_id, round(q, 6) AS q FROM q WHERE k <= 20 AND q > 0.1""")
 def topk_uncovered(spark, d):
-    top = A.feature_points(spark, d).where("blob_id != 3").orderBy(F.desc(F.round("vx", 9)), "point_id").limit(20)
-    return rounded(top.where("vx > 0.1").select("point_id", F.col("vx").alias("q")))
+    p = A.feature_points(spark, d).withColumn("q", F.col("vx"))
+    return rounded(grids.top_uncovered(p, F.col("blob_id") == 3, "q", "point_id", 20, 0.1))
 
 
 # rows only: solvers and iterations -----------------------------------------------------------------------------------
 
 
-@query()
+#: Every one-to-one matching of the predictions 1 to 3 of a frame with its labels is tried; 0 is no partner. A small term by pair breaks ties of IoU.
+_MATCHED = _COUNTS.replace(", o AS (", ", o_ AS (") + """, o AS (SELECT frame_idx, gt, pred, iou + gt * gt * pred * 1e-5 AS iou FROM o_), l AS (SELECT frame_idx, list(DISTINCT gt) AS g, list(DISTINCT pred) AS p FROM o GROUP BY frame_idx),
+w AS (SELECT frame_idx, a, b, c FROM (SELECT l.*, unnest(list_append(g, 0)) AS a FROM l), (SELECT range AS b FROM range(5)), (SELECT range AS c FROM range(5))
+ WHERE (a = 0 OR list_contains(p, 1)) AND (b = 0 OR (list_contains(g, b) AND list_contains(p, 2))) AND (c = 0 OR (list_contains(g, c) AND list_contains(p, 3))) AND (a = 0 OR (a <> b AND a <> c)) AND (b = 0 OR b <> c)),
+v AS (SELECT w.*, (SELECT coalesce(sum(iou), 0) FROM o WHERE o.frame_idx = w.frame_idx AND ((pred = 1 AND gt = a) OR (pred = 2 AND gt = b) OR (pred = 3 AND gt = c))) AS total, CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER) + CAST(c > 0 AS INTEGER) AS n FROM w),
+t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY round(total, 9) DESC, n DESC) = 1),
+m AS (SELECT o.frame_idx, o.gt, o.pred, o.iou FROM t JOIN o USING (frame_idx) WHERE ((pred = 1 AND gt = a) OR (pred = 2 AND gt = b) OR (pred = 3 AND gt = c)) AND iou >= 0.1),
+x AS (SELECT frame_idx, count(DISTINCT gt) AS n_gt, count(DISTINCT pred) AS n_pred FROM o GROUP BY frame_idx), y AS (SELECT frame_idx, count(*) AS n, sum(iou) AS s FROM m GROUP BY frame_idx),
+z AS (SELECT x.frame_idx, n_gt, n_pred, CASE WHEN n > 0 THEN s / n ELSE 0 END AS matched_iou, coalesce(s, 0) / n_gt AS mean_gt_iou, coalesce(n, 0) / n_gt::DOUBLE AS recall, coalesce(n, 0) / n_pred::DOUBLE AS precision FROM x LEFT JOIN y USING (frame_idx))"""
+
+
+def _overlap(spark, d, keys):
+    return labels.overlap(A.label_pixels(spark, d), keys).withColumn("iou", F.col("iou") + F.col("gt") * F.col("gt") * F.col("pred") * 1e-5)
+
+
+@query(_MATCHED + " SELECT 'v' AS video_id, frame_idx, gt, pred, round(iou, 6) AS iou FROM m")
 def hungarian_match(spark, d):
-    return rounded(matching.match(labels.overlap(A.label_pixels(spark, d), ["video_id", "frame_idx"]), ["video_id", "frame_idx"], 0.1))
+    return rounded(matching.match(_overlap(spark, d, ["video_id", "frame_idx"]), ["video_id", "frame_idx"], 0.1))
 
 
-@query()
+def _frame_metrics(spark, d):
+    t = _overlap(spark, d, ["frame_idx"])
+    return matching.instance_metrics(t, matching.match(t, ["frame_idx"], 0.1), ["frame_idx"])
+
+
+@query(_MATCHED + " SELECT frame_idx, n_gt, n_pred, round(matched_iou, 6) AS matched_iou, round(mean_gt_iou, 6) AS mean_gt_iou, round(recall, 6) AS recall, round(precision, 6) AS precision FROM z")
 def instance_metrics(spark, d):
-    t = labels.overlap(A.label_pixels(spark, d), ["frame_idx"])
-    return rounded(matching.instance_metrics(t, matching.match(t, ["frame_idx"], 0.1), ["frame_idx"]))
+    return rounded(_frame_metrics(spark, d))
+
+
+@query(_MATCHED + " SELECT frame_idx % 2 AS video, count(*) AS frames, round(avg(matched_iou), 6) AS matched_iou, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM z GROUP BY 1")
+def video_metrics(spark, d):
+    return rounded(matching.video_metrics(_frame_metrics(spark, d).withColumn("video", F.col("frame_idx") % 2), ["video"], ["matched_iou", "recall", "precision"]))
 
 
 @query()
@@ -507,11 +529,17 @@ def kmeans_init(spark, d):
     return clusters.segment_blobs(A.feature_points(spark, d), "hyperblob_id", 16)
 
 
-@query()
+_FEATURE_SUMS = "s AS (SELECT " + ", ".join(f"avg(feat[{i + 1}]) AS m{i}" for i in range(32)) + " FROM points)"
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, {_FEATURE_SUMS}, c AS (SELECT list_sum([""" + ", ".join(f"(feat[{i + 1}] - m{i}) * (feat[{i + 1}] - m{i})" for i in range(32)) + """]) AS q, point_id FROM points, s)
+SELECT point_id, round(q, 5) AS norm2 FROM c""")
 def pca_project(spark, d):
+    """All 32 axes: the projection keeps every point's distance to the mean, which SQL can say; tests hold the axes against NumPy."""
     p = A.feature_points(spark, d)
-    mean, axes = clusters.principal_axes(p, "feat", 3)
-    return rounded(clusters.project(p.select("point_id", "feat"), "feat", mean, axes, "pc").drop("feat"))
+    mean, axes = clusters.principal_axes(p, "feat", 32)
+    q = clusters.project(p.select("point_id", "feat"), "feat", mean, axes, "pc")
+    return rounded(q.select("point_id", sum((F.col(f"pc_{i}") ** 2 for i in range(32)), F.lit(0.0)).alias("norm2")), 5)
 
 
 @query()
@@ -567,16 +595,13 @@ def camera_turn(spark, d):
 
 @query(f"WITH {A.LABEL_PIXELS} SELECT px, round(avg(score) OVER (PARTITION BY frame_idx, gt), 2) AS paint FROM pixels")
 def region_mean_paint(spark, d):
-    p = A.label_pixels(spark, d)
-    mean = p.groupBy("frame_idx", "gt").agg(F.avg("score").alias("paint"))  # partial sums, then a small join: no region in one task
-    return rounded(p.join(mean, ["frame_idx", "gt"]).select("px", "paint"), 2)
+    return rounded(labels.region_mean(A.label_pixels(spark, d), ["frame_idx", "gt"], "score").select("px", "paint"), 2)
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT hyperblob_id, blob_id, covar_samp(x, y) AS xy, var_samp(x) AS xx FROM points GROUP BY ALL) SELECT CAST(h.range AS INTEGER) AS hyperblob_id, round(coalesce(avg(xx), 1e-4), 8) AS xx, round(coalesce(avg(xy), 0), 8) + 0.0 AS xy FROM range(6) h LEFT JOIN b ON b.hyperblob_id = h.range GROUP BY h.range""")
 def hyperblob_mean_cov(spark, d):
-    b = A.feature_points(spark, d).groupBy("hyperblob_id", "blob_id").agg(F.covar_samp("x", "y").alias("xy"), F.var_samp("x").alias("xx"))
     h = spark.range(6).select(F.col("id").cast("int").alias("hyperblob_id"))
-    return rounded(h.join(b.groupBy("hyperblob_id").agg(F.avg("xx").alias("xx"), F.avg("xy").alias("xy")), "hyperblob_id", "left").select("hyperblob_id", F.coalesce("xx", F.lit(1e-4)).alias("xx"), F.coalesce("xy", F.lit(0.0)).alias("xy")), 8)
+    return rounded(moments.mean_covariance(A.feature_points(spark, d), h, "hyperblob_id", "blob_id", 1e-4), 8)
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT blob_id, avg(vx) AS vx, avg(vy) AS vy FROM points GROUP BY blob_id), m AS (SELECT count(*) AS k, median(vx) AS mx, median(vy) AS my FROM b), s AS (SELECT blob_id, vx - CASE WHEN k >= 8 THEN mx ELSE 0 END AS dx, vy - CASE WHEN k >= 8 THEN my ELSE 0 END AS dy FROM b, m), t AS (SELECT quantile_cont(sqrt(dx*dx + dy*dy), 0.95) AS top FROM s)
@@ -598,20 +623,17 @@ def motion_gated_prior(spark, d):
     return rounded(moments.gated_prior_means(m, prior, "blob_id", 0.5, 2.0, 0.03))
 
 
-@query(f"""WITH {A.LABEL_PIXELS} SELECT px, CASE WHEN gt = 0 AND score > 150000 THEN 9 ELSE gt END AS label, gt = 0 AND score > 150000 AS added FROM pixels""")
+@query(f"""WITH {A.LABEL_PIXELS}, n AS (SELECT max(gt) + 1 AS new, count(*) FILTER (gt = 0 AND score > 150000) AS k FROM pixels)
+SELECT px, CASE WHEN gt = 0 AND score > 150000 AND k >= 5 THEN new ELSE gt END AS label, gt = 0 AND score > 150000 AND k >= 5 AS added FROM pixels, n""")
 def paint_holes(spark, d):
     p = A.label_pixels(spark, d)
-    new = (F.col("gt") == 0) & (F.col("score") > 150000)
-    return p.select("px", F.when(new, 9).otherwise(F.col("gt")).alias("label"), new.alias("added"))
+    return labels.paint_holes(p.select("px", F.col("gt").alias("label")), p.where("score > 150000").select("px"), ["px"], 5)
 
 
 @query(f"""WITH {A.LABEL_PIXELS}, t AS (SELECT frame_idx, gt AS track_id FROM pixels WHERE gt > 0 GROUP BY ALL), o AS (SELECT frame_idx, pred + (SELECT max(track_id) + 1 FROM t) AS track_id FROM pixels WHERE pred > 0 GROUP BY ALL) SELECT frame_idx, CAST(track_id AS INTEGER) AS track_id FROM t UNION ALL SELECT frame_idx, CAST(track_id AS INTEGER) FROM o""")
 def merged_tracks(spark, d):
     p = A.label_pixels(spark, d)
-    old = p.where("gt > 0").select("frame_idx", F.col("gt").alias("track_id")).distinct()
-    top = old.agg((F.max("track_id") + 1).alias("first"))
-    new = p.where("pred > 0").select("frame_idx", "pred").distinct().crossJoin(F.broadcast(top)).select("frame_idx", (F.col("pred") + F.col("first")).cast("int").alias("track_id"))
-    return old.unionByName(new)
+    return labels.merged_tracks(p.where("gt > 0").select("frame_idx", F.col("gt").alias("track_id")), p.where("pred > 0").select("frame_idx", F.col("pred").alias("track_id")), "frame_idx", "track_id")
 
 
 @query("""SELECT o_orderpriority AS k, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY 1""")
@@ -630,3 +652,144 @@ def dense_evaluation(spark, d):
     p = A.feature_points(spark, d)
     first = tracker.frames(p.where("frame_idx = 0")).first()
     return tracker.dense_assign(p, tracker.advance(None, first["points"], 16, 4, tracker.kernel.Hypers())[0])
+
+
+# resizing, prompts, cameras, padding and measures of streams ---------------------------------------------------------
+
+_CELLS_ = _CELLS.replace("GROUP BY ALL", "GROUP BY 1, 2, 3")
+
+
+@query(f"""WITH {_CELLS_}, t AS (SELECT 'down' AS kind, a.range AS r, b.range AS c, a.range * 10 // 4 AS sr, b.range * 10 // 7 AS sc FROM range(4) a, range(7) b UNION ALL SELECT 'up', a.range, b.range, a.range * 10 // 25, b.range * 10 // 33 FROM range(25) a, range(33) b)
+SELECT kind, t.r, t.c, label FROM t JOIN g ON g.r = sr AND g.c = sc""")
+def nearest_resize(spark, d):
+    g = _cells(spark, d)
+    one = lambda kind, to: grids.nearest(g, (10, 10), to, ["label"]).select(F.lit(kind).alias("kind"), "r", "c", "label")
+    return one("down", (4, 7)).unionByName(one("up", (25, 33)))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, q AS (SELECT hyperblob_id AS k, CAST(floor(20 * (x + 1)) AS BIGINT) AS r, CAST(floor(20 * (y + 1)) AS BIGINT) AS c, sum(vx) AS q FROM points GROUP BY ALL),
+b AS (SELECT a.k, a.r, a.c, avg(n.q) AS m FROM q a JOIN q n ON n.k = a.k AND abs(n.r - a.r) <= 1 AND abs(n.c - a.c) <= 1 GROUP BY ALL)
+SELECT k, r, c, round(m, 6) AS peak FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(m, 9) DESC, r, c) = 1""")
+def smoothed_peak(spark, d):
+    q = A.feature_points(spark, d).groupBy(F.col("hyperblob_id").alias("k"), F.floor(20 * (F.col("x") + 1)).alias("r"), F.floor(20 * (F.col("y") + 1)).alias("c")).agg(F.sum("vx").alias("q"))
+    return rounded(grids.peak(q, ["k"], "q"))
+
+
+_MASKS = "m AS (SELECT DISTINCT p_size AS mask_id, (p_partkey % 100) // 10 AS r, p_partkey % 10 AS c FROM part), l AS (SELECT r, c, CASE WHEN label > 3 THEN label - 3 ELSE 0 END AS label FROM g), n AS (SELECT mask_id, count(*) AS cells, avg(CASE WHEN m.r IN (0, 9) OR m.c IN (0, 9) THEN 1.0 ELSE 0 END) AS edge, avg(CASE WHEN coalesce(label, 0) = 0 THEN 1.0 ELSE 0 END) AS new_share FROM m LEFT JOIN l ON l.r = m.r AND l.c = m.c GROUP BY mask_id), b AS (SELECT * FROM n WHERE cells BETWEEN 2 AND 60 AND edge <= 0.5 AND new_share >= 0.2 ORDER BY round(new_share, 9) DESC, cells DESC, mask_id LIMIT 1)"
+
+
+def _masks(spark, d):
+    k = F.col("p_partkey") % 100
+    m = A.read(spark, d, "part").select(F.col("p_size").alias("mask_id"), F.floor(k / 10).alias("r"), (k % 10).alias("c")).distinct()
+    return m, _cells(spark, d).select("r", "c", F.when(F.col("label") > 3, F.col("label") - 3).otherwise(0).alias("label"))
+
+
+@query(f"WITH {_CELLS_}, {_MASKS} SELECT mask_id, cells, round(new_share, 6) AS new_share FROM b")
+def candidate_selection(spark, d):
+    m, known = _masks(spark, d)
+    return rounded(grids.candidate(m, known, 10, 10, (2, 60), 0.5, 0.2))
+
+
+@query(f"""WITH {_CELLS_}, {_MASKS}, u AS (SELECT l.r, l.c, label, label = 0 AND EXISTS (SELECT 1 FROM m JOIN b USING (mask_id) WHERE m.r = l.r AND m.c = l.c) AS fresh FROM l), t AS (SELECT max(label) + 1 AS id, count(*) FILTER (fresh) AS k FROM u)
+SELECT r, c, CASE WHEN fresh AND k >= 1 THEN id ELSE label END AS label FROM u, t""")
+def seed_augmentation(spark, d):
+    m, known = _masks(spark, d)
+    best = grids.candidate(m, known, 10, 10, (2, 60), 0.5, 0.2).select("mask_id")
+    return grids.augmented(known, m.join(best, "mask_id").select("r", "c"), least=1)
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, e AS (SELECT avg(vx) AS ex, avg(vy) AS ey, count(*) AS k FROM points), p AS (SELECT blob_id, avg(x) AS x, avg(y) AS y, avg(vx) AS vx, avg(vy) AS vy, count(*) AS n FROM points GROUP BY blob_id)
+SELECT blob_id, round(x, 6) AS x, round(y, 6) AS y, round(1 - sqrt(x * x + y * y) / 2 + sqrt((vx - ex) * (vx - ex) + (vy - ey) * (vy - ey)) - 2 * greatest(0, n / k::DOUBLE - 0.25), 6) AS score FROM p, e WHERE n >= greatest(5, 0.01 * k) ORDER BY score DESC, blob_id LIMIT 1""")
+def salient_cluster(spark, d):
+    return rounded(moments.salient(A.feature_points(spark, d), "blob_id", (0.0, 0.0), 2.0))
+
+
+@query(f"WITH {A.LABEL_PIXELS} SELECT frame_idx, count(DISTINCT pred) FILTER (pred > 0) AS instances, greatest(0, max(pred) - 1) AS max_track FROM pixels GROUP BY frame_idx")
+def instance_counts(spark, d):
+    return labels.instance_counts(A.label_pixels(spark, d), ["frame_idx"], "pred")
+
+
+@query("SELECT count(DISTINCT (p_size % 5, p_partkey % 3)) FILTER (p_size % 5 <> 4 OR p_partkey % 3 <> 2) AS instances FROM part")
+def seed_instance_count(spark, d):
+    return labels.seed_instances(A.read(spark, d, "part").select((F.col("p_size") % 5).alias("r"), (F.col("p_partkey") % 3).alias("g")), ["r", "g"], (4, 2))
+
+
+@query(f"WITH {A.FEATURE_POINTS} SELECT point_id, round(m + (z - m) * 0.4, 6) AS z FROM (SELECT point_id, z, avg(z) OVER (PARTITION BY frame_idx) AS m FROM points)")
+def depth_compress(spark, d):
+    p = A.feature_points(spark, d)
+    centre = p.groupBy("frame_idx").agg(F.avg("z").alias("m"))
+    return rounded(p.join(centre, "frame_idx").select("point_id", geometry.compressed(F.col("z"), F.col("m"), 0.4).alias("z")))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, l AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) > 0.35 AS far FROM points), f AS (SELECT frame_idx, min(point_id) AS first FROM l WHERE far GROUP BY frame_idx)
+SELECT point_id, """ + ", ".join(f"round(CASE WHEN far AND point_id <> first THEN 0 ELSE {a} END, 6)::DOUBLE AS {a}" for a in ("vx", "vy", "vz")) + " FROM l LEFT JOIN f USING (frame_idx)")
+def calmed_motion(spark, d):
+    return rounded(geometry.calmed(A.feature_points(spark, d), "frame_idx", "point_id", ("vx", "vy", "vz")).select("point_id", "vx", "vy", "vz"))
+
+
+@query(f"WITH {A.TRACKED_POINTS} SELECT point_id, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY z DESC, point_id) - 1 AS paint_rank FROM points")
+def painter_order(spark, d):
+    return geometry.painter_order(A.tracked_points(spark, d), ["video_id", "frame_idx"], "z", "point_id").select("point_id", F.col("paint_rank").cast("long").alias("paint_rank"))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, h AS (SELECT hyperblob_id AS k, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM points GROUP BY hyperblob_id), c AS (SELECT k, px, py, pz, cam, px - sin(radians(cam * 12)) * 3 AS ax, py + 0.5 AS ay, pz - cos(radians(cam * 12)) * 3 AS az FROM h, (VALUES (-1), (0), (1)) t(cam)),
+f AS (SELECT *, (px - ax) / n AS fx, (py - ay) / n AS fy, (pz - az) / n AS fz FROM (SELECT *, sqrt((px - ax) ** 2 + (py - ay) ** 2 + (pz - az) ** 2) AS n FROM c)), r AS (SELECT *, sqrt(fz * fz + fx * fx) AS m FROM f), d AS (SELECT *, fz / m AS rx, -fx / m AS rz FROM r), e AS (SELECT *, fy * rz AS dx, fz * rx - fx * rz AS dy, -fy * rx AS dz FROM d)
+SELECT k, cam AS camera, round(ax, 6) AS ax, round(az, 6) AS az, round(ax + fx - 0.5 * rx - 0.25 * dx, 6) + 0.0 AS cx, round(ay + fy - 0.25 * dy, 6) + 0.0 AS cy, round(az + fz - 0.5 * rz - 0.25 * dz, 6) + 0.0 AS cz FROM e""")
+def camera_rig(spark, d):
+    h = A.feature_points(spark, d).groupBy(F.col("hyperblob_id").alias("k")).agg(*[F.avg(c).alias(f"p{c}") for c in "xyz"])
+    h = h.select("*", F.col("px").alias("ox"), (F.col("py") + 0.5).alias("oy"), (F.col("pz") - 3).alias("oz"))
+    r = geometry.rig(h, ("ox", "oy", "oz"), ("px", "py", "pz"), 12.0, (320.0, 160.0), 640.0)
+    return rounded(r.select("k", "camera", "ax", "az", *[F.col("corners")[0][c].alias(f"c{c}") for c in "xyz"]))
+
+
+@query("""WITH f AS (SELECT n_regionkey AS clip, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS frame, n_nationkey AS v FROM nation WHERE n_nationkey % 4 <> n_regionkey % 4), l AS (SELECT clip, max(frame) AS last FROM f GROUP BY clip)
+SELECT clip, frame, v, false AS is_pad FROM f UNION ALL SELECT f.clip, n.range, v, true FROM f JOIN l ON l.clip = f.clip AND last = frame JOIN range(7) n ON n.range > last""")
+def time_pad(spark, d):
+    n = A.read(spark, d, "nation").where("n_nationkey % 4 != n_regionkey % 4")
+    frame = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    return streams.padded(n.select(F.col("n_regionkey").alias("clip"), frame.cast("long").alias("frame"), F.col("n_nationkey").alias("v")), "clip", "frame", 7)
+
+
+@query(f"""WITH {A.STREAM_EVENTS}, t AS (SELECT stream, count(*) AS n, min(epoch_us(ts) / 1e6) AS a, max(epoch_us(ts) / 1e6) AS b FROM ev GROUP BY stream), r AS (SELECT *, CASE WHEN b > a THEN (n - 1) / (b - a) ELSE 0 END AS fps FROM t), x AS (SELECT max(b) AS now, max(fps) AS best FROM r)
+SELECT stream, n, round(fps, 9) AS fps, round(now - b, 4) AS lag, round(CASE WHEN best > 0 THEN 100 * (1 - fps / best) ELSE 0 END, 4) AS drift, CASE WHEN (now - b) * fps <= 1 THEN 'green' WHEN (now - b) * fps <= 4 THEN 'yellow' ELSE 'red' END AS staleness FROM r, x""")
+def sidebar_metrics(spark, d):
+    ev = A.stream_events(spark, d).select("stream", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    s = streams.sidebar(ev, "stream", "t")
+    return s.select("stream", "n", F.round("fps", 9).alias("fps"), F.round("lag", 4).alias("lag"), F.round("drift", 4).alias("drift"), "staleness")
+
+
+@query("""WITH v AS (SELECT CAST(o_custkey % 4 AS VARCHAR) AS pct, month(o_orderdate) AS video, avg(o_totalprice) AS jaccard, count(*)::DOUBLE AS fps FROM orders GROUP BY ALL), s AS (SELECT pct || '|jaccard' AS k, video, jaccard AS value FROM v UNION ALL SELECT pct || '|fps', video, fps FROM v),
+x AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY video) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM s), d AS (SELECT DISTINCT k, n FROM x),
+p AS (SELECT k, b.range AS b, CAST('0x' || substr(md5('8|' || k || '|' || b.range || '|' || j.range), 1, 13) AS BIGINT) % n AS i FROM d, range(200) b, range(12) j WHERE j.range < n),
+m AS (SELECT p.k, p.b, avg(x.value) AS m FROM p JOIN x ON x.k = p.k AND x.i = p.i GROUP BY ALL)
+SELECT split_part(m.k, '|', 1) AS pct, split_part(m.k, '|', 2) AS metric, round(any_value(a.mean), 5) AS mean, round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM m JOIN (SELECT k, avg(value) AS mean FROM x GROUP BY k) a ON a.k = m.k GROUP BY m.k""")
+def subsampling_tradeoff(spark, d):
+    v = A.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).cast("string").alias("pct"), F.month("o_orderdate").alias("video")).agg(F.avg("o_totalprice").alias("jaccard"), F.count("*").cast("double").alias("fps"))
+    return rounded(bootstrap.trade_off(v, "pct", "video", ["jaccard", "fps"], 200, 8), 5)
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, d AS (SELECT a.point_id AS p, a.blob_id AS l, b.blob_id AS m, sqrt(list_sum(list_transform(range(1, 33), lambda i: (a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i])))) AS d FROM points a CROSS JOIN points b),
+n AS (SELECT blob_id AS m, count(*) AS n FROM points GROUP BY blob_id), s AS (SELECT p, l, d.m, sum(d) AS s, any_value(n) AS n FROM d JOIN n ON n.m = d.m GROUP BY ALL),
+a AS (SELECT p, any_value(l) AS l, max(s / greatest(n - 1, 1)) FILTER (l = m) AS a, max(n) FILTER (l = m) AS own, min(s / n) FILTER (l <> m) AS b FROM s GROUP BY p)
+SELECT round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM a""")
+def silhouette_score(spark, d):
+    return rounded(clusters.silhouette(A.feature_points(spark, d), "point_id", "blob_id", "feat"), 5)
+
+
+@query(f"WITH {A.FEATURE_POINTS} SELECT blob_id, " + ", ".join(f"round(covar_samp({a}, {b}), 6) + 0.0 AS c_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM points GROUP BY blob_id")
+def blob_ellipsoids(spark, d):
+    """Half axes and rotations of the blobs' covariances, put together again, which is what SQL can say of them."""
+    cov = F.array(*[F.covar_samp(a, b) for a in "xyz" for b in "xyz"])
+    e = clusters.ellipsoids(A.feature_points(spark, d).groupBy("blob_id").agg(cov.alias("cov")), ["blob_id"], "cov", least=1e-12)
+    x, y, z, w = (F.col("rotation")[i] for i in range(4))
+    r = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+    back = lambda i, j: sum((r[i][k] * r[j][k] * F.col("half")[k] ** 2 for k in range(3)), F.lit(0.0))
+    return rounded(e.select("blob_id", *[back("xyz".index(a), "xyz".index(b)).alias(f"c_{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]))
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, f AS (SELECT frame_idx, count(*) AS n FROM points GROUP BY frame_idx) SELECT 'v' AS video_id, frame_idx, 1.0::DOUBLE AS blob_weight, 1.0::DOUBLE AS hyper_weight, 16 AS blobs FROM f""")
+def model_tables(spark, d):
+    """Blob and hyperblob weights of every frame; that each level's sum to 1 is what SQL can say of them."""
+    m = tracker.models(A.feature_points(spark, d), 16, 4)
+    total = lambda level: F.round(F.sum(F.when(F.col("level") == level, F.col("weight"))), 9)
+    return m.groupBy("video_id", "frame_idx").agg(total("blob").alias("blob_weight"), total("hyperblob").alias("hyper_weight"), F.count_if(F.col("level") == "blob").cast("int").alias("blobs"))

@@ -16,6 +16,8 @@ def session(app: str = "murmuration", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; only where nothing is set (local tests) a temporary folder is."""
+    """checkpoint() writes to spark.checkpoint.dir; only where nothing is set and the master is local (tests) a temporary folder is."""
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="murmuration-"))

@@ -35,6 +35,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += b.num_rows
 
 
+def disk_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(video, images): image files in each subfolder of a folder. File contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").option("recursiveFileLookup", "true").load(folder).select("path")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("video")).agg(F.count("*").alias("images"))
+
+
+def most_frames(clips: DataFrame, video: str, frame: str) -> DataFrame:
+    """One row: frames of the longest clip, 0 without any."""
+    return clips.groupBy(video).agg((F.max(frame) + 1).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("most"))
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) for a decoder that the caller brings."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(folder).select("path", "content")

@@ -51,3 +51,22 @@ def write_table(rows: DataFrame, path: str, kind: str = "csv") -> bool:
     w = rows.write.mode("overwrite")
     (w.option("header", True).csv if kind == "csv" else w.json)(path)
     return True
+
+
+def joined_artifacts(motion: DataFrame, tracks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Motion (frame_idx, px, ...) and tracks (frame_idx, px, ...) of one clip with the path of their frame (frame_idx, path), by position.
+
+    Clips of different lengths or pixels, or with fewer frames than the motion has, are an error; further frames are ignored.
+    """
+    shape = lambda df: tuple(df.agg(F.count_distinct("frame_idx"), F.count_distinct("px"), F.count("*")).first())
+    a, b = shape(motion), shape(tracks)
+    if a != b:
+        raise ValueError(f"motion has (frames, pixels, rows) {a}, tracks {b}")
+    if frames.where(F.col("frame_idx") < a[0]).count() < a[0]:
+        raise ValueError(f"fewer than {a[0]} frames")
+    return motion.join(tracks, ["frame_idx", "px"]).join(frames.select("frame_idx", "path"), "frame_idx")
+
+
+def video_paths(roots: dict[str, str], video: str) -> dict[str, str]:
+    """Where each kind of artifact of a video lies: {video} in a root is replaced, else the name is appended."""
+    return {k: r.format(video=video) if "{video}" in r else f"{r.rstrip('/')}/{video}" for k, r in roots.items()}

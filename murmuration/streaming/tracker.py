@@ -50,17 +50,66 @@ def rows(video: str, frame: int, state: kernel.State, ids: np.ndarray) -> pd.Dat
     return pd.DataFrame({"video_id": video, "frame_idx": frame, "point_id": ids, "blob_id": blob, "hyperblob_id": np.where(inside, state.hyper[np.minimum(z, len(state.hyper) - 1)], -1)})
 
 
+def _folded(points: DataFrame, blobs: int, hypers: int, h: kernel.Hypers, emit, schema: str) -> DataFrame:
+    """emit(video, frame, state, ids) of every frame: rows come sorted by video and frame, and a task holds one frame and one model at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, video, state, held = None, None, None, []
+
+        def close() -> pa.RecordBatch:
+            nonlocal state, video
+            if now[0] != video:
+                state, video = None, now[0]
+            cols = [np.concatenate([c[i] for c in held]) for i in range(4)]
+            if state is None:
+                state = kernel.start(*cols[1:], blobs, hypers, h)
+            state = kernel.step(state, *cols[1:], h)
+            return emit(video, now[1], state, cols[0])
+
+        for b in batches:
+            names, frames_ = b.column(0).to_pylist(), b.column(1).to_pylist()
+            edges = [i for i in range(1, b.num_rows) if names[i] != names[i - 1] or frames_[i] != frames_[i - 1]]
+            for begin, end in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                if begin == end:
+                    continue
+                if now is not None and (names[begin], frames_[begin]) != now:
+                    yield close()
+                    held = []
+                now, c = (names[begin], frames_[begin]), b.slice(begin, end - begin)
+                x, v = (np.column_stack([c.column(k + i).to_numpy(zero_copy_only=False) for i in range(3)]).astype(float) for k in (3, 6))
+                held.append((c.column(2).to_numpy(zero_copy_only=False), x, v, c.column(9).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(end - begin, -1)))
+        if held:
+            yield close()
+
+    rows_ = points.select("video_id", "frame_idx", F.col("point_id").cast("long").alias("point_id"), "x", "y", "z", "vx", "vy", "vz", "feat")
+    return rows_.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "point_id").mapInArrow(run, schema)
+
+
 def track(points: DataFrame, blobs: int = 16, hypers: int = 4, h: kernel.Hypers = kernel.Hypers()) -> DataFrame:
     """(video_id, frame_idx, point_id, blob_id, hyperblob_id) of every point; each video's frames in order."""
+    kinds = pa.schema([("video_id", pa.string()), ("frame_idx", pa.int32()), ("point_id", pa.int64()), ("blob_id", pa.int32()), ("hyperblob_id", pa.int32())])
+    return _folded(points, blobs, hypers, h, lambda *a: pa.RecordBatch.from_pandas(rows(*a), kinds, preserve_index=False), OUT)
+
+
+MODEL = "video_id string, frame_idx int, level string, id int, parent int, weight double, mean array<double>, cov array<double>, velocity array<double>, feature array<double>"
+
+
+def model_rows(video: str, frame: int, s: kernel.State) -> pa.RecordBatch:
+    """A row a blob and a row a hyperblob: weight, mean, covariance (row by row), velocity or translation, feature; parent is a blob's hyperblob."""
+    n, k = len(s.weight), len(s.h_mean)
+    h_weight = s.h_weight if s.h_weight is not None else np.full(k, 1 / max(1, k))
+    listed = lambda a, b: [x.ravel().tolist() for x in (*a, *b)]
+    kind = pa.list_(pa.float64())
+    cols = [
+        pa.array([video] * (n + k)), pa.array([frame] * (n + k), pa.int32()), pa.array(["blob"] * n + ["hyperblob"] * k), pa.array([*range(n), *range(k)], pa.int32()), pa.array([*s.hyper.tolist(), *[None] * k], pa.int32()),
+        pa.array(np.concatenate([s.weight, h_weight])), pa.array(listed(s.mean, s.h_mean), kind), pa.array(listed(s.cov, s.h_cov), kind), pa.array(listed(s.vel, s.h_trans), kind), pa.array(listed(s.feat, s.h_feat), kind),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in MODEL.split(", ")])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        pdf, state, out = batches, None, []
-        for r in pdf.sort_values("frame_idx").itertuples():
-            state, ids = advance(state, r.points, blobs, hypers, h)
-            out.append(rows(r.video_id, r.frame_idx, state, ids))
-        return pd.concat(out)
 
-    return frames(points).groupBy("video_id").applyInPandas(fold, OUT)
+def models(points: DataFrame, blobs: int = 16, hypers: int = 4, h: kernel.Hypers = kernel.Hypers()) -> DataFrame:
+    """The model after every frame as a table (MODEL): weights, means and covariances of blobs and hyperblobs."""
+    return _folded(points, blobs, hypers, h, lambda video, frame, state, ids: model_rows(video, frame, state), MODEL)
 
 
 def dense_assign(points: DataFrame, state: kernel.State, h: kernel.Hypers = kernel.Hypers(), terms: str = "pvf") -> DataFrame:
