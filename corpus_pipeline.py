@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, MapType, VariantType
 
 from murmuration.llm import decontaminate, langid, packing, pii, simhash
-from murmuration.llm._common import join_groups, private, table, work_dir, written
+from murmuration.llm._common import join_marks, private, table, work_dir, written
 from murmuration.llm.queries import tokenizer
 
 
@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = found.groupBy(F.col("id").alias(key)).agg(F.max(F.col("id") != F.col("component")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1")
     marks = written(marks, folder, "marks")
     gone, n = private("gone", keyed), private("n", keyed)
-    marked = join_groups(keyed, marks.select(key, F.col("gone").alias(gone), F.col("n").alias(n)), key, n, docs.count())
+    marked = join_marks(keyed, marks.select(key, F.col("gone").alias(gone), F.col("n").alias(n)), key, n, docs.count())
     kept = marked.where(F.col(gone).isNull())
     if marks.where("not gone").head(1):  # equal rows
         kept = kept.union(marked.where(~F.col(gone)).dropDuplicates([key]))
@@ -73,8 +73,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = private("document", docs)
     keyed = docs.withColumn(key, F.struct(F.col("doc_id"), _rest(docs).alias("rest")))
-    found = decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("id").alias(key)).distinct()
-    return keyed.join(found, key, "left_anti").select(*docs.columns)
+    found = decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    gone, n = private("gone", keyed), private("n", keyed)
+    marks = written(found.groupBy(F.col("id").alias(key)).agg(F.lit(True).alias(gone), F.count("*").alias(n)), work_dir(spark), "found")
+    return join_marks(keyed, marks, key, n, docs.count()).where(F.col(gone).isNull()).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     return here.unionByName(rest)
 
 
+#: Rows of an id and a mark that are broadcast at most; beyond, their join is dealt.
+FEW = 1_000_000
+
+
+def join_marks(rows: DataFrame, marks: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of rows, which hold texts, with marks (a written table, one row a key): broadcast where it has FEW rows at most, so that no text moves; else as groups."""
+    if marks.count() <= FEW:
+        return rows.join(F.broadcast(marks.drop(count)), key, "left")
+    return join_groups(rows, marks, key, count, total)
+
+
 def private(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}

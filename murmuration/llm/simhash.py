@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import TEXT_ROWS, drop, join_groups, mapped, work_dir, written
+from murmuration.llm._common import FEW, TEXT_ROWS, drop, join_groups, mapped, work_dir, written
 from murmuration.llm.components import connected_components
 
 SEED = 42
@@ -180,8 +180,6 @@ def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
 
 #: Bins of a similarity sketch (four bits each), mean shingles of a piece, rows of one piece or component compared all with all, bytes of shingles of such rows.
 BINS, PIECE, DENSE, DENSE_BYTES = 256, 12, 2048, 16 << 20
-#: Rows of two numbers that are broadcast at most; beyond, their join is dealt.
-FEW = 1_000_000
 #: Least share of pieces that documents of similarity 0.8 are taken to have in common; about 0.63 is usual.
 SHARED = 0.4
 #: Texts of so many shingles at most meet by single shingles, of which no like pair can escape.
