@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import decontaminate, langid, licenses, packing, pii, simhash, tokens, topk, toxicity, warc
+from murmuration.llm import conversations, decontaminate, langid, licenses, packing, phrases, pii, simhash, tokens, topk, toxicity, warc, whitening
 from murmuration.llm._common import table
 
 
@@ -81,8 +81,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000).withColumnRenamed("id", "vec_id")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(talks), every=talks.select(F.col("conv_id").alias("conv")), conv="conv")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontamination": op6_decontamination, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontamination": op6_decontamination, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_token_records": op9_token_records, "op10_toxicity": op10_toxicity, "op11_whitening": op11_whitening, "op12_conversations": op12_conversations, "op13_phrases": op13_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
