@@ -22,8 +22,6 @@ UNKNOWN = "und"
 
 #: Letters below this code point have their 3-grams in a table, as many of them as BOUND rows take; others are bound anew for each block of texts, CHUNK at a time.
 DENSE_BELOW, BOUND, CHUNK = 0x180, 1 << 16, 8192
-#: Labels of fewer than one in so many of the rows with a label are not learned, so that at most so many are.
-LABELS = 10_000
 
 _LETTERS: dict[int, np.ndarray] = {}
 
@@ -147,17 +145,16 @@ def _parts(texts: list[str | None], rows: int = 128, chars: int = 1 << 20) -> It
 def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Unit profiles by language, from a hash sample of about `sample` texts of each (all, of those that have fewer).
 
-    Rows with a null text or language, or a label rarer than LABELS allows, are not learned from. On the driver: one count
-    and one vector a language, LABELS at most.
+    Rows with a null text or language are not learned from; every other label is learned, however rare. On the driver: one
+    count and one vector a label.
     """
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    every = rows.groupBy("lang").count()
-    least = (every.agg(F.sum("count")).first()[0] or 0) / LABELS
-    counts = {r["lang"]: r["count"] for r in every.where(F.col("count") >= least).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000).select("lang", "text")
+    large = {k: n for k, n in counts.items() if n > sample}
+    rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, sample / n)]), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

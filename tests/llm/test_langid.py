@@ -88,7 +88,10 @@ def test_prediction_against_plain_cosines(spark):
         assert r.lang_pred == best and abs(r.score - max(0.0, cos[best])) < 1e-9 and r.held_out == (r.id not in learned)
 
 
-def test_rare_labels_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LABELS", 10)
-    rows = [(i, "the cat and the dog", "en") for i in range(60)] + [(100 + i, "typo", f"label{i}") for i in range(30)]
-    assert set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {"en"}
+def test_rare_labels_are_learned(spark):
+    """One text in thirty thousand, whose words no other label has, is enough for its label."""
+    rows = [(i, "the cat and the dog", "en") for i in range(30_000)] + [(40_000, "zxq vbk wjy zxq", "rare")]
+    profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(profiles) == {"en", "rare"}
+    got = langid.predict(spark.createDataFrame([(1, "wjy vbk"), (2, "a dog and a cat")], "doc_id long, text string"), profiles).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "rare", 2: "en"}
