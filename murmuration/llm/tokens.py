@@ -44,9 +44,10 @@ _BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enu
 
 
 class Encoder:
-    """encode(text) gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives; strings of special tokens count as ordinary text.
+    """encode(text) gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives; strings of added tokens become these.
 
-    Each different chunk is encoded once and remembered, which is several times faster than whole texts.
+    Each different chunk is encoded once and remembered, which is several times faster than whole texts; only texts that
+    hold the string of an added token go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,7 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         pre = getattr(self.tokenizer, "pre_tokenizer", None)
         self.chunked = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -84,11 +85,12 @@ class Encoder:
                 for c in list(islice(self.known, len(self.known) // 2, None)):
                     del self.known[c]
                 self.chars = sum(map(len, self.known))
-            chunks = [_CHUNKS.findall(t) for t in part]
+            whole = [any(a in t for a in self.added) for t in part]
+            chunks = [() if w else _CHUNKS.findall(t) for t, w in zip(part, whole, strict=True)]
             self._learn(list(set().union(*chunks).difference(self.known)))
             get = self.known.__getitem__
-            for c in chunks:
-                yield np.frombuffer(b"".join(map(get, c)), self.dtype)
+            for t, w, c in zip(part, whole, chunks, strict=True):
+                yield np.frombuffer(self._bytes([t])[0] if w else b"".join(map(get, c)), self.dtype)
 
 
 def encoder(path: str) -> Encoder:

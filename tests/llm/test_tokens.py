@@ -17,8 +17,7 @@ from murmuration.llm._common import work_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
-TOK.encode_special_tokens = True
-TRICKY = ["", " ", "  a", "a  b", "a \n b", "\n\n", "don't stop,now", "é,è. Ñ;", "a\x1cb\x85c\xa0 d", "x<|endoftext|>y", "1,000.5 x²³", "wor$$$ d*** e", "日本 語", "a　b", "I'll  we're\t\tok ", "q" * 3000, "́a b́ ,́", "hello,.!? \n"]
+TRICKY = ["", " ", "  a", "a  b", "a \n b", "\n\n", "don't stop,now", "é,è. Ñ;", "a\x1cb\x85c\xa0 d", "x<|endoftext|>y", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n<|endoftext", "<|endof text|>", "1,000.5 x²³", "wor$$$ d*** e", "日本 語", "a　b", "I'll  we're\t\tok ", "q" * 3000, "́a b́ ,́", "hello,.!? \n"]
 
 
 @given(st.lists(st.text(alphabet="aB é'’,.$1²\n\t \xa0\x1c\x85日́_-", max_size=30), max_size=20))
@@ -42,6 +41,13 @@ def test_frames():
 ROWS = [(5, "b c", 1), (3, None, 2), (3, "a" * 50, 3), (3, "a" * 50, 3), (None, "null id", 4), (-7, "", 5), (9, "long text " * 3000, 6)] + [(i, f"text number {i}, {'x ' * (i * 37 % 1900)}", 0) for i in range(20, 140)]
 
 
+def test_added_tokens():
+    """What the library does with its own defaults: one id, whatever stands round it."""
+    enc = tokens.encoder(PATH)
+    assert next(enc.encode(["<|endoftext|>"])).tolist() == [50256]
+    assert enc.added == ["<|endoftext|>"]
+
+
 def ids_of(text):
     return TOK.encode(text or "", add_special_tokens=False).ids + [0]
 
