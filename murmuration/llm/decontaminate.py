@@ -6,6 +6,10 @@ these runs hold at most 3 errors: three words of the item, at most 3 skipped bet
 order, at most 3 skipped between them. Such gapped 3-grams, ten a word, are the seeds. Of an item's k = ceil(tm) - 2 sure
 seeds half may be missed, so that the places whose seeds are most frequent are left out, and the rest must be hit.
 
+Where this leaves no sure seed (items of four words and fewer, at t = 0.5), pairs of words are the seeds. A copy has three
+points at least, that is two matched words and errors of at most 2M - 3, fewer than two for each of the M - 1 runs of two
+consecutive matches, so that one run skips at most one word. A one-word item is its own seed.
+
 One pass over the corpus keeps the stretches round these hits, as numbers of benchmark words, with the items that have
 enough of them and can reach the threshold by two upper bounds of the points, which hold for every text. These pairs are
 aligned. No text that reaches the threshold is missed.
@@ -31,8 +35,8 @@ THRESHOLD, ITEM_WORDS, STRETCH = 0.5, 500_000, 512
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Distances of a seed's second and third word from its first: at most 3 words skipped.
 GAPS = [(a, b) for b in range(2, 6) for a in range(1, b)]
-#: Items of fewer words are not compared.
-LEAST = 3
+#: Distances of a pair's second word from its first, in short items.
+PAIRS = (1, 2)
 
 _WORD = re.compile(r"\w+")
 
@@ -58,12 +62,17 @@ class Block:
         self.items = [np.array([self.number[x] for x in w], np.int32) for _, w in items]
         self.base = len(self.number) + 1
         size = np.array([len(x) for x in self.items], np.int64)
-        self.points = threshold * MATCH * size
-        sure = np.maximum(1, np.ceil(threshold * size - 1e-9).astype(np.int64) - 2)
+        # one matched word alone is no copy of an item that has more
+        self.points = np.maximum(threshold * MATCH * size, np.where(size > 1, MATCH + 1, MATCH))
+        sure = np.ceil(threshold * size - 1e-9).astype(np.int64) - 2
+        #: Words of each item's seeds; what texts are searched for.
+        words_of = np.where(sure >= 1, 3, np.minimum(size, 2))
+        self.kinds = set(words_of.tolist())
+        sure = np.maximum(1, sure)
         self.need = np.maximum(1, sure - sure // 2)
         codes, owner, place = [], [], []
         for n, x in enumerate(self.items):
-            at, c = self.codes(x)
+            at, c = self.codes(x, {int(words_of[n])})
             codes.append(c), owner.append(np.full(len(c), n, np.int32)), place.append(at.astype(np.int32))
         codes, owner, place = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((codes, np.int64), (owner, np.int32), (place, np.int32)))
         _, inverse, often = np.unique(codes, return_inverse=True, return_counts=True)
@@ -87,21 +96,26 @@ class Block:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-    def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the gapped 3-grams that hold benchmark words only."""
+    def codes(self, ids: np.ndarray, kinds: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and codes of the gapped 3-grams, pairs or words (kinds 3, 2, 1) that hold benchmark words only."""
         x, at, out = ids.astype(np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         some = np.flatnonzero(x)
         known = np.concatenate([x > 0, np.zeros(6, bool)])
-        for a, b in GAPS:
+        for a, b in GAPS if 3 in kinds else ():
             p = some[known[some + a] & known[some + b]]
             at.append(p), out.append((x[p] * self.base + x[p + a]) * self.base + x[p + b])
+        for a in PAIRS if 2 in kinds else ():
+            p = some[known[some + a]]
+            at.append(p), out.append(x[p] * self.base + x[p + a])
+        if 1 in kinds:
+            at.append(some), out.append(x[some])
         return np.concatenate(at), np.concatenate(out)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the seeds in a text, ascending, and their grams."""
         if not len(self.grams):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at, codes = self.codes(ids)
+        at, codes = self.codes(ids, self.kinds)
         some = self.maybe[self._slot(codes)]
         at, codes = at[some], codes[some]
         g = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
@@ -255,8 +269,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """(id, item_id, score, start_word, end_word): every document and item whose best alignment reaches the threshold, once each.
 
     score is 1 for a perfect copy; the span counts words of the document, of equally good ones the first. Null and empty
-    texts match nothing; items of fewer than LEAST words are not compared, and those of fewer than 3 / threshold are found
-    only where three of their words stand as close together as a seed's. Rows that repeat a document id count as one
+    texts and wordless items match nothing; a copy of an item of several words has two of them at least, a one-word item is
+    copied wherever its word stands. Rows that repeat a document id count as one
     document; of a repeated item id every text is compared. Ids are of any type; null ids stay null and are one document.
     Whole texts, however long. Other columns are not read. Empty tables: empty result.
 
@@ -267,7 +281,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found, held, size = [], [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct().orderBy("i", "t").toLocalIterator():
-        if len(w := words(r["t"])) >= LEAST:
+        if w := words(r["t"]):
             if held and size + len(w) > ITEM_WORDS:
                 found.append(_find_block(rows, Block(held, threshold), f"{folder}/{len(found)}", threshold))
                 held, size = [], 0

@@ -58,7 +58,7 @@ def test_planted(spark):
     for k, t, _ in docs:
         for i, item in items:
             w, v = d.words(t)[-600:], d.words(item)
-            if len(v) >= 3 and w and len(w) < 500 and plain(w, v)[0] >= d.THRESHOLD * d.MATCH * len(v):
+            if v and w and len(w) < 500 and plain(w, v)[0] >= max(d.THRESHOLD * d.MATCH * len(v), d.MATCH + (len(v) > 1)):
                 brute.add((k, i))
     assert brute == {x for x in want if x[0] != 102}
 
@@ -125,3 +125,25 @@ def test_each_third_word_replaced(spark):
     copy = " ".join(f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item))
     got = d.find(spark.createDataFrame([(1, copy), (2, " ".join(item))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert sorted((r.id, r.item_id, r.score) for r in got) == [(1, 7, 0.516667), (2, 7, 1.0)]
+
+
+def test_short_items(spark):
+    """Every text and item of one to eight words against exhaustive alignment, in few words, so that all edits occur."""
+    rng = random.Random(12)
+    texts = [(n, [rng.choice("abcdefghijkl") for _ in range(rng.randrange(0, 14))]) for n in range(250)]
+    items = [(i, [rng.choice("abcdefghijklmn") for _ in range(1 + i % 8)]) for i in range(64)]
+    for threshold in (0.5, 0.8):
+        got = d.find(spark.createDataFrame([(n, " ".join(w)) for n, w in texts], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), threshold=threshold).collect()
+        want = {}
+        for n, t in texts:
+            for i, w in items:
+                points = plain(t, w)[0]
+                if points >= max(threshold * d.MATCH * len(w), d.MATCH + (len(w) > 1)):
+                    want[n, i] = round(points / (d.MATCH * len(w)), 6)
+        assert {(r.id, r.item_id): r.score for r in got} == want and {len(dict(items)[i]) for _, i in want} >= ({1, 2, 3} if threshold > 0.5 else set(range(1, 9)))
+
+
+def test_short_copies(spark):
+    docs = spark.createDataFrame([(1, "here stand Two words, exactly"), (2, "two of them"), (3, "x open the y door z"), (4, "Yes"), (5, "no yesterday")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two words"), (2, "please open the window"), (3, "yes"), (4, "!?")], "item_id long, text string")
+    assert sorted((r.id, r.item_id, r.score) for r in d.find(docs, items).collect()) == [(1, 1, 1.0), (3, 2, 0.5), (4, 3, 1.0)]
