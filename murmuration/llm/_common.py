@@ -8,9 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from murmuration.llm import files
 
 T = TypeVar("T")
 
@@ -90,7 +95,7 @@ def _trim() -> None:
         pass
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, leaving little memory behind: what other modules kept goes before, what was freed after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,15 +132,95 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     return here.unionByName(rest)
 
 
-#: Rows of an id and a mark that are broadcast at most; beyond, their join is dealt.
-FEW = 1_000_000
+#: Rows of one file whose marks are kept together.
+MARKED = 1 << 20
+
+
+def located(rows: DataFrame, name: str, folder: str) -> DataFrame:
+    """rows with a column `name`, struct<file long, row long>: the Parquet file (by a hash of its path) that a row stands in and its number there.
+
+    What does not come straight from Parquet files is written to the folder first.
+    """
+
+    def at(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")))
+
+    try:
+        return at(rows)
+    except AnalysisException:
+        return at(written(rows, folder, f"located_{uuid.uuid4().hex}", TEXT_ROWS))
+
 
+class Marks:
+    """Numbers beside rows of Parquet files, kept in files of their own: one for each MARKED rows of a file that has any.
+
+    A task that reads the rows reads the marks of these alone. So the rows, which may hold long texts, meet their marks
+    where they are, without a shuffle or a broadcast, however many marks there are.
+    """
+
+    def __init__(self, marks: DataFrame, folder: str) -> None:
+        """marks: (file long, row long, mark long), at most one a row."""
+        self.folder, self.size = folder, MARKED
+        path, size = self._path, self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, n = None, [], 0
+
+            def close() -> None:
+                if now is not None:
+                    files.put(path(*now), np.concatenate(held, axis=1).tobytes())
+
+            for b in batches:
+                file, row, mark = (c.to_numpy() for c in b.columns)
+                chunk = row // size
+                edges = np.flatnonzero((file[1:] != file[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+                for i, j in zip([0, *edges], [*edges, len(row)], strict=True):
+                    if i == j:
+                        continue
+                    if (int(file[i]), int(chunk[i])) != now:
+                        close()
+                        now, held = (int(file[i]), int(chunk[i])), []
+                    held.append(np.stack([row[i:j], mark[i:j]]))
+                    n += int(j - i)
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+        chunk = F.floor(F.col("row") / size)
+        dealt = marks.select("file", "row", F.col("mark").cast("long").alias("mark")).repartition("file", chunk).sortWithinPartitions("file", "row")
+        self.count = mapped(dealt, run, "n long").agg(F.sum("n")).first()[0] or 0
+        self._held: tuple[object, np.ndarray, np.ndarray] | None = None
+
+    def _path(self, file: int, chunk: int) -> str:
+        return f"{self.folder}/{file & (1 << 64) - 1:016x}-{chunk}"
+
+    def of(self, place: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a row has a mark, the mark or 0), in a task."""
+        file, row = (place.field(i).to_numpy() for i in range(2))
+        chunk, has, mark = row // self.size, np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+        for key in {(int(f), int(c)) for f, c in np.unique(np.stack([file, chunk]), axis=1).T}:
+            if self._held is None or self._held[0] != key:
+                data = np.frombuffer(files.get(self._path(*key)) or b"", np.int64).reshape(2, -1)
+                self._held = key, data[0], data[1]
+            own = np.flatnonzero((file == key[0]) & (chunk == key[1]))
+            if len(self._held[1]):
+                at = np.minimum(np.searchsorted(self._held[1], row[own]), len(self._held[1]) - 1)
+                hit = self._held[1][at] == row[own]
+                has[own[hit]], mark[own[hit]] = True, self._held[2][at[hit]]
+        return has, mark
+
+
+def without(rows: DataFrame, place: str, gone: DataFrame, folder: str) -> DataFrame:
+    """The located rows but those of gone (file, row), without the column `place`."""
+    marks = Marks(gone.select("file", "row", F.lit(0).alias("mark")), folder)
+    at = rows.columns.index(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array(~marks.of(b.column(at))[0])
+            yield b.select([i for i in range(b.num_columns) if i != at]).filter(keep)
 
-def join_marks(rows: DataFrame, marks: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Left join of rows, which hold texts, with marks (a written table, one row a key): broadcast where it has FEW rows at most, so that no text moves; else as groups."""
-    if marks.count() <= FEW:
-        return rows.join(F.broadcast(marks.drop(count)), key, "left")
-    return join_groups(rows, marks, key, count, total)
+    return mapped(rows, run, rows.drop(place).schema)
 
 
 def private(name: str, *frames: DataFrame) -> str:

@@ -26,3 +26,22 @@ def open_at(uri: str):
     """A file for random access: seek, read, read_at."""
     system, path = _at(uri)
     return system.open_input_file(path)
+
+
+def put(uri: str, data: bytes) -> None:
+    """Write a whole file under its final name in one step, so that a repeated task replaces it by the same and no reader meets half of it."""
+    system, path = _at(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex[:12]}"
+    with system.open_output_stream(part) as f:
+        f.write(data)
+    system.move(part, path)
+
+
+def get(uri: str) -> bytes | None:
+    """A whole file, None where there is none."""
+    system, path = _at(uri)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_file(path) as f:
+        return f.read()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import FEW, TEXT_ROWS, drop, join_groups, mapped, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, drop, join_groups, located, mapped, without, work_dir, written
 from murmuration.llm.components import connected_components
 
 SEED = 42
@@ -413,13 +413,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = written(groups.select("key", "fp", F.col("first.row").alias("rep"), F.col("first.id").alias("id"), "bytes", "n"), folder, "groups")
     near = written(fingerprint_links(groups, folder), folder, "near")
     drop(docs.sparkSession, folder, "anchors", "big_anchors")
-    # mostly few: then texts that are not spoken for by another need not be moved
-    n = rows.count()
-    others = join_groups(rows.select("row", "key"), groups.where("n > 1").select("key", "rep", "n"), "key", "n", n).where("row != rep").select("row")
-    others = written(others, folder, "others")
-    reps = rows.join(F.broadcast(others) if others.count() <= FEW else others, "row", "left_anti").select(F.col("row").alias("id"), "sketch", "pieces", "singles")
+    # rows that another speaks for go where they are; no sketch moves
+    n, at = rows.count(), located(rows, "place", folder)
+    others = join_groups(at.select("row", "key", "place"), groups.where("n > 1").select("key", "rep", "n"), "key", "n", n).where("row != rep").select("place.*")
+    reps = without(at.select(F.col("row").alias("id"), "sketch", "pieces", "singles", "place"), "place", others, f"{folder}/others")
+    reps = written(reps, folder, "reps")
     maybe = connected_components(near.union(_meetings(reps, near, folder, similarity)), f"{folder}/maybe")
-    drop(docs.sparkSession, folder, "pieces", "rarest", "rarest_pieces", "pieces_big", "pieces_at")
+    drop(docs.sparkSession, folder, "reps", "pieces", "rarest", "rarest_pieces", "pieces_big", "pieces_at")
     members = maybe.union(maybe.select("root", "root").distinct()).toDF("rep", "group")
     members = written(members.join(groups.select("rep", "bytes"), "rep"), folder, "members")
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.count("*").alias("times"), F.greatest(F.ceil(F.count("*") / DENSE), F.ceil(F.sum("bytes") / DENSE_BYTES)).cast("int").alias("blocks"))

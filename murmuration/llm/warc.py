@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.llm import files
-from murmuration.llm._common import join_groups, mapped, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, Marks, join_groups, located, mapped, work_dir, written
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT = 1000
@@ -66,35 +66,36 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plan_revisits(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Pages (id, url, payload) with refers_to: the largest id with an equal payload, for those to be written as revisits of it.
+    """(file, row, mark): the located pages (id, payload, place) that are to be written as revisits, mark the largest id with an equal payload.
 
-    Only (id, digest) are grouped and joined by digest, hot digests apart. What comes of it, one row for each page that
-    is a revisit, joins the pages by id and digest, which few rows share; pages too small to be revisits meet nothing.
+    Only (id, digest, place) are written, grouped and joined by digest, hot digests apart; no payload moves.
     """
     payload = F.encode("payload", "UTF-8")
-    pages = pages.withColumn("digest", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
-    known = written(pages.where("id is not null and digest is not null").select("id", "digest"), folder, "digests")
+    known = pages.select("id", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)).alias("digest"), "place.*")
+    known = written(known.where("id is not null and digest is not null"), folder, "digests")
     groups = known.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1")
     groups = written(groups, folder, "copies")
-    key = F.concat_ws("-", F.col("id").cast("string"), "digest")
-    revisits = join_groups(known, groups, "digest", "n", known.count()).where("id < largest").groupBy(key.alias("page")).agg(F.max("largest").alias("refers_to"), F.count("*").alias("n"))
-    revisits = written(revisits, folder, "revisits")
-    out = join_groups(pages.withColumn("page", F.when(F.col("id").isNotNull() & F.col("digest").isNotNull(), key)), revisits, "page", "n", known.count())
-    return out.select("id", "url", "payload", "refers_to")
+    return join_groups(known, groups, "digest", "n", known.count()).where("id < largest").select("file", "row", F.col("largest").alias("mark"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Write a record for each page and return the index (INDEX), itself a table in the folder.
 
     Null payloads are empty, null URLs are written as urn:page. Pages with a null id are responses and never targets;
-    rows that repeat the largest id of their payload are responses each. Other columns are not read.
+    rows that repeat the largest id of their payload are responses each; very long payloads are written whole, one in
+    memory at a time beside its batch. Other columns are not read. Pages are read twice and moved never: which are revisits
+    is marked beside the files that hold them. Empty table: empty index.
     """
+    rows = located(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")), "place", folder)
+    marks = Marks(plan_revisits(rows, folder, min_bytes), f"{folder}/revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name, f, at = TaskContext.get().partitionId(), "", None, 0
         for b in batches:
             rows = []
-            for page, url, payload, to in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            has, mark = marks.of(b.column(3))
+            revisits = [m if h else None for h, m in zip(has.tolist(), mark.tolist(), strict=True)]
+            for page, url, payload, to in zip(*(b.column(i).to_pylist() for i in range(3)), revisits, strict=True):
                 data = payload.encode("utf-8")
                 if f is None:
                     (name, f), at = files.create(folder, f"part-{part:06d}", ".warc"), 0
@@ -111,8 +112,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if f is not None:
             f.close()
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    return written(mapped(plan_revisits(rows, folder, min_bytes), run, INDEX), folder, "index")
+    return written(mapped(rows, run, INDEX), folder, "index", TEXT_ROWS)
 
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:

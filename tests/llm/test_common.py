@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.llm._common import join_groups, private, work_dir, written
+from murmuration.llm import _common
+from murmuration.llm._common import Marks, join_groups, located, mapped, private, without, work_dir, written
 from murmuration.llm.components import connected_components
 
 
@@ -49,3 +51,31 @@ def test_components_without_links(spark):
 
 def test_private_names(spark):
     assert private("row", spark.createDataFrame([(1, 2)], "ROW int, _row int")) == "__row"
+
+
+def test_rows_go_where_they_lie(unaided, monkeypatch, tmp_path):
+    """Marks of many files, with a hot file, chunks smaller than a file, a column called _metadata; the plan moves no text."""
+    spark = unaided
+    monkeypatch.setattr(_common, "MARKED", 700)
+    rows = spark.range(20_000).select("id", F.concat(F.lit("text "), "id").alias("text"), F.struct(F.lit(1).alias("file_path")).alias("_metadata"))
+    rows.where("id < 9000").coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    rows.where("id >= 9000").repartition(7).write.mode("append").parquet(f"file://{tmp_path}/t")
+    at = located(spark.read.parquet(f"file://{tmp_path}/t"), "place", work_dir(spark))
+    kept = without(at, "place", at.where("id % 3 = 0 and id != 9").select("place.*"), work_dir(spark))
+    assert kept.columns == rows.columns and "Exchange" not in kept._jdf.queryExecution().toString()
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(20_000) if i % 3 or i == 9]
+    marks = Marks(at.where("id % 5 = 0").select("place.*", F.col("id").alias("mark")), work_dir(spark))
+
+    def read(batches):
+        for b in batches:
+            has, mark = marks.of(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(has), pa.array(mark)], names=["id", "has", "mark"])
+
+    assert all(r.has == (r.id % 5 == 0) and r.mark == (r.id if r.has else 0) for r in mapped(at.select("id", "place"), read, "id long, has boolean, mark long").collect())
+
+
+def test_rows_from_elsewhere_are_written_first(spark):
+    at = located(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id long, text string").distinct().union(spark.createDataFrame([(3, "b")], "id long, text string")), "place", work_dir(spark))
+    assert sorted(r.id for r in without(at, "place", at.where("id = 2").select("place.*"), work_dir(spark)).collect()) == [1, 3]
+    none = at.where("id > 9")
+    assert without(none, "place", none.select("place.*"), work_dir(spark)).collect() == []

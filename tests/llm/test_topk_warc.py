@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from murmuration.llm import files, topk, warc
+from murmuration.llm._common import work_dir
 
 
 def brute(rows, k, scale, every):
@@ -73,5 +74,28 @@ def test_index_selects(spark, tmp_path):
         warc.parse(raw.replace(b"page 5", b"page 6", 1))
 
 
+def test_no_payload_moves(spark):
+    """Without broadcasts, the only plan that reads payloads has no exchange."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in zip(keys, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    seen = []
+    try:
+        pages = spark.createDataFrame([(i, f"u{i}", "same " * 400) for i in range(30)], "page_id long, url string, html string")
+        kept = warc.written
+        warc.written = lambda df, folder, name, rows=None: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, folder, name, rows)
+        try:
+            index = warc.write_archives(pages, f"{work_dir(spark)}/w")
+        finally:
+            warc.written = kept
+        assert index.where("record_type = 'revisit'").count() == 29
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plans = {n: p for n, p in seen}
+    assert set(plans) == {"digests", "copies", "index"} and not any("Exchange" in plans[n] for n in ("digests", "index"))
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
