@@ -6,12 +6,11 @@ read again as the next one's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, MapType, VariantType
 
 from murmuration.llm import decontaminate, langid, packing, pii, simhash
-from murmuration.llm._common import join_marks, private, table, work_dir, written
+from murmuration.llm._common import located, private, table, without, work_dir, written
 from murmuration.llm.queries import tokenizer
 
 
@@ -20,16 +19,6 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {name: f"c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
 
 
-def _hashable(kind: DataType) -> bool:
-    inner = [f.dataType for f in getattr(kind, "fields", [])] + [getattr(kind, "elementType", None)]
-    return not isinstance(kind, (MapType, VariantType)) and all(_hashable(k) for k in inner if k is not None)
-
-
-def _rest(docs: DataFrame) -> Column:
-    """Hash of all columns but maps and variants: with the id it tells rows apart that are not equal."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)])
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents whose text is null, empty or without any letter. Stays: the rest; lang becomes the predicted language where it was null.
 
@@ -47,36 +36,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
 
-    Documents are rows: different texts with one doc_id are judged each, ties of doc_id broken by a hash of the row; of
-    rows that are all equal one stays. Null ids stay. Null, empty and wordless texts are copies of each other. Very long
-    texts are compared whole. Other columns, whatever their names, come through. Empty table: empty.
+    Documents are rows, told apart by where they stand in the table's files: different texts with one doc_id are judged
+    each, and of equal rows, or of near copies with one doc_id, the first there stays. Null ids stay. Null, empty and
+    wordless texts are copies of each other. Very long texts are compared whole. Other columns, whatever their names, come
+    through. Empty table: empty. No text moves: the rows that go are marked beside the files that hold them.
     """
-    key, folder = private("document", docs), work_dir(spark)
-    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), _rest(docs).alias("rest"))))
-    found = simhash.similar_documents(keyed.select(F.col(key).alias("id"), "text"), "id")
-    marks = found.groupBy(F.col("id").alias(key)).agg(F.max(F.col("id") != F.col("component")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1")
-    marks = written(marks, folder, "marks")
-    gone, n = private("gone", keyed), private("n", keyed)
-    marked = join_marks(keyed, marks.select(key, F.col("gone").alias(gone), F.col("n").alias(n)), key, n, docs.count())
-    kept = marked.where(F.col(gone).isNull())
-    if marks.where("not gone").head(1):  # equal rows
-        kept = kept.union(marked.where(~F.col(gone)).dropDuplicates([key]))
-    return kept.select(*docs.columns)
+    folder, place = work_dir(spark), private("place", docs)
+    rows = located(docs, place, folder)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), f"{place}.file", f"{place}.row"))
+    found = simhash.similar_documents(rows.select(key.alias("id"), "text"), "id")
+    return without(rows, place, found.where("id != component").select("id.file", "id.row"), f"{folder}/gone")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents that hold a copy of a benchmark item, edited ones included (op6's threshold). Stays: the rest.
 
-    Documents are rows, told apart by id, text hash and the other columns, so that rows which share an id, or have none,
+    Documents are rows, told apart by where they stand in the table's files, so that rows which share an id, or have none,
     are judged each; equal rows go or stay together. Null and empty texts stay. Very long texts are searched whole. Other
-    columns come through, whatever their names. Empty table or benchmark: nothing goes.
+    columns come through, whatever their names. Empty table or benchmark: nothing goes. No text moves, as in near_dedup.
     """
-    key = private("document", docs)
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), _rest(docs).alias("rest")))
-    found = decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
-    gone, n = private("gone", keyed), private("n", keyed)
-    marks = written(found.groupBy(F.col("id").alias(key)).agg(F.lit(True).alias(gone), F.count("*").alias(n)), work_dir(spark), "found")
-    return join_marks(keyed, marks, key, n, docs.count()).where(F.col(gone).isNull()).select(*docs.columns)
+    folder, place = work_dir(spark), private("place", docs)
+    rows = located(docs, place, folder)
+    found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"), id_col=place)
+    return without(rows, place, found.select("id.file", "id.row").distinct(), f"{folder}/gone")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
