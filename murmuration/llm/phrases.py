@@ -146,8 +146,12 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def packed(fp: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in fp.astype(">u2")]
+
+
 def hexed(fp: np.ndarray) -> list[str]:
-    return [r.tobytes().hex() for r in fp.astype(">u2")]
+    return [r.hex() for r in packed(fp)]
 
 
 def in_blocks(texts: list[np.ndarray]) -> np.ndarray:
@@ -163,7 +167,8 @@ def in_blocks(texts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, BINS), np.uint16)
 
 
-OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: As tasks give it: hashes and fingerprints are bytes until the end.
+_RAW = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -175,18 +180,18 @@ def edited(text: np.ndarray, following: np.ndarray) -> np.ndarray:
 def _compared(ids: list, texts: list[np.ndarray], fps: np.ndarray, following: list[np.ndarray], following_fps: np.ndarray) -> list[pa.Array]:
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     new = in_blocks(changed)
-    sha = [hashlib.sha256(c.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest() for c in changed]
-    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(hexed(fps), pa.string()), pa.array(hexed(new), pa.string()), pa.array(likeness(fps, new)), pa.array(likeness(fps, following_fps))]
+    sha = [hashlib.sha256(c.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).digest() for c in changed]
+    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.binary()), pa.array(packed(fps), pa.binary()), pa.array(packed(new), pa.binary()), pa.array(likeness(fps, new)), pa.array(likeness(fps, following_fps))]
 
 
-_NAMES = [c.split()[0] for c in OUT.split(", ")]
+_NAMES = [c.split()[0] for c in _RAW.split(", ")]
 _EDGE = "part int, edge string, whole string"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) in ascending order: each but the first is compared with the one before it, which is its next in descending order. The first and the last text come out as edges."""
     part, last, first = TaskContext.get().partitionId(), None, True
-    none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+    none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
 
     def edge(kind: str, key: int | None, text: np.ndarray) -> pa.RecordBatch:
         whole = text.tobytes().decode("utf-32-le", "surrogatepass")
@@ -219,7 +224,9 @@ def _bordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text's fingerprint, that of its edited text, and how near it is to that and to the next document: OUT.
+    """Every text's fingerprint, that of its edited text, and how near it is to that and to the next document.
+
+    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); hashes and fingerprints in hex.
 
     The next document has the next smaller id; after the smallest comes the largest, and a document alone is its own.
     Null texts count as empty, null ids come after all others; rows with one id go by text hash, equal rows follow each
@@ -232,7 +239,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     folder = work_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    found = written(mapped(rows.repartitionByRange(*order).sortWithinPartitions(*order), _neighbours, f"{OUT}, {_EDGE}"), folder, "neighbours", TEXT_ROWS)
+    found = written(mapped(rows.repartitionByRange(*order).sortWithinPartitions(*order), _neighbours, f"{_RAW}, {_EDGE}"), folder, "neighbours", TEXT_ROWS)
     edges = found.where("edge is not null")
     # one small row a range is ordered in one task
     parts = found.where("edge = 'last'").select("part")
@@ -240,7 +247,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = parts.select(F.col("part").alias("at"), before.alias("before"))
     last = edges.where("edge = 'last'").select(F.col("part").alias("before"), F.col("whole").alias("following"))
     pairs = edges.where("edge = 'first'").join(parts, F.col("part") == F.col("at")).join(last, "before").select("id", "whole", "following")
-    return found.where("edge is null").select(*_NAMES).unionByName(mapped(pairs, _bordered, OUT))
+    out = found.where("edge is null").select(*_NAMES).unionByName(mapped(pairs, _bordered, _RAW))
+    return out.select(*[F.lower(F.hex(n)).alias(n) if n.endswith(("sha256", "fingerprint")) else n for n in _NAMES])
 
 
 def fingerprint(text: str | None) -> str:
