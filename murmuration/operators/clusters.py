@@ -1,4 +1,4 @@
-"""Initialisation and small dense problems: k-means by segment, principal axes, normalised cut, rigid fits.
+"""Small dense problems: principal axes, normalised cut, rigid fits.
 
 Sums over points are Spark aggregations; what is solved on a driver or in one task has a row a blob, dimension or token.
 """
@@ -11,23 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.operators.kernel import kmeans
-
-
-def segment_blobs(points: DataFrame, segment: str, blobs: int, seed: int = 0) -> DataFrame:
-    """(point_id, segment, blob): each segment gets max(1, floor(blobs * share)) blobs by k-means of its positions and velocities.
-
-    A frame's segments, thousands of points each, are the groups.
-    """
-    total = points.count()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        z = kmeans(pdf[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(float), max(1, int(blobs * len(pdf) / total)), seed)
-        return pd.DataFrame({"point_id": pdf.point_id, segment: pdf[segment], "blob": z.astype("int32")})
-
-    return points.groupBy(segment).applyInPandas(one, f"point_id long, {segment} {dict(points.dtypes)[segment]}, blob int")
-
 
 def principal_axes(points: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, k axes with the largest variance first); signs so that the largest component is positive. One aggregation of D^2 / 2 sums."""

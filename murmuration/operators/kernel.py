@@ -2,11 +2,16 @@
 
 Points are read by the scoring passes and by two moment passes; every other update runs on the moments, a row a blob.
 Modes: `map` takes the most likely value of every conditional, `mean` posterior means of continuous ones, `sample` draws
-every assignment, mean, covariance, rotation and translation; draws hang on (seed, frame, step, row) alone.
+every assignment, mean, covariance, rotation and translation. Every draw of every round has a key of its own, and draws
+for points hang on their ids, so that nothing changes with the order or the partitions that points come in.
+
+A step is a generator (updates) that asks for passes over the points and is sent their moments: step runs it over arrays,
+operators/sweep.py over points that are spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -32,6 +37,7 @@ class Hypers:
     means: int = 1
     covs: bool = False  # whether a frame updates the blobs' covariances, as a full sweep does
     hyper_rounds: int = 3
+    by_weight: bool = False  # whether hyperblob weights follow their blobs' weights instead of their number
     mode: str = "map"
     seed: int = 0
 
@@ -55,8 +61,28 @@ class State:
     frame: int = 0
 
 
-def uniform(seed: int, frame: int, step: int, shape: tuple[int, ...]) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[seed, frame * 1000 + step])).random(shape) * (1 - 2e-16) + 1e-16
+#: What is drawn; a draw's key is one of these and its round.
+ASSIGN, FINAL, MEAN, VELOCITY, COV, VELOCITY_COV, HYPER, HYPER_MEAN, HYPER_COV, TURN, SHIFT, START, START_VELOCITY, START_HYPER = range(14)
+Draw = tuple[int, int]
+
+
+def stream(seed: int, frame: int, draw: Draw) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, frame, *draw])))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finisher."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(seed: int, frame: int, draw: Draw, ids: np.ndarray, n: int) -> np.ndarray:
+    """len(ids) x n numbers in (0, 1) that hang on the key, the row's id and the column alone."""
+    base = np.random.SeedSequence([seed, frame, *draw]).generate_state(1, np.uint64)
+    rows = _mixed(np.asarray(ids, np.int64).view(np.uint64) + base)
+    cells = _mixed(rows[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return ((cells >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 def floor_eigen(m: np.ndarray, ratio: float = 1e6) -> np.ndarray:
@@ -67,26 +93,22 @@ def floor_eigen(m: np.ndarray, ratio: float = 1e6) -> np.ndarray:
     return np.einsum("...ij,...j,...kj->...ik", v, e, v)
 
 
-def normals(seed: int, frame: int, step: int, shape: tuple[int, ...]) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[seed, frame * 1000 + step])).standard_normal(shape)
-
-
-def drawn_means(mean: np.ndarray, prec: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
+def drawn_means(mean: np.ndarray, prec: np.ndarray, h: Hypers, frame: int, draw: Draw) -> np.ndarray:
     """In sample mode draws about the posterior means with these precisions, else the means."""
     if h.mode != "sample" or not len(mean):
         return mean
     low = np.linalg.cholesky(prec)
-    return mean + np.linalg.solve(np.swapaxes(low, 1, 2), normals(h.seed, frame, step, mean.shape)[..., None])[..., 0]
+    return mean + np.linalg.solve(np.swapaxes(low, 1, 2), stream(h.seed, frame, draw).standard_normal(mean.shape)[..., None])[..., 0]
 
 
-def drawn_cov(psi: np.ndarray, nu: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
+def drawn_cov(psi: np.ndarray, nu: np.ndarray, h: Hypers, frame: int, draw: Draw) -> np.ndarray:
     """Inverse-Wishart of each psi and nu: its mode (map), mean (mean) or a draw by Bartlett's decomposition (sample)."""
     d = psi.shape[-1]
     if h.mode == "map":
         return psi / (nu + d + 1)[:, None, None]
     if h.mode == "mean":
         return psi / np.maximum(nu - d - 1, 1)[:, None, None]
-    rng = np.random.Generator(np.random.Philox(key=[h.seed, frame * 1000 + step]))
+    rng = stream(h.seed, frame, draw)
     a = np.tril(rng.standard_normal((len(psi), d, d)), -1)
     a[:, np.arange(d), np.arange(d)] = np.sqrt(rng.chisquare(np.maximum(nu[:, None] - np.arange(d), 1e-3)))
     # W = L A A' L' with L L' = inv(psi); its inverse is C C' with C = inv(L A)'
@@ -95,14 +117,25 @@ def drawn_cov(psi: np.ndarray, nu: np.ndarray, h: Hypers, frame: int, step: int)
     return c @ np.swapaxes(c, 1, 2)
 
 
-def log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """N x L log densities; precisions and determinants once a blob, at most `most` pairs of point and blob at a time."""
-    p = np.linalg.inv(cov)
+def log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """N x L log densities; precisions and determinants once a blob, at most `most` pairs of point and blob at a time.
+
+    x'Px - 2x'Pm + m'Pm is one product of matrices: of each point's products of coordinates with each blob's coefficients,
+    both about the middle of the means, so that little is lost to cancellation.
+    """
+    p, d = np.linalg.inv(cov), x.shape[1]
     _, det = np.linalg.slogdet(cov)
+    middle = mean.mean(axis=0) if len(mean) else np.zeros(d)
+    m = mean - middle
+    i, j = np.triu_indices(d)
+    pm = np.einsum("lij,lj->li", p, m)
+    square = p[:, i, j] * np.where(i == j, 1.0, 2.0)
+    fixed = np.einsum("li,li->l", pm, m) + det + d * np.log(2 * np.pi)
+    coefficients = np.concatenate([square, -2 * pm, fixed[:, None]], axis=1).T * -0.5
     out, block = np.empty((len(x), len(mean))), max(1, most // max(1, len(mean)))
-    for i in range(0, len(x), block):
-        d = x[i : i + block, None, :] - mean[None]
-        out[i : i + block] = -0.5 * (np.einsum("nli,lij,nlj->nl", d, p, d) + det + x.shape[1] * np.log(2 * np.pi))
+    for k in range(0, len(x), block):
+        y = x[k : k + block] - middle
+        out[k : k + block] = np.concatenate([y[:, i] * y[:, j], y, np.ones((len(y), 1))], axis=1) @ coefficients
     return out
 
 
@@ -123,9 +156,9 @@ def scores(x: np.ndarray, v: np.ndarray, f: np.ndarray | None, s: State, h: Hype
     return np.hstack([np.broadcast_to(out, (len(x), len(s.weight))), last[:, None]])
 
 
-def choose(score: np.ndarray, h: Hypers, frame: int, step: int) -> np.ndarray:
+def choose(score: np.ndarray, h: Hypers, frame: int, draw: Draw, ids: np.ndarray | None = None) -> np.ndarray:
     if h.mode == "sample":
-        score = score - np.log(-np.log(uniform(h.seed, frame, step, score.shape)))
+        score = score - np.log(-np.log(uniform(h.seed, frame, draw, np.arange(len(score)) if ids is None else ids, score.shape[1])))
     return score.argmax(axis=1)
 
 
@@ -141,11 +174,11 @@ def moments(z: np.ndarray, n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bincount(z, minlength=n + 1)[:n].astype(float), summed(z, n, x), summed(z, n, x[:, :, None] * x[:, None, :])
 
 
-def posterior_cov(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: np.ndarray, old: np.ndarray, h: Hypers, frame: int = 0, step: int = 0) -> np.ndarray:
+def posterior_cov(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: np.ndarray, old: np.ndarray, h: Hypers, frame: int = 0, draw: Draw = (COV, 0)) -> np.ndarray:
     """The inverse-Wishart posterior about the current means, by the mode; the old one for fewer than three points."""
     sm = np.einsum("li,lj->lij", s, mean)
     psi = ss - sm - np.swapaxes(sm, 1, 2) + n[:, None, None] * np.einsum("li,lj->lij", mean, mean) + h.psi0 * np.eye(3)
-    new = floor_eigen(drawn_cov(floor_eigen(psi, 1e9), h.nu0 + n, h, frame, step), 1e3)
+    new = floor_eigen(drawn_cov(floor_eigen(psi, 1e9), h.nu0 + n, h, frame, draw), 1e3)
     return np.where((n >= 3)[:, None, None], new, old)
 
 
@@ -158,21 +191,21 @@ def predicted(s: State, k: np.ndarray | None = None) -> np.ndarray:
     return s.h_trans[None] + np.einsum("kij,lkj->lki", a, s.mean[:, None] - s.h_mean[None])
 
 
-def blob_means(s: State, n: np.ndarray, sx: np.ndarray, h: Hypers) -> np.ndarray:
+def blob_means(s: State, n: np.ndarray, sx: np.ndarray, h: Hypers, turn: int = 0) -> np.ndarray:
     """Hyperblob prior, points, and the blob's velocity, which its place explains in part: A x + b with A = R - I."""
     p0, p = np.linalg.inv(s.h_cov)[s.hyper], np.linalg.inv(s.cov)
     a = (s.h_rot - np.eye(3))[s.hyper]
     b = s.h_trans[s.hyper] - np.einsum("lij,lj->li", a, s.h_mean[s.hyper])
     prec = p0 + n[:, None, None] * p + np.einsum("lji,ljk->lik", a, a) / h.sigma_v
     rhs = np.einsum("lij,lj->li", p0, s.h_mean[s.hyper]) + np.einsum("lij,lj->li", p, sx) + np.einsum("lji,lj->li", a, s.vel - b) / h.sigma_v
-    return drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, 20)
+    return drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, (MEAN, turn))
 
 
 def blob_velocities(s: State, n: np.ndarray, sv: np.ndarray, h: Hypers) -> np.ndarray:
     p = np.linalg.inv(s.vel_cov)
     prec = np.eye(3) / h.sigma_v + n[:, None, None] * p
     rhs = predicted(s, s.hyper) / h.sigma_v + np.einsum("lij,lj->li", p, sv)
-    return np.where((n > 0)[:, None], drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, 30), 0.0)
+    return np.where((n > 0)[:, None], drawn_means(np.linalg.solve(prec, rhs[..., None])[..., 0], prec, h, s.frame, (VELOCITY, 0)), 0.0)
 
 
 def normal_means(n: np.ndarray, s: np.ndarray, cov: np.ndarray, prior_mean: np.ndarray, prior_cov: np.ndarray) -> np.ndarray:
@@ -244,23 +277,24 @@ def rotations(h: Hypers) -> np.ndarray:
 def hyperblobs(s: State, h: Hypers, turn: int = 0) -> State:
     """Assignments of blobs, then means, covariances, rotations and translations of hyperblobs."""
     k = len(s.h_mean)
-    hyper = choose(hyper_scores(s, h), h, s.frame, 900 + turn)
+    hyper = choose(hyper_scores(s, h), h, s.frame, (HYPER, turn))
     n, sx, sxx = moments(hyper, k, s.mean)
+    h_weight = hyper_weights(n, h, np.bincount(hyper, s.weight, k) if h.by_weight else None)
     one = np.zeros((k, len(hyper)))
     one[hyper, np.arange(len(hyper))] = 1
     p, a = np.linalg.inv(s.h_cov), np.eye(3) - s.h_rot
     left = one @ s.vel - n[:, None] * s.h_trans + np.einsum("kij,kj->ki", a, sx)  # sum of v - (t - A x)
     prec = np.eye(3) / h.sigma_h + n[:, None, None] * (p + np.einsum("kji,kjl->kil", a, a) / h.sigma_v)
     mean = np.linalg.solve(prec, (np.einsum("kij,kj->ki", p, sx) + np.einsum("kji,kj->ki", a, left) / h.sigma_v)[..., None])[..., 0]
-    mean = drawn_means(mean, prec, h, s.frame, 910 + turn)
-    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h, s.frame, 920 + turn)
-    s = replace(s, hyper=hyper, h_mean=mean, h_cov=cov)
+    mean = drawn_means(mean, prec, h, s.frame, (HYPER_MEAN, turn))
+    cov = posterior_cov(n, sx, sxx, mean, s.h_cov, h, s.frame, (HYPER_COV, turn))
+    s = replace(s, hyper=hyper, h_weight=h_weight, h_mean=mean, h_cov=cov)
     own, turns = s.mean - mean[hyper], rotations(h)
     spun = np.einsum("cij,lj->lci", turns - np.eye(3), own)
-    rot = turns[choose(one @ -((s.vel[:, None] - s.h_trans[hyper][:, None] - spun) ** 2).sum(-1) / (2 * h.sigma_v), h, s.frame, 930 + turn)]
+    rot = turns[choose(one @ -((s.vel[:, None] - s.h_trans[hyper][:, None] - spun) ** 2).sum(-1) / (2 * h.sigma_v), h, s.frame, (TURN, turn))]
     grid, prior = motions(h)
     rest = s.vel - np.einsum("lij,lj->li", (rot - np.eye(3))[hyper], own)
-    trans = grid[choose(one @ -((rest[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v) + prior, h, s.frame, 940 + turn)]
+    trans = grid[choose(one @ -((rest[:, None] - grid[None]) ** 2).sum(-1) / (2 * h.sigma_v) + prior, h, s.frame, (SHIFT, turn))]
     return replace(s, h_rot=rot, h_trans=trans, h_feat=hyper_feature_means(n, one @ s.feat, h))
 
 
@@ -270,15 +304,27 @@ def start(x: np.ndarray, v: np.ndarray, f: np.ndarray, blobs: int, hypers: int,
     blobs = int(z.max()) + 1 if len(z) else 0
     n, sx, sxx = moments(z, blobs, x)
     _, sv, svv = moments(z, blobs, v)
-    mean, vel, feat = sx / n[:, None], sv / n[:, None], summed(z, blobs, f) / n[:, None]
+    return replace(begun({"n": n, "x": sx, "xx": sxx, "v": sv, "vv": svv, "f": summed(z, blobs, f)}, [(np.arange(blobs), hypers)], h), assigned=z)
+
+
+def begun(m: dict[str, np.ndarray], groups: list[tuple[np.ndarray, int]], h: Hypers) -> State:
+    """A first state from the moments of blobs, none empty; each group of blobs makes up to so many hyperblobs, by k-means of its blobs."""
+    n, blobs = m["n"], len(m["n"])
+    mean, vel, feat = (m[c] / n[:, None] for c in "xvf")
     small = np.repeat(0.01 * np.eye(3)[None], blobs, 0)
-    cov, vel_cov = posterior_cov(n, sx, sxx, mean, small, h), posterior_cov(n, sv, svv, vel, small, h)
-    y = kmeans(np.hstack([mean, vel]), hypers, h.seed + 1)
-    k = int(y.max()) + 1 if len(y) else 0
-    m, sm, smm = moments(y, k, mean)
-    h_mean = sm / m[:, None]
+    cov = posterior_cov(n, m["x"], m["xx"], mean, small, h, 0, (START, 0))
+    vel_cov = posterior_cov(n, m["v"], m["vv"], vel, small, h, 0, (START_VELOCITY, 0))
+    y, k = np.zeros(blobs, np.int64), 0
+    for g, (own, most) in enumerate(groups):
+        if len(own):
+            y[own] = k + kmeans(np.hstack([mean, vel])[own], most, h.seed + 1 + g)
+            k = int(y[own].max()) + 1
+    count, sm, smm = moments(y, k, mean)
+    h_mean = sm / count[:, None]
     weight = (h.beta + n) / (blobs * h.beta + n.sum())
-    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, posterior_cov(m, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h), summed(y, k, vel) / m[:, None], np.repeat(np.eye(3)[None], k, 0), hyper_feature_means(m, summed(y, k, feat), h), hyper_weights(m, h), z, 0)
+    h_cov = posterior_cov(count, sm, smm, h_mean, np.repeat(np.eye(3)[None], k, 0), h, 0, (START_HYPER, 0))
+    h_weight = hyper_weights(count, h, np.bincount(y, weight, k) if h.by_weight else None)
+    return State(weight, mean, cov, vel, vel_cov, feat, y, h_mean, h_cov, summed(y, k, vel) / count[:, None], np.repeat(np.eye(3)[None], k, 0), hyper_feature_means(count, summed(y, k, feat), h), h_weight)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
@@ -302,30 +348,66 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
     return np.unique(z, return_inverse=True)[1]
 
 
-def step(s: State, x: np.ndarray, v: np.ndarray, f: np.ndarray, h: Hypers) -> State:
-    """One frame: predict, hyperblobs, assignments with and without features, means, final assignment, velocities, features, hyperblobs."""
-    n_blobs, frame = len(s.weight), s.frame + 1
-    s = replace(s, mean=s.mean + s.vel, frame=frame)
+@dataclass(frozen=True)
+class Ask:
+    """A pass over a frame's points: assign each by these terms of the score, and sum up n and what is wanted (x, v, f) by blob."""
+
+    state: State
+    terms: str
+    draw: Draw
+    want: str = ""
+    last: bool = False  # the frame's final assignment, which sticks to the one before
+
+
+def swept(ask: Ask, x: np.ndarray, v: np.ndarray, f: np.ndarray, ids: np.ndarray | None, h: Hypers, before: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(assignment, moments by blob) of some or all points of a frame; before: their last assignment, negative where there is none."""
+    s, n = ask.state, len(ask.state.weight)
+    score = scores(x, v, f, s, h, ask.terms)
+    if ask.last and h.stickiness and before is not None:
+        some = np.flatnonzero(before >= 0)
+        score[some, np.minimum(before[some], n)] += h.stickiness
+    z = np.minimum(choose(score, h, s.frame, ask.draw, ids), n)
+    m = {"n": np.bincount(z, minlength=n + 1)[:n].astype(float)}
+    for name, values in (("x", x), ("v", v)):
+        if name in ask.want:
+            m[name], m[2 * name] = summed(z, n, values), summed(z, n, values[:, :, None] * values[:, None, :])
+    if "f" in ask.want:
+        m["f"] = summed(z, n, f)
+    return z, m
+
+
+def updates(s: State, h: Hypers) -> Generator[Ask, dict[str, np.ndarray], State]:
+    """One frame: predict, hyperblobs, assignments with and without features, means, final assignment, velocities, features, hyperblobs. Yields passes over the points, is sent their moments, returns the state."""
+    blobs = len(s.weight)
+    weights = lambda n: (h.beta + n) / (blobs * h.beta + n.sum())
+    s = replace(s, mean=s.mean + s.vel, frame=s.frame + 1)
     for i in range(h.hyper_rounds):
         s = hyperblobs(s, h, i)
-    for i, terms in enumerate(("pvf", "pvf", "p")):
-        z = choose(scores(x, v, f, s, h, terms), h, frame, i)
-        n = np.bincount(z, minlength=n_blobs + 1)[:n_blobs]
-        s = replace(s, weight=(h.beta + n) / (n_blobs * h.beta + n.sum()))
-    n, sx, sxx = moments(z, n_blobs, x)
-    for _ in range(h.means):
-        s = replace(s, mean=blob_means(s, n, sx, h))
+    for i, (terms, want) in enumerate((("pvf", ""), ("pvf", ""), ("p", "x"))):
+        m = yield Ask(s, terms, (ASSIGN, i), want)
+        s = replace(s, weight=weights(m["n"]))
+    for i in range(h.means):
+        s = replace(s, mean=blob_means(s, m["n"], m["x"], h, i))
     if h.covs:
-        s = replace(s, cov=posterior_cov(n, sx, sxx, s.mean, s.cov, h, frame, 40))
-    final = scores(x, v, f, s, h)
-    if h.stickiness and len(s.assigned) == len(x):
-        final[np.arange(len(x)), np.minimum(s.assigned, n_blobs)] += h.stickiness
-    z = choose(final, h, frame, 10)
-    n, sv, svv = moments(z, n_blobs, v)
-    s = replace(s, vel=blob_velocities(s, n, sv, h), assigned=z, weight=(h.beta + n) / (n_blobs * h.beta + n.sum()))
-    s = replace(s, vel_cov=posterior_cov(n, sv, svv, s.vel, s.vel_cov, h, frame, 50))
-    if f.shape[1]:
-        s = replace(s, feat=feature_means(n, summed(np.minimum(z, n_blobs), n_blobs, f), h))
+        s = replace(s, cov=posterior_cov(m["n"], m["x"], m["xx"], s.mean, s.cov, h, s.frame, (COV, 0)))
+    m = yield Ask(s, "pvf", (FINAL, 0), "vf", True)
+    s = replace(s, vel=blob_velocities(s, m["n"], m["v"], h), weight=weights(m["n"]))
+    s = replace(s, vel_cov=posterior_cov(m["n"], m["v"], m["vv"], s.vel, s.vel_cov, h, s.frame, (VELOCITY_COV, 0)))
+    if s.feat.shape[1]:
+        s = replace(s, feat=feature_means(m["n"], m["f"], h))
     for i in range(h.hyper_rounds):
         s = hyperblobs(s, h, h.hyper_rounds + i)
     return s
+
+
+def step(s: State, x: np.ndarray, v: np.ndarray, f: np.ndarray, h: Hypers, ids: np.ndarray | None = None) -> State:
+    """updates over the arrays of one frame; draws hang on the points' ids, or else on their order."""
+    before = s.assigned if len(s.assigned) == len(x) else None
+    run = updates(s, h)
+    ask = next(run)
+    while True:
+        z, m = swept(ask, x, v, f, ids, h, before)
+        try:
+            ask = run.send(m)
+        except StopIteration as end:
+            return replace(end.value, assigned=z)

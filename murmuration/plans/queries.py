@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.operators import bootstrap, clusters, generate, geometry, grids, labels, matching, moments, sampling, scoring, streams
+from murmuration.operators import alignment, bootstrap, clusters, generate, geometry, grids, identities, initial, kernel, labels, matching, moments, quantiles, sampling, scoring, streams, sweep
 from murmuration.plans import adapters as A
 from murmuration.streaming import tracker
 
@@ -521,12 +521,13 @@ def video_metrics(spark, d):
 @query()
 def track_propagation(spark, d):
     m = A.label_pixels(spark, d).where("gt > 0").select("video_id", "frame_idx", F.col("gt").alias("mask_pos"), (F.col("px") % 50).cast("int").alias("px")).distinct()
-    return matching.propagate(m, 0.3)
+    return identities.propagate(m, 0.3)
 
 
 @query()
 def kmeans_init(spark, d):
-    return clusters.segment_blobs(A.feature_points(spark, d), "hyperblob_id", 16)
+    p = A.feature_points(spark, d)
+    return initial.blobs_of(p, initial.segmented(p, 16, "hyperblob_id"), "hyperblob_id")
 
 
 _FEATURE_SUMS = "s AS (SELECT " + ", ".join(f"avg(feat[{i + 1}]) AS m{i}" for i in range(32)) + " FROM points)"
@@ -793,3 +794,147 @@ def model_tables(spark, d):
     m = tracker.models(A.feature_points(spark, d), 16, 4)
     total = lambda level: F.round(F.sum(F.when(F.col("level") == level, F.col("weight"))), 9)
     return m.groupBy("video_id", "frame_idx").agg(total("blob").alias("blob_weight"), total("hyperblob").alias("hyper_weight"), F.count_if(F.col("level") == "blob").cast("int").alias("blobs"))
+
+
+# spread points, initialisation, alignment, identities ----------------------------------------------------------------
+
+_H = kernel.Hypers(hyper_rounds=0)
+_FLOOR = 1e-3  # added to the labels' variances, so that none is zero
+
+
+def _labelled_state(points):
+    """A state whose blobs are the labels, with the variances of each axis; one still hyperblob."""
+    axes = ("x", "y", "z", "vx", "vy", "vz")
+    rows = points.groupBy("blob_id").agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m_{a}") for a in axes], *[F.var_pop(a).alias(f"v_{a}") for a in axes], F.array(*[F.avg(F.col("feat")[i]) for i in range(32)]).alias("f")).orderBy("blob_id").toPandas()  # a row a blob
+    col = lambda names: rows[list(names)].to_numpy(float)
+    diag = lambda v: (v + _FLOOR)[:, :, None] * kernel.np.eye(3)
+    n, np = rows.n.to_numpy(float), kernel.np
+    at, speed = [f"m_{a}" for a in axes[:3]], [f"m_{a}" for a in axes[3:]]
+    one = np.eye(3)[None]
+    return kernel.State(n / n.sum(), col(at), diag(col([f"v_{a}" for a in axes[:3]])), col(speed), diag(col([f"v_{a}" for a in axes[3:]])), np.stack(rows.f), np.zeros(len(n), np.int64), np.zeros((1, 3)), 4 * one, np.zeros((1, 3)), one, np.zeros((1, 32)), np.ones(1))
+
+
+def _pass_sql(name: str, model: str, terms: str) -> str:
+    """Points' best blobs under a model (b, w, m_x, s_x, ..., f); the outlier, number 10**6, comes last."""
+    normal = lambda axes: " ".join(f"- 0.5 * (ln(2 * pi() * s_{a}) + ({a} - m_{a}) * ({a} - m_{a}) / s_{a})" for a in axes)
+    score = f"ln(w / (t + {_H.outlier}))"
+    score += normal(("x", "y", "z")) if "p" in terms else ""
+    score += normal(("vx", "vy", "vz")) if "v" in terms else ""
+    score += f" - 0.5 * (list_sum(list_transform(list_zip(feat, f), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) / {_H.sigma_f} + 32 * ln(2 * pi() * {_H.sigma_f}))" if "f" in terms else ""
+    return f"""{name}_t AS (SELECT sum(w) AS t FROM {model}),
+{name}_s AS (SELECT point_id, b, {score} AS s FROM points, {model}, {name}_t
+ UNION ALL SELECT point_id, 1000000, ln({_H.outlier} / (t + {_H.outlier})) - sqrt(vx * vx + vy * vy + vz * vz) FROM points, {name}_t),
+{name}_z AS (SELECT point_id, arg_min(b, (-s, b)) AS b FROM (SELECT point_id, b, round(s, 9) AS s FROM {name}_s) GROUP BY point_id),
+{name} AS (SELECT m.b, count(p.point_id) AS n, {", ".join(f"coalesce(sum({a}), 0) AS t_{a}" for a in ("x", "y", "z", "vx", "vy", "vz"))}, list(feat) FILTER (feat IS NOT NULL) AS fs
+ FROM {model} m LEFT JOIN {name}_z z ON z.b = m.b LEFT JOIN points p ON p.point_id = z.point_id GROUP BY m.b)"""
+
+
+def _weights_sql(name: str, model: str, counts: str, more: str = "") -> str:
+    return f"{name} AS (SELECT m.* REPLACE (({_H.beta} + n) / ((SELECT count(*) FROM {counts}) * {_H.beta} + (SELECT sum(n) FROM {counts})) AS w{more}) FROM {model} m JOIN {counts} c ON c.b = m.b)"
+
+
+_XYZ, _VXYZ = ("x", "y", "z"), ("vx", "vy", "vz")
+_SWEEP_SQL = f"""WITH {A.FEATURE_POINTS},
+m0 AS (SELECT blob_id AS b, count(*) / (SELECT count(*) FROM points)::DOUBLE AS w, {", ".join(f"avg({a}) + avg(v{a}) AS m_{a}, var_pop({a}) + {_FLOOR} AS s_{a}" for a in _XYZ)},
+ {", ".join(f"avg({a}) AS m_{a}, var_pop({a}) + {_FLOOR} AS s_{a}" for a in _VXYZ)}, [{", ".join(f"avg(feat[{i + 1}])" for i in range(32))}] AS f FROM points GROUP BY blob_id),
+{_pass_sql("p1", "m0", "pvf")}, {_weights_sql("m1", "m0", "p1")},
+{_pass_sql("p2", "m1", "pvf")}, {_weights_sql("m2", "m1", "p2")},
+{_pass_sql("p3", "m2", "p")}, {_weights_sql("m3", "m2", "p3", "".join(f", (t_{a} / s_{a}) / (1 / 4.0 + n / s_{a}) AS m_{a}" for a in _XYZ))},
+{_pass_sql("p4", "m3", "pvf")}
+SELECT m3.b AS blob_id, n, round(({_H.beta} + n) / ((SELECT count(*) FROM p4) * {_H.beta} + (SELECT sum(n) FROM p4)), 6) AS weight, {", ".join(f"round(m_{a}, 6) + 0.0 AS {a}" for a in _XYZ)},
+ {", ".join(f"round(CASE WHEN n > 0 THEN (t_{a} / s_{a}) / (1 / {_H.sigma_v} + n / s_{a}) ELSE 0 END, 6) + 0.0 AS {a}" for a in _VXYZ)},
+ round(coalesce(list_sum(list_transform(fs, lambda q: q[1])), 0) / {_H.sigma_f} / (1 + n / {_H.sigma_f}), 6) + 0.0 AS feat_0
+FROM m3 JOIN p4 ON p4.b = m3.b"""
+
+
+@query(_SWEEP_SQL)
+def frame_sweep(spark, d):
+    """One step over all points as one frame, spread as they are read, from the state that their labels make."""
+    p = A.feature_points(spark, d)
+    state = _labelled_state(p)
+    names = [r[0] for r in p.select("blob_id").distinct().orderBy("blob_id").collect()]
+    states, rows = sweep.step(p, {"v": state}, _H)
+    s = states["v"]
+    n = {r["blob_id"]: r["count"] for r in rows.groupBy("blob_id").count().collect()}
+    out = [(names[i], n.get(i, 0), float(s.weight[i]), *map(float, s.mean[i]), *map(float, s.vel[i]), float(s.feat[i, 0])) for i in range(len(names))]
+    return rounded(spark.createDataFrame(out, "blob_id int, n long, weight double, x double, y double, z double, vx double, vy double, vz double, feat_0 double"))
+
+
+@query()
+def sweep_track(spark, d):
+    """All frames, each spread over all tasks, from the distributed initialisation."""
+    return sweep.track(A.feature_points(spark, d), 16, 4)
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, n AS (SELECT video_id, hyperblob_id, count(*) AS n FROM points GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY video_id) AS t FROM n)
+SELECT video_id, coalesce(CAST(hyperblob_id AS VARCHAR), '') AS segment, n, CAST(least(n, greatest(1, floor(500 * n / t))) AS INTEGER) AS quota FROM t""")
+def segment_quotas(spark, d):
+    return initial.quotas(A.tracked_points(spark, d), 500, "hyperblob_id")
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, n AS (SELECT video_id, coalesce(hyperblob_id = 7, false) AS roi, count(*) AS n FROM points GROUP BY ALL),
+t AS (SELECT *, sum(CASE WHEN roi THEN n ELSE 0 END) OVER w AS i, sum(CASE WHEN roi THEN 0 ELSE n END) OVER w AS o FROM n WINDOW w AS (PARTITION BY video_id)),
+q AS (SELECT *, greatest(3, floor(200 * (i / (i + o) * 2.0::DOUBLE) / (i / (i + o) * 2.0::DOUBLE + o / (i + o)))) AS a FROM t)
+SELECT video_id, CAST(roi AS VARCHAR) AS segment, n, CAST(CASE WHEN roi THEN least(a, i) ELSE least(greatest(3, 200 - a), o) END AS INTEGER) AS quota FROM q""")
+def roi_quotas(spark, d):
+    """Region of interest: the points of one hyperblob, counted twice."""
+    p = A.tracked_points(spark, d).withColumn("roi", F.coalesce(F.col("hyperblob_id") == 7, F.lit(False)))
+    return initial.quotas(p, 200, "roi", True, 2.0)
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, n AS (SELECT video_id, coalesce(CAST(hyperblob_id AS VARCHAR), '') AS segment, count(*) AS n FROM points GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY video_id) AS t FROM n)
+SELECT video_id, segment, n, least(n, CAST(greatest(1, floor(60 * n / t)) AS BIGINT)) AS most, true AS within, true AS apart FROM t""")
+def segment_init(spark, d):
+    """Blobs of every video's segments: all points have one, no segment more than its quota, no blob in two segments."""
+    p = A.tracked_points(spark, d).withColumn("feat", F.array(F.lit(0.0)))
+    found = initial.blobs_of(p, initial.segmented(p, 60, "hyperblob_id", rounds=6), "hyperblob_id")
+    own = found.groupBy("video_id", "segment").agg(F.count("*").alias("n"), F.count_distinct("blob_id").alias("blobs"), F.min("blob_id").alias("low"), F.max("blob_id").alias("high"))
+    quota = initial.quotas(p, 60, "hyperblob_id").select("video_id", "segment", F.col("quota").cast("long").alias("most"))
+    j = own.join(quota, ["video_id", "segment"])
+    return j.select("video_id", "segment", "n", "most", (F.col("blobs") <= F.col("most")).alias("within"), (F.col("high") - F.col("low") + 1 == F.col("blobs")).alias("apart"))
+
+
+_TURN = """CASE WHEN point_id % 7 = 3 THEN 1 ELSE 0 END"""
+_POSE = "b AS (SELECT video_id, frame_idx, blob_id AS point_id, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM points GROUP BY ALL), a AS (SELECT *, frame_idx / 50.0::DOUBLE AS w FROM b)"
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, {_POSE}, n AS (SELECT video_id, frame_idx, w, count(*) AS n FROM a GROUP BY ALL)
+SELECT video_id, frame_idx, n, CAST(floor(0.75 * (n - 1) + 1e-9) + 1 AS BIGINT) AS kept, round(cos(w), 6) AS r_xx, round(-sin(w), 6) + 0.0 AS r_xy, round(sin(w), 6) + 0.0 AS r_yx, 1.0::DOUBLE AS r_zz, round(w, 6) AS t_x, round(2 - w, 6) AS t_y, 0.5::DOUBLE AS t_z
+FROM n WHERE n >= 40""")
+def trimmed_rigid(spark, d):
+    """Blobs of every frame, turned and shifted by a pose of its own, one in seven elsewhere: trimming gives the pose back."""
+    blobs = A.tracked_points(spark, d, hypers=False).groupBy("video_id", "frame_idx", F.col("blob_id").alias("point_id")).agg(*[F.avg(a).alias(f"p{a}") for a in "xyz"])
+    w = F.col("frame_idx") / F.lit(50.0)
+    off = F.when(F.col("point_id") % 7 == 3, 500.0 + F.col("point_id") % 11).otherwise(F.lit(0.0)) + F.abs(F.hash("point_id") % 1000) * 1e-10
+    turned = {"qx": F.cos(w) * F.col("px") - F.sin(w) * F.col("py") + w + off, "qy": F.sin(w) * F.col("px") + F.cos(w) * F.col("py") + 2 - w + off, "qz": F.col("pz") + 0.5 - off}
+    fits = alignment.trimmed_rigid_fits(blobs.withColumns(turned), ["video_id", "frame_idx"], ("px", "py", "pz"), ("qx", "qy", "qz"))
+    at = lambda i: F.get("rotation", F.lit(i))
+    t = lambda i: F.get("translation", F.lit(i))
+    return rounded(fits.where("n >= 40").select("video_id", "frame_idx", "n", "kept", at(0).alias("r_xx"), at(1).alias("r_xy"), at(3).alias("r_yx"), at(8).alias("r_zz"), t(0).alias("t_x"), t(1).alias("t_y"), t(2).alias("t_z")))
+
+
+_CLIP = """c AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS video_id, f AS frame_idx, CAST((c_custkey + 3 * f) % 37 AS INTEGER) AS mask_pos, c_custkey AS px, c_custkey % 37 AS o
+ FROM customer, (SELECT unnest(range(90)) AS f) WHERE (c_custkey * 7 + f * 13) % 10 < 9 AND (c_custkey % 37 * 5 + f) % 23 > 1)"""
+
+
+@query(f"""WITH RECURSIVE {_CLIP}, p AS (SELECT DISTINCT video_id, frame_idx, mask_pos, px FROM c),
+t AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS t FROM p),
+s AS (SELECT video_id, t, frame_idx, mask_pos, count(*) AS n FROM t GROUP BY ALL),
+i AS (SELECT a.video_id, a.t, a.mask_pos AS i, b.mask_pos AS j, count(*) AS m FROM t a JOIN t b ON a.video_id = b.video_id AND b.t = a.t + 1 AND a.px = b.px GROUP BY ALL),
+l AS (SELECT i.video_id, i.t, i.i, i.j FROM i JOIN s a ON a.video_id = i.video_id AND a.t = i.t AND a.mask_pos = i.i JOIN s b ON b.video_id = i.video_id AND b.t = i.t + 1 AND b.mask_pos = i.j WHERE m / (a.n + b.n - m) >= 0.6),
+b AS (SELECT s.*, row_number() OVER (PARTITION BY s.video_id ORDER BY s.t, s.mask_pos) - 1 AS track_id FROM s LEFT JOIN l ON l.video_id = s.video_id AND l.t = s.t - 1 AND l.j = s.mask_pos WHERE l.j IS NULL),
+r AS (SELECT video_id, t, mask_pos, track_id FROM b UNION ALL SELECT r.video_id, r.t + 1, l.j, r.track_id FROM r JOIN l ON l.video_id = r.video_id AND l.t = r.t AND l.i = r.mask_pos)
+SELECT s.video_id, s.frame_idx, s.mask_pos, CAST(track_id AS INTEGER) AS track_id FROM r JOIN s ON s.video_id = r.video_id AND s.t = r.t AND s.mask_pos = r.mask_pos""")
+def track_identities(spark, d):
+    """Masks of customers over 90 frames: a tenth of the pixels is missing in each frame, masks vanish and come back under new identities."""
+    frames = F.explode(F.sequence(F.lit(0), F.lit(89))).alias("frame_idx")
+    c = A.read(spark, d, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("video_id"), F.col("c_custkey").alias("px"), frames)
+    c = c.where(((F.col("px") * 7 + F.col("frame_idx") * 13) % 10 < 9) & ((F.col("px") % 37 * 5 + F.col("frame_idx")) % 23 > 1))
+    return identities.propagate(c.select("video_id", "frame_idx", ((F.col("px") + 3 * F.col("frame_idx")) % 37).cast("int").alias("mask_pos"), "px"), 0.6)
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, r AS (SELECT video_id, y, row_number() OVER (PARTITION BY video_id ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM points)
+SELECT video_id, n, round(max(y) FILTER (i = floor(0.9 * (n - 1))), 6) AS ranked FROM r GROUP BY video_id, n""")
+def ranked_values(spark, d):
+    """The value below which nine tenths of a video's points lie, by narrowing histograms."""
+    return rounded(quantiles.ranked(A.tracked_points(spark, d, hypers=False), ["video_id"], "y", lambda n: F.floor(F.lit(0.9) * (n - 1))))

@@ -39,7 +39,7 @@ def advance(state: kernel.State | None, points, blobs: int, hypers: int, h: kern
     ids, x, v, f = arrays(points)
     if state is None:
         state = kernel.start(x, v, f, blobs, hypers, h)
-    return kernel.step(state, x, v, f, h), ids
+    return kernel.step(state, x, v, f, h, ids), ids
 
 
 def rows(video: str, frame: int, state: kernel.State, ids: np.ndarray) -> pd.DataFrame:
@@ -63,7 +63,7 @@ def _folded(points: DataFrame, blobs: int, hypers: int, h: kernel.Hypers, emit,
             cols = [np.concatenate([c[i] for c in held]) for i in range(4)]
             if state is None:
                 state = kernel.start(*cols[1:], blobs, hypers, h)
-            state = kernel.step(state, *cols[1:], h)
+            state = kernel.step(state, *cols[1:], h, cols[0])
             return emit(video, now[1], state, cols[0])
 
         for b in batches:

@@ -13,20 +13,20 @@ def test_drawn_means_have_the_posterior_moments():
     h = kernel.Hypers(mode="sample", seed=4)
     prec = np.array([[4.0, 1.0, 0.0], [1.0, 3.0, 0.5], [0.0, 0.5, 2.0]])
     n = 40_000
-    x = kernel.drawn_means(np.repeat([[1.0, -2.0, 0.5]], n, 0), np.repeat(prec[None], n, 0), h, 1, 2)
+    x = kernel.drawn_means(np.repeat([[1.0, -2.0, 0.5]], n, 0), np.repeat(prec[None], n, 0), h, 1, (2, 0))
     assert np.allclose(x.mean(0), [1.0, -2.0, 0.5], atol=0.02)
     assert np.allclose(np.cov(x.T), np.linalg.inv(prec), atol=0.02)
-    assert np.array_equal(x, kernel.drawn_means(np.repeat([[1.0, -2.0, 0.5]], n, 0), np.repeat(prec[None], n, 0), h, 1, 2))
-    assert np.array_equal(kernel.drawn_means(x, prec[None], kernel.Hypers(), 1, 2), x)
+    assert np.array_equal(x, kernel.drawn_means(np.repeat([[1.0, -2.0, 0.5]], n, 0), np.repeat(prec[None], n, 0), h, 1, (2, 0)))
+    assert np.array_equal(kernel.drawn_means(x, prec[None], kernel.Hypers(), 1, (2, 0)), x)
 
 
 def test_drawn_covariances_have_the_inverse_wishart_mean():
     psi = np.array([[3.0, 0.5, 0.2], [0.5, 2.0, 0.0], [0.2, 0.0, 1.0]])
     n, nu = 40_000, 12.0
-    draws = kernel.drawn_cov(np.repeat(psi[None], n, 0), np.full(n, nu), kernel.Hypers(mode="sample", seed=1), 0, 0)
+    draws = kernel.drawn_cov(np.repeat(psi[None], n, 0), np.full(n, nu), kernel.Hypers(mode="sample", seed=1), 0, (0, 0))
     assert np.allclose(draws.mean(0), psi / (nu - 4), atol=0.02)
-    assert np.allclose(kernel.drawn_cov(psi[None], np.array([nu]), kernel.Hypers(mode="mean"), 0, 0)[0], psi / (nu - 4))
-    assert np.allclose(kernel.drawn_cov(psi[None], np.array([nu]), kernel.Hypers(mode="map"), 0, 0)[0], psi / (nu + 4))
+    assert np.allclose(kernel.drawn_cov(psi[None], np.array([nu]), kernel.Hypers(mode="mean"), 0, (0, 0))[0], psi / (nu - 4))
+    assert np.allclose(kernel.drawn_cov(psi[None], np.array([nu]), kernel.Hypers(mode="map"), 0, (0, 0))[0], psi / (nu + 4))
 
 
 def state(rng, h, n=400, features=3):
