@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.operators import alignment, bootstrap, clusters, generate, geometry, grids, identities, initial, kernel, labels, matching, moments, quantiles, sampling, scoring, streams, sweep
+from murmuration.operators import alignment, bootstrap, clusters, densities, generate, geometry, grids, identities, initial, kernel, labels, matching, moments, quantiles, sampling, scoring, streams, sweep
 from murmuration.plans import adapters as A
 from murmuration.streaming import tracker
 
@@ -120,10 +120,10 @@ def _blobs(spark, d):
     return p.groupBy(F.col("blob_id").alias("cand")).agg(F.count("*").alias("bn"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", "vx", "vy", "vz")], F.array(*[F.avg(F.col("feat")[i]) for i in range(32)]).alias("mf"))
 
 
-def _score(m):
-    v = F.lit(0.02)
-    near = scoring.log_normal([(F.col(c), m(f"m{c}"), v) for c in ("x", "y", "z", "vx", "vy", "vz")])
-    return F.log(m("bn")) + near - 0.25 * scoring.feature_distance("feat", m("mf")) / v
+def _assign(spark, d, **how):
+    p = A.feature_points(spark, d)
+    model = scoring.Model.of(_blobs(spark, d), "cand", "bn", ("mx", "my", "mz", "mvx", "mvy", "mvz"), 0.02, "mf", 0.25 / 0.02)
+    return rounded(scoring.assign_model(p, model, "point_id", ("x", "y", "z", "vx", "vy", "vz"), "feat", "cand", **how), 4)
 
 
 def _assigned(extra: str = "", join: str = "") -> str:
@@ -133,7 +133,7 @@ SELECT point_id, cand, round(score, 4) AS score FROM s QUALIFY row_number() OVER
 
 @query(_assigned())
 def assign_map(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), _score, "point_id", "cand"), 4)
+    return _assign(spark, d)
 
 
 _U = "(CAST(('0x' || substr(md5('3|' || p.point_id || '|' || cand), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
@@ -141,12 +141,12 @@ _U = "(CAST(('0x' || substr(md5('3|' || p.point_id || '|' || cand), 1, 13)) AS B
 
 @query(_assigned(f"- ln(-ln({_U}))"))
 def assign_sampled(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), lambda m: _score(m) + scoring.gumbel(F.lit(3), "point_id", m("cand")), "point_id", "cand"), 4)
+    return _assign(spark, d, seed=3)
 
 
 @query(_assigned("+ CASE WHEN cand = p.blob_id THEN 0.7 ELSE 0 END"))
 def assign_sticky(spark, d):
-    return rounded(scoring.assign(A.feature_points(spark, d), _blobs(spark, d), lambda m: _score(m) + F.when(m("cand") == F.col("blob_id"), 0.7).otherwise(0.0), "point_id", "cand"), 4)
+    return _assign(spark, d, sticky="blob_id", bonus=0.7)
 
 
 @query(f"""WITH {A.FEATURE_POINTS}, b AS (SELECT blob_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points GROUP BY blob_id), h AS (SELECT hyperblob_id AS cand, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM points GROUP BY hyperblob_id),
@@ -168,10 +168,19 @@ def motion_candidate(spark, d):
     return rounded(scoring.best_motion(b, scoring.motion_grid(spark, 2, 0.05), "hyperblob_id", 0.01), 4)
 
 
-@query("""WITH r AS (SELECT range AS ring, range * radians(15) AS theta FROM range(5)), p AS (SELECT *, CAST(greatest(1, ceil(round(2 * pi() * sin(theta) / radians(15), 9))) AS INTEGER) AS n FROM r), k AS (SELECT *, unnest(range(n)) AS k FROM p)
-SELECT CAST(ring AS INTEGER) AS ring, CAST(k AS INTEGER) AS k, round(sin(theta) * cos(2 * pi() * k / n), 6) + 0.0 AS dx, round(sin(theta) * sin(2 * pi() * k / n), 6) + 0.0 AS dy, round(cos(theta), 6) AS dz FROM k""")
-def rotation_grid(spark, d):
-    return rounded(scoring.cap_grid(spark, 60, 15))
+_TURNS = """r AS (SELECT range AS ring, range * radians(15) AS theta FROM range(5)), q AS (SELECT *, CAST(greatest(1, ceil(round(2 * pi() * sin(theta) / radians(15), 9))) AS INTEGER) AS n FROM r), k AS (SELECT *, unnest(range(n)) AS k FROM q),
+g AS (SELECT CAST(ring AS INTEGER) AS ring, CAST(k AS INTEGER) AS k, sin(theta) * cos(2 * pi() * k / n) AS dx, sin(theta) * sin(2 * pi() * k / n) AS dy, cos(theta) AS dz FROM k)"""
+
+
+@query(f"""WITH {A.FEATURE_POINTS}, {_TURNS}, b AS (SELECT hyperblob_id AS h, blob_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(vx) AS vx, avg(vy) AS vy, avg(vz) AS vz FROM points GROUP BY ALL),
+c AS (SELECT h, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z, vx - avg(vx) OVER w AS vx, vy - avg(vy) OVER w AS vy, vz - avg(vz) OVER w AS vz FROM b WINDOW w AS (PARTITION BY h)),
+a AS (SELECT *, dx * z AS ax, dy * z AS ay, -dy * y - dx * x AS az FROM c, g),
+s AS (SELECT h, ring, k, round(sum(-((vx - ax - dx * az / (1 + dz)) ** 2 + (vy - ay - dy * az / (1 + dz)) ** 2 + (vz - az - (-dy * ay - dx * ax) / (1 + dz)) ** 2) / 0.02), 9) AS score FROM a GROUP BY ALL)
+SELECT h AS hyperblob_id, ring, k, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, ring, k) = 1""")
+def rotation_candidate(spark, d):
+    """Of the turns on a spherical cap the one that explains each hyperblob's blobs best."""
+    b = A.feature_points(spark, d).groupBy("hyperblob_id", "blob_id").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
+    return rounded(scoring.best_rotation(b, scoring.cap_grid(spark, 60, 15), "hyperblob_id", 0.01), 5)
 
 
 # geometry ------------------------------------------------------------------------------------------------------------
@@ -561,12 +570,10 @@ def normalized_cut(spark, d):
 
 @query()
 def rigid_fit(spark, d):
-    rows = rigid_moments(spark, d).orderBy("blob_id").collect()  # a row a blob
-    out = []
-    for r in rows:
-        rot, t = clusters.rigid(r.asDict(), ("px", "py", "pz"), ("qx", "qy", "qz"))
-        out.append((r["blob_id"], [round(float(x), 6) for x in rot.ravel()], [round(float(x), 6) for x in t]))
-    return spark.createDataFrame(out, "blob_id int, rotation array<double>, translation array<double>")
+    p = A.feature_points(spark, d).selectExpr("blob_id", "x AS px", "y AS py", "z AS pz", "x + vx AS qx", "y + vy AS qy", "z + vz AS qz")
+    fits = alignment.rigid_fits(p, ["blob_id"], ("px", "py", "pz"), ("qx", "qy", "qz"))
+    short = lambda c: F.transform(c, lambda v: F.round(v, 6)).alias(c)
+    return fits.select("blob_id", short("rotation"), short("translation"))
 
 
 # more geometry, paint and reports ------------------------------------------------------------------------------------
@@ -642,9 +649,14 @@ def video_summary(spark, d):
     return rounded(bootstrap.summary(A.read(spark, d, "orders").withColumnRenamed("o_orderpriority", "k"), "k", "o_totalprice"), 4)
 
 
-@query()
+_DRAWN = lambda c, k: f"sqrt(-2 * ln((CAST(('0x' || substr(md5('r|{k}' ), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)) * cos(2 * pi() * (CAST(('0x' || substr(md5('a|{k}'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)"  # noqa: E731, ARG005
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, m AS (SELECT blob_id, {", ".join(f"avg({a}) AS m_{a}, stddev_pop({a}) AS s_{a}" for a in ("x", "y", "z"))} FROM points GROUP BY blob_id)
+SELECT point_id, p.blob_id, {", ".join(f"round(m_{a} + s_{a} * " + _DRAWN("", f"5|{a}|' || p.point_id || '") + f", 4) + 0.0 AS {a}" for a in ("x", "y", "z"))} FROM points p JOIN m ON m.blob_id = p.blob_id""")
 def simulated_points(spark, d):
-    return rounded(generate.simulate(spark, 2000, 12, 3, 4, frames=2).select("point_id", "frame_idx", "x", "vx", "blob_id", "hyperblob_id"))
+    """A new point for every point, from its blob's normal."""
+    return rounded(generate.predicted_points(A.tracked_points(spark, d, hypers=False), "point_id", "blob_id", ("x", "y", "z"), 5), 4)
 
 
 @query()
@@ -938,3 +950,58 @@ SELECT video_id, n, round(max(y) FILTER (i = floor(0.9 * (n - 1))), 6) AS ranked
 def ranked_values(spark, d):
     """The value below which nine tenths of a video's points lie, by narrowing histograms."""
     return rounded(quantiles.ranked(A.tracked_points(spark, d, hypers=False), ["video_id"], "y", lambda n: F.floor(F.lit(0.9) * (n - 1))))
+
+
+# densities and draws -------------------------------------------------------------------------------------------------
+
+_PAIRS3 = ("xx", "xy", "xz", "yy", "yz", "zz")
+_COVS = "c AS (SELECT blob_id, count(*) AS n, " + ", ".join(f"covar_samp({k[0]}, {k[1]}) AS {k}" for k in _PAIRS3) + " FROM points GROUP BY blob_id HAVING count(*) > 3)"
+_DET = "(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz))"
+_GAMMA3 = lambda half: f"(1.5 * ln(pi()) + lgamma({half}) + lgamma({half} - 0.5) + lgamma({half} - 1))"
+
+
+def _covariances(points):
+    return points.groupBy("blob_id").agg(F.count("*").alias("n"), *[F.covar_samp(k[0], k[1]).alias(k) for k in _PAIRS3]).where("n > 3")
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, {_COVS}, e AS (SELECT *, {_DET} AS det FROM c)
+SELECT blob_id, round((9 - 4) / 2.0 * ln(det) - (xx / 20.0 + yy / 5.0 + zz / 2.0) / 2 - 9 * 1.5 * ln(2) - 4.5 * ln(200.0) - {_GAMMA3("4.5")}, 6) AS wishart,
+ round(3.5 * ln(60.0) - 7 * 1.5 * ln(2) - {_GAMMA3("3.5")} - 5.5 * ln(det) - ((yy * zz - yz * yz) * 10 + (xx * zz - xz * xz) * 3 + (xx * yy - xy * xy) * 2) / det / 2, 6) AS inverse_wishart FROM e""")
+def wishart_densities(spark, d):
+    """Log densities of every blob's covariance."""
+    m = densities.matrix("")
+    np = kernel.np
+    c = _covariances(A.tracked_points(spark, d, hypers=False))
+    return rounded(c.select("blob_id", densities.wishart_density(m, 9, np.diag([20.0, 5.0, 2.0])).alias("wishart"), densities.inverse_wishart_density(m, 7, np.diag([10.0, 3.0, 2.0])).alias("inverse_wishart")))
+
+
+def _normal_sql(k: str) -> str:
+    u = lambda c: f"((CAST(('0x' || substr(md5('{c}|3|' || blob_id || '|{k}), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)"
+    return f"(sqrt(-2 * ln({u('r')})) * cos(2 * pi() * {u('a')}))"
+
+
+_CHI = lambda i, n: f"sqrt(list_sum(list_transform(range({n}), lambda k: {_normal_sql(f'c{i}|' + chr(39) + ' || k')} ** 2)))"
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, b AS (SELECT DISTINCT blob_id FROM points),
+a AS (SELECT blob_id, {_CHI(0, 6)} AS a00, {_CHI(1, 5)} AS a11, {_CHI(2, 4)} AS a22, {_normal_sql("n10'")} AS a10, {_normal_sql("n20'")} AS a20, {_normal_sql("n21'")} AS a21 FROM b),
+w AS (SELECT blob_id, a00 * a00 / 4 AS xx, a00 * a10 / 2 AS xy, a00 * a20 / 2 AS xz, a10 * a10 + a11 * a11 AS yy, a10 * a20 + a11 * a21 AS yz, a20 * a20 + a21 * a21 + a22 * a22 AS zz FROM a), e AS (SELECT *, {_DET} AS det FROM w)
+SELECT blob_id, round((yy * zz - yz * yz) / det, 5) + 0.0 AS xx, round((xz * yz - xy * zz) / det, 5) + 0.0 AS xy, round((xy * yz - xz * yy) / det, 5) + 0.0 AS xz, round((xx * zz - xz * xz) / det, 5) + 0.0 AS yy, round((xz * xy - xx * yz) / det, 5) + 0.0 AS yz, round((xx * yy - xy * xy) / det, 5) + 0.0 AS zz FROM e""")
+def wishart_draws(spark, d):
+    """A draw of an inverse-Wishart for every blob, as a covariance of its points would be drawn."""
+    blobs = A.tracked_points(spark, d, hypers=False).select("blob_id").distinct()
+    return rounded(densities.inverse_wishart_draw(blobs, 6, kernel.np.diag([4.0, 1.0, 1.0]), F.lit(3), "blob_id").select("blob_id", *_PAIRS3), 5)
+
+
+_TYPES = "t AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS cand, CAST(count(*) AS DOUBLE) AS w FROM orders GROUP BY 1)"
+
+
+@query(f"""WITH {_TYPES}, s AS (SELECT o_orderkey, cand, round(ln(w) - ln(-ln((CAST(('0x' || substr(md5('9|' || o_orderkey || '|' || cand), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)), 9) AS s FROM orders, t),
+z AS (SELECT o_orderkey, arg_min(cand, (-s, cand)) AS cand FROM s GROUP BY o_orderkey)
+SELECT o_orderkey, z.cand, round(ln(w / (SELECT sum(w) FROM t)), 6) AS log_p FROM z JOIN t ON t.cand = z.cand""")
+def categorical_draws(spark, d):
+    """Every order draws a priority by how common it is; log_p is what it had been worth."""
+    o = A.read(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("cand"))
+    support = o.groupBy("cand").agg(F.count("*").cast("double").alias("w"))
+    drawn = densities.categorical_draw(o.select("o_orderkey"), support, "o_orderkey", "cand", "w", 9).select("o_orderkey", "cand")
+    return rounded(densities.categorical_density(drawn, support, "cand", "w").select("o_orderkey", "cand", "log_p"))

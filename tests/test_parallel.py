@@ -121,3 +121,25 @@ def test_chunk_maps_compose(spark):
     rows = [("v", 0, 3, None), ("v", 0, 5, None), ("v", 1, 0, 5), ("v", 1, 1, None), ("v", 2, 9, 0), ("v", 2, 4, 1), ("v", 3, 2, 9), ("v", 5, 2, None)]
     got = {(r.chunk, r.local): r["global"] for r in identities.composed(spark.createDataFrame(rows, "video_id string, chunk int, local int, before int")).collect()}
     assert got == {(0, 3): 0, (0, 5): 1, (1, 0): 1, (1, 1): 2, (2, 9): 1, (2, 4): 2, (3, 2): 1, (5, 2): 3}
+
+
+def test_column_densities_and_draws(spark):
+    from murmuration.operators import densities as m
+
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(5, 3, 3))
+    mats = a @ np.swapaxes(a, 1, 2) + np.eye(3)
+    rows = [(i, *[float(x["xyz".index(k[0]), "xyz".index(k[1])]) for k in m.SYMMETRIC]) for i, x in enumerate(mats)] + [(9, *[0.0] * 6)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{k} double" for k in m.SYMMETRIC))
+    scale = mats[0]
+    for r in df.select("i", m.wishart_density(m.matrix(""), 6.5, scale).alias("w"), m.inverse_wishart_density(m.matrix(""), 6.5, scale).alias("v")).collect():
+        if r.i == 9:
+            assert r.w is None and r.v is None
+        else:
+            assert np.isclose(r.w, m.wishart_log_density(mats[r.i], 6.5, scale)) and np.isclose(r.v, m.inverse_wishart_log_density(mats[r.i], 6.5, scale))
+    drawn = spark.range(4000).select("id", *[c.alias(k) for k, c in m.wishart_draw(7, scale, F.lit(1), "id").items()]).toPandas()
+    mean = np.array([[drawn["".join(sorted(p + q))].mean() for q in "xyz"] for p in "xyz"])
+    assert np.allclose(mean, 7 * scale, rtol=0.1, atol=0.6)
+    support = spark.createDataFrame([(1, 2.0), (2, 1.0), (2, 1.0)], "c int, w double")
+    got = {r.c: r.log_p for r in m.categorical_density(spark.createDataFrame([(1,), (2,), (3,), (None,)], "c int"), support, "c", "w").collect()}
+    assert got == {1: pytest.approx(np.log(0.5)), 2: pytest.approx(np.log(0.5)), 3: None, None: None}

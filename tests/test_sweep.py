@@ -126,3 +126,43 @@ def test_few_and_equal_points(spark):
     s = initial.start(same, 10, 4)["v"]
     assert len(s.weight) == 3 and len(s.h_mean) == 3
     assert sweep.track(same.where("false"), 4, 2).collect() == []
+
+
+def test_every_draw_has_its_own_key(spark):
+    h = kernel.Hypers(mode="sample", seed=3)
+    ids, x, v, f = arrays([r for r in scene() if r[1] == 0])
+    s = kernel.start(x, v, f, 8, 3, h)
+    n, sx, _ = kernel.moments(s.assigned, len(s.weight), x)
+    rounds = [kernel.blob_means(s, n, sx, h, i) for i in range(3)]
+    assert not np.allclose(rounds[0], rounds[1]) and not np.allclose(rounds[1], rounds[2]) and np.array_equal(rounds[1], kernel.blob_means(s, n, sx, h, 1))
+    twin = kernel.start(x, x, f, 8, 3, h)
+    assert not np.allclose(twin.cov, twin.vel_cov)
+    many = [kernel.uniform(3, 1, draw, np.arange(50), 4) for draw in [(k, i) for k in range(14) for i in range(12)]]
+    assert len({a.tobytes() for a in many}) == len(many)
+    flat = np.concatenate([a.ravel() for a in many])
+    assert abs(flat.mean() - 0.5) < 0.01 and abs(flat.var() - 1 / 12) < 0.005 and 0 < flat.min() and flat.max() < 1
+    order = np.random.default_rng(0).permutation(50)
+    assert np.array_equal(kernel.uniform(3, 1, (0, 0), order, 4), many[0][order])
+
+
+@pytest.mark.parametrize("by_weight", [False, True])
+def test_hyperblob_weights_follow_their_blobs(by_weight):
+    h = kernel.Hypers(by_weight=by_weight, hyper_rounds=2)
+    rows = scene()
+    ids, x, v, f = arrays([r for r in rows if r[1] == 0])
+    s = kernel.start(x, v, f, 8, 3, h)
+    for t in range(1, 4):
+        ids, x, v, f = arrays([r for r in rows if r[1] == t])
+        s = kernel.step(s, x, v, f, h, ids)
+        count = np.bincount(s.hyper, minlength=len(s.h_mean)).astype(float)
+        if by_weight:
+            assert s.h_weight.sum() == pytest.approx(1) and s.h_weight.argmax() == np.bincount(s.hyper, s.weight, len(s.h_mean)).argmax()
+        else:
+            assert np.allclose(s.h_weight, (h.alpha + count) / (len(count) * h.alpha + count.sum()))
+
+
+def test_draws_do_not_hang_on_partitions(spark):
+    h = kernel.Hypers(mode="sample", seed=9, stickiness=1.0)
+    points = spark.createDataFrame(scene(frames_=3), SCHEMA)
+    a, b = ({(r.frame_idx, r.point_id): (r.blob_id, r.hyperblob_id) for r in sweep.track(points.repartition(n), 6, 2, h).collect()} for n in (1, 6))
+    assert a == b and len(a) == 180
