@@ -6,6 +6,8 @@ value; the part that holds the rank is the next range. Counts add up, so one key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,34 +16,49 @@ from murmuration.plans.session import ensure_checkpoint
 BINS = 4096
 
 
-def ranked(rows: DataFrame, keys: list[str], value: str, rank) -> DataFrame:
-    """(keys, n, ranked): of each key's n values (doubles, not null or NaN) the one with rank(n), counted from 0.
+def narrowed(rows: DataFrame, keys: list[str], targets: list[tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """(keys, n, ranked): the values of several targets (value column, rank(n)) of each key, as an array in their order.
 
-    rank is a function of the column n. The rows are read once a pass, at most some four passes as each narrows a range
-    4096 times; what is joined to them is a row a key.
+    A target's values are doubles, not null or NaN; rank counts from 0 and may be any function of their number n, which is
+    an array too. All targets share each pass over the rows; what a pass counts is only what is left of their ranges. Some
+    two to four passes, as each narrows a range BINS times; what is joined to the rows is a row a key.
     """
     ensure_checkpoint(rows.sparkSession)
-    v = F.col(value).cast("double")
-    rows = rows.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    at = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    at = at.withColumn("_rank", F.greatest(F.lit(0), F.least(F.col("n") - 1, rank(F.col("n")))).cast("long")).checkpoint()
-    order = Window.partitionBy(*keys).orderBy("_bin") if keys else Window.partitionBy(F.lit(0)).orderBy("_bin")  # BINS rows a key
+    value = [F.when(~F.isnan(v), v) for v in (F.col(c).cast("double") for c, _ in targets)]
+    rows = rows.select(*keys, F.array(*value).alias("_v"))
+    each = rows.select(*keys, F.posexplode("_v").alias("_t", "_x")).where("_x is not null") if len(targets) > 1 else rows.select(*keys, F.lit(0).alias("_t"), F.get("_v", F.lit(0)).alias("_x")).where("_x is not null")
+    at = each.groupBy(*keys, "_t").agg(F.count("*").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    rank = F.lit(0)
+    for i, (_, of) in enumerate(targets):
+        rank = F.when(F.col("_t") == i, of(F.col("n"))).otherwise(rank)
+    at = at.withColumn("_rank", F.greatest(F.lit(0), F.least(F.col("n") - 1, rank)).cast("long")).checkpoint()
+    order = Window.partitionBy(*keys, "_t").orderBy("_bin")  # BINS rows a key and target
     while at.where("_lo < _hi").head(1):
-        span = F.col("_hi") / 2 - F.col("_lo") / 2  # halves, so that no range is infinite
-        part = F.when(span > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / span * BINS))).otherwise((F.col("_v") > F.col("_lo")).cast("int")).cast("int")
-        live = at.where("_lo < _hi")
+        live = at.where("_lo < _hi").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_t", F.struct("n", "_rank", "_lo", "_hi")))).alias("_m"))
         met = rows.join(live, keys) if keys else rows.crossJoin(live)
-        counts = met.where("_v between _lo and _hi").groupBy(*keys, "n", "_rank", part.alias("_bin")).agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        upto = counts.withColumn("_upto", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        new = upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_m") <= F.col("_rank"))).select(*keys, "n", "_lo", "_hi", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_rank"))
+        kept = F.filter(F.transform("_v", lambda x, t: F.struct(t.alias("_t"), x.alias("_x"), F.element_at("_m", t).alias("_r"))), lambda e: e["_x"].between(e["_r"]["_lo"], e["_r"]["_hi"]))
+        left = met.select(*keys, F.explode(kept).alias("_e")).select(*keys, "_e._t", "_e._x", "_e._r.*")
+        span = F.col("_hi") / 2 - F.col("_lo") / 2  # halves, so that no range is infinite
+        part = F.when(span > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / span * BINS))).otherwise((F.col("_x") > F.col("_lo")).cast("int")).cast("int")
+        counts = left.groupBy(*keys, "_t", "n", "_rank", part.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        upto = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        new = upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+        new = new.select(*keys, "_t", "n", "_lo", "_hi", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
         at = new.unionByName(at.where("_lo >= _hi")).checkpoint()
-    return at.select(*keys, "n", F.col("_lo").alias("ranked"))
+    found = at.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_t", F.struct("n", F.col("_lo").alias("ranked"))))).alias("_m"))
+    own = [F.element_at("_m", F.lit(i)) for i in range(len(targets))]
+    return found.select(*keys, F.array(*[o["n"] for o in own]).alias("n"), F.array(*[o["ranked"] for o in own]).alias("ranked"))
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """(keys, n, ranked): of each key's n values (doubles, not null or NaN) the one with rank(n), counted from 0."""
+    return narrowed(rows, keys, [(value, rank)]).select(*keys, F.get("n", F.lit(0)).alias("n"), F.get("ranked", F.lit(0)).alias("ranked"))
 
 
-def median(rows: DataFrame, keys: list[str], value: str | Column, name: str) -> DataFrame:
-    """(keys, name): exact medians, of an even number of values the mean of the middle two."""
-    rows = rows.withColumn("_value", F.col(value) if isinstance(value, str) else value)
-    low = ranked(rows, keys, "_value", lambda n: F.floor((n - 1) / 2)).select(*keys, F.col("ranked").alias("_a"))
-    high = ranked(rows, keys, "_value", lambda n: F.floor(n / 2)).select(*keys, F.col("ranked").alias("_b"))
-    both = low.join(high, keys) if keys else low.crossJoin(high)
-    return both.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))
+def medians(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, names): exact medians of expressions of the rows by name, of an even number of values the mean of the middle two."""
+    rows = rows.select(*keys, *[v.alias(n) for n, v in values.items()])
+    both = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.floor(n / 2))
+    found = narrowed(rows, keys, [(name, rank) for name in values for rank in both])
+    at = lambda i: F.get("ranked", F.lit(i))
+    return found.select(*keys, *[((at(2 * i) + at(2 * i + 1)) / 2).alias(name) for i, name in enumerate(values)])

@@ -15,8 +15,10 @@ def test_ranks(spark, share):
     got = {r.k: (r.n, r.ranked) for r in quantiles.ranked(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", lambda n: F.floor(F.lit(share) * (n - 1))).collect()}
     for k, x in values.items():
         assert got[k] == (len(x), np.sort(x)[int(share * (len(x) - 1))]), k
-    m = {r.k: r.m for r in quantiles.median(spark.createDataFrame(rows[:5000], "k string, v double"), ["k"], "v", "m").collect()}
-    assert m["normal"] == np.median(values["normal"]) and np.isclose(m["tail"], np.median(values["tail"]))
+    m = {r.k: (r.m, r.s) for r in quantiles.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], {"m": F.col("v"), "s": F.abs("v")}).collect()}
+    for k in ("normal", "tail", "ties", "one", "equal", "tiny"):
+        assert np.allclose(m[k], [np.median(values[k]), np.median(np.abs(values[k]))], rtol=1e-15)
+    assert quantiles.medians(spark.createDataFrame(rows[:9], "k string, v double"), [], {"m": F.col("v")}).first().m == np.median(values["normal"][:9])
 
 
 def kabsch(p, q, w):
