@@ -19,6 +19,22 @@ def latest_slots(events: DataFrame, streams: list[str], by: str, order: list[str
     return out.withColumn("ready", ready)
 
 
+def slot_snapshots(events: DataFrame, slots: list[str], by: str, ts: str, seq: str, ttl_seconds: float | None = None, stream: str = "stream", value: str = "value") -> DataFrame:
+    """(by, ts_us, seq, last_s, version_s for each slot s): at every event that fills a slot, all slots, once none is empty.
+
+    A version counts the values that a slot has had; null values fill nothing. With a TTL a value older than that, by event
+    time, counts as none. One window by key; streaming/slots.py is the same over a stream.
+    """
+    own = events.select(by, F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"), F.col(seq).cast("long").alias("seq"), F.col(stream).alias("_stream"), F.col(value).cast("double").alias("_value"))
+    own = own.where(F.col("_stream").isin(slots) & F.col("_value").isNotNull() & ~F.isnan("_value"))
+    w = Window.partitionBy(by).orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda s, c: F.when(F.col("_stream") == s, c)
+    out = own.withColumns({f"_at_{s}": F.last(of(s, F.col("ts_us")), ignorenulls=True).over(w) for s in slots} | {f"last_{s}": F.last(of(s, F.col("_value")), ignorenulls=True).over(w) for s in slots} | {f"version_{s}": F.count(of(s, F.lit(1))).over(w) for s in slots})
+    for s in slots:
+        out = out.where(F.col(f"_at_{s}").isNotNull() if ttl_seconds is None else F.col("ts_us") - F.col(f"_at_{s}") <= int(ttl_seconds * 1_000_000))
+    return out.select(by, "ts_us", "seq", *[f"{n}_{s}" for s in slots for n in ("last", "version")])
+
+
 def frame_pairs(frames: DataFrame, key: str, frame: str, values: list[str]) -> DataFrame:
     """Each frame with the one before it; the first of a key gives nothing."""
     w = Window.partitionBy(key).orderBy(frame)

@@ -1005,3 +1005,15 @@ def categorical_draws(spark, d):
     support = o.groupBy("cand").agg(F.count("*").cast("double").alias("w"))
     drawn = densities.categorical_draw(o.select("o_orderkey"), support, "o_orderkey", "cand", "w", 9).select("o_orderkey", "cand")
     return rounded(densities.categorical_density(drawn, support, "cand", "w").select("o_orderkey", "cand", "log_p"))
+
+
+# latest values with versions -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {A.STREAM_EVENTS}, e AS (SELECT *, epoch_us(ts) AS ts_us FROM ev WHERE stream IN ('view', 'click') AND value IS NOT NULL AND NOT isnan(value)),
+j AS (SELECT e.entity, e.ts_us, e.seq, max(v.ts_us) FILTER (v.stream = 'view') AS at_v, max(v.ts_us) FILTER (v.stream = 'click') AS at_c, arg_max(v.value, (v.ts_us, v.seq)) FILTER (v.stream = 'view') AS last_view, count(*) FILTER (v.stream = 'view') AS version_view,
+ arg_max(v.value, (v.ts_us, v.seq)) FILTER (v.stream = 'click') AS last_click, count(*) FILTER (v.stream = 'click') AS version_click FROM e JOIN e v ON v.entity = e.entity AND (v.ts_us, v.seq) <= (e.ts_us, e.seq) GROUP BY ALL)
+SELECT entity, ts_us, seq, round(last_view, 6) AS last_view, version_view, round(last_click, 6) AS last_click, version_click FROM j WHERE ts_us - at_v <= 1209600000000 AND ts_us - at_c <= 1209600000000""")
+def slot_snapshots(spark, d):
+    """Views and clicks of every user as versioned slots that hold for two weeks."""
+    return rounded(streams.slot_snapshots(A.stream_events(spark, d), ["view", "click"], "entity", "ts", "seq", 14 * 86400.0))

@@ -145,3 +145,30 @@ def test_column_densities_and_draws(spark):
     support = spark.createDataFrame([(1, 2.0), (2, 1.0), (2, 1.0)], "c int, w double")
     got = {r.c: r.log_p for r in m.categorical_density(spark.createDataFrame([(1,), (2,), (3,), (None,)], "c int"), support, "c", "w").collect()}
     assert got == {1: pytest.approx(np.log(0.5)), 2: pytest.approx(np.log(0.5)), 3: None, None: None}
+
+
+def test_slots_over_a_stream_equal_the_batch(spark, tmp_path):
+    """Two runs of one query over the same checkpoint, so that the second goes on from the state of the first."""
+    from murmuration.operators import streams
+    from murmuration.plans import adapters
+    from murmuration.streaming import slots
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = adapters.stream_events(spark, "/root/testdata/sf0.001").withColumn("entity", F.col("entity") % 9)
+    rows = events.withColumn("value", F.when(F.col("seq") % 13 > 0, F.col("value")))
+    edges = [r[0] for r in rows.selectExpr("explode(percentile(unix_micros(cast(ts as timestamp)), array(0.25, 0.5, 0.75)))").collect()]
+    part = sum((F.when(F.expr("unix_micros(cast(ts as timestamp))") > e, 1).otherwise(0) for e in edges), F.lit(0))
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = slots.slot_stream(stream, ["view", "click", "purchase"], "entity", "ts", "seq", 3 * 86400.0)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        if k in (1, 3):
+            run()
+    for ttl in (3 * 86400.0,):
+        want = sorted(tuple(r) for r in streams.slot_snapshots(rows, ["view", "click", "purchase"], "entity", "ts", "seq", ttl).collect())
+        assert len(want) > 100 and sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+    assert streams.slot_snapshots(rows, ["view"], "entity", "ts", "seq").count() == rows.where("stream = 'view' and value is not null").count()
