@@ -61,7 +61,8 @@ def match(table: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFram
         iou = np.zeros((len(rows), len(cols)))
         iou[np.searchsorted(rows, pdf["gt"]), np.searchsorted(cols, pdf["pred"])] = pdf["iou"]
         pairs = linked(iou, threshold)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(pairs) for k in keys}, "gt": [rows[i] for i, _ in pairs], "pred": [cols[j] for _, j in pairs], "iou": [iou[i, j] for i, j in pairs]})
+        out = {**{k: [pdf[k].iloc[0]] * len(pairs) for k in keys}, "gt": [rows[i] for i, _ in pairs], "pred": [cols[j] for _, j in pairs], "iou": [iou[i, j] for i, j in pairs]}
+        return pd.DataFrame({k: pd.Series(v, dtype=pdf[k].dtype) for k, v in out.items()})  # typed, as there may be no pair
 
     schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, "gt", "pred"]) + ", iou double"
     return table.select(*keys, "gt", "pred", "iou").groupBy(*keys).applyInPandas(one, schema)

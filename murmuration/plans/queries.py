@@ -906,23 +906,18 @@ def segment_init(spark, d):
     return j.select("video_id", "segment", "n", "most", (F.col("blobs") <= F.col("most")).alias("within"), (F.col("high") - F.col("low") + 1 == F.col("blobs")).alias("apart"))
 
 
-_TURN = """CASE WHEN point_id % 7 = 3 THEN 1 ELSE 0 END"""
-_POSE = "b AS (SELECT video_id, frame_idx, blob_id AS point_id, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM points GROUP BY ALL), a AS (SELECT *, frame_idx / 50.0::DOUBLE AS w FROM b)"
-
-
-@query(f"""WITH {A.TRACKED_POINTS}, {_POSE}, n AS (SELECT video_id, frame_idx, w, count(*) AS n FROM a GROUP BY ALL)
-SELECT video_id, frame_idx, n, CAST(floor(0.75 * (n - 1) + 1e-9) + 1 AS BIGINT) AS kept, round(cos(w), 6) AS r_xx, round(-sin(w), 6) + 0.0 AS r_xy, round(sin(w), 6) + 0.0 AS r_yx, 1.0::DOUBLE AS r_zz, round(w, 6) AS t_x, round(2 - w, 6) AS t_y, 0.5::DOUBLE AS t_z
-FROM n WHERE n >= 40""")
+@query(f"""WITH {A.TRACKED_POINTS}, n AS (SELECT video_id, frame_idx % 12 AS part, frame_idx % 12 / 50.0::DOUBLE AS w, count(*) AS n FROM points GROUP BY ALL)
+SELECT video_id, part, n, CAST(floor(0.75 * (n - 1) + 1e-9) + 1 AS BIGINT) AS kept, round(cos(w), 6) AS r_xx, round(-sin(w), 6) + 0.0 AS r_xy, round(sin(w), 6) + 0.0 AS r_yx, 1.0::DOUBLE AS r_zz, round(w, 6) + 0.0 AS t_x, round(2 - w, 6) AS t_y, 0.5::DOUBLE AS t_z FROM n""")
 def trimmed_rigid(spark, d):
-    """Blobs of every frame, turned and shifted by a pose of its own, one in seven elsewhere: trimming gives the pose back."""
-    blobs = A.tracked_points(spark, d, hypers=False).groupBy("video_id", "frame_idx", F.col("blob_id").alias("point_id")).agg(*[F.avg(a).alias(f"p{a}") for a in "xyz"])
-    w = F.col("frame_idx") / F.lit(50.0)
-    off = F.when(F.col("point_id") % 7 == 3, 500.0 + F.col("point_id") % 11).otherwise(F.lit(0.0)) + F.abs(F.hash("point_id") % 1000) * 1e-10
+    """Points in twelve parts a video, each turned and shifted by a pose of its own, one in seven elsewhere: trimming gives the pose back."""
+    p = A.tracked_points(spark, d, hypers=False).select("video_id", (F.col("frame_idx") % 12).alias("part"), "point_id", *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    w = F.col("part") / F.lit(50.0)
+    off = F.when(F.col("point_id") % 7 == 3, 500.0 + F.col("point_id") % 11).otherwise(F.lit(0.0)) + F.abs(F.hash("point_id") % 100_000) * 1e-13
     turned = {"qx": F.cos(w) * F.col("px") - F.sin(w) * F.col("py") + w + off, "qy": F.sin(w) * F.col("px") + F.cos(w) * F.col("py") + 2 - w + off, "qz": F.col("pz") + 0.5 - off}
-    fits = alignment.trimmed_rigid_fits(blobs.withColumns(turned), ["video_id", "frame_idx"], ("px", "py", "pz"), ("qx", "qy", "qz"))
+    fits = alignment.trimmed_rigid_fits(p.withColumns(turned), ["video_id", "part"], ("px", "py", "pz"), ("qx", "qy", "qz"))
     at = lambda i: F.get("rotation", F.lit(i))
     t = lambda i: F.get("translation", F.lit(i))
-    return rounded(fits.where("n >= 40").select("video_id", "frame_idx", "n", "kept", at(0).alias("r_xx"), at(1).alias("r_xy"), at(3).alias("r_yx"), at(8).alias("r_zz"), t(0).alias("t_x"), t(1).alias("t_y"), t(2).alias("t_z")))
+    return rounded(fits.select("video_id", "part", "n", "kept", at(0).alias("r_xx"), at(1).alias("r_xy"), at(3).alias("r_yx"), at(8).alias("r_zz"), t(0).alias("t_x"), t(1).alias("t_y"), t(2).alias("t_z")))
 
 
 _CLIP = """c AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS video_id, f AS frame_idx, CAST((c_custkey + 3 * f) % 37 AS INTEGER) AS mask_pos, c_custkey AS px, c_custkey % 37 AS o

@@ -172,3 +172,10 @@ def test_slots_over_a_stream_equal_the_batch(spark, tmp_path):
         want = sorted(tuple(r) for r in streams.slot_snapshots(rows, ["view", "click", "purchase"], "entity", "ts", "seq", ttl).collect())
         assert len(want) > 100 and sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
     assert streams.slot_snapshots(rows, ["view"], "entity", "ts", "seq").count() == rows.where("stream = 'view' and value is not null").count()
+
+
+def test_frames_without_any_match(spark):
+    rows = [("v", 0, 0, 1), ("v", 0, 0, 2), ("v", 1, 0, 2), ("v", 1, 0, 3), ("v", 1, 0, 4), ("v", 2, 1, 9)]
+    got = identities.propagate(spark.createDataFrame(rows, "video_id string, frame_idx int, mask_pos int, px int"), 0.9).collect()
+    assert sorted((r.frame_idx, r.mask_pos, r.track_id) for r in got) == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
+    assert identities.propagate(spark.createDataFrame([], "video_id string, frame_idx int, mask_pos int, px int")).collect() == []
