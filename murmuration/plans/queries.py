@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.operators import alignment, bootstrap, clusters, densities, generate, geometry, grids, identities, initial, kernel, labels, matching, moments, quantiles, sampling, scoring, streams, sweep
+from murmuration.operators import alignment, bootstrap, clusters, densities, follow, generate, geometry, grids, identities, initial, kernel, labels, matching, moments, quantiles, sampling, scoring, streams, sweep
 from murmuration.plans import adapters as A
 from murmuration.streaming import tracker
 
@@ -1012,3 +1012,27 @@ SELECT entity, ts_us, seq, round(last_view, 6) AS last_view, version_view, round
 def slot_snapshots(spark, d):
     """Views and clicks of every user as versioned slots that hold for two weeks."""
     return rounded(streams.slot_snapshots(A.stream_events(spark, d), ["view", "click"], "entity", "ts", "seq", 14 * 86400.0))
+
+
+# a camera that follows -----------------------------------------------------------------------------------------------
+
+_NEAR = lambda v, sigma: f"sum(exp(-((b.n - a.n) ** 2) / {2 * sigma * sigma}) * b.{v}) / sum(exp(-((b.n - a.n) ** 2) / {2 * sigma * sigma}))"
+
+
+@query(f"""WITH {A.TRACKED_POINTS}, q0 AS (SELECT video_id, frame_idx, avg(x) / 40 AS w, avg(y) / 10 AS t FROM points GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM q0),
+s AS (SELECT a.video_id, a.frame_idx, a.n, {_NEAR("c", 5.0)} AS c, {_NEAR("s", 5.0)} AS s, {_NEAR("t", 5.0)} AS t FROM q a JOIN (SELECT *, cos(w) AS c, sin(w) AS s FROM q) b ON b.video_id = a.video_id AND abs(b.n - a.n) <= 15 GROUP BY ALL),
+r AS (SELECT video_id, frame_idx, n, c / sqrt(c * c + s * s) AS c, s / sqrt(c * c + s * s) AS s, t FROM s),
+w AS (SELECT p.video_id, p.frame_idx, r.n, c * x - s * y + t AS x, s * x + c * y - t AS y, z + 20 AS z FROM points p JOIN r ON r.video_id = p.video_id AND r.frame_idx = p.frame_idx),
+m AS (SELECT video_id, frame_idx, n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM w GROUP BY ALL),
+k AS (SELECT a.video_id, a.frame_idx, {_NEAR("x", 25.0)} AS kx, {_NEAR("y", 25.0)} AS ky FROM m a JOIN m b ON b.video_id = a.video_id AND abs(b.n - a.n) <= 75 GROUP BY ALL),
+d AS (SELECT video_id, median(z) AS kz FROM m GROUP BY video_id),
+f AS (SELECT w.video_id, min(least(0.92 * 480 * z / abs(x - kx), 0.92 * 270 * z / abs(y - ky))) AS focal FROM w JOIN k ON k.video_id = w.video_id AND k.frame_idx = w.frame_idx GROUP BY w.video_id)
+SELECT k.video_id, k.frame_idx, round(kx, 5) AS x, round(ky, 5) AS y, round(kz, 5) AS z, round(focal, 4) AS focal FROM k JOIN d ON d.video_id = k.video_id JOIN f ON f.video_id = k.video_id""")
+def follow_camera(spark, d):
+    """Every video's points under poses that turn about the view and shift with the frame's means."""
+    p = A.tracked_points(spark, d, hypers=False)
+    w, zero, one = F.avg("x") / 40, F.lit(0.0), F.lit(1.0)
+    pose = p.groupBy("video_id", "frame_idx").agg(w.alias("w"), (F.avg("y") / 10).alias("t"))
+    pose = pose.select("video_id", "frame_idx", F.array(F.cos("w"), -F.sin("w"), zero, F.sin("w"), F.cos("w"), zero, zero, zero, one).alias("rotation"), F.array(F.col("t"), -F.col("t"), F.lit(20.0)).alias("translation"))
+    track, focals = follow.follow(p, pose, ["video_id"], "frame_idx", (960, 540))
+    return rounded(rounded(track.join(focals, "video_id"), 5).withColumn("focal", F.round("focal", 4)), 5)

@@ -179,3 +179,24 @@ def test_frames_without_any_match(spark):
     got = identities.propagate(spark.createDataFrame(rows, "video_id string, frame_idx int, mask_pos int, px int"), 0.9).collect()
     assert sorted((r.frame_idx, r.mask_pos, r.track_id) for r in got) == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
     assert identities.propagate(spark.createDataFrame([], "video_id string, frame_idx int, mask_pos int, px int")).collect() == []
+
+
+def test_smoothed_poses(spark):
+    from murmuration.operators import follow
+
+    rng = np.random.default_rng(4)
+    rots, shifts = np.array([turned(rng) for _ in range(30)]), rng.normal(size=(30, 3))
+    rows = [("v", 2 * t, [float(x) for x in rots[t].ravel()], [float(x) for x in shifts[t]]) for t in range(30)] + [("v", 7, None, None), ("w", 0, [float(x) for x in rots[0].ravel()], [1.0, 2.0, 3.0])]
+    got = follow.smoothed_poses(spark.createDataFrame(rows, "video string, frame int, rotation array<double>, translation array<double>"), ["video"], "frame", 2.0).collect()
+    assert len(got) == 31
+    for r in got:
+        rot = np.array(r.rotation).reshape(3, 3)
+        assert np.abs(rot @ rot.T - np.eye(3)).max() < 1e-9 and np.linalg.det(rot) > 0
+        if r.video == "v":
+            w = np.exp(-((np.arange(30) - r.frame // 2) ** 2) / 8.0) * (np.abs(np.arange(30) - r.frame // 2) <= 6)
+            mean = np.tensordot(w / w.sum(), rots, 1)
+            assert np.allclose(r.translation, (w / w.sum()) @ shifts)
+            near = [np.linalg.norm(rot - mean)] + [np.linalg.norm(q - mean) for q in rots]
+            assert np.argmin(near) == 0
+        else:
+            assert np.allclose(rot, rots[0]) and r.translation == [1.0, 2.0, 3.0]
