@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.operators.matching import match
-from murmuration.plans.session import ensure_checkpoint
+from murmuration.plans.session import ensure_checkpoint, work_table
 
 #: Frames of a chunk.
 CHUNK = 64
@@ -25,16 +25,32 @@ def frame_numbers(masks: DataFrame) -> DataFrame:
     return frames.withColumn("t", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx")) - 1)
 
 
+def shared(masks: DataFrame) -> DataFrame:
+    """(video_id, t, gt, pred, n): the pixels of each mask (video_id, t, mask_pos, px) of t that each mask of t + 1 has too; pred null: all of its pixels.
+
+    Pixels are dealt once, by video and pixel, and meet those of the next frame in a window: no join whose sides Spark
+    could take for small ones and broadcast. Pixels without a number meet none.
+    """
+    rows = masks.select("video_id", "t", "mask_pos", "px").repartition("video_id", "px").distinct()
+    after = F.collect_list("mask_pos").over(Window.partitionBy("video_id", "px").orderBy("t").rangeBetween(1, 1))
+    every = F.array(F.lit(None).cast(masks.schema["mask_pos"].dataType))
+    met = rows.withColumn("_after", after).withColumn("pred", F.explode(F.when(F.col("px").isNull(), every).otherwise(F.concat(every, "_after"))))
+    return met.groupBy("video_id", "t", F.col("mask_pos").alias("gt"), "pred").agg(F.count("*").alias("n"))
+
+
+def iou(counts: DataFrame) -> DataFrame:
+    """(video_id, t, gt, pred, iou) of what shared() gives."""
+    sizes = counts.where("pred is null")
+    own = sizes.select("video_id", "t", "gt", F.col("n").alias("n_gt"))
+    other = sizes.select("video_id", (F.col("t") - 1).alias("t"), F.col("gt").alias("pred"), F.col("n").alias("n_pred"))
+    j = counts.where("pred is not null").join(own, ["video_id", "t", "gt"]).join(other, ["video_id", "t", "pred"])
+    return j.select("video_id", "t", "gt", "pred", (F.col("n") / (F.col("n_gt") + F.col("n_pred") - F.col("n"))).alias("iou"))
+
+
 def overlaps(masks: DataFrame) -> DataFrame:
     """(video_id, t, gt, pred, iou) of the masks (video_id, t, mask_pos, px) of neighbouring frames t and t + 1 that share a pixel."""
-    sizes = masks.groupBy("video_id", "t", "mask_pos").agg(F.count("*").alias("n"))
-    a = masks.select("video_id", "t", F.col("mask_pos").alias("gt"), "px")
-    b = masks.select("video_id", (F.col("t") - 1).alias("t"), F.col("mask_pos").alias("pred"), "px")
-    both = a.join(b, ["video_id", "t", "px"]).groupBy("video_id", "t", "gt", "pred").agg(F.count("*").alias("i"))
-    own = sizes.select("video_id", "t", F.col("mask_pos").alias("gt"), F.col("n").alias("n_gt"))
-    other = sizes.select("video_id", (F.col("t") - 1).alias("t"), F.col("mask_pos").alias("pred"), F.col("n").alias("n_pred"))
-    j = both.join(own, ["video_id", "t", "gt"]).join(other, ["video_id", "t", "pred"])
-    return j.select("video_id", "t", "gt", "pred", (F.col("i") / (F.col("n_gt") + F.col("n_pred") - F.col("i"))).alias("iou"))
+    ensure_checkpoint(masks.sparkSession)
+    return iou(shared(masks).checkpoint())
 
 
 def chained(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -92,11 +108,12 @@ def propagate(masks: DataFrame, threshold: float = 0.5, id_offset: int = 0, chun
     if threshold <= 0:
         raise ValueError("a threshold above 0")
     ensure_checkpoint(masks.sparkSession)
-    numbers = frame_numbers(masks)
-    pixels = masks.select(*_MASK, "px").distinct().join(numbers, ["video_id", "frame_idx"])
-    links = match(overlaps(pixels.select("video_id", "t", "mask_pos", "px")), ["video_id", "t"], threshold).select("video_id", "t", F.col("gt").alias("pos"), F.col("pred").alias("next")).checkpoint()
+    frame_numbers(masks).write.parquet(path := work_table(masks.sparkSession))
+    numbers = masks.sparkSession.read.parquet(path)  # a table, so that its size is known: an explode of few rows looks small
+    counts = shared(masks.select(*_MASK, "px").join(numbers, ["video_id", "frame_idx"])).checkpoint()
+    links = match(iou(counts), ["video_id", "t"], threshold).select("video_id", "t", F.col("gt").alias("pos"), F.col("pred").alias("next")).checkpoint()
     chains = chained(links, chunk).checkpoint()
-    every = pixels.select("video_id", "frame_idx", "t", F.col("mask_pos").alias("pos")).distinct().join(chains, ["video_id", "t", "pos"], "left").checkpoint()
+    every = counts.where("pred is null").select("video_id", "t", F.col("gt").alias("pos")).join(numbers, ["video_id", "t"]).join(chains, ["video_id", "t", "pos"], "left").checkpoint()
     ids = numbered(every.where("root_t is null").select("video_id", "t", "pos"), id_offset)
     named = every.select("video_id", "frame_idx", F.col("pos").alias("mask_pos"), F.coalesce("root_t", "t").alias("t"), F.coalesce("root_pos", "pos").alias("pos"))
     return named.join(ids, ["video_id", "t", "pos"]).select(*_MASK, "track_id")
