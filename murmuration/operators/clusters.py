@@ -5,12 +5,17 @@ Sums over points are Spark aggregations; what is solved on a driver or in one ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.operators import blocks
+from murmuration.plans.session import ensure_checkpoint
+
 
 def principal_axes(points: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, k axes with the largest variance first); signs so that the largest component is positive. One aggregation of D^2 / 2 sums."""
@@ -102,34 +107,77 @@ def ellipsoids(rows: DataFrame, keys: list[str], cov: str, scale: float = 1.0, l
     return rows.select(*keys, cov).mapInArrow(run, ", ".join(f"{k} {fields[k]}" for k in keys) + ", half array<double>, rotation array<double>")
 
 
-def silhouette(points: DataFrame, key: str, label: str, column: str, most: int = 20_000) -> DataFrame:
+def silhouette(points: DataFrame, key: str, label: str, column: str, most: int | None = None) -> DataFrame:
     """One row: mean silhouette of the points, by Euclidean distance; null for fewer than two labels or as many as points.
 
-    Every point needs its distance to every other: a clip's sampled points, at most `most`, which is checked; one side goes
-    to the tasks with the code, and blocks of the other are scored in Arrow batches.
+    Exact, so quadratic: blocks of points, sorted by label, meet in pairs, and give a label's sums for each point of the
+    other block, or, of labels that lie in one block whole, the least mean alone; a block's sums are then added in a stream.
+    A point without a label counts as 0 and is no other's neighbour. More points than `most`, if given, are an error.
     """
-    rows = points.select(label, column).limit(most + 1).collect()
-    if len(rows) > most:
+    ensure_checkpoint(points.sparkSession)
+    counts = points.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_code", F.monotonically_increasing_id()).checkpoint()
+    known = counts.where(F.col(label).isNotNull())
+    every, total, kinds = *counts.agg(F.sum("_n")).first(), *known.agg(F.sum("_n"), F.count("*")).first()
+    if most is not None and (every or 0) > most:
         raise ValueError(f"a silhouette of more than {most} points")
-    names, own = np.unique([r[0] for r in rows], return_inverse=True) if rows else (np.empty(0), np.empty(0, int))
-    spark = points.sparkSession
-    if len(names) < 2 or len(names) == len(rows):
-        return spark.createDataFrame([(None,)], "silhouette double")
-    x, n = np.array([r[1] for r in rows], float), np.bincount(own)
-    one = np.eye(len(names))[own]
+    if kinds < 2 or kinds == total:
+        return points.sparkSession.createDataFrame([(None,)], "silhouette double")
+    rows = points.join(known, label).select("_code", "_n", F.xxhash64(key).alias("_at"), F.transform(column, lambda v: v.cast("double")).alias("x"))
+    cut = blocks.cut(rows, ["_code", "_at"], ["_code", "_n"], "x")
+    own, size, whole = -1, -3, -2  # what a row of sums holds, if not those of one label
+
+    def runs(b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, code, whether all of it is here) of a block's labels."""
+        start = np.concatenate([[0], np.flatnonzero(np.diff(b["_code"])) + 1])
+        return start, b["_code"][start], np.diff(np.append(start, len(b["_code"]))) == b["_n"][start]
+
+    def side(a: dict, sums: np.ndarray, b: dict) -> Iterator[tuple]:
+        """Of the points of a: sums over the labels of b."""
+        start, codes, full = runs(b)
+        mine = a["_code"][:, None] == codes[None]
+        if mine.any():
+            yield a["id"], own, np.where(mine, sums, 0.0).sum(1).tobytes()
+        means = np.where(mine, np.inf, sums / b["_n"][start])
+        if full.any():
+            yield a["id"], whole, means[:, full].min(1).tobytes()
+        for k in np.flatnonzero(~full):
+            yield a["id"], int(codes[k]), np.ascontiguousarray(means[:, k]).tobytes()
+
+    def each(a: dict, b: dict) -> Iterator[tuple]:
+        d = np.sqrt(blocks.squares(a["x"], b["x"]))
+        yield from side(a, np.add.reduceat(d, runs(b)[0], axis=1), b)
+        if a["id"] != b["id"]:
+            yield from side(b, np.add.reduceat(d, runs(a)[0], axis=0).T, a)
+        else:
+            yield a["id"], size, a["_n"].astype(float).tobytes()
+
+    sums = blocks.met(cut, cut.count(), each, "id long, code long, v binary").repartition("id").sortWithinPartitions("id", "code")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, n, a, near, mean = None, None, None, None, None, None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if at is not None:
+                low, mine = np.minimum(near, mean), a / np.maximum(1, n - 1)
+                s = np.where(n > 1, (low - mine) / np.maximum(np.maximum(mine, low), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([float(s.sum())])], names=["s"])
 
-    def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                c = b.slice(i, 512)
-                y, of = np.array(c.column(1).to_pylist(), float), np.searchsorted(names, np.array(c.column(0).to_pylist()))
-                d = np.sqrt(np.maximum(0, (y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None])) @ one
-                mine = np.arange(len(y)), of
-                a = d[mine] / np.maximum(1, n[of] - 1)
-                d = d / n
-                d[mine] = np.inf
-                near = d.min(axis=1)
-                s = np.where(n[of] > 1, (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(s)], names=["s"])
-
-    return points.select(label, column).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
+            for id_, code, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = np.frombuffer(v.as_py(), np.float64)
+                if id_ != at:
+                    yield from closed()
+                    at, now, n, a, near, mean = id_, None, None, np.zeros(len(x)), np.full(len(x), np.inf), np.full(len(x), np.inf)
+                if code == size:
+                    n = x
+                elif code == own:
+                    a = a + x
+                elif code == whole:
+                    near = np.minimum(near, x)
+                else:
+                    near, mean = (near, mean + x) if code == now else (np.minimum(near, mean), x)
+                    now = code
+        yield from closed()
+
+    with blocks.arrow_rows(points.sparkSession, 256):
+        return sums.mapInArrow(fold, "s double").agg((F.sum("s") / F.lit(float(every))).alias("silhouette")).checkpoint()
