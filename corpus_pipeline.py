@@ -6,11 +6,14 @@ read again as the next one's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.llm import decontaminate, langid, packing, pii, simhash
-from murmuration.llm._common import located, private, table, without, work_dir, written
+from murmuration.llm._common import TEXT_ROWS, located, private, table, without, work_dir, written
 from murmuration.llm.queries import tokenizer
 
 
@@ -19,6 +22,20 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {name: f"c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
 
 
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after TEXT_ROWS is set as the most rows that pass to Python at a time: the caller writes what it returns, whole texts or token ids, and an executor's limit holds for all tasks' batches, on both sides, together."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+            spark.conf.set(key, TEXT_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents whose text is null, empty or without any letter. Stays: the rest; lang becomes the predicted language where it was null.
 
@@ -33,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)
 
 
+@_in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
 
@@ -48,6 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(rows, place, found.where("id != component").select("id.file", "id.row"), f"{folder}/gone")
 
 
+@_in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents that hold a copy of a benchmark item, edited ones included (op6's threshold). Stays: the rest.
 
@@ -61,6 +80,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without(rows, place, found.select("id.file", "id.row").distinct(), f"{folder}/gone")
 
 
+@_in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts becomes [KIND], and n_chars, where there is one, the new length.
 
@@ -75,6 +95,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*rows.columns).toDF(*docs.columns)
 
 
+@_in_small_batches
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its token ids (little-endian unsigned 16-bit), its sequence and its place there, sequences of 2048 tokens.
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
 from murmuration.llm import decontaminate, pii
 
@@ -141,3 +142,17 @@ def test_user_columns_are_not_the_models(spark):
     docs = spark.createDataFrame([(1, "call +1 555 123 4567 now", "en", 0.75, "mine"), (2, "plain words", None, 0.5, "yours")], "doc_id long, text string, lang string, score double, redacted string")
     assert sorted(r.score for r in cp.language_id(spark, docs, SF).collect()) == [0.5, 0.75]
     assert sorted((r.text, r.redacted) for r in cp.personal_data(spark, docs, SF).collect()) == [("call [PHONE] now", "mine"), ("plain words", "yours")]
+
+
+def test_stages_pass_few_rows_at_a_time(spark):
+    """What a stage returns is written by its caller: the rows that pass to Python at a time are bounded then too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10_000)
+        docs = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+        kept = cp.STAGES[0][1](spark, docs, "")
+        sizes = [r.n for r in kept.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()]
+        assert sum(sizes) == 5000 and max(sizes) <= 1000
+    finally:
+        spark.conf.set(key, before)
