@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.operators.quantiles import bracketed
 from murmuration.plans.session import ensure_checkpoint
 
 
@@ -61,16 +62,17 @@ def smoothstep(x: Column, low: float, high: float) -> Column:
 def robust_alignment(pairs: DataFrame, key: str, x: str, y: str, rounds: int = 2) -> DataFrame:
     """(key, scale, shift): y about scale x + shift, from median and MAD, then reweighted least squares with Huber weights.
 
-    Each round is two aggregations by key. What a round gives, a row a key, is cut off by checkpoint(), so that no round
-    computes the ones before it again.
+    Medians come from sketches and counts, so that no task gathers a key's values: F.median keeps each different value of a key.
+    What a round gives, a row a key, is cut off by checkpoint(), so that no round computes the ones before it again.
     """
     ensure_checkpoint(pairs.sparkSession)
-    med = pairs.groupBy(key).agg(F.median(x).alias("mx"), F.median(y).alias("my")).checkpoint()
-    mad = pairs.join(med, key).groupBy(key).agg(F.median(F.abs(F.col(x) - F.col("mx"))).alias("dx"), F.median(F.abs(F.col(y) - F.col("my"))).alias("dy"))
+    both = pairs.where(F.col(key).isNotNull())
+    med = bracketed(both, [key], {"mx": F.col(x), "my": F.col(y)}).checkpoint()
+    mad = bracketed(both.join(med, key), [key], {"dx": F.abs(F.col(x) - F.col("mx")), "dy": F.abs(F.col(y) - F.col("my"))})
     fit = med.join(mad, key).select(key, (F.col("dy") / F.greatest("dx", F.lit(1e-6))).alias("scale"), "mx", "my").select(key, "scale", (F.col("my") - F.col("scale") * F.col("mx")).alias("shift")).checkpoint()
     for _ in range(rounds):
         r = pairs.join(fit, key).withColumn("r", F.col(y) - F.col("scale") * F.col(x) - F.col("shift"))
-        sigma = r.groupBy(key).agg((1.4826 * F.median(F.abs("r"))).alias("sigma"))
+        sigma = bracketed(r, [key], {"sigma": F.abs("r")}).select(key, (1.4826 * F.col("sigma")).alias("sigma")).checkpoint()
         w = F.when(F.abs("r") <= 1.345 * F.greatest("sigma", F.lit(1e-6)), 1.0).otherwise(1.345 * F.greatest("sigma", F.lit(1e-6)) / F.abs("r"))
         s = r.join(sigma, key).withColumn("w", w).groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * e).alias(n) for e, n in ((F.col(x), "sx"), (F.col(y), "sy"), (F.col(x) * F.col(x), "sxx"), (F.col(x) * F.col(y), "sxy"))])
         det = F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx")

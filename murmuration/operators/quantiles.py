@@ -62,3 +62,32 @@ def medians(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> Data
     found = narrowed(rows, keys, [(name, rank) for name in values for rank in both])
     at = lambda i: F.get("ranked", F.lit(i))
     return found.select(*keys, *[((at(2 * i) + at(2 * i + 1)) / 2).alias(name) for i, name in enumerate(values)])
+
+
+#: Ranks are off by at most n / ACCURACY in Spark's sketches.
+ACCURACY = 10_000
+
+
+def bracketed(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, names): as medians(), in fewer passes: a sketch bounds each median, and only values within the bounds are counted.
+
+    The bounds hold at most some n / 2000 different values of a key, for the sketch's error is bounded; that the median
+    lies in them is checked by counts, and were it not, medians() would find it.
+    """
+    ensure_checkpoint(rows.sparkSession)
+    rows = rows.select(*keys, *[F.when(~F.isnan(v), v).alias(n) for n, v in ((n, v.cast("double")) for n, v in values.items())])
+    shares = F.array(F.lit(0.5 - 2 / ACCURACY), F.lit(0.5 + 2 / ACCURACY))
+    bounds = rows.groupBy(*keys).agg(*[F.percentile_approx(n, shares, ACCURACY).alias(f"_{n}") for n in values]).checkpoint()
+    found, order = bounds.select(*keys), Window.partitionBy(*keys).orderBy("_side", "_x")
+    for n in values:
+        v, low, high = F.col(n), F.get(f"_{n}", F.lit(0)), F.get(f"_{n}", F.lit(1))
+        side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+        counts = rows.where(v.isNotNull()).join(bounds.select(*keys, f"_{n}"), keys).groupBy(*keys, side.alias("_side"), F.when(side == 0, v).alias("_x")).agg(F.count("*").alias("_c"))
+        upto = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+        at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_x")))
+        mid = ((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(n)
+        one = upto.groupBy(*keys).agg(mid).checkpoint()
+        if one.where(F.col(n).isNull()).head(1):
+            one = medians(rows, keys, {n: v})
+        found = found.join(one, keys, "left")
+    return found
