@@ -113,20 +113,27 @@ def drop(spark: SparkSession, folder: str, *names: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, grows: bool = False) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, grows: bool = False, listed: bool = False) -> DataFrame:
     """Left join of rows with groups (one row per key; `count` says how many rows have it), even if one key has most rows.
 
     Two branches that the optimizer cannot merge: keys with at least HOT_SHARE of the rows are at most 1000, whatever the
     data, so those are broadcast and their rows stay where they are; the rest are dealt by the key, none of which has more
     than that share. Null keys meet nothing and stay where they are. `rows` is read twice.
     grows: the groups grow with the rows, so that the rest is merged at every size, never broadcast while it happens to be small.
+    listed: the hot keys, those 1000 at most, are listed on the driver, and a filter tells the rest from them; an anti join
+    would stand in the plan or not by whether there is a hot key.
     """
     values = [c for c in groups.columns if c not in (key, count)]
     least = max(2.0, total * HOT_SHARE)
     named = groups.select(F.col(key).alias("_k"), F.col(count).alias("_n"), *values)
     hot = F.broadcast(named.where(F.col("_n") >= least).drop("_n").withColumn("_hot", F.lit(True)))
     here = rows.join(hot, F.col(key) == F.col("_k"), "left").where(F.col("_hot") | F.col(key).isNull()).drop("_k", "_hot")
-    rest = rows.where(F.col(key).isNotNull()).join(hot, F.col(key) == F.col("_k"), "left_anti")
+    rest = rows.where(F.col(key).isNotNull())
+    if listed:
+        keys = [r[0] for r in named.where(F.col("_n") >= least).select("_k").collect()]
+        rest = rest.where(~F.col(key).isin(keys)) if keys else rest
+    else:
+        rest = rest.join(hot, F.col(key) == F.col("_k"), "left_anti")
     cold = named.where(F.col("_n") < least).drop("_n")
     rest = rest.join(cold.hint("merge") if grows else cold, F.col(key) == F.col("_k"), "left").drop("_k")
     return here.unionByName(rest)

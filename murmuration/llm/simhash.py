@@ -378,7 +378,7 @@ def _meetings(reps: DataFrame, near: DataFrame, folder: str, similarity: float)
     family = lambda c, share: F.struct(F.lit(share).alias("share"), F.col(c).alias("keys"))
     held = reps.select("id", F.explode(F.array(family("pieces", SHARED), family("singles", similarity))).alias("f")).select("id", "f.share", F.size("f.keys").alias("total"), F.explode("f.keys").alias("piece"))
     often = written(held.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), folder, "pieces")
-    counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count(), grows=True).where("times is not null")
+    counted = join_groups(held, often.withColumn("times", F.col("n")), "piece", "n", held.count(), grows=True, listed=True).where("times is not null")
     # a like document shares that part of the pieces, so one of them is among the rarest others and one more, those of no other document first
     shared = counted.groupBy("id", "share").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("times", "piece"))).alias("p"))
     first = F.col("total") - F.ceil(F.col("total") * F.col("share") - 1e-9) + 1 - (F.col("total") - F.size("p"))
@@ -386,7 +386,7 @@ def _meetings(reps: DataFrame, near: DataFrame, folder: str, similarity: float)
     # a piece counts where two documents have it among their rarest
     rarest = written(rarest, folder, "rarest")
     often = rarest.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece", "n", F.col("n").alias("times"), F.ceil(F.col("n") / DENSE).cast("int").alias("blocks"))
-    held = join_groups(rarest, written(often, folder, "rarest_pieces"), "piece", "times", rarest.count(), grows=True).where("blocks is not null").withColumnRenamed("piece", "group")
+    held = join_groups(rarest, written(often, folder, "rarest_pieces"), "piece", "times", rarest.count(), grows=True, listed=True).where("blocks is not null").withColumnRenamed("piece", "group")
     return _compared(held, reps.select("id", F.col("sketch").alias("c")), lambda it: _alike(it, similarity - SLACK), near, folder, "pieces")
 
 

@@ -36,6 +36,17 @@ def test_join_groups_leaves_hot_rows_where_they_are(unaided):
     assert len(got) == 40_000 and all(r.top == want.get(r.key) for r in got)
 
 
+@pytest.mark.parametrize("top", [20_000, 1])
+def test_join_groups_lists_hot_keys(spark, top):
+    """With hot keys listed, rows pass through the same joins whether there is a hot key or none, and all come back."""
+    rows = written(spark.range(40_000).select("id", F.when(F.col("id") < top, F.lit(-1)).when(F.col("id") % 4001 == 1, F.lit(None)).otherwise(F.col("id") % 5000).alias("key")), work_dir(spark), "rows")
+    groups = written(rows.where("key is not null").groupBy("key").agg(F.max("id").alias("last"), F.count("*").alias("n")), work_dir(spark), "groups")
+    want = sorted((r.id, r.key, r.last) for r in join_groups(rows, groups, "key", "n", 40_000).collect())
+    out = join_groups(rows, groups, "key", "n", 40_000, grows=True, listed=True)
+    assert sorted((r.id, r.key, r.last) for r in out.collect()) == want and len(want) == 40_000
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()
+
+
 def test_components_of_a_star_and_a_chain(unaided, monkeypatch):
     spark, rng = unaided, random.Random(1)
     links = [(0, i) for i in range(1, 3000)] + [(i + 1, i) for i in range(5000, 5060)] + [(None, 3), (7001, 7001), (0, 1)]
