@@ -42,8 +42,11 @@ def vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def cut(rows: DataFrame, order: list[str | Column], numbers: list[str], vector: str, size: int = SIZE) -> DataFrame:
-    """(id, numbers, x): blocks of the rows in an order, long numbers and double vectors as little-endian bytes. Checkpointed."""
+def cut(rows: DataFrame, order: list[str | Column], numbers: list[str], vector: str, size: int = SIZE, apart: bool = False) -> DataFrame:
+    """(id, numbers, x): blocks of the rows in an order, long numbers and double vectors as little-endian bytes. Checkpointed.
+
+    apart: no block has rows of two values of the first number, by which the order begins.
+    """
     ensure_checkpoint(rows.sparkSession)
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*numbers, vector)
 
@@ -57,9 +60,13 @@ def cut(rows: DataFrame, order: list[str | Column], numbers: list[str], vector:
             now = [b.column(k).to_numpy() for k in range(len(numbers))] + [vectors(b.column(len(numbers)))]
             held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
             n = max(64, size // max(1, held[-1].shape[1]))
-            while len(held[-1]) >= n:
-                yield block([c[:n] for c in held])
-                held, i = [c[n:] for c in held], i + 1
+            while len(held[-1]):
+                same = int(np.searchsorted(held[0], held[0][0], "right")) if apart else len(held[-1])
+                if same < n and same == len(held[-1]):
+                    break
+                m = min(n, same)
+                yield block([c[:m] for c in held])
+                held, i = [c[m:] for c in held], i + 1
         if held is not None and len(held[-1]):
             yield block(held)
 

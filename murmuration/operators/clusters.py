@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.operators import blocks
+from murmuration.operators import blocks, cut
 from murmuration.plans.session import ensure_checkpoint
 
 
@@ -69,14 +69,29 @@ def normalised_cut(features: np.ndarray, places: np.ndarray, temperature: float
     return 1 - q if (q * edge).sum() / max(q.sum(), 1e-9) > ((1 - q) * edge).sum() / max((1 - q).sum(), 1e-9) else q
 
 
+#: Tokens of a video whose matrix of all pairs one task makes; others meet in blocks.
+DENSE = 1500
+
+
 def cut_tokens(tokens: DataFrame) -> DataFrame:
-    """(video_id, token_id, q): the cut of each video's tokens (token_id, feat, row, col), a few thousand a group."""
+    """(video_id, token_id, q): the cut of each video's tokens (token_id, feat, row, col).
+
+    A video of up to DENSE tokens is solved whole in a task; of a larger one no task holds more than some blocks
+    (operators/cut.py), with time in proportion to the square of its tokens.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("token_id")
         return pd.DataFrame({"video_id": pdf.video_id, "token_id": pdf.token_id, "q": normalised_cut(np.stack(pdf.feat), pdf[["row", "col"]].to_numpy(float))})
 
-    return tokens.groupBy("video_id").applyInPandas(one, "video_id string, token_id long, q double")
+    ensure_checkpoint(tokens.sparkSession)
+    big = tokens.groupBy("video_id").count().where(F.col("count") > DENSE).select(F.col("video_id").alias("_video"), F.monotonically_increasing_id().alias("code")).checkpoint()
+    if not big.head(1):
+        return tokens.groupBy("video_id").applyInPandas(one, "video_id string, token_id long, q double")
+    same = F.col("video_id").eqNullSafe(F.col("_video"))
+    small = tokens.join(F.broadcast(big), same, "left_anti").groupBy("video_id").applyInPandas(one, "video_id string, token_id long, q double")
+    q = cut.large(tokens.join(F.broadcast(big), same).select("code", "token_id", "feat", "row", "col"))
+    return small.union(q.join(F.broadcast(big), "code").select(F.col("_video").cast("string"), "token_id", "q"))
 
 
 def quaternion(r: np.ndarray) -> np.ndarray:
